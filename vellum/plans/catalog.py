@@ -39,3 +39,245 @@ def clean_funnel(spark, sf):
     return (c.groupBy(F.col("title_lang").alias("lang"), "split", "type", "dropped_by")
              .agg(F.count(F.lit(1)).alias("n_docs"),
                   F.sum(F.length("clean_abstract")).cast("bigint").alias("clean_chars")))
+
+
+@register
+def informative_reason(spark, sf):
+    d = documents_as_records(spark, sf)
+    return d.select("doc_id", flt.informative_reason("abstract").alias("reason"))
+
+
+@register
+def english_split_counts(spark, sf):
+    d = documents_as_records(spark, sf)
+    en, other = flt.split_english(d)
+    return (en.select(F.lit("english").alias("side"), "doc_id")
+              .unionByName(other.select(F.lit("other").alias("side"), "doc_id"))
+              .groupBy("side").agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+@register
+def doc_type_counts(spark, sf):
+    d = documents_as_records(spark, sf)
+    return (d.withColumn("type", flt.document_type("title"))
+             .groupBy("type").agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+@register
+def boilerplate_filter(spark, sf):
+    d = documents_as_records(spark, sf).withColumn("clean_abstract", tx.clean_abstract("abstract"))
+    return (d.withColumn("boilerplate", flt.is_boilerplate("clean_abstract"))
+             .groupBy("boilerplate").agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+@register
+def lang_code_map(spark, sf):
+    d = table(spark, sf, "documents", "lang")
+    return (d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+             .withColumn("m2m_code", tx.lang_code_norm("lang")))
+
+
+@register
+def class_name_norm(spark, sf):
+    p = table(spark, sf, "part", "p_type", "p_name")
+    return (p.select(tx.norm_class(F.concat_ws(" & ", "p_type", "p_name")).alias("norm"))
+             .groupBy("norm").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register
+def full_text_id(spark, sf):
+    d = documents_as_records(spark, sf)
+    ft = tx.full_text("title", "abstract")
+    return d.select("doc_id", tx.text_id(ft).alias("emb_id"), F.length(ft).alias("n_chars"))
+
+
+@register
+def topic_name_clean(spark, sf):
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    raw = F.concat(F.lit("**"), F.col("text"), F.lit("** *(note)*"))
+    return c.select("conv_id", "turn",
+                    tx.clean_topic_name(tx.strip_think(
+                        F.concat(F.lit("<think>\nplan\n</think>"), raw))).alias("topic_name"))
+
+
+@register
+def ordered_distinct_terms(spark, sf):
+    """Terms of a conversation in first-use order (turn, then position)."""
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    toks = c.select("conv_id", "turn", F.posexplode(
+        F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD + "+"), 0)).alias("pos", "term"))
+    first = toks.groupBy("conv_id", "term").agg(F.min(F.struct("turn", "pos")).alias("at"))
+    return (first.groupBy("conv_id")
+                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))),
+                                               lambda x: x["term"]), " ").alias("terms")))
+
+
+@register
+def schema_conform_union(spark, sf):
+    from vellum.sources.schema import conform
+    target = "id long, origin string, title string, url string, lang string, n_chars long"
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.lit("documents").alias("origin"),
+        tx.first_line("text").alias("title"), "lang", "n_chars")
+    p = table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), F.lit("pages").alias("origin"), "url",
+        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
+        F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"))
+    return conform(d, target).unionByName(conform(p, target))
+
+
+@register
+def stable_sample(spark, sf):
+    from vellum.operators.sample import stable_sample as ss
+    return ss(table(spark, sf, "documents", "doc_id", "lang"), 100, key="doc_id", seed=42)
+
+
+# 2. profiling ------------------------------------------------------------------
+def documents_with_labels(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    return d.join(lab, "doc_id", "left")
+
+
+@register
+def duplicate_rows(spark, sf):
+    from vellum.operators.profile import duplicate_rows as dup
+    return dup(table(spark, sf, "documents", "text", "lang", "source", "n_chars"))
+
+
+@register
+def null_profile(spark, sf):
+    from vellum.operators.profile import null_profile as npf
+    return npf(documents_with_labels(spark, sf))
+
+
+@register
+def value_counts_top(spark, sf):
+    from vellum.operators.profile import value_counts
+    return value_counts(table(spark, sf, "part", "p_type"), "p_type", 20)
+
+
+@register
+def value_counts_bottom(spark, sf):
+    from vellum.operators.profile import value_counts
+    return value_counts(table(spark, sf, "events", "event_type"), "event_type", 3, ascending=True)
+
+
+@register
+def null_share_by_group(spark, sf):
+    from vellum.operators.profile import null_share_by_group as nsg
+    return nsg(documents_with_labels(spark, sf), "quality", "lang")
+
+
+@register
+def describe_numeric(spark, sf):
+    from vellum.operators.profile import describe
+    li = table(spark, sf, "lineitem", "l_quantity", "l_discount", "l_tax")
+    return describe(li, ["l_quantity", "l_discount", "l_tax"])
+
+
+@register
+def histogram_fixed(spark, sf):
+    from vellum.operators.profile import histogram
+    return histogram(table(spark, sf, "events", "value"), "value", 40)
+
+
+@register
+def box_stats_top_groups(spark, sf):
+    from vellum.operators.profile import box_stats
+    return box_stats(table(spark, sf, "part", "p_brand", "p_retailprice"), "p_retailprice", "p_brand", 15)
+
+
+@register
+def pearson_matrix(spark, sf):
+    from vellum.operators.profile import pearson_matrix as pm
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return pm(table(spark, sf, "lineitem", *cols), cols).withColumn("corr", F.round("corr", 6))
+
+
+@register
+def year_histogram(spark, sf):
+    from vellum.operators.profile import year_histogram as yh
+    o = table(spark, sf, "orders", "o_orderdate").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("publication_date"))
+    return yh(o, "publication_date")
+
+
+@register
+def timestamp_ranges(spark, sf):
+    from vellum.operators.profile import timestamp_range
+    e = table(spark, sf, "events", "ts", "props").select(
+        "ts", F.concat(F.lit("2024-"), F.get_json_object("props", "$.k")).alias("created_at"))
+    return timestamp_range(e, ["ts", "created_at"])
+
+
+@register
+def coverage_ratio(spark, sf):
+    from vellum.operators.profile import coverage
+    return coverage(documents_with_labels(spark, sf), "quality")
+
+
+@register
+def list_item_counts(spark, sf):
+    from vellum.operators.profile import list_item_counts as lic
+    d = table(spark, sf, "documents", "text").select(
+        F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD + "+"), 0).alias("tokens"))
+    return lic(d, "tokens", 20)
+
+
+@register
+def list_literal_items(spark, sf):
+    """T11 + A13: list-literal strings parsed, exploded and counted."""
+    from vellum.operators.profile import list_item_counts as lic
+    p = table(spark, sf, "part", "p_name", "p_type").select(
+        F.when(F.col("p_type") == "SMALL", F.col("p_type"))
+         .otherwise(F.concat(F.lit("['"), F.replace("p_name", F.lit(" "), F.lit("','")), F.lit("']")))
+         .alias("topics"))
+    return lic(p.select(tx.parse_list_literal("topics").alias("topics")), "topics", 20)
+
+
+@register
+def text_length_profile(spark, sf):
+    """Q4: abstract lengths clipped at their 99th percentile, 50 equal bins."""
+    from vellum.operators.profile import histogram
+    d = table(spark, sf, "documents", "text").select(F.length("text").alias("len"))
+    p99 = d.select(F.percentile("len", F.lit(0.99))).scalar()
+    return histogram(d.select(F.least(F.col("len").cast("double"), p99).alias("len")), "len", 50)
+
+
+@register
+def value_inspector(spark, sf):
+    from vellum.operators.profile import value_shares
+    a = value_shares(table(spark, sf, "part", "p_type"), "p_type").withColumn("column", F.lit("p_type"))
+    b = value_shares(table(spark, sf, "events", "event_type"), "event_type").withColumn(
+        "column", F.lit("event_type"))
+    return a.unionByName(b)
+
+
+@register
+def lang_mix(spark, sf):
+    from vellum.operators.profile import value_shares
+    return value_shares(table(spark, sf, "documents", "lang"), "lang")
+
+
+@register
+def cluster_sizes(spark, sf):
+    from vellum.operators.profile import group_sizes
+    return group_sizes(table(spark, sf, "embeddings", "label"), "label")
+
+
+@register
+def names_per_group(spark, sf):
+    n = table(spark, sf, "nation", "n_name", "n_regionkey")
+    return n.groupBy("n_regionkey").agg(
+        F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("names"))
+
+
+@register
+def group_label_position(spark, sf):
+    from vellum.operators.profile import group_positions
+    e = table(spark, sf, "embeddings", "embedding", "label").select(
+        "label", F.col("embedding")[0].cast("double").alias("x"),
+        F.col("embedding")[1].cast("double").alias("y"))
+    return group_positions(e, "label", "x", "y").select(
+        "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -21,3 +21,170 @@ SELECT lang, split, type, dropped_by, count(*) AS n_docs,
        CAST(sum(length(clean_abstract)) AS BIGINT) AS clean_chars
 FROM c GROUP BY ALL
 """
+
+DOCS = f"""SELECT doc_id, {s.first_line('text')} AS title, text AS abstract, lang,
+  lang AS title_lang, lang AS abstract_lang, source FROM documents"""
+WORD = r"[\p{L}\p{N}_]+"
+
+ORACLE["informative_reason"] = f"""
+SELECT doc_id, {s.informative_reason('abstract')} AS reason FROM ({DOCS})"""
+
+ORACLE["english_split_counts"] = """
+SELECT CASE WHEN coalesce(lang = 'en', false) THEN 'english' ELSE 'other' END AS side,
+       count(*) AS n_docs FROM documents GROUP BY 1"""
+
+ORACLE["doc_type_counts"] = f"""
+SELECT {s.document_type('title')} AS type, count(*) AS n_docs FROM ({DOCS}) GROUP BY 1"""
+
+ORACLE["boilerplate_filter"] = f"""
+SELECT {s.boilerplate(s.clean_abstract('abstract'))} AS boilerplate, count(*) AS n_docs
+FROM ({DOCS}) GROUP BY 1"""
+
+ORACLE["lang_code_map"] = """
+WITH m(k, v) AS (VALUES ('ja','ja'),('zh','zh'),('zh-cn','zh'),('zh-tw','zh'),('zh-hk','zh'),
+  ('ko','ko'),('fr','fr'),('de','de'),('es','es'),('ru','ru'),('it','it'),('pt','pt'),
+  ('nl','nl'),('ar','ar'),('hi','hi'),('en','en'))
+SELECT lang, count(*) AS n_docs, any_value(m.v) AS m2m_code
+FROM documents LEFT JOIN m ON lower(documents.lang) = m.k GROUP BY lang"""
+
+_NC = s.strip("upper(" + s.strip("coalesce(concat_ws(' & ', p_type, p_name), '')") + ")")
+ORACLE["class_name_norm"] = f"""
+SELECT {s.strip(f"regexp_replace(replace({_NC}, '&', 'AND'), {s.q(s.WS + '+')}, ' ', 'g')")} AS norm,
+       count(*) AS n FROM part GROUP BY 1"""
+
+ORACLE["full_text_id"] = f"""
+SELECT doc_id, sha256(substr(concat(coalesce(title,''), '. ', coalesce(abstract,'')), 1, 2200)) AS emb_id,
+       length(substr(concat(coalesce(title,''), '. ', coalesce(abstract,'')), 1, 2200)) AS n_chars
+FROM ({DOCS})"""
+
+_RAW = "concat('<think>' || chr(10) || 'plan' || chr(10) || '</think>', '**', text, '** *(note)*')"
+_THINK = s.strip(f"regexp_replace({_RAW}, '(?s)<think>.*?</think>', '', 'g')")
+ORACLE["topic_name_clean"] = f"""
+SELECT conv_id, turn,
+  {s.strip(f"regexp_replace(split_part(regexp_replace({_THINK}, '\\*\\*', '', 'g'), chr(10), 1), '\\*\\(.*?\\)\\*', '', 'g')")}
+  AS topic_name
+FROM conversations"""
+
+ORACLE["ordered_distinct_terms"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term,
+         unnest(range(len(regexp_extract_all(lower(text), '{WORD}')))) AS pos
+  FROM conversations),
+f AS (SELECT conv_id, term, min((turn, pos)) AS first_at FROM t GROUP BY ALL)
+SELECT conv_id, string_agg(term, ' ' ORDER BY first_at) AS terms FROM f GROUP BY conv_id"""
+
+ORACLE["schema_conform_union"] = f"""
+SELECT doc_id AS id, 'documents' AS origin, {s.first_line('text')} AS title, CAST(NULL AS VARCHAR) AS url,
+       lang, n_chars FROM documents
+UNION ALL
+SELECT page_id, 'pages', regexp_extract(html, '(?s)<title>(.*?)</title>', 1), url,
+       regexp_extract(html, '<html lang="([^"]*)"', 1), CAST(NULL AS BIGINT) FROM pages"""
+
+LABELED = """SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+FROM documents d LEFT JOIN labels l USING (doc_id)"""
+
+ORACLE["duplicate_rows"] = """
+SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates, count(*) AS n_distinct_rows
+FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang, source, n_chars)"""
+
+ORACLE["null_profile"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null,
+       round((count(*) - count({c})) * 100.0 / count(*), 2) AS pct_null,
+       count(DISTINCT {c}) AS n_distinct FROM ({LABELED})"""
+    for c in ["doc_id", "lang", "source", "n_chars", "quality", "toxic"])
+
+ORACLE["value_counts_top"] = """
+SELECT p_type AS value, count(*) AS count FROM part WHERE p_type IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, value LIMIT 20"""
+
+ORACLE["value_counts_bottom"] = """
+SELECT event_type AS value, count(*) AS count FROM events WHERE event_type IS NOT NULL
+GROUP BY 1 ORDER BY count ASC, value LIMIT 3"""
+
+ORACLE["null_share_by_group"] = f"""
+SELECT lang, count(*) AS n_rows, count(*) - count(quality) AS n_null,
+  round((count(*) - count(quality)) * 100.0 /
+        (SELECT count(*) - count(quality) FROM ({LABELED})), 2) AS pct_of_nulls,
+  round((count(*) - count(quality)) * 100.0 / count(*), 2) AS pct_of_group
+FROM ({LABELED}) GROUP BY lang"""
+
+ORACLE["describe_numeric"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", round(count({c})::DOUBLE, 6) AS count, round(avg({c}), 6) AS mean,
+       round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
+       round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+       round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lineitem"""
+    for c in ["l_quantity", "l_discount", "l_tax"])
+
+ORACLE["histogram_fixed"] = """
+WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+h AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(39, floor((value - lo) / (hi - lo) * 40)::INT) END AS bin,
+             count(*) AS count FROM events, b WHERE value IS NOT NULL GROUP BY 1)
+SELECT bin, count, lo + bin * ((hi - lo) / 40) AS bin_lo, lo + (bin + 1) * ((hi - lo) / 40) AS bin_hi
+FROM h, b"""
+
+ORACLE["box_stats_top_groups"] = """
+WITH top AS (SELECT p_brand FROM part WHERE p_brand IS NOT NULL GROUP BY 1
+             ORDER BY count(*) DESC, p_brand LIMIT 15)
+SELECT p_brand, count(p_retailprice) AS n, min(p_retailprice) AS min,
+  quantile_cont(p_retailprice, 0.25) AS p25, quantile_cont(p_retailprice, 0.5) AS median,
+  quantile_cont(p_retailprice, 0.75) AS p75, max(p_retailprice) AS max
+FROM part SEMI JOIN top USING (p_brand) GROUP BY p_brand"""
+
+_PC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ORACLE["pearson_matrix"] = "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM lineitem"
+    for i, a in enumerate(_PC) for b in _PC[i + 1:])
+
+ORACLE["year_histogram"] = """
+SELECT year(o_orderdate)::INT AS year, count(*) AS count FROM orders GROUP BY 1"""
+
+ORACLE["timestamp_ranges"] = """
+SELECT 'ts' AS "column", min(ts) AS min_ts, max(ts) AS max_ts, count(*) - count(ts) AS n_null FROM events
+UNION ALL
+SELECT 'created_at', min(c), max(c), count(*) - count(c) FROM (
+  SELECT try_strptime('2024-' || (props::JSON->>'k'), '%Y-%m') AS c FROM events)"""
+
+ORACLE["coverage_ratio"] = f"""
+SELECT count(*) AS n_rows, count(quality) AS n_present,
+       round(count(quality) * 100.0 / count(*), 2) AS pct_present FROM ({LABELED})"""
+
+ORACLE["list_item_counts"] = f"""
+SELECT item AS value, count(*) AS count FROM (
+  SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS item FROM documents)
+GROUP BY 1 ORDER BY count DESC, value LIMIT 20"""
+
+ORACLE["list_literal_items"] = """
+SELECT item AS value, count(*) AS count FROM (
+  SELECT unnest(CASE WHEN p_type = 'SMALL' THEN [p_type] ELSE string_split(p_name, ' ') END) AS item
+  FROM part)
+GROUP BY 1 ORDER BY count DESC, value LIMIT 20"""
+
+ORACLE["text_length_profile"] = """
+WITH d AS (SELECT least(length(text)::DOUBLE,
+                        (SELECT quantile_cont(length(text), 0.99) FROM documents)) AS len FROM documents),
+b AS (SELECT min(len) AS lo, max(len) AS hi FROM d),
+h AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(49, floor((len - lo) / (hi - lo) * 50)::INT) END AS bin,
+             count(*) AS count FROM d, b GROUP BY 1)
+SELECT bin, count, lo + bin * ((hi - lo) / 50) AS bin_lo, lo + (bin + 1) * ((hi - lo) / 50) AS bin_hi
+FROM h, b"""
+
+ORACLE["value_inspector"] = """
+SELECT p_type AS value, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM part), 2)
+       AS pct_of_rows, 'p_type' AS "column" FROM part WHERE p_type IS NOT NULL GROUP BY 1
+UNION ALL
+SELECT event_type, count(*), round(count(*) * 100.0 / (SELECT count(*) FROM events), 2), 'event_type'
+FROM events WHERE event_type IS NOT NULL GROUP BY 1"""
+
+ORACLE["lang_mix"] = """
+SELECT lang AS value, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 2)
+       AS pct_of_rows FROM documents WHERE lang IS NOT NULL GROUP BY 1"""
+
+ORACLE["cluster_sizes"] = "SELECT label, count(*) AS size FROM embeddings GROUP BY label"
+
+ORACLE["names_per_group"] = """
+SELECT n_regionkey, array_to_string(list_sort(list_distinct(list(n_name))), ', ') AS names
+FROM nation GROUP BY n_regionkey"""
+
+ORACLE["group_label_position"] = """
+SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y
+FROM embeddings WHERE label <> -1 GROUP BY label"""

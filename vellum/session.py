@@ -27,7 +27,8 @@ def get_spark(master: str | None = None, app: str = "vellum",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.ui.enabled", "false"))
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
