@@ -281,3 +281,181 @@ def group_label_position(spark, sf):
         F.col("embedding")[1].cast("double").alias("y"))
     return group_positions(e, "label", "x", "y").select(
         "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# 3. vectors, kNN, evaluation ---------------------------------------------------------
+def embeddings_with_classes(spark, sf):
+    from vellum.plans import classes
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return e.join(F.broadcast(classes.label_main(spark)), "label", "left")
+
+
+@register
+def knn_main(spark, sf):
+    """Leave-one-out 3-NN over the whole embeddings table."""
+    from vellum.operators.knn import knn_classify
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    p = knn_classify(e, e, 3, qid="vec_id", tid="vec_id", qvec="embedding", tvec="embedding",
+                     label="label", exclude_self=True, pred="pred_label")
+    return p.join(e.select("vec_id", "label"), "vec_id", "inner")
+
+
+def two_stage_predictions(spark, sf):
+    from vellum.operators.routing import two_stage
+    from vellum.plans import classes
+    e = embeddings_with_classes(spark, sf)
+    return two_stage(e, e, classes.routes(spark), classes.id_to_name(spark), qid="vec_id", tid="vec_id",
+                     qvec="embedding", tvec="embedding", main_label="main_class", sub_label="label",
+                     exclude_self=True)
+
+
+@register
+def knn_two_stage(spark, sf):
+    return two_stage_predictions(spark, sf)
+
+
+def predictions_with_metadata(spark, sf):
+    """Predictions joined to publication metadata on the document key."""
+    d = table(spark, sf, "documents", "doc_id", "source", "lang").select(
+        F.col("doc_id").alias("vec_id"), F.col("source").alias("journal"), F.col("lang").alias("publisher"))
+    return two_stage_predictions(spark, sf).join(d, "vec_id", "inner")
+
+
+@register
+def prediction_metadata_join(spark, sf):
+    return predictions_with_metadata(spark, sf).select(
+        "vec_id", "journal", "publisher", "lcc_main_name_pred", "lcc_name_pred")
+
+
+def predictions_with_truth(spark, sf):
+    from vellum.operators.evaluate import attach_truth
+    from vellum.plans import classes
+    return attach_truth(predictions_with_metadata(spark, sf), classes.journal_truth(spark),
+                        classes.publisher_truth(spark))
+
+
+@register
+def truth_coverage(spark, sf):
+    from vellum.operators.evaluate import truth_coverage as tc
+    return tc(predictions_with_truth(spark, sf))
+
+
+@register
+def classification_report(spark, sf):
+    from vellum.operators.evaluate import classification_report as cr
+    return cr(knn_main(spark, sf), "label", "pred_label")
+
+
+@register
+def classification_report_main(spark, sf):
+    """M2 on the combined journal/publisher truth."""
+    from vellum.operators.evaluate import classification_report as cr
+    return cr(predictions_with_truth(spark, sf), "gt_main", "lcc_main_name_pred")
+
+
+@register
+def confusion_long(spark, sf):
+    from vellum.operators.evaluate import confusion_long as cl
+    return cl(predictions_with_truth(spark, sf), "gt_main", "lcc_main_name_pred")
+
+
+def journal_rows(spark, sf):
+    return predictions_with_truth(spark, sf).filter(F.col("truth_source") == "journal")
+
+
+@register
+def group_accuracy(spark, sf):
+    from vellum.operators.evaluate import group_accuracy as ga
+    return ga(journal_rows(spark, sf), "journal", "gt_main", "lcc_main_name_pred", "gt_sub", "lcc_name_pred")
+
+
+@register
+def low_performers(spark, sf):
+    from vellum.operators.evaluate import low_performers as lp
+    return lp(group_accuracy(spark, sf))
+
+
+@register
+def wrong_destinations(spark, sf):
+    from vellum.operators.evaluate import prediction_shares
+    return prediction_shares(journal_rows(spark, sf), "journal", "gt_main", "lcc_main_name_pred",
+                             groups=low_performers(spark, sf))
+
+
+@register
+def wrong_destinations_sub(spark, sf):
+    from vellum.operators.evaluate import prediction_shares
+    return prediction_shares(journal_rows(spark, sf), "journal", "gt_sub", "lcc_name_pred",
+                             groups=low_performers(spark, sf))
+
+
+@register
+def low_performer_summary(spark, sf):
+    from vellum.operators.evaluate import low_performer_summary as lps
+    return lps(journal_rows(spark, sf), group_accuracy(spark, sf), "journal", "gt_main", "lcc_main_name_pred")
+
+
+@register
+def score_table(spark, sf):
+    """M8: accuracy / macro-F1 / weighted-F1 of leave-one-out kNN for k = 1, 3, 5."""
+    from vellum.operators.evaluate import score_table as st
+    from vellum.operators.knn import knn_classify
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    runs = []
+    for k in (1, 3, 5):
+        p = knn_classify(e, e, k, qid="vec_id", tid="vec_id", qvec="embedding", tvec="embedding",
+                         label="label", exclude_self=True, pred="pred_label")
+        runs.append((f"knn_k{k}", p.join(e.select("vec_id", "label"), "vec_id")))
+    return st(runs, "label", "pred_label")
+
+
+@register
+def knn_scaled(spark, sf):
+    """K3: standardised features before the kNN (rows-only check)."""
+    from vellum.operators.knn import knn_classify, standardize
+    e = standardize(table(spark, sf, "embeddings", "vec_id", "embedding", "label"), "embedding")
+    return knn_classify(e, e, 3, qid="vec_id", tid="vec_id", qvec="embedding", tvec="embedding",
+                        label="label", exclude_self=True, pred="pred_label")
+
+
+@register
+def centroids(spark, sf):
+    from vellum.operators.vectors import centroids as cen
+    c = cen(table(spark, sf, "embeddings", "embedding", "label"), "label", "embedding")
+    return c.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@register
+def centroid_distances(spark, sf):
+    from vellum.operators.vectors import centroid_distances as cd, centroids as cen
+    c = cen(table(spark, sf, "embeddings", "embedding", "label"), "label", "embedding")
+    return cd(c, "label").withColumn("dist", F.round("dist", 6))
+
+
+@register
+def soft_subtopics(spark, sf):
+    from vellum.operators.vectors import centroids as cen, soft_tags
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    c = cen(e, "label", "embedding")
+    t = soft_tags(e, c, "embedding", "label", threshold=0.25)
+    return t.select("vec_id", F.array_join("subtopics", ",").alias("subtopics"))
+
+
+@register
+def id_vector_lookup(spark, sf):
+    """Text id → vector via the id table; vectors deduplicated per id."""
+    d = table(spark, sf, "documents", "doc_id", "text").select(
+        "doc_id", tx.text_id("text").alias("emb_id"))
+    v = (table(spark, sf, "embeddings", "vec_id", "embedding")
+         .join(d.select(F.col("doc_id").alias("vec_id"), "emb_id"), "vec_id")
+         .groupBy("emb_id").agg(F.min("vec_id").alias("vec_id")))
+    return d.join(v, "emb_id", "inner").select("doc_id", "emb_id", "vec_id")
+
+
+@register
+def missing_vectors(spark, sf):
+    """Documents with no vector, by language (left anti join)."""
+    d = table(spark, sf, "documents", "doc_id", "lang")
+    v = table(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("doc_id"))
+    return (d.join(v, "doc_id", "left_anti").groupBy("lang")
+             .agg(F.count(F.lit(1)).alias("n_missing")))

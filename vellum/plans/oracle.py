@@ -188,3 +188,200 @@ FROM nation GROUP BY n_regionkey"""
 ORACLE["group_label_position"] = """
 SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y
 FROM embeddings WHERE label <> -1 GROUP BY label"""
+
+
+# 3. vectors, kNN, evaluation ------------------------------------------------------
+def _pynorm(x: str) -> str:
+    return " ".join(x.strip().upper().replace("&", "AND").split())
+
+
+def _values(rows) -> str:
+    def lit(v):
+        return "NULL" if v is None else (str(v) if isinstance(v, int) else s.q(v))
+    return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+
+def _norm_sql(x: str) -> str:
+    t = f"upper({s.strip(f'coalesce({x}, {chr(39)}{chr(39)})')})"
+    return s.strip(f"regexp_replace(replace({t}, '&', 'AND'), {s.q(s.WS + '+')}, ' ', 'g')")
+
+
+def _classes_ctes() -> str:
+    from vellum.plans import classes as c
+    routes = ([(_pynorm(x), "sub", None) for x in c.SUBMODEL_CLASSES]
+              + [(_pynorm(x), "single", y) for x, y in c.SINGLE_SUBCLASS])
+    return f"""
+LM(label, main_class) AS (VALUES {_values(c.LABEL_MAIN)}),
+R(main_norm, kind, single_subclass) AS (VALUES {_values(routes)}),
+M(main_norm, id, name) AS (VALUES {_values(c.ID_TO_NAME)}),
+JT(key, gt_main, gt_sub) AS (VALUES {_values(c.JOURNAL_TRUTH)}),
+PT(key, gt_main, gt_sub) AS (VALUES {_values(c.PUBLISHER_TRUTH)}),
+E AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, e.label, LM.main_class
+      FROM embeddings e LEFT JOIN LM USING (label))"""
+
+
+def _knn_ctes(p: str, k: int, lab: str, extra_join: str = "", src: str = "E q") -> str:
+    """CTEs {p}N (neighbours) and {p}P (qid, pred, conf) for leave-one-out kNN."""
+    return f"""
+{p}N AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.{lab} AS lab, list_distance(qe.v, t.v) AS dist,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(qe.v, t.v), t.vec_id) AS rn
+         FROM {src} JOIN E qe ON qe.vec_id = q.vec_id JOIN E t ON t.vec_id <> q.vec_id {extra_join}
+         QUALIFY rn <= {k}),
+{p}V AS (SELECT qid, lab, count(*) AS c FROM {p}N GROUP BY ALL),
+{p}P AS (SELECT v.qid, arg_min(v.lab, (-v.c, v.lab)) AS pred,
+           any_value(CAST(1.0 / (1.0 + n.dist) AS FLOAT)) AS conf
+         FROM {p}V v JOIN {p}N n ON n.qid = v.qid AND n.rn = 1 GROUP BY v.qid)"""
+
+
+ORACLE["knn_main"] = f"""
+WITH {_classes_ctes()},
+{_knn_ctes('K', 3, 'label')}
+SELECT KP.qid AS vec_id, KP.pred AS pred_label, KP.conf AS confidence, E.label
+FROM KP JOIN E ON E.vec_id = KP.qid"""
+
+TWO_STAGE = f"""{_classes_ctes()},
+{_knn_ctes('A', 3, 'main_class')},
+S1 AS (SELECT qid AS vec_id, pred AS lcc_main_name_pred, conf AS main_knn_confidence,
+              {_norm_sql('pred')} AS main_norm FROM AP),
+Q2 AS (SELECT S1.vec_id, S1.main_norm FROM S1 JOIN R USING (main_norm) WHERE R.kind = 'sub'),
+{_knn_ctes('B', 3, 'label', f"AND {_norm_sql('t.main_class')} = q.main_norm", 'Q2 q')},
+TS AS (
+SELECT S1.vec_id, S1.lcc_main_name_pred, S1.main_knn_confidence,
+  CASE WHEN R.kind = 'single' THEN R.single_subclass
+       WHEN R.kind = 'sub' THEN coalesce(M.name, CAST(BP.pred AS VARCHAR)) END AS lcc_name_pred,
+  CASE WHEN R.kind = 'single' THEN CAST(1.0 AS FLOAT) WHEN R.kind = 'sub' THEN BP.conf END AS sub_knn_confidence,
+  CASE WHEN R.kind = 'single' THEN 'direct_map' WHEN R.kind = 'sub' THEN S1.main_norm
+       ELSE 'no_submodel:' || S1.main_norm END AS sub_model_used
+FROM S1 LEFT JOIN R USING (main_norm) LEFT JOIN BP ON BP.qid = S1.vec_id
+LEFT JOIN M ON M.main_norm = S1.main_norm AND M.id = BP.pred),
+PM AS (SELECT TS.*, d.source AS journal, d.lang AS publisher FROM TS JOIN documents d ON d.doc_id = TS.vec_id),
+PT2 AS (SELECT PM.*,
+  CASE WHEN JT.gt_main IS NOT NULL THEN 'journal' WHEN PT.gt_main IS NOT NULL THEN 'publisher' END AS truth_source,
+  coalesce(JT.gt_main, PT.gt_main) AS gt_main,
+  CASE WHEN JT.gt_main IS NOT NULL THEN JT.gt_sub ELSE PT.gt_sub END AS gt_sub,
+  PT.gt_main IS NOT NULL AS publisher_hit
+  FROM PM LEFT JOIN JT ON JT.key = PM.journal LEFT JOIN PT ON PT.key = PM.publisher),
+JR AS (SELECT * FROM PT2 WHERE truth_source = 'journal'),
+GA AS (SELECT journal, count(*) AS n_papers, any_value(gt_main) AS gt_main, any_value(gt_sub) AS gt_sub,
+         round(avg(CASE WHEN coalesce(lcc_main_name_pred = gt_main, false) THEN 1.0 ELSE 0.0 END), 3) AS acc_main,
+         round(avg(CASE WHEN coalesce(lcc_name_pred = gt_sub, false) THEN 1.0 ELSE 0.0 END), 3) AS acc_sub
+       FROM JR GROUP BY journal),
+LOW AS (SELECT * FROM GA WHERE acc_main < 0.7)"""
+
+ORACLE["knn_two_stage"] = f"WITH {TWO_STAGE}\nSELECT * FROM TS"
+
+ORACLE["prediction_metadata_join"] = f"""WITH {TWO_STAGE}
+SELECT vec_id, journal, publisher, lcc_main_name_pred, lcc_name_pred FROM PM"""
+
+ORACLE["truth_coverage"] = f"""WITH {TWO_STAGE}
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE truth_source = 'journal') AS n_journal,
+  count(*) FILTER (WHERE publisher_hit) AS n_publisher,
+  count(*) FILTER (WHERE truth_source IS NOT NULL) AS n_combined,
+  round(count(*) FILTER (WHERE truth_source IS NOT NULL) * 100.0 / count(*), 1) AS pct_combined FROM PT2"""
+
+
+def _report_sql(src: str, t: str, p: str) -> str:
+    return f"""
+PC AS (SELECT CAST({t} AS VARCHAR) AS t, CAST({p} AS VARCHAR) AS p, count(*) AS n FROM {src}
+       WHERE {t} IS NOT NULL AND {p} IS NOT NULL GROUP BY ALL),
+CL AS (SELECT t AS cls FROM PC UNION SELECT p FROM PC),
+PER AS (SELECT cls,
+   coalesce((SELECT sum(n) FROM PC WHERE PC.t = cls), 0) AS support,
+   coalesce((SELECT sum(n) FROM PC WHERE PC.p = cls), 0) AS predicted,
+   coalesce((SELECT sum(n) FROM PC WHERE PC.t = cls AND PC.p = cls), 0) AS tp FROM CL),
+PR AS (SELECT cls, support, tp,
+   CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+   CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall FROM PER),
+F AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM PR),
+REP AS (
+SELECT cls AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM F
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support) FROM F
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM F
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM F)"""
+
+
+ORACLE["classification_report"] = f"""WITH {_classes_ctes()},
+{_knn_ctes('K', 3, 'label')},
+KM AS (SELECT KP.qid AS vec_id, KP.pred AS pred_label, E.label FROM KP JOIN E ON E.vec_id = KP.qid),
+{_report_sql('KM', 'label', 'pred_label')}
+SELECT * FROM REP"""
+
+ORACLE["classification_report_main"] = f"""WITH {TWO_STAGE},
+{_report_sql('PT2', 'gt_main', 'lcc_main_name_pred')}
+SELECT * FROM REP"""
+
+ORACLE["confusion_long"] = f"""WITH {TWO_STAGE},
+PC AS (SELECT gt_main AS t, lcc_main_name_pred AS p, count(*) AS n FROM PT2
+       WHERE gt_main IS NOT NULL AND lcc_main_name_pred IS NOT NULL GROUP BY ALL),
+FO AS (SELECT t, CASE WHEN p IN (SELECT t FROM PC) THEN p ELSE 'Other' END AS p, sum(n) AS n FROM PC GROUP BY ALL)
+SELECT t AS true_class, p AS pred_class, CAST(n AS BIGINT) AS n,
+       round(n / sum(n) OVER (PARTITION BY t), 6) AS share FROM FO"""
+
+ORACLE["group_accuracy"] = f"WITH {TWO_STAGE}\nSELECT * FROM GA"
+ORACLE["low_performers"] = f"WITH {TWO_STAGE}\nSELECT * FROM LOW"
+
+
+def _shares_sql(truth: str, pred: str) -> str:
+    return f"""WITH {TWO_STAGE},
+G AS (SELECT journal, {pred} AS predicted, count(*) AS n, any_value({truth}) AS truth FROM JR
+      WHERE {pred} IS NOT NULL AND journal IN (SELECT journal FROM LOW) GROUP BY ALL)
+SELECT journal, predicted, round(n * 100.0 / sum(n) OVER (PARTITION BY journal), 1) AS pct,
+       coalesce(predicted = truth, false) AS hit FROM G"""
+
+
+ORACLE["wrong_destinations"] = _shares_sql("gt_main", "lcc_main_name_pred")
+ORACLE["wrong_destinations_sub"] = _shares_sql("gt_sub", "lcc_name_pred")
+
+ORACLE["low_performer_summary"] = f"""WITH {TWO_STAGE},
+W AS (SELECT journal, lcc_main_name_pred AS w, count(*) AS n FROM JR
+      WHERE journal IN (SELECT journal FROM LOW) AND lcc_main_name_pred IS NOT NULL
+        AND NOT coalesce(lcc_main_name_pred = gt_main, false) GROUP BY ALL),
+TW AS (SELECT journal, arg_min(w, (-n, w)) AS top_wrong_pred, max(n) * 100.0 / sum(n) AS top_wrong_pct
+       FROM W GROUP BY journal)
+SELECT LOW.journal, n_papers, gt_main, acc_main, acc_sub, coalesce(top_wrong_pred, '—') AS top_wrong_pred,
+       round(coalesce(top_wrong_pct, 0.0), 1) AS top_wrong_pct
+FROM LOW LEFT JOIN TW USING (journal)"""
+
+
+def _score_sql(k: int) -> str:
+    return f"""(WITH {_classes_ctes()},
+{_knn_ctes('K', k, 'label')},
+KM AS (SELECT KP.qid AS vec_id, KP.pred AS pred_label, E.label FROM KP JOIN E ON E.vec_id = KP.qid),
+{_report_sql('KM', 'label', 'pred_label')}
+SELECT 'knn_k{k}' AS model, max(f1) FILTER (WHERE class = 'accuracy') AS accuracy,
+       max(f1) FILTER (WHERE class = 'macro avg') AS f1_macro,
+       max(f1) FILTER (WHERE class = 'weighted avg') AS f1_weighted FROM REP)"""
+
+
+ORACLE["score_table"] = "\nUNION ALL\n".join(_score_sql(k) for k in (1, 3, 5))
+
+ORACLE["centroids"] = """
+SELECT label, pos - 1 AS pos, round(avg(x::DOUBLE), 6) AS x FROM (
+  SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)
+GROUP BY label, pos"""
+
+_CENT = """C AS (SELECT label, list(x ORDER BY pos) AS c FROM (
+  SELECT label, pos, avg(x::DOUBLE) AS x FROM (
+    SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+  GROUP BY label, pos) GROUP BY label)"""
+
+ORACLE["centroid_distances"] = f"""WITH {_CENT}
+SELECT a.label AS a, b.label AS b,
+       round(least(greatest(1.0 - list_cosine_similarity(a.c, b.c), 0.0), 2.0), 6) AS dist
+FROM C a JOIN C b ON a.label <> b.label"""
+
+ORACLE["soft_subtopics"] = f"""WITH {_CENT}
+SELECT e.vec_id, coalesce(string_agg(CAST(C.label AS VARCHAR), ',' ORDER BY C.label)
+                          FILTER (WHERE list_cosine_similarity(e.embedding::DOUBLE[], C.c) >= 0.25), '') AS subtopics
+FROM embeddings e, C GROUP BY e.vec_id"""
+
+ORACLE["id_vector_lookup"] = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS emb_id FROM documents),
+v AS (SELECT d.emb_id, min(e.vec_id) AS vec_id FROM embeddings e JOIN d ON d.doc_id = e.vec_id GROUP BY d.emb_id)
+SELECT d.doc_id, d.emb_id, v.vec_id FROM d JOIN v USING (emb_id)"""
+
+ORACLE["missing_vectors"] = """
+SELECT lang, count(*) AS n_missing FROM documents
+WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY lang"""
