@@ -124,8 +124,13 @@ def drop_boilerplate(df: DataFrame, clean: str = "clean_abstract") -> DataFrame:
 
 
 # F7 / F9 / F10 --------------------------------------------------------------
+def is_outlier(cluster_col: str = "cluster_id") -> Column:
+    """Cluster id −1 marks noise; works for integer and string ids."""
+    return F.coalesce(F.col(cluster_col).cast("string") == "-1", F.lit(False))
+
+
 def drop_outliers(df: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
-    return df.filter(F.col(cluster_col) != -1)
+    return df.filter(~is_outlier(cluster_col))
 
 
 # Composite: one pass of the cleaning stage ------------------------------------

@@ -459,3 +459,36 @@ def missing_vectors(spark, sf):
     v = table(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("doc_id"))
     return (d.join(v, "doc_id", "left_anti").groupBy("lang")
              .agg(F.count(F.lit(1)).alias("n_missing")))
+
+
+# 4. labelling --------------------------------------------------------------------------
+@register
+def tfidf_terms(spark, sf):
+    """L1–L3 + W4: top-10 TF-IDF terms per language group of documents."""
+    from vellum.operators.labels import tfidf_term_scores
+    from vellum.operators.labels import SCORE_DIGITS
+    from pyspark.sql import Window
+    d = table(spark, sf, "documents", "doc_id", "text", "lang")
+    sc = tfidf_term_scores(d, "lang", "doc_id", "text")
+    ok = sc.filter(~F.col("term").rlike(r"^\p{Nd}+$") & (F.length("term") > 1))
+    r = F.row_number().over(Window.partitionBy("lang").orderBy(
+        F.round("score", SCORE_DIGITS).desc(), F.col("term").desc()))
+    return (ok.withColumn("rank", r).filter(F.col("rank") <= 10)
+              .select("lang", "rank", "term", F.round("score", 6).alias("score")))
+
+
+@register
+def cluster_cards(spark, sf):
+    """L4 + T8: cluster cards with documents grouped by source."""
+    from vellum.operators.labels import cluster_cards as cc
+    d = table(spark, sf, "documents", "doc_id", "text", "source")
+    c = cc(d, "source", "doc_id", "text")
+    return c.select("source", F.array_join("keywords", ",").alias("keywords"), "name", "size")
+
+
+@register
+def topic_terms_class_tfidf(spark, sf):
+    """Class-based TF-IDF labels, documents grouped by source."""
+    from vellum.operators.labels import class_tfidf
+    d = table(spark, sf, "documents", "text", "source")
+    return class_tfidf(d, "source", "text").select("source", "label")

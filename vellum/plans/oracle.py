@@ -385,3 +385,48 @@ SELECT d.doc_id, d.emb_id, v.vec_id FROM d JOIN v USING (emb_id)"""
 ORACLE["missing_vectors"] = """
 SELECT lang, count(*) AS n_missing FROM documents
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY lang"""
+
+
+# 4. labelling ---------------------------------------------------------------------
+def _stop_sql() -> str:
+    from vellum.operators.labels import english_stop_words
+    return ", ".join(s.q(w) for w in english_stop_words())
+
+
+def _tfidf_ctes(g: str) -> str:
+    return f"""
+D AS (SELECT {g} AS g, doc_id, text FROM documents WHERE NOT {s.blank('text')}),
+T AS (SELECT g, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM D),
+TF AS (SELECT g, doc_id, term, count(*) AS tf FROM T WHERE term NOT IN ({_stop_sql()}) GROUP BY ALL),
+VOC AS (SELECT g, term, sum(tf) AS cf, count(*) AS df FROM TF GROUP BY g, term
+        QUALIFY row_number() OVER (PARTITION BY g ORDER BY sum(tf) DESC, term) <= 5000),
+N AS (SELECT g, count(*) AS n FROM D GROUP BY g),
+W AS (SELECT TF.g, doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w
+      FROM TF JOIN VOC USING (g, term) JOIN N USING (g)),
+NM AS (SELECT g, doc_id, sqrt(sum(w * w)) AS norm FROM W GROUP BY ALL),
+SC AS (SELECT g, term, sum(w / norm) AS score FROM W JOIN NM USING (g, doc_id) GROUP BY ALL),
+TOP AS (SELECT g, term, score,
+          row_number() OVER (PARTITION BY g ORDER BY round(score, 9) DESC, term DESC) AS r
+        FROM SC WHERE NOT regexp_matches(term, '^\\p{{Nd}}+$') AND length(term) > 1 QUALIFY r <= 10)"""
+
+
+ORACLE["tfidf_terms"] = f"""WITH {_tfidf_ctes('lang')}
+SELECT g AS lang, r AS rank, term, round(score, 6) AS score FROM TOP"""
+
+ORACLE["cluster_cards"] = f"""WITH {_tfidf_ctes('source')},
+SZ AS (SELECT source AS g, count(*) AS size FROM documents WHERE text IS NOT NULL AND source <> '-1' GROUP BY 1),
+KW AS (SELECT g, list(term ORDER BY r) AS kw FROM TOP GROUP BY g)
+SELECT SZ.g AS source, array_to_string(coalesce(kw, ['unknown']), ',') AS keywords,
+       array_to_string(list_slice(coalesce(kw, ['unknown']), 1, 3), ' / ') AS name, size
+FROM SZ LEFT JOIN KW USING (g)"""
+
+ORACLE["topic_terms_class_tfidf"] = """
+WITH T AS (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
+TF AS (SELECT source, term, count(*) AS tf FROM T GROUP BY ALL),
+TOT AS (SELECT source, sum(tf) AS tot FROM TF GROUP BY source),
+FT AS (SELECT term, sum(tf) AS ft FROM TF GROUP BY term),
+W AS (SELECT source, term, tf / tot * ln(1 + (SELECT avg(tot) FROM TOT) / ft) AS score
+      FROM TF JOIN TOT USING (source) JOIN FT USING (term)),
+TOP AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, term) AS r
+        FROM W QUALIFY r <= 3)
+SELECT source, source || '_' || string_agg(term, '_' ORDER BY r) AS label FROM TOP GROUP BY source"""
