@@ -492,3 +492,107 @@ def topic_terms_class_tfidf(spark, sf):
     from vellum.operators.labels import class_tfidf
     d = table(spark, sf, "documents", "text", "source")
     return class_tfidf(d, "source", "text").select("source", "label")
+
+
+# 5. hierarchy ---------------------------------------------------------------------------
+def clustered_documents(spark, sf):
+    """Documents with a vector (J9 on the id) and a cluster id: the
+    embedding label refined by source gives ~20 clusters per label."""
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    d = table(spark, sf, "documents", "doc_id", "text", "source")
+    cid = (F.col("label") * 100 + F.regexp_extract("source", r"(\d+)$", 1).cast("int")).alias("cluster_id")
+    return (e.join(d, e.vec_id == d.doc_id, "inner")
+             .select("doc_id", "embedding", cid, tx.full_text(tx.first_line("text"), "text").alias("full_text")))
+
+
+def label_centroid_pairs(spark, sf):
+    from vellum.operators.hierarchy import pair_table
+    from vellum.operators.vectors import centroids as cen
+    c = cen(table(spark, sf, "embeddings", "embedding", "label"), "label", "embedding")
+    return pair_table(c, "label"), c.select(F.col("label").alias("item"))
+
+
+@register
+def merge_average_linkage(spark, sf):
+    """H3 over ~200 document clusters at thresholds 0.6–1.2 (rows check +
+    brute-force test)."""
+    from vellum.operators.hierarchy import average_linkage, label_clusters, pair_table
+    from vellum.operators.vectors import centroids as cen
+    c = cen(clustered_documents(spark, sf), "cluster_id", "embedding")
+    pairs = pair_table(c, "cluster_id")
+    items = c.select(F.col("cluster_id").alias("item"))
+    a = average_linkage(pairs, items, [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2])
+    return label_clusters(a).select("th", F.col("item").alias("cluster_id"), "label")
+
+
+@register
+def threshold_scores(spark, sf):
+    """H4 over the standard sweep 0.10–0.40 on label centroids."""
+    from vellum.operators.hierarchy import sweep
+    pairs, items = label_centroid_pairs(spark, sf)
+    return sweep(pairs, items).withColumn("score", F.round("score", 6))
+
+
+@register
+def threshold_choice(spark, sf):
+    """H5: chosen threshold and the rule that chose it."""
+    from vellum.operators.hierarchy import choose_threshold, sweep
+    pairs, items = label_centroid_pairs(spark, sf)
+    return choose_threshold(sweep(pairs, items))
+
+
+def topic_result(spark, sf):
+    from vellum.plans.topics import topic_hierarchy
+    return topic_hierarchy(clustered_documents(spark, sf), auto_tune=False, manual_threshold=0.9)
+
+
+@register
+def topic_tags(spark, sf):
+    """Hard main topic and soft sub-topics per document."""
+    t = topic_result(spark, sf).tagged
+    return t.select("doc_id", "cluster_id", "main_topic", F.array_join("subtopics", ",").alias("subtopics"))
+
+
+@register
+def merged_topic_table(spark, sf):
+    """H6/H9: merged clusters with member names and ordered-distinct keywords."""
+    m = topic_result(spark, sf).merged
+    return m.select("merged_cluster_id", F.array_join("subclusters", " | ").alias("subclusters"),
+                    F.array_join("keywords", ",").alias("keywords"), "main_topic")
+
+
+@register
+def final_topic_table(spark, sf):
+    """H10 (J3–J5): document → sub-topic → merged id → cleaned main topic."""
+    from vellum.operators.hierarchy import final_topic_table as ftt
+    r = topic_result(spark, sf)
+    docs = r.tagged.join(r.cards.select("cluster_id", "name"), "cluster_id", "left")
+    cards = r.cards.select("cluster_id", F.col("name").alias("subtopic"))
+    merged = r.merged.withColumn("main_topic", F.concat(F.lit("**"), F.col("main_topic"), F.lit("**\nnote")))
+    return ftt(docs, cards, merged).select("doc_id", "cluster_id", "subtopic", "merged_cluster_id",
+                                           "main_topic_name")
+
+
+@register
+def reassign_topics(spark, sf):
+    """topics = labels; merge at 1.0; main = largest member topic."""
+    from vellum.operators.hierarchy import (average_linkage, merge_report, reassign_topics as rt)
+    pairs, items = label_centroid_pairs(spark, sf)
+    a = average_linkage(pairs, items, [1.0]).select(F.col("item").alias("topic"), "cluster")
+    e = table(spark, sf, "embeddings", "vec_id", "label").select("vec_id", F.col("label").alias("topic"))
+    sizes = e.groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
+    rep = merge_report(a, sizes)
+    return rt(e, rep).select("vec_id", "topic", "main_topic")
+
+
+@register
+def keyword_join_report(spark, sf):
+    """Member names of merged topics without a card (here: planted
+    unknown names alongside real ones)."""
+    from vellum.operators.hierarchy import missing_subclusters
+    from vellum.operators.labels import cluster_cards as cc
+    d = table(spark, sf, "documents", "doc_id", "text", "source")
+    cards = cc(d, "source", "doc_id", "text")
+    merged = cards.select(F.lit(0).alias("merged_cluster_id"),
+                          F.array(F.col("name"), F.concat(F.lit("unknown: "), F.col("source"))).alias("subclusters"))
+    return missing_subclusters(merged, cards).select("merged_cluster_id", "name")

@@ -430,3 +430,7 @@ W AS (SELECT source, term, tf / tot * ln(1 + (SELECT avg(tot) FROM TOT) / ft) AS
 TOP AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, term) AS r
         FROM W QUALIFY r <= 3)
 SELECT source, source || '_' || string_agg(term, '_' ORDER BY r) AS label FROM TOP GROUP BY source"""
+
+ORACLE["keyword_join_report"] = """
+SELECT 0 AS merged_cluster_id, 'unknown: ' || source AS name FROM documents
+WHERE text IS NOT NULL AND source <> '-1' GROUP BY source"""

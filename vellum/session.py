@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,7 +63,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, use_table: bool = True) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and return a frame
+    that reads it back: lineage is cut and the data survives executor loss.
+
+    By default a Parquet table under ``spark.checkpoint.dir`` is written (it
+    keeps statistics for the planner and measured faster in long iterative
+    loops); ``use_table=False`` uses ``DataFrame.checkpoint`` instead.  A
+    local checkpoint is never used.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if not use_table:
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
