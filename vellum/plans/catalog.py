@@ -596,3 +596,17 @@ def keyword_join_report(spark, sf):
     merged = cards.select(F.lit(0).alias("merged_cluster_id"),
                           F.array(F.col("name"), F.concat(F.lit("unknown: "), F.col("source"))).alias("subclusters"))
     return missing_subclusters(merged, cards).select("merged_cluster_id", "name")
+
+
+# 6. ingest -------------------------------------------------------------------------------
+@register
+def ingest_rdf(spark, sf):
+    """Documents rendered as RDF records, parsed back into the
+    publications table (validity flag + XPath extraction)."""
+    from vellum.sources.rdf import documents_as_rdf, parse_records
+    d = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    p = parse_records(documents_as_rdf(d))
+    return p.select("file", "title", F.length("abstract").alias("abstract_chars"),
+                    F.array_join("authors", ";").alias("authors"),
+                    F.array_join("affiliations", ";").alias("affiliations"), "doi", "journal", "publisher",
+                    "publication_date", F.array_join("topics", ";").alias("topics"), "created_at", "error")

@@ -434,3 +434,11 @@ SELECT source, source || '_' || string_agg(term, '_' ORDER BY r) AS label FROM T
 ORACLE["keyword_join_report"] = """
 SELECT 0 AS merged_cluster_id, 'unknown: ' || source AS name FROM documents
 WHERE text IS NOT NULL AND source <> '-1' GROUP BY source"""
+
+ORACLE["ingest_rdf"] = f"""
+SELECT 'doc-' || doc_id || '.rdf' AS file, nullif({s.first_line('text')}, '') AS title,
+  length(nullif({s.strip('text')}, '')) AS abstract_chars, 'Author ' || doc_id AS authors,
+  source AS affiliations, CAST(NULL AS VARCHAR) AS doi, 'Journal ' || source AS journal, lang AS publisher,
+  '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS publication_date, source AS topics,
+  '2024-02-01' AS created_at, CAST(NULL AS VARCHAR) AS error
+FROM documents"""
