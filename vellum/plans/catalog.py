@@ -610,3 +610,38 @@ def ingest_rdf(spark, sf):
                     F.array_join("authors", ";").alias("authors"),
                     F.array_join("affiliations", ";").alias("affiliations"), "doi", "journal", "publisher",
                     "publication_date", F.array_join("topics", ";").alias("topics"), "created_at", "error")
+
+
+# 7. language ---------------------------------------------------------------------------
+def language_predictions(spark, sf):
+    from vellum.operators.lang import detect, train_profile
+    d = table(spark, sf, "documents", "doc_id", "text", "lang")
+    prof = train_profile(d, "doc_id", "text", "lang")
+    return detect(d, prof, "doc_id", "text").join(d.select("doc_id", "lang"), "doc_id")
+
+
+@register
+def language_id(spark, sf):
+    """G1: trigram profile learned from the whole labelled table, every
+    document scored (resubstitution)."""
+    return language_predictions(spark, sf).select("doc_id", "lang", "pred_lang")
+
+
+@register
+def language_id_report(spark, sf):
+    """G1 + M2: per-language precision/recall of the detector."""
+    from vellum.operators.evaluate import classification_report as cr
+    return cr(language_predictions(spark, sf), "lang", "pred_lang")
+
+
+def tag_with_language(code, texts):
+    return "[" + code + "] " + texts
+
+
+@register
+def language_routed(spark, sf):
+    """Non-English supported rows through a per-language batch function."""
+    from vellum.operators.lang import language_routed as lr
+    d = documents_as_records(spark, sf).select("doc_id", "title", "abstract", F.col("title_lang").alias("lang"))
+    r = lr(d, "lang", ["title", "abstract"], tag_with_language)
+    return r.select("doc_id", F.md5("title_en").alias("title_en_md5"), F.md5("abstract_en").alias("abstract_en_md5"))

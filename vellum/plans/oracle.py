@@ -442,3 +442,39 @@ SELECT 'doc-' || doc_id || '.rdf' AS file, nullif({s.first_line('text')}, '') AS
   '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS publication_date, source AS topics,
   '2024-02-01' AS created_at, CAST(NULL AS VARCHAR) AS error
 FROM documents"""
+
+
+# 7. language ----------------------------------------------------------------------
+LANG_CTES = r"""
+D AS (SELECT doc_id, lang, text, lower(text) AS t FROM documents),
+G AS (SELECT doc_id, lang, substr(t, i, 3) AS gram
+      FROM (SELECT doc_id, lang, t, unnest(range(1, length(t) - 1)) AS i FROM D WHERE length(t) >= 3)),
+P AS (SELECT lang, gram, count(*) AS c FROM G WHERE lang IS NOT NULL GROUP BY ALL),
+V AS (SELECT count(DISTINCT gram) AS v FROM P),
+TT AS (SELECT lang, sum(c) AS t FROM P GROUP BY lang),
+DG AS (SELECT doc_id, gram, count(*) AS c FROM G GROUP BY ALL),
+N AS (SELECT doc_id, sum(c) AS n FROM DG GROUP BY doc_id),
+HIT AS (SELECT DG.doc_id, P.lang, sum(DG.c * ln(P.c + 1)) AS s FROM DG JOIN P USING (gram) GROUP BY ALL),
+SC AS (SELECT D.doc_id, D.lang AS true_lang, TT.lang,
+         -coalesce(N.n, 0) * ln(TT.t + (SELECT v FROM V)) + coalesce(HIT.s, 0) AS score,
+         regexp_matches(D.text, '\p{L}') AS letters
+       FROM D CROSS JOIN TT LEFT JOIN N ON N.doc_id = D.doc_id
+       LEFT JOIN HIT ON HIT.doc_id = D.doc_id AND HIT.lang = TT.lang),
+PRED AS (SELECT doc_id, any_value(true_lang) AS lang,
+           CASE WHEN bool_or(letters) THEN arg_min(lang, (-score, lang)) END AS pred_lang
+         FROM SC GROUP BY doc_id)"""
+
+ORACLE["language_id"] = f"WITH {LANG_CTES}\nSELECT doc_id, lang, pred_lang FROM PRED"
+
+ORACLE["language_id_report"] = f"""WITH {LANG_CTES},
+{_report_sql('PRED', 'lang', 'pred_lang')}
+SELECT * FROM REP"""
+
+_ROUTE = """CASE WHEN m.v IS NOT NULL AND m.v <> 'en' THEN '[' || m.v || '] ' || {c} ELSE {c} END"""
+ORACLE["language_routed"] = f"""
+WITH m(k, v) AS (VALUES ('ja','ja'),('zh','zh'),('zh-cn','zh'),('zh-tw','zh'),('zh-hk','zh'),
+  ('ko','ko'),('fr','fr'),('de','de'),('es','es'),('ru','ru'),('it','it'),('pt','pt'),
+  ('nl','nl'),('ar','ar'),('hi','hi'),('en','en'))
+SELECT doc_id, md5({_ROUTE.format(c=s.first_line('text'))}) AS title_en_md5,
+       md5({_ROUTE.format(c='text')}) AS abstract_en_md5
+FROM documents LEFT JOIN m ON lower(documents.lang) = m.k"""
