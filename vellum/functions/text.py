@@ -27,6 +27,9 @@ WS = (r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 DIGIT = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
+# The same set as plain characters (for btrim, which strips a character set).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
 # Language codes understood by the translation step, lower-case keys.
 LANG_CODE_MAP = {
     "ja": "ja", "zh": "zh", "zh-cn": "zh", "zh-tw": "zh", "zh-hk": "zh",
@@ -43,8 +46,11 @@ def col(c: str | Column) -> Column:
 
 # T0 -------------------------------------------------------------------------
 def ustrip(c: str | Column) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends.
+
+    ``btrim`` with the explicit character set only inspects the two ends; a
+    regex would be tried at every position of long texts."""
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def is_blank(c: str | Column) -> Column:
@@ -59,9 +65,22 @@ def _html_unescape(s: pd.Series) -> pd.Series:
 
 
 def html_unescape(c: str | Column) -> Column:
-    """HTML5 entity decoding (``html.unescape``); Python runs only on rows with ``&``."""
+    """HTML5 entity decoding (``html.unescape``).
+
+    Spark evaluates a Python UDF for every row of the batch, whatever
+    condition surrounds it, so rows without ``&`` are sent as NULL (almost
+    free over Arrow) and keep their original text."""
     c = col(c)
-    return F.when(F.instr(c, "&") > 0, _html_unescape(c)).otherwise(c)
+    amp = F.instr(c, "&") > 0
+    return F.when(amp, _html_unescape(F.when(amp, c))).otherwise(c)
+
+
+def collapse_ws(c: str | Column) -> Column:
+    """Every run of Unicode whitespace → one space: a character map turns
+    the other whitespace characters into spaces, then one regex squeezes
+    runs of spaces (measured ~2× faster than one Unicode-class regex)."""
+    other = WS_CHARS.replace(" ", "")
+    return F.regexp_replace(F.translate(col(c), other, " " * len(other)), "  +", " ")
 
 
 # T1 -------------------------------------------------------------------------
@@ -72,8 +91,8 @@ def clean_abstract(c: str | Column) -> Column:
     survive) and is kept, including the ``\\begin``/``\\end`` rule that the
     preceding ``\\cmd{...}`` rule leaves with nothing to do.
     """
-    t = F.coalesce(col(c), F.lit(""))
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
+    base = F.coalesce(col(c), F.lit(""))
+    t = F.regexp_replace(base, r"<[^>]+>", " ")
     t = html_unescape(t)
     t = F.regexp_replace(t, r'\\"([a-zA-Z])', "$1")
     t = F.regexp_replace(t, r"\\'", "")
@@ -81,10 +100,16 @@ def clean_abstract(c: str | Column) -> Column:
     t = F.regexp_replace(t, r"(?d)\\[a-zA-Z]+\{(.*?)\}", "$1")
     t = F.regexp_replace(t, r"(?d)\\(begin|end)\{.*?\}", " ")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+", "")
+    # Texts without any of < \ $ & cannot be changed by the rules above
+    # (entity decoding is the only way to create the others), so the regex
+    # passes are skipped for them — a cheap byte search decides.
+    triggers = F.lit(False)
+    for ch in ("<", "\\", "$", "&"):
+        triggers = triggers | (F.instr(base, ch) > 0)
+    t = F.when(triggers, t).otherwise(base)
     t = F.replace(t, F.lit("``"), F.lit('"'))
     t = F.replace(t, F.lit("''"), F.lit('"'))
-    t = F.regexp_replace(t, f"{WS}+", " ")
-    return ustrip(t)
+    return ustrip(collapse_ws(t))
 
 
 # T3 -------------------------------------------------------------------------
@@ -99,7 +124,7 @@ def norm_class(c: str | Column) -> Column:
     """Non-string → '', strip, upper, ``&`` → ``AND``, collapse whitespace."""
     t = F.upper(ustrip(F.coalesce(col(c), F.lit(""))))
     t = F.replace(t, F.lit("&"), F.lit("AND"))
-    return ustrip(F.regexp_replace(t, f"{WS}+", " "))
+    return ustrip(collapse_ws(t))
 
 
 # T5 / I1 --------------------------------------------------------------------

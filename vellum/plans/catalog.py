@@ -645,3 +645,32 @@ def language_routed(spark, sf):
     d = documents_as_records(spark, sf).select("doc_id", "title", "abstract", F.col("title_lang").alias("lang"))
     r = lr(d, "lang", ["title", "abstract"], tag_with_language)
     return r.select("doc_id", F.md5("title_en").alias("title_en_md5"), F.md5("abstract_en").alias("abstract_en_md5"))
+
+
+# 8. embedding and small sinks ---------------------------------------------------------
+@register
+def text_embeddings(spark, sf):
+    """One hashed-trigram vector per distinct full-text id."""
+    from vellum.operators.embed import embed
+    d = documents_as_records(spark, sf).select(
+        tx.text_id(tx.full_text("title", "abstract")).alias("emb_id"),
+        tx.full_text("title", "abstract").alias("full_text"))
+    v = embed(d, "emb_id", "full_text")
+    from vellum.operators.vectors import norm2
+    return v.select("emb_id", F.size("embedding").alias("dim"), F.round(norm2("embedding"), 6).alias("norm"),
+                    "_dim_ok")
+
+
+@register
+def dataset_fingerprint(spark, sf):
+    """Order-free fingerprint of the text ids."""
+    from vellum.operators.embed import fingerprint
+    d = documents_as_records(spark, sf).select(tx.text_id(tx.full_text("title", "abstract")).alias("emb_id"))
+    return fingerprint(d, "emb_id")
+
+
+@register
+def run_summary(spark, sf):
+    """Clusters and outliers of the clustered documents."""
+    from vellum.sources.files import run_summary as rs
+    return rs(clustered_documents(spark, sf), config="label x source")

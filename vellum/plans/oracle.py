@@ -478,3 +478,9 @@ WITH m(k, v) AS (VALUES ('ja','ja'),('zh','zh'),('zh-cn','zh'),('zh-tw','zh'),('
 SELECT doc_id, md5({_ROUTE.format(c=s.first_line('text'))}) AS title_en_md5,
        md5({_ROUTE.format(c='text')}) AS abstract_en_md5
 FROM documents LEFT JOIN m ON lower(documents.lang) = m.k"""
+
+ORACLE["run_summary"] = """
+SELECT count(DISTINCT CASE WHEN cid <> -1 THEN cid END) AS n_clusters,
+       count(*) FILTER (WHERE cid = -1) AS n_outliers, count(*) AS n_rows, 'label x source' AS config
+FROM (SELECT e.label * 100 + CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER) AS cid
+      FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
