@@ -674,3 +674,30 @@ def run_summary(spark, sf):
     """Clusters and outliers of the clustered documents."""
     from vellum.sources.files import run_summary as rs
     return rs(clustered_documents(spark, sf), config="label x source")
+
+
+# 9. reduction and density ---------------------------------------------------------------
+@register
+def pca_reduce(spark, sf):
+    """V2: 10-D PCA of the normalised embeddings (rows check)."""
+    from vellum.operators.density import pca_reduce as pr
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return pr(e, "embedding", 10).select("vec_id", F.size("reduced").alias("dim"))
+
+
+DENSITY_GRID = [(eps, size, ms) for eps in (0.9, 1.0, 1.1) for size in (5, 10) for ms in (3, 5)]
+
+
+@register
+def density_clusters(spark, sf):
+    """V3: density clusters over the embeddings for every grid configuration."""
+    from vellum.operators.density import density_clusters as dc
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return dc(e, "vec_id", "embedding", DENSITY_GRID)
+
+
+@register
+def density_grid(spark, sf):
+    """V4: score per configuration (first strict best = best_config)."""
+    from vellum.operators.density import grid_scores
+    return grid_scores(density_clusters(spark, sf)).withColumn("score", F.round("score", 6))
