@@ -136,3 +136,17 @@ def test_entry_contract(spark):
     assert set(o) <= set(q)
     for name in ("clean_funnel", "knn_main", "tfidf_terms"):
         assert name in o
+
+
+def test_embed_stream_resumes(spark, tmpdir_path):
+    from vellum.streaming.jobs import embed_stream
+    src = os.path.join(tmpdir_path, "src")
+    out = os.path.join(tmpdir_path, "out")
+    ck = os.path.join(tmpdir_path, "ck")
+    schema = "emb_id string, full_text string"
+    spark.createDataFrame([("a", "one"), ("b", "two")], schema).write.parquet(os.path.join(src, "p1"))
+    embed_stream(spark, src + "/*", schema, out, ck)
+    assert spark.read.parquet(out).count() == 2
+    spark.createDataFrame([("b", "two"), ("c", "three")], schema).write.parquet(os.path.join(src, "p2"))
+    embed_stream(spark, src + "/*", schema, out, ck)
+    assert spark.read.parquet(out).count() == 3
