@@ -127,7 +127,7 @@ def density_clusters(points: DataFrame, id_col: str, vec: str,
                      F.lit("").alias("g"))
     t = cores.select(F.col(id_col).alias("tid"), F.col("vec").alias("vec"), F.col("cores").alias("cores"),
                      F.lit("").alias("g"))
-    qx, tx = block_grid(q, t)
+    qx, tx = block_grid(q, t, grouped=False)
     schema = T.StructType([T.StructField("cfg", T.IntegerType()),
                            T.StructField("node", cores.schema[id_col].dataType),
                            T.StructField("root", cores.schema[id_col].dataType)])

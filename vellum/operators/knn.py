@@ -79,27 +79,36 @@ def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
 
 
 def block_grid(q: DataFrame, t: DataFrame, *, train_block_bytes: int = TRAIN_BLOCK_BYTES,
-               query_block_rows: int = QUERY_BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+               query_block_rows: int = QUERY_BLOCK_ROWS,
+               grouped: bool = True) -> tuple[DataFrame, DataFrame]:
     """Assign rows of ``q`` (qid, vec, g) and ``t`` (tid, vec, …, g) to grid
     cells (g, qb, tb): per group, query blocks bound rows per task and
     training blocks bound bytes per task; each (query, train) pair of a
     group meets in exactly one cell."""
-    qs = q.groupBy("g").agg(F.count(F.lit(1)).alias("nq"))
-    ts = t.groupBy("g").agg(F.count(F.lit(1)).alias("nt"), F.max(F.size("vec")).alias("dim"))
-    stats = (qs.join(ts, "g", "inner")
-               .select("g", F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block_rows)).cast("int").alias("nqb"),
-                       F.greatest(F.lit(1), F.ceil(F.col("nt") * F.col("dim") * 8 / train_block_bytes))
-                       .cast("int").alias("ntb")))
-    n_groups = stats.count()
-    stats = F.broadcast(stats) if n_groups <= MAX_GROUP_STATS_BROADCAST else stats
-    qx = (q.join(stats, "g", "inner")
-           .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
-           .withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("ntb") - 1)))
-           .drop("nqb", "ntb"))
-    tx = (t.join(stats, "g", "inner")
-           .withColumn("tb", F.pmod(F.xxhash64("tid"), F.col("ntb")).cast("int"))
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
-           .drop("nqb", "ntb"))
+    nqb = F.greatest(F.lit(1), F.ceil(F.col("nq") / query_block_rows)).cast("int")
+    ntb = F.greatest(F.lit(1), F.ceil(F.col("nt") * F.col("dim") * 8 / train_block_bytes)).cast("int")
+    if not grouped:
+        # one group: the block counts are two scalars (scalar subqueries), no join
+        nq = q.select(F.count(F.lit(1)).alias("nq"))
+        nt = t.select(F.count(F.lit(1)).alias("nt"), F.max(F.size("vec")).alias("dim"))
+        qb_n = nq.select(nqb).scalar()
+        tb_n = nt.select(ntb).scalar()
+        qx = q.withColumn("nqb", qb_n).withColumn("ntb", tb_n)
+        tx = t.withColumn("nqb", qb_n).withColumn("ntb", tb_n)
+    else:
+        qs = q.groupBy("g").agg(F.count(F.lit(1)).alias("nq"))
+        ts = t.groupBy("g").agg(F.count(F.lit(1)).alias("nt"), F.max(F.size("vec")).alias("dim"))
+        stats = qs.join(ts, "g", "inner").select("g", nqb.alias("nqb"), ntb.alias("ntb"))
+        n_groups = stats.count()
+        stats = F.broadcast(stats) if n_groups <= MAX_GROUP_STATS_BROADCAST else stats
+        qx = q.join(stats, "g", "inner")
+        tx = t.join(stats, "g", "inner")
+    qx = (qx.withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
+            .withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("ntb") - 1)))
+            .drop("nqb", "ntb"))
+    tx = (tx.withColumn("tb", F.pmod(F.xxhash64("tid"), F.col("ntb")).cast("int"))
+            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
+            .drop("nqb", "ntb"))
     return qx, tx
 
 
@@ -124,7 +133,8 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, qid: str, tid: str
     t = train.select(F.col(tid).alias("tid"), F.col(tvec).alias("vec"), F.col(label).alias("label"),
                      tg.alias("g"))
 
-    qx, tx = block_grid(q, t, train_block_bytes=train_block_bytes, query_block_rows=query_block_rows)
+    qx, tx = block_grid(q, t, train_block_bytes=train_block_bytes, query_block_rows=query_block_rows,
+                        grouped=bool(qgroup or tgroup))
     qx = qx.select("g", "qb", "tb", "qid", "vec")
     tx = tx.select("g", "qb", "tb", "tid", "vec", "label")
 

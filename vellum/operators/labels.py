@@ -52,7 +52,10 @@ def tfidf_term_scores(df: DataFrame, group: str, doc: str, text: str,
     """(group, term, score): summed L2-normalised TF-IDF per cluster."""
     sw = english_stop_words() if stop_words is None else stop_words
     docs = df.filter(~is_blank(text)).select(group, doc, text)
-    tf = (docs.select(group, doc, F.explode(tokens(text, sw)).alias("term"))
+    # explode first, then drop stop words with a hashed set test (InSet), not
+    # a per-token scan of the stop list inside a lambda
+    tf = (docs.select(group, doc, F.explode(tokens(text)).alias("term"))
+              .filter(~F.col("term").isin(list(sw)))
               .groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf")))
     vocab = (tf.groupBy(group, "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
                .withColumn("_r", F.row_number().over(

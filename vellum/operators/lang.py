@@ -51,12 +51,20 @@ def train_profile(labelled: DataFrame, doc: str, text: str, lang: str) -> DataFr
     return g.groupBy(F.col(lang).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def detect(df: DataFrame, profile: DataFrame, doc: str, text: str, out: str = "pred_lang") -> DataFrame:
+def profile_from_grams(grams: DataFrame, labels: DataFrame, doc: str, lang: str) -> DataFrame:
+    """(lang, gram, c) from per-document gram counts — reuses one explode
+    when the same table is both the training set and the one scored."""
+    return (grams.join(labels.filter(F.col(lang).isNotNull()).select(doc, F.col(lang).alias("lang")), doc)
+                 .groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+
+
+def detect(df: DataFrame, profile: DataFrame, doc: str, text: str, out: str = "pred_lang",
+           grams: DataFrame | None = None) -> DataFrame:
     """(doc, out) for every row of ``df``."""
     v = profile.select(F.count_distinct("gram")).scalar()
     totals = profile.groupBy("lang").agg(F.sum("c").alias("t"))
     langs = totals.select(F.array_sort(F.collect_list(F.struct("lang", "t")))).scalar()
-    dg = doc_grams(df, doc, text)
+    dg = grams if grams is not None else doc_grams(df, doc, text)
     hit = (dg.join(profile.select("lang", "gram", F.log(F.col("c") + 1).alias("lp")), "gram")
              .groupBy(doc, "lang").agg(F.sum(F.col("c") * F.col("lp")).alias("s")))
     n = dg.groupBy(doc).agg(F.sum("c").alias("n"))

@@ -614,10 +614,12 @@ def ingest_rdf(spark, sf):
 
 # 7. language ---------------------------------------------------------------------------
 def language_predictions(spark, sf):
-    from vellum.operators.lang import detect, train_profile
+    from vellum.operators.lang import detect, doc_grams, profile_from_grams
+    from vellum.session import cut_lineage
     d = table(spark, sf, "documents", "doc_id", "text", "lang")
-    prof = train_profile(d, "doc_id", "text", "lang")
-    return detect(d, prof, "doc_id", "text").join(d.select("doc_id", "lang"), "doc_id")
+    grams = cut_lineage(doc_grams(d, "doc_id", "text"))  # used by training and scoring
+    prof = profile_from_grams(grams, d, "doc_id", "lang")
+    return detect(d, prof, "doc_id", "text", grams=grams).join(d.select("doc_id", "lang"), "doc_id")
 
 
 @register
