@@ -69,6 +69,8 @@ def as_text(content: str | Column) -> Column:
 
 
 # X1–X9 ------------------------------------------------------------------------------
+SEP = "\u0001"   # cannot occur in XML 1.0 text, so it safely separates fields
+
 def _xs(x: Column, path: str) -> Column:
     return F.xpath_string(x, F.lit(path))
 
@@ -86,60 +88,87 @@ def _non_empty_list(a: Column) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
-def extract_fields(x: Column) -> dict[str, Column]:
-    """Column expressions for the 16 content fields of one XML document."""
+def xpath_fetches(x: Column) -> dict[str, Column]:
+    """The XPath calls, each to be evaluated once per document.
+
+    Single-valued fields are fetched a family at a time with
+    ``xpath_string(concat(...))`` (each xpath call parses the document anew,
+    and one call for all would exceed the JDK's operator limit); the four
+    list fields need one call each: 9 parses per document."""
     title_any = "//*[name()='dc:title']"
     title_ne = f"{title_any}[not(@*[local-name()='lang']='en')]"
-    title = F.when(F.xpath_int(x, F.lit(f"count({title_ne})")) > 0,
-                   _nullif_empty(_xs(x, f"({title_ne})[1]"))
-                   ).otherwise(_nullif_empty(_xs(x, f"({title_any})[1]")))
-
     typed = (f"//{_ln('description')}[{_ln('type')}[translate(normalize-space(.),'{UPPER}','{LOWER}')"
              f"='abstract']][{_ln('notation')}[string-length(.)>0]]")
-    abs_typed = _xs(x, f"({typed})[1]/{_ln('notation')}[string-length(.)>0][last()]")
-    abs_any = _xs(x, f"(//{_ln('notation')}[string-length(.)>0])[1]")
-    abstract = ustrip(html_unescape(F.coalesce(_nullif_empty(abs_typed), _nullif_empty(abs_any))))
-
-    def last_text(name: str) -> Column:
-        return ustrip(F.try_element_at(_xa(x, f"//{_ln(name)}[string-length(.)>0]/text()"), F.lit(-1)))
-
-    researcher = f"//{_ln('creator')}/{_ln('Researcher')}"
-    authors = _non_empty_list(_xa(x, f"{researcher}/{_ln('name')}[string-length(.)>0][last()]/text()"))
-    affs = _non_empty_list(_xa(x, f"{researcher}/{_ln('affiliationName')}[string-length(.)>0][last()]/text()"))
-
-    doi_path = (f"(//{_ln('productIdentifier')}/{_ln('identifier')}"
-                f"[contains(@*[local-name()='datatype'],'DOI')])[1]")
-    doi = _nullif_empty(ustrip(_xs(x, doi_path)))
-
     pub = f"(//{_ln('publication')})[1]"
-
-    def pub_field(name: str) -> Column:
-        return _nullif_empty(ustrip(_xs(x, f"({pub}/{_ln(name)}[string-length(.)>0])[1]")))
-
-    topics = _non_empty_list(_xa(x, f"//{_ln('topic')}/@*[local-name()='title']"))
-    related = _non_empty_list(_xa(x, f"//{_ln('relatedTitle')}[string-length(.)>0]/text()"))
-    return {
-        "title": title, "abstract": abstract, "authors": authors, "affiliations": affs, "doi": doi,
-        "journal": pub_field("publicationName"), "publisher": pub_field("publisher"),
-        "publication_date": pub_field("publicationDate"), "volume": pub_field("volume"),
-        "issue": pub_field("number"), "start_page": pub_field("startingPage"),
-        "end_page": pub_field("endingPage"), "topics": topics, "related_titles": related,
-        "created_at": _nullif_empty(last_text("createdAt")),
-        "modified_at": _nullif_empty(last_text("modifiedAt")),
+    pub_names = ("publicationName", "publisher", "publicationDate", "volume", "number",
+                 "startingPage", "endingPage")
+    parts = [
+        f"count({title_ne})", f"({title_ne})[1]", f"({title_any})[1]",
+        f"({typed})[1]/{_ln('notation')}[string-length(.)>0][last()]",
+        f"(//{_ln('notation')}[string-length(.)>0])[1]",
+        (f"(//{_ln('productIdentifier')}/{_ln('identifier')}"
+         f"[contains(@*[local-name()='datatype'],'DOI')])[1]"),
+        f"(//{_ln('createdAt')}[string-length(.)>0])[last()]",
+        f"(//{_ln('modifiedAt')}[string-length(.)>0])[last()]",
+    ] + [f"({pub}/{_ln(n)}[string-length(.)>0])[1]" for n in pub_names]
+    out = {}
+    for k, (a, b) in enumerate(CHUNKS):
+        out[f"_s{k}"] = F.split(_xs(x, "concat(" + f", '{SEP}', ".join(parts[a:b]) + ")"), SEP)
+    researcher = f"//{_ln('creator')}/{_ln('Researcher')}"
+    out["_authors"] = _xa(x, f"{researcher}/{_ln('name')}[string-length(.)>0][last()]/text()")
+    out["_affs"] = _xa(x, f"{researcher}/{_ln('affiliationName')}[string-length(.)>0][last()]/text()")
+    out["_topics"] = _xa(x, f"//{_ln('topic')}/@*[local-name()='title']")
+    out["_related"] = _xa(x, f"//{_ln('relatedTitle')}[string-length(.)>0]/text()")
+    return out
+
+
+# parts per xpath call, grouped by field family (title, abstract, doi+dates, publication)
+CHUNKS = ((0, 3), (3, 5), (5, 8), (8, 11), (11, 15))
+
+
+def fields_from_fetches() -> dict[str, Column]:
+    """The 16 content fields from the columns produced by ``xpath_fetches``."""
+    def at(i: int) -> Column:
+        for k, (a, b) in enumerate(CHUNKS):
+            if a <= i < b:
+                return F.col(f"_s{k}").getItem(i - a)
+        raise IndexError(i)
+
+    fields = {
+        "title": F.when(at(0).cast("int") > 0, _nullif_empty(at(1))).otherwise(_nullif_empty(at(2))),
+        "abstract": ustrip(html_unescape(F.coalesce(_nullif_empty(at(3)), _nullif_empty(at(4))))),
+        "authors": _non_empty_list(F.col("_authors")),
+        "affiliations": _non_empty_list(F.col("_affs")),
+        "doi": _nullif_empty(ustrip(at(5))),
+        "created_at": _nullif_empty(ustrip(at(6))), "modified_at": _nullif_empty(ustrip(at(7))),
+        "topics": _non_empty_list(F.col("_topics")),
+        "related_titles": _non_empty_list(F.col("_related")),
     }
+    names = ("journal", "publisher", "publication_date", "volume", "issue", "start_page", "end_page")
+    for i, name in enumerate(names):
+        fields[name] = _nullif_empty(ustrip(at(8 + i)))
+    return fields
 
 
 def parse_records(df: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
-    """(file, content bytes) → publications table (18 columns, fixed order)."""
+    """(file, content bytes) → publications table (18 columns, fixed order).
+
+    Three steps: validity flag; each XPath once into a column; fields from
+    those columns."""
     checked = df.select(F.col(file).alias("file"), F.col(content).alias("_bytes")).withColumn(
         "error", xml_error("_bytes"))
     ok = F.col("error").isNull()
     # XPath only ever sees well-formed input: broken records are swapped for
-    # a stub document, so evaluation order inside the projection cannot
-    # make a malformed file fail the job.
-    x = F.when(ok, as_text("_bytes")).otherwise(F.lit("<none/>"))
-    fields = {k: F.when(ok, v) for k, v in extract_fields(x).items()}
-    return conform(checked.select("file", "error", *[v.alias(k) for k, v in fields.items()]),
+    # a stub document, so no evaluation order can make a malformed file
+    # fail the job.
+    safe = checked.select("file", "error",
+                          F.when(ok, as_text("_bytes")).otherwise(F.lit("<none/>")).alias("_x"))
+    # a one-row generator is an optimisation barrier: without it the
+    # projections are collapsed and each XPath is re-run per reference
+    fetched = safe.select("file", "error", F.inline(F.array(F.struct(
+        *[c.alias(n) for n, c in xpath_fetches(F.col("_x")).items()]))))
+    fields = {k: F.when(ok, v) for k, v in fields_from_fetches().items()}
+    return conform(fetched.select("file", "error", *[v.alias(k) for k, v in fields.items()]),
                    PUBLICATION_SCHEMA)
 
 
