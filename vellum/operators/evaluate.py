@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.vectors import checked_broadcast
+from vellum.session import cut_lineage
 
 
 # M1 / J10 / U1 -------------------------------------------------------------------
@@ -50,10 +51,15 @@ def truth_coverage(with_truth: DataFrame, journal: str = "journal",
 
 # M2 ------------------------------------------------------------------------------
 def pair_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """(truth, pred, n) after dropping NULL predictions."""
-    return (df.filter(F.col(pred).isNotNull() & F.col(truth).isNotNull())
-              .groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    """(truth, pred, n) after dropping NULL predictions.
+
+    The result has at most classes² rows and feeds several aggregates, so it
+    is materialised once (a small table in the checkpoint folder) instead of
+    re-running the upstream prediction plan for every use."""
+    pc = (df.filter(F.col(pred).isNotNull() & F.col(truth).isNotNull())
+            .groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    return cut_lineage(pc)
 
 
 def _safe_div(a, b):
