@@ -703,3 +703,44 @@ def density_grid(spark, sf):
     """V4: score per configuration (first strict best = best_config)."""
     from vellum.operators.density import grid_scores
     return grid_scores(density_clusters(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+# 10. remaining profile and report queries ----------------------------------------------
+@register
+def column_profile(spark, sf):
+    """Shape of every driver table (columns from the schema, rows counted)."""
+    from vellum.sources.tables import TABLES
+    out = None
+    for t in TABLES:
+        df = table(spark, sf, t)
+        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(t).alias("table"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_rows")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register
+def head_tail(spark, sf):
+    """O1/O2: the ten largest and ten smallest orders by total price."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_totalprice")
+    head = o.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10).withColumn("end", F.lit("head"))
+    tail = o.orderBy(F.col("o_totalprice").asc(), "o_orderkey").limit(10).withColumn("end", F.lit("tail"))
+    return head.unionByName(tail)
+
+
+@register
+def vector_health(spark, sf):
+    """Vectors flagged missing / wrong_dim / nan / zero (64-d expected)."""
+    from vellum.operators.vectors import vector_health as vh
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return (vh(e, "embedding", 64).groupBy("vector_problem")
+              .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register
+def confidence_profile(spark, sf):
+    """Q3 (A7/A8): kNN confidence described and binned into 40 bins."""
+    from vellum.operators.profile import histogram
+    p = knn_main(spark, sf)
+    return histogram(p.select(F.col("confidence").cast("double").alias("confidence")), "confidence", 40) \
+        .select("bin", "count", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"))

@@ -484,3 +484,35 @@ SELECT count(DISTINCT CASE WHEN cid <> -1 THEN cid END) AS n_clusters,
        count(*) FILTER (WHERE cid = -1) AS n_outliers, count(*) AS n_rows, 'label x source' AS config
 FROM (SELECT e.label * 100 + CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER) AS cid
       FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
+
+
+# 10. remaining profile and report queries ----------------------------------------
+def _column_profile_sql() -> str:
+    from vellum.sources.tables import TABLES
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{t}' AS "table", (SELECT count(*) FROM information_schema.columns
+            WHERE table_name = '{t}') AS n_columns, (SELECT count(*) FROM {t}) AS n_rows""" for t in TABLES)
+
+
+ORACLE["column_profile"] = _column_profile_sql()
+
+ORACLE["head_tail"] = """
+(SELECT o_orderkey, o_totalprice, 'head' AS "end" FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)
+UNION ALL
+(SELECT o_orderkey, o_totalprice, 'tail' FROM orders ORDER BY o_totalprice ASC, o_orderkey LIMIT 10)"""
+
+ORACLE["vector_health"] = """
+SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'wrong_dim'
+            WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'nan'
+            WHEN sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) = 0 THEN 'zero' END
+       AS vector_problem, count(*) AS n
+FROM embeddings GROUP BY 1"""
+
+ORACLE["confidence_profile"] = f"""WITH {_classes_ctes()},
+{_knn_ctes('K', 3, 'label')},
+C AS (SELECT CAST(conf AS DOUBLE) AS v FROM KP),
+B AS (SELECT min(v) AS lo, max(v) AS hi FROM C),
+H AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(39, floor((v - lo) / (hi - lo) * 40)::INT) END AS bin,
+             count(*) AS count FROM C, B GROUP BY 1)
+SELECT bin, count, round(lo + bin * ((hi - lo) / 40), 6) AS bin_lo, round(lo + (bin + 1) * ((hi - lo) / 40), 6) AS bin_hi
+FROM H, B"""
