@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.knn import block_grid, knn_join
-from vellum.session import cut_lineage
+from vellum.session import cut_lineage, drop_lineage_table
 
 
 def core_distances(points: DataFrame, id_col: str, vec: str, min_samples: Sequence[int]) -> DataFrame:
@@ -109,9 +109,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFram
         new = cut_lineage(jump)
         changed = (new.join(lab.select("cfg", "node", F.col("comp").alias("old")), ["cfg", "node"])
                       .filter(F.col("comp") != F.col("old")).limit(1).count())
+        drop_lineage_table(lab)
         lab = new
         if changed == 0:
             break
+    drop_lineage_table(e)
     return lab
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import clean_topic_name
 from vellum.operators.vectors import MAX_BROADCAST_ROWS, centroid_distances, checked_broadcast
-from vellum.session import cut_lineage
+from vellum.session import cut_lineage, drop_lineage_table
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -70,7 +70,10 @@ def average_linkage(pairs: DataFrame, items: DataFrame, thresholds: Sequence[flo
             nn.join(back, ["th", "y"]).filter((F.col("x2") == F.col("x")) & (F.col("x") < F.col("y")) & below)
               .select("th", F.col("y").alias("old"), F.col("x").alias("new")))
         if merges.isEmpty():
+            drop_lineage_table(merges)
+            drop_lineage_table(link)
             break
+        old_link, old_assign = link, assign
         mx = merges.select("th", F.col("old").alias("x"), F.col("new").alias("nx"))
         my = merges.select("th", F.col("old").alias("y"), F.col("new").alias("ny"))
         link = cut_lineage(
@@ -81,6 +84,8 @@ def average_linkage(pairs: DataFrame, items: DataFrame, thresholds: Sequence[flo
         assign = cut_lineage(
             assign.join(merges.select("th", F.col("old").alias("cluster"), "new"), ["th", "cluster"], "left")
                   .select("th", "item", F.coalesce("new", "cluster").alias("cluster")))
+        for done in (old_link, old_assign, merges):
+            drop_lineage_table(done)
     return assign
 
 

@@ -78,4 +78,19 @@ def cut_lineage(df: DataFrame, use_table: bool = True) -> DataFrame:
         return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._vellum_table = path  # lets iterative loops drop superseded rounds
+    return out
+
+
+def drop_lineage_table(df: DataFrame | None) -> None:
+    """Delete the table behind a frame returned by ``cut_lineage`` once no
+    frame still reads it (iterative loops call this for superseded rounds,
+    so a long loop does not pile tables up in the shared folder)."""
+    path = getattr(df, "_vellum_table", None) if df is not None else None
+    if not path:
+        return
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
