@@ -139,3 +139,21 @@ def test_sampling(spark, tmpdir_path):
     assert rdf.sample_files(files, 100).count() == files.count()
     folders = rdf.sample_folders(files, 1).select(F.regexp_extract("file", r"^(.*)/[^/]*$", 1)).distinct()
     assert folders.count() == 1
+
+
+def test_clean_job_partitions(spark, tmpdir_path, sf):
+    from vellum.operators.lang import train_profile
+    from vellum.plans.jobs import clean_job
+    from vellum.sources.tables import table
+    src = os.path.join(tmpdir_path, "src")
+    long_en = "This abstract describes a long experiment, with results. " * 3
+    for i in range(4):
+        _write(src, f"d{i}.rdf", HEAD + f"""<Article><dc:title>Title {i} of a paper</dc:title>
+<description><type>abstract</type><notation>{long_en}</notation></description></Article>""" + TAIL)
+    _write(src, "lhd.rdf", HEAD + f"""<Article><dc:title>LHD #12 log</dc:title>
+<description><type>abstract</type><notation>{long_en}</notation></description></Article>""" + TAIL)
+    _write(src, "short.rdf", HEAD + "<Article><dc:title>T</dc:title><notation>short</notation></Article>" + TAIL)
+    prof = train_profile(table(spark, sf, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+    res = clean_job(spark, src, prof, os.path.join(tmpdir_path, "en"), os.path.join(tmpdir_path, "other"))
+    assert res["kept"] == 5
+    assert res["english_scientific"] + res["english_not_scientific"] + res["other"] == res["kept"]
