@@ -150,3 +150,24 @@ def test_embed_stream_resumes(spark, tmpdir_path):
     spark.createDataFrame([("b", "two"), ("c", "three")], schema).write.parquet(os.path.join(src, "p2"))
     embed_stream(spark, src + "/*", schema, out, ck)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_classify_job_runs(spark):
+    from vellum.plans import classes
+    from vellum.plans.catalog import embeddings_with_classes
+    from vellum.plans.jobs import classify_job
+    from vellum.sources.tables import table
+    sf = "/root/testdata/sf0.001"
+    e = embeddings_with_classes(spark, sf)
+    meta = table(spark, sf, "documents", "doc_id", "source", "lang").select(
+        F.col("doc_id").alias("vec_id"), F.col("source").alias("journal"), F.col("lang").alias("publisher"))
+    out = classify_job(e, e, meta, classes.routes(spark), classes.id_to_name(spark),
+                       classes.journal_truth(spark), classes.publisher_truth(spark), id_col="vec_id",
+                       vec="embedding", main_label="main_class", sub_label="label", exclude_self=True)
+    n = out["predictions"].count()
+    assert n > 0
+    cov = out["coverage"].first()
+    assert cov.n_rows == n and cov.n_combined <= n
+    rep = {r["class"] for r in out["report_main"].collect()}
+    assert {"accuracy", "macro avg", "weighted avg"} <= rep
+    assert out["journal_accuracy"].count() > 0

@@ -35,3 +35,30 @@ def clean_job(spark: SparkSession, root: str, profile: DataFrame, out_english: s
     other.write.mode("overwrite").parquet(out_other)
     return {"kept": staged.count(), "english_scientific": sci.count(), "other": other.count(),
             "english_not_scientific": english.filter(F.col("type") != "scientific_paper").count()}
+
+
+def classify_job(vectors: DataFrame, train: DataFrame, metadata: DataFrame, routes: DataFrame,
+                 id_map: DataFrame, journal_truth: DataFrame, publisher_truth: DataFrame, *,
+                 id_col: str, vec: str, main_label: str, sub_label: str, k: int = 3,
+                 exclude_self: bool = False) -> dict[str, DataFrame]:
+    """Entry point C: two-stage kNN → join publication metadata (journal,
+    publisher) on the id → weak truth → reports.  Returns DataFrames; the
+    prediction table is materialised once because every report reads it."""
+    from vellum.operators import evaluate as ev
+    from vellum.operators.routing import two_stage
+    pred = two_stage(vectors, train, routes, id_map, qid=id_col, tid=id_col, qvec=vec, tvec=vec,
+                     main_label=main_label, sub_label=sub_label, k_main=k, k_sub=k,
+                     exclude_self=exclude_self)
+    pred = cut_lineage(pred.join(metadata, id_col, "inner"))
+    truth = ev.attach_truth(pred, journal_truth, publisher_truth)
+    journal_rows = truth.filter(F.col("truth_source") == "journal")
+    acc = ev.group_accuracy(journal_rows, "journal", "gt_main", "lcc_main_name_pred", "gt_sub", "lcc_name_pred")
+    return {
+        "predictions": pred,
+        "coverage": ev.truth_coverage(truth),
+        "report_main": ev.classification_report(truth, "gt_main", "lcc_main_name_pred"),
+        "report_sub": ev.classification_report(truth, "gt_sub", "lcc_name_pred"),
+        "confusion_main": ev.confusion_long(truth, "gt_main", "lcc_main_name_pred"),
+        "journal_accuracy": acc,
+        "low_performers": ev.low_performer_summary(journal_rows, acc, "journal", "gt_main", "lcc_main_name_pred"),
+    }
