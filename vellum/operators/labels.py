@@ -7,22 +7,17 @@ frequent terms, then the top terms skipping digit-only and one-character
 tokens.  Everything is explode → groupBy on (cluster, doc, term): partial
 aggregation everywhere, no per-cluster Python.
 
-Stop words: Spark ML's bundled English list (``StopWordsRemover``'s
-default), read from the installed Spark jar so that no JVM is needed to
-build oracle SQL.  It is not the same list as the original job's library
-(documented difference).
+Stop words: the default English list of ``StopWordsRemover``, kept as plain
+data in ``functions/stopwords.py``.  It is not the same list as the original
+job's library (documented difference).
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.stopwords import ENGLISH
 from vellum.functions.text import WORD, col, is_blank, keyword_label
 from vellum.operators.filters import is_outlier
 
@@ -30,12 +25,8 @@ TOKEN_RE = WORD + "+"
 SCORE_DIGITS = 9  # scores are compared after rounding, so float-sum order cannot flip ties
 
 
-@functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    return ENGLISH
 
 
 def tokens(text: str | Column, stop_words: tuple[str, ...] | None = None) -> Column:
