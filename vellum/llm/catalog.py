@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.llm import bpe, langid, mixing, quality, simhash
-from vellum.llm.common import documents, fold
+from vellum.llm import bpe, langid, lm, mixing, quality, simhash, tokenfile, topk
+from vellum.llm.common import documents, fold, map_batches
 
 QUERIES, ORACLE = {}, {}
 
@@ -52,6 +56,33 @@ def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf).select("doc_id", "text", "source"))
 
 
+@query
+def op6_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector with all others."""
+    vectors = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("id") % 50 == 0)
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Learn from the documents outside fold 0 of 10, score all."""
+    docs = documents(spark, sf).select("doc_id", "text", (fold(F.col("doc_id"), 10) == 0).alias("held_out"))
+    model = lm.fit(docs.filter("not held_out"))
+    scored = lm.score(docs, model, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known",
+                         F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op9_token_files(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
+    """Write every document's ids, read the files, digest each document's ids."""
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    written = tokenfile.write_tokens(documents(spark, sf).select("doc_id", "text"), path, end_id=2)
+    crc = T.StructType([T.StructField("ids_crc32", T.LongType())])
+    return map_batches(tokenfile.read_tokens(written), ["ids"], crc, ["doc_id", "start", "n_tokens"],
+                       lambda: lambda ids: [pa.array([zlib.crc32(x) for x in ids.to_pylist()], pa.int64())])
+
+
 @query
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf).select("doc_id", "text"))
@@ -170,3 +201,13 @@ SELECT D.doc_id, D.size, T.source_size, T.target, coalesce(sum(part), 0)::BIGINT
        min(CASE WHEN part > 0 THEN slot END)::BIGINT AS first_slot
 FROM D JOIN T ON T.source IS NOT DISTINCT FROM D.source LEFT JOIN PI USING (k)
 GROUP BY D.k, D.doc_id, D.size, T.source_size, T.target"""
+
+ORACLE["op6_top_k"] = """
+WITH E AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+P AS (SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM E q JOIN E c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM P)
+SELECT query_id, nth::INTEGER AS rank, vec_id, score FROM R WHERE nth <= 5"""
