@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm import bpe, langid, lm, mixing, quality, simhash, tokenfile, topk
+from vellum.llm import bpe, chat, langid, license, lm, mixing, quality, simhash, tokenfile, topk
 from vellum.llm.common import documents, fold, map_batches
 
 QUERIES, ORACLE = {}, {}
@@ -36,6 +36,12 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.apply_rules(d, keep=["doc_id"])
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licenses found in the documents, with their place and containment."""
+    return license.scan(documents(spark, sf).select("doc_id", "text"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     """Encode every text, decode the ids, digest both."""
@@ -63,6 +69,11 @@ def op6_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, F.col("id") % 50 == 0)
 
 
+@query
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.link(spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet"))
+
+
 @query
 def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     """Learn from the documents outside fold 0 of 10, score all."""
@@ -211,3 +222,71 @@ P AS (SELECT q.vec_id AS query_id, c.vec_id,
       FROM E q JOIN E c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM P)
 SELECT query_id, nth::INTEGER AS rank, vec_id, score FROM R WHERE nth <= 5"""
+
+_NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+_STOPS = r"string_split(regexp_replace({}, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))"
+
+ORACLE["op7_chat_format"] = rf"""
+WITH RECURSIVE M AS (SELECT row_number() OVER () AS k, conv_id, turn, role, text FROM conversations),
+LS AS (SELECT k, conv_id, turn, text, unnest(range(len(string_split(text, chr(10))))) AS pos,
+         unnest(string_split(text, chr(10))) AS line FROM M WHERE text IS NOT NULL),
+L AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(([ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
+        regexp_replace(line, '^(([ \t]*>)+)[ \t]?', '') AS bare FROM LS),
+N AS (SELECT *, {_NORM.format("bare")} AS norm,
+        coalesce(lead(level) OVER (PARTITION BY k ORDER BY pos), 0) > 0 AS before_quote FROM L),
+B AS (SELECT k, max(level) AS quotes, coalesce(regexp_replace(string_agg(bare, chr(10) ORDER BY pos)
+        FILTER (WHERE level = 0 AND NOT (before_quote AND regexp_matches(line, 'wrote:[ \t]*$'))),
+        '^\s+|\s+$', '', 'g'), '') AS cut FROM N GROUP BY k),
+O AS (SELECT M.*, CASE WHEN quotes > 0 THEN cut ELSE text END AS own FROM M LEFT JOIN B USING (k)),
+U AS (SELECT conv_id, turn, unnest(list_distinct([own] || regexp_split_to_array(own, '\n[ \t]*\n')
+        || string_split(own, chr(10)) || {_STOPS.format(_NORM.format("own"))})) AS unit
+      FROM O WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND own IS NOT NULL),
+F AS (SELECT conv_id, {_NORM.format("unit")} AS unit, min(turn) AS origin FROM U
+      WHERE {_NORM.format("unit")} <> '' GROUP BY ALL),
+D AS (SELECT min(k) AS k FROM M GROUP BY conv_id, turn, text),
+Q AS (SELECT *, level IS DISTINCT FROM lag(level) OVER w OR pos IS DISTINCT FROM lag(pos) OVER w + 1 AS new
+      FROM N WHERE level > 0 AND norm <> '' AND k IN (SELECT k FROM D) WINDOW w AS (PARTITION BY k ORDER BY pos)),
+P AS (SELECT *, sum(new::INT) OVER (PARTITION BY k ORDER BY pos) AS passage FROM Q),
+W AS (SELECT k, conv_id, turn, level, {_NORM.format("string_agg(norm, ' ' ORDER BY pos)")} AS unit,
+        count(*) AS weight FROM P GROUP BY k, conv_id, turn, level, passage),
+E AS (SELECT conv_id, turn, level, unit, weight FROM W
+      UNION ALL SELECT conv_id, turn, level, unnest({_STOPS.format("unit")}), 1 FROM W
+      UNION ALL SELECT conv_id, turn, level, norm, 1 FROM P),
+V AS (SELECT E.conv_id, E.turn, level, origin, sum(weight) AS weight FROM E JOIN F USING (conv_id, unit)
+      WHERE origin < E.turn GROUP BY ALL),
+R AS (SELECT conv_id, turn, origin AS reply_to FROM V
+      QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, origin DESC) = 1),
+T AS (SELECT conv_id, turn, reply_to AS root FROM R
+      UNION ALL SELECT T.conv_id, T.turn, R.reply_to FROM T JOIN R ON R.conv_id = T.conv_id AND R.turn = T.root),
+H AS (SELECT conv_id, turn, min(root) AS root FROM T GROUP BY ALL)
+SELECT O.conv_id, O.turn, O.role, own AS text, reply_to, coalesce(root, O.turn) AS thread,
+       '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(own, '') AS formatted
+FROM O LEFT JOIN R ON R.conv_id = O.conv_id AND R.turn = O.turn
+LEFT JOIN H ON H.conv_id = O.conv_id AND H.turn = O.turn"""
+
+
+def _license_sql() -> str:
+    """Exact containment in every window, without the search for candidates."""
+    rows = []
+    for name, text in license.TEMPLATES.items():
+        w = [x.decode() for x in license.words_of(text.encode())]
+        grams = sorted({" ".join(w[i:i + license.SHINGLE]) for i in range(len(w) - license.SHINGLE + 1)})
+        step = 2 << license.level_of(len(grams))
+        rows += [f"('{name}', {len(grams)}, {step}, '{g}')" for g in grams]
+    return rf"""
+WITH G(license, size, step, gram) AS (VALUES {", ".join(rows)}),
+D AS (SELECT row_number() OVER () AS k, doc_id,
+        regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+P AS (SELECT k, doc_id, len(w) - 4 AS n, unnest(range(len(w) - 4)) AS p, w FROM D WHERE len(w) >= 5),
+H AS (SELECT k, doc_id, n, p, license, size, step, gram FROM P JOIN G ON array_to_string(w[p + 1:p + 5], ' ') = gram),
+W AS (SELECT *, p // step - o AS win FROM H, range(2) r(o)
+      WHERE p // step - o >= 0 AND (p // step - o = 0 OR (p // step - o) * step + step < n)),
+S AS (SELECT k, doc_id, license, win, count(DISTINCT gram) / size::DOUBLE AS containment,
+        min(p) AS first_word, max(p) - min(p) + 5 AS n_words FROM W GROUP BY k, doc_id, license, win, size)
+SELECT doc_id, license, containment, first_word, n_words,
+       count(*) OVER (PARTITION BY k, license) AS windows
+FROM S WHERE containment >= {license.THRESHOLD}
+QUALIFY row_number() OVER (PARTITION BY k, license ORDER BY containment DESC, win) = 1"""
+
+
+ORACLE["op3_license_scan"] = _license_sql()

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch that a worker handles at once.
+BATCH_BYTES = 4 << 20
 #: Words are runs of anything but these bytes (space, tab to carriage return).
 SPACES = " \t\n\u000b\f\r"
 A_TO_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,6 +74,14 @@ def map_batches(df: DataFrame, inputs: list[str], outputs: T.StructType, keep: l
     return source.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes, so that long texts do not meet
+    in a worker's memory as Python objects."""
+    step = max(1, size * batch.num_rows // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_batches, utf8, worker_cache
+from vellum.llm.common import map_batches, slices, utf8, worker_cache
 from vellum.llm.shared_files import local_map, view, write_arrays
 from vellum.session import checkpoint_dir, cut_lineage, drop_lineage_table
 
@@ -116,6 +116,12 @@ def text_chunks(raws: list[bytes], size: int = CHUNK):
         at = stop
 
 
+def raw_chunks(batches):
+    for whole in batches:
+        for b in slices(whole):
+            yield from text_chunks(b.column(0).to_pylist())
+
+
 # packed n-grams ----------------------------------------------------------------------
 def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
@@ -228,15 +234,14 @@ def _count_words(df: DataFrame, shards: int) -> DataFrame:
                 mine = shard == s
                 yield "words", s, None, None, pack(word[mine], narrow(total[mine]))
 
-        for b in batches:
-            for raws in text_chunks(b.column(0).to_pylist()):
-                k, c = np.unique(Tokens(raws, 1).words, return_counts=True)
-                keys.append(k)
-                counts.append(c.astype(U8))
-                held += len(k)
-                if held >= FLUSH:
-                    yield from batch_rows(list(send())).to_batches()
-                    keys, counts, held = [], [], 0
+        for raws in raw_chunks(batches):
+            k, c = np.unique(Tokens(raws, 1).words, return_counts=True)
+            keys.append(k)
+            counts.append(c.astype(U8))
+            held += len(k)
+            if held >= FLUSH:
+                yield from batch_rows(list(send())).to_batches()
+                keys, counts, held = [], [], 0
         if keys:
             yield from batch_rows(list(send())).to_batches()
 
@@ -256,15 +261,14 @@ def _count_grams(df: DataFrame, order: int, hot: np.ndarray, shards: int) -> Dat
             return [("next", s, None, None, b) for s, b in
                     deal(order, context, lowers, run_[at], word[at], count, shards)]
 
-        for b in batches:
-            for raws in text_chunks(b.column(0).to_pylist()):
-                t = Tokens(raws, order)
-                held.append((t.words, t.hot_run(hot, order),
-                             *(t.context(k) for k in ([order, *range(order - 1, 1, -1)]))))
-                size += len(t.words)
-                if size >= FLUSH:
-                    yield from batch_rows(send()).to_batches()
-                    held, size = [], 0
+        for raws in raw_chunks(batches):
+            t = Tokens(raws, order)
+            held.append((t.words, t.hot_run(hot, order),
+                         *(t.context(k) for k in ([order, *range(order - 1, 1, -1)]))))
+            size += len(t.words)
+            if size >= FLUSH:
+                yield from batch_rows(send()).to_batches()
+                held, size = [], 0
         if held:
             yield from batch_rows(send()).to_batches()
 
