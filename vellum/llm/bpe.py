@@ -29,7 +29,7 @@ from vellum.llm.common import map_batches, worker_cache
 SHIFT = 21          # pair keys: first << SHIFT | second
 PIECES_KEPT = 300_000  # memoised pieces in a worker; the table is emptied when full
 PIECE_BYTES = 64    # longer pieces are encoded but not memoised
-PAIRS_KEPT = 2_000_000
+PAIRS_KEPT = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
