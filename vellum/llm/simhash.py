@@ -187,24 +187,27 @@ def _flip_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                     max_bits: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``df``.
+    """(doc_id, text_hash, fingerprint, component_id, group_fp) for every row of ``df``.
 
-    ``fingerprint`` is a signed 64-bit integer, ``component_id`` the smallest
-    id of the group.
+    ``fingerprint`` is a signed 64-bit integer, ``component_id`` the smallest id of
+    the group, ``group_fp`` its smallest fingerprint, ``text_hash`` xxhash64 of the
+    text.
     """
-    docs = cut_lineage(fingerprints(df.select(F.col(f"`{doc_id}`").alias("id"),
-                                              F.col(f"`{text}`").alias("text")),
-                                    "text", shingle, "fp", ["id"]))
+    given = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"),
+                      F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    docs = cut_lineage(fingerprints(given, "text", shingle, "fp", ["id", "hash"]))
     distinct = cut_lineage(docs.groupBy("fp").agg(F.min("id").alias("first")))
     found = components(links(distinct.select("fp"), max_bits, cell_rows))
     smallest = (found.join(distinct, found.node == distinct.fp).groupBy("root")
                 .agg(F.min("first").alias("least")))
-    linked = found.join(smallest, "root").select(F.col("node").alias("fp"), "least")
-    named = cut_lineage(distinct.join(linked, "fp", "left")
-                        .select("fp", F.coalesce("least", "first").alias("component")))
+    linked = found.join(smallest, "root").select(F.col("node").alias("fp"), "root", "least")
+    named = cut_lineage(distinct.join(linked, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component"),
+        F.coalesce("root", "fp").alias("group_fp")))
     drop_lineage_table(distinct)
-    return docs.join(named, "fp").select(F.col("id").alias(doc_id), F.col("fp").alias("fingerprint"),
-                                         F.col("component").alias("component_id"))
+    return docs.join(named, "fp").select(
+        F.col("id").alias(doc_id), F.col("hash").alias("text_hash"), F.col("fp").alias("fingerprint"),
+        F.col("component").alias("component_id"), "group_fp")
 
 
 def hex16(fp: Column) -> Column:
@@ -213,10 +216,13 @@ def hex16(fp: Column) -> Column:
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                 max_bits: int = 2) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each group the row with
-    the smallest id stays; of repeated rows with that id, one."""
+    """The rows of ``df`` without near-duplicates: of each group the row with the
+    smallest id stays (null ids last, then by the text's hash); of equal rows, one."""
     groups = near_duplicates(df, doc_id, text, shingle, max_bits)
-    stay = (groups.filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
-            .select(F.col(doc_id).alias("__stay")).distinct())
-    kept = df.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    row = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "text_hash")
+    stay = (groups.groupBy("group_fp").agg(F.min(row).alias("r"))
+            .select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__stay")))
+    rows = df.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
+    kept = rows.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))
+                     & (F.col("__hash") == F.col("__stay")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__hash"]).select(*df.columns)
