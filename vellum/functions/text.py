@@ -129,7 +129,7 @@ def norm_class(c: str | Column) -> Column:
 
 # T5 / I1 --------------------------------------------------------------------
 def full_text(title: str | Column, abstract: str | Column, sep: str = ". ",
-              max_chars: int | None = 2200) -> Column:
+              max_chars: int | None = None) -> Column:
     t = F.concat(F.coalesce(col(title), F.lit("")), F.lit(sep),
                  F.coalesce(col(abstract), F.lit("")))
     return F.substring(t, 1, max_chars) if max_chars else t

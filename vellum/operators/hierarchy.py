@@ -44,7 +44,7 @@ def pair_table(cent: DataFrame, key: str, vec: str = "centroid") -> DataFrame:
 
 
 def average_linkage(pairs: DataFrame, items: DataFrame, thresholds: Sequence[float],
-                    strict: bool = True, max_rounds: int = 10_000) -> DataFrame:
+                    strict: bool = True) -> DataFrame:
     """(th, item, cluster) with ``cluster`` = smallest member id.
 
     ``pairs``: (a, b, dist) for all ordered pairs of distinct items;
@@ -61,7 +61,7 @@ def average_linkage(pairs: DataFrame, items: DataFrame, thresholds: Sequence[flo
     link = cut_lineage(pairs.select(F.explode(th_arr).alias("th"), F.col("a").alias("x"),
                                     F.col("b").alias("y"), F.col("dist").cast("double").alias("s"),
                                     F.lit(1).cast("long").alias("n")))
-    for _ in range(max_rounds):
+    while True:
         nn = link.groupBy("th", "x").agg(F.min(F.struct((F.col("s") / F.col("n")).alias("l"), "y")).alias("m"))
         nn = nn.select("th", "x", F.col("m.l").alias("l"), F.col("m.y").alias("y"))
         back = nn.select("th", F.col("x").alias("y"), F.col("y").alias("x2"))

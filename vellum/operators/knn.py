@@ -12,8 +12,8 @@ Plan (a block nested-loop join that never emits pair rows):
   rows to every query block, so each grid cell ``(group, qb, tb)`` meets each
   (query, train) pair exactly once.  ``cogroup().applyInPandas`` runs a numpy
   kernel per cell that returns only the ``k`` best candidates per query.
-* A per-query merge keeps the best ``k`` of the ``k × blocks`` candidates
-  (bounded), and the vote and confidence are array expressions on that
+* A ranked window keeps the best ``k`` candidates of a query, in each task
+  first and then over all blocks, and the vote and confidence are array expressions on that
   short list — no further shuffle.
 
 Ties are broken by (distance, training id), votes by (count desc, label asc).
@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +34,10 @@ from vellum.functions.text import confidence
 TRAIN_BLOCK_BYTES = 64 << 20   # training vectors held by one task
 QUERY_BLOCK_ROWS = 2048        # queries scored by one task
 MAX_GROUP_STATS_BROADCAST = 100_000
+EXACT_ROWS = 65_536            # pairs measured directly at once
 
 
 def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
-    margin = 8
-
     def kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "tid", "dist", "label"]
         if len(q) == 0 or len(t) == 0:
@@ -49,7 +48,9 @@ def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
         tid = t["tid"].to_numpy()
         lab = t["label"].to_numpy()
         tn = np.einsum("ij,ij->i", tm, tm)
-        m = min(k + margin, len(t))
+        by_id = np.argsort(tid, kind="stable")  # places in order of id, for ties
+        tm, tid, lab, tn = tm[by_id], tid[by_id], lab[by_id], tn[by_id]
+        m = min(k, len(t))
         parts = []
         for s in range(0, len(qm), 512):
             qc = qm[s:s + 512]
@@ -57,22 +58,24 @@ def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
             d2 = np.einsum("ij,ij->i", qc, qc)[:, None] + tn[None, :] - 2.0 * (qc @ tm.T)
             if exclude_self:
                 d2[qi[:, None] == tid[None, :]] = np.inf
-            if m < len(t):
-                cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
-            else:
-                cand = np.tile(np.arange(len(t)), (len(qc), 1))
-            # exact distances for the short list, by direct differences
-            diff = qc[:, None, :] - tm[cand]
-            exact = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            # every row as near as the k-th, up to rounding, is measured again by
+            # direct differences, so ties go to the smallest id however many there are
+            kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+            slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", qc, qc) + tn.max())
+            rows, cand = np.nonzero(d2 <= (kth + slack)[:, None])
+            for a in range(0, len(rows), EXACT_ROWS):
+                r, c = rows[a:a + EXACT_ROWS], cand[a:a + EXACT_ROWS]
+                diff = qc[r] - tm[c]
+                d2[r, c] = np.einsum("ij,ij->i", diff, diff)
             if exclude_self:
-                exact[qi[:, None] == tid[cand]] = np.inf
-            order = np.lexsort((tid[cand], exact), axis=-1)[:, :k]
-            rows = np.repeat(np.arange(len(qc)), order.shape[1])
-            pick = cand[rows, order.ravel()]
-            dist = exact[rows, order.ravel()]
-            ok = np.isfinite(dist)
-            parts.append(pd.DataFrame({"qid": qi[rows][ok], "tid": tid[pick][ok],
-                                       "dist": dist[ok], "label": lab[pick][ok]}))
+                d2[qi[:, None] == tid[None, :]] = np.inf
+            dist = np.sqrt(np.maximum(d2[rows, cand], 0.0))
+            order = np.lexsort((cand, dist, rows))
+            first = np.searchsorted(rows, np.arange(len(qc)))  # nonzero lists rows in order
+            nth = np.arange(len(order)) - first[rows[order]]
+            order = order[(nth < k) & np.isfinite(dist[order])]
+            parts.append(pd.DataFrame({"qid": qi[rows[order]], "tid": tid[cand[order]],
+                                       "dist": dist[order], "label": lab[cand[order]]}))
         return pd.concat(parts, ignore_index=True)
 
     return kernel
@@ -144,9 +147,12 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, qid: str, tid: str
     cand = (qx.groupBy("g", "qb", "tb")
               .cogroup(tx.groupBy("g", "qb", "tb"))
               .applyInPandas(lambda a, b: kern(a, b), schema))
-    nb = (cand.groupBy("qid")
-              .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "tid", "label"))), 1, k)
-                   .alias("neighbors")))
+    # a ranked window keeps k rows per query in each task before the shuffle,
+    # so what meets for a query does not grow with the number of blocks
+    nearest = Window.partitionBy("qid").orderBy("dist", "tid")
+    best = cand.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k)
+    nb = (best.groupBy("qid")
+              .agg(F.array_sort(F.collect_list(F.struct("dist", "tid", "label"))).alias("neighbors")))
     return nb.withColumnRenamed("qid", qid)
 
 

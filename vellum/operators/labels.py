@@ -2,8 +2,8 @@
 
 Per-cluster TF-IDF where each cluster's documents are the corpus (smooth
 idf ``ln((1+n)/(1+df)) + 1``, raw counts, L2 row norm, scores summed over
-the cluster's documents), restricted to the cluster's ``max_features`` most
-frequent terms, then the top terms skipping digit-only and one-character
+the cluster's documents), over all terms or, if ``max_features`` is given,
+the cluster's most frequent ones, then the top terms skipping digit-only and one-character
 tokens.  Everything is explode → groupBy on (cluster, doc, term): partial
 aggregation everywhere, no per-cluster Python.
 
@@ -39,7 +39,7 @@ def tokens(text: str | Column, stop_words: tuple[str, ...] | None = None) -> Col
 
 
 def tfidf_term_scores(df: DataFrame, group: str, doc: str, text: str,
-                      max_features: int = 5000, stop_words=None) -> DataFrame:
+                      max_features: int | None = None, stop_words=None) -> DataFrame:
     """(group, term, score): summed L2-normalised TF-IDF per cluster."""
     sw = english_stop_words() if stop_words is None else stop_words
     docs = df.filter(~is_blank(text)).select(group, doc, text)
@@ -48,10 +48,9 @@ def tfidf_term_scores(df: DataFrame, group: str, doc: str, text: str,
     tf = (docs.select(group, doc, F.explode(tokens(text)).alias("term"))
               .filter(~F.col("term").isin(list(sw)))
               .groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf")))
-    vocab = (tf.groupBy(group, "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-               .withColumn("_r", F.row_number().over(
-                   Window.partitionBy(group).orderBy(F.col("cf").desc(), F.col("term").asc())))
-               .filter(F.col("_r") <= max_features).drop("_r"))
+    vocab = tf.groupBy(group, "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    if max_features:
+        vocab = most_frequent(vocab, group, max_features)
     n_docs = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     w = (tf.join(vocab, [group, "term"], "inner").join(n_docs, group, "inner")
            .withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)))
@@ -60,6 +59,21 @@ def tfidf_term_scores(df: DataFrame, group: str, doc: str, text: str,
              .groupBy(group, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score")))
 
 
+def most_frequent(vocab: DataFrame, group: str, n: int) -> DataFrame:
+    """The ``n`` most frequent terms of each group (ties by term): the count at
+    the border comes from the histogram of counts, and only the terms at the
+    border are ranked."""
+    counts = vocab.groupBy(group, "cf").agg(F.count(F.lit(1)).alias("terms"))
+    above = Window.partitionBy(group).orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("room", n - F.coalesce(F.sum("terms").over(above), F.lit(0)))
+    open_counts = counts.filter("room > 0").select(group, "cf", "terms", "room")
+    j = vocab.join(open_counts, [group, "cf"], "inner")
+    whole = j.filter("terms <= room")
+    border = j.filter("terms > room").withColumn("_r", F.row_number().over(
+        Window.partitionBy(group).orderBy("term"))).filter("_r <= room").drop("_r")
+    return whole.unionByName(border).select(group, "term", "cf", "df")
+
+
 def top_terms(scores: DataFrame, group: str, n: int = 10) -> DataFrame:
     """(group, keywords): top ``n`` terms by score, skipping digit-only and
     one-character terms; ties by term descending."""
@@ -72,7 +86,7 @@ def top_terms(scores: DataFrame, group: str, n: int = 10) -> DataFrame:
 
 
 def cluster_cards(df: DataFrame, cluster: str, doc: str, text: str, n_terms: int = 10,
-                  max_features: int = 5000, stop_words=None) -> DataFrame:
+                  max_features: int | None = None, stop_words=None) -> DataFrame:
     """L4: (cluster_id, keywords, name, size) for every non-outlier cluster
     that has at least one non-null text; ``["unknown"]`` when nothing is left."""
     src = df.filter(~is_outlier(cluster))

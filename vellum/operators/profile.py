@@ -215,11 +215,11 @@ def list_item_counts(df: DataFrame, col: str, n: int = 20) -> DataFrame:
     return value_counts(items, "item", n)
 
 
-def looks_like_list(df: DataFrame, col: str, sample: int = 100, share: float = 0.5) -> bool:
-    """Auto-detect list-literal strings: > ``share`` of the first non-null values."""
+def looks_like_list(df: DataFrame, col: str, share: float = 0.5) -> bool:
+    """Auto-detect list-literal strings: > ``share`` of all non-null values."""
     if isinstance(df.schema[col].dataType, T.ArrayType):
         return True
-    s = (df.filter(F.col(col).isNotNull()).limit(sample)
+    s = (df.filter(F.col(col).isNotNull())
            .agg(F.avg(F.ltrim(F.col(col)).startswith("[").cast("double"))).scalar())
     return bool(df.sparkSession.range(1).select(s > share).first()[0])
 

@@ -53,8 +53,8 @@ SELECT {s.strip(f"regexp_replace(replace({_NC}, '&', 'AND'), {s.q(s.WS + '+')},
        count(*) AS n FROM part GROUP BY 1"""
 
 ORACLE["full_text_id"] = f"""
-SELECT doc_id, sha256(substr(concat(coalesce(title,''), '. ', coalesce(abstract,'')), 1, 2200)) AS emb_id,
-       length(substr(concat(coalesce(title,''), '. ', coalesce(abstract,'')), 1, 2200)) AS n_chars
+SELECT doc_id, sha256(concat(coalesce(title,''), '. ', coalesce(abstract,''))) AS emb_id,
+       length(concat(coalesce(title,''), '. ', coalesce(abstract,'')))::INTEGER AS n_chars
 FROM ({DOCS})"""
 
 _RAW = "concat('<think>' || chr(10) || 'plan' || chr(10) || '</think>', '**', text, '** *(note)*')"
@@ -296,10 +296,10 @@ F AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * r
 REP AS (
 SELECT cls AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
        CAST(support AS BIGINT) AS support FROM F
-UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support) FROM F
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM F
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support)::BIGINT FROM F
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM F
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
-  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM F)"""
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM F)"""
 
 
 ORACLE["classification_report"] = f"""WITH {_classes_ctes()},
@@ -358,7 +358,7 @@ SELECT 'knn_k{k}' AS model, max(f1) FILTER (WHERE class = 'accuracy') AS accurac
 ORACLE["score_table"] = "\nUNION ALL\n".join(_score_sql(k) for k in (1, 3, 5))
 
 ORACLE["centroids"] = """
-SELECT label, pos - 1 AS pos, round(avg(x::DOUBLE), 6) AS x FROM (
+SELECT label, (pos - 1)::INTEGER AS pos, round(avg(x::DOUBLE), 6) AS x FROM (
   SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)
 GROUP BY label, pos"""
 
@@ -398,8 +398,7 @@ def _tfidf_ctes(g: str) -> str:
 D AS (SELECT {g} AS g, doc_id, text FROM documents WHERE NOT {s.blank('text')}),
 T AS (SELECT g, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM D),
 TF AS (SELECT g, doc_id, term, count(*) AS tf FROM T WHERE term NOT IN ({_stop_sql()}) GROUP BY ALL),
-VOC AS (SELECT g, term, sum(tf) AS cf, count(*) AS df FROM TF GROUP BY g, term
-        QUALIFY row_number() OVER (PARTITION BY g ORDER BY sum(tf) DESC, term) <= 5000),
+VOC AS (SELECT g, term, sum(tf) AS cf, count(*) AS df FROM TF GROUP BY g, term),
 N AS (SELECT g, count(*) AS n FROM D GROUP BY g),
 W AS (SELECT TF.g, doc_id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS w
       FROM TF JOIN VOC USING (g, term) JOIN N USING (g)),
@@ -411,7 +410,7 @@ TOP AS (SELECT g, term, score,
 
 
 ORACLE["tfidf_terms"] = f"""WITH {_tfidf_ctes('lang')}
-SELECT g AS lang, r AS rank, term, round(score, 6) AS score FROM TOP"""
+SELECT g AS lang, r::INTEGER AS rank, term, round(score, 6) AS score FROM TOP"""
 
 ORACLE["cluster_cards"] = f"""WITH {_tfidf_ctes('source')},
 SZ AS (SELECT source AS g, count(*) AS size FROM documents WHERE text IS NOT NULL AND source <> '-1' GROUP BY 1),
@@ -437,7 +436,7 @@ WHERE text IS NOT NULL AND source <> '-1' GROUP BY source"""
 
 ORACLE["ingest_rdf"] = f"""
 SELECT 'doc-' || doc_id || '.rdf' AS file, nullif({s.first_line('text')}, '') AS title,
-  length(nullif({s.strip('text')}, '')) AS abstract_chars, 'Author ' || doc_id AS authors,
+  length(nullif({s.strip('text')}, ''))::INTEGER AS abstract_chars, 'Author ' || doc_id AS authors,
   source AS affiliations, CAST(NULL AS VARCHAR) AS doi, 'Journal ' || source AS journal, lang AS publisher,
   '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS publication_date, source AS topics,
   '2024-02-01' AS created_at, CAST(NULL AS VARCHAR) AS error
