@@ -5,6 +5,7 @@ import tempfile
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+os.environ.setdefault("VELLUM_DRIVER_MEMORY", "8g")
 
 SF = os.environ.get("VELLUM_TEST_SF", "/root/testdata/sf0.01")
 

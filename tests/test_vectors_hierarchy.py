@@ -36,22 +36,18 @@ def _planted_centroids(seed=7):
     return np.array(pts)
 
 
-def _pairs(spark, x):
-    n = len(x)
+def _centroid_frame(spark, x):
     xn = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = np.clip(1 - xn @ xn.T, 0, 2)
     np.fill_diagonal(d, 0)
-    rows = [(i, j, float(d[i, j])) for i in range(n) for j in range(n) if i != j]
-    pairs = spark.createDataFrame(rows, "a long, b long, dist double")
-    items = spark.createDataFrame([(i,) for i in range(n)], "item long")
-    return d, pairs, items
+    return d, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, centroid array<double>")
 
 
 def test_average_linkage_matches_naive(spark):
     x = _planted_centroids()
-    d, pairs, items = _pairs(spark, x)
+    d, cent = _centroid_frame(spark, x)
     ths = [0.05, 0.2, 0.5, 0.9, 1.3]
-    a = H.average_linkage(pairs, items, ths).collect()
+    a = H.average_linkage(cent, "item", ths).collect()
     for th in ths:
         got = {}
         for r in a:
@@ -62,8 +58,8 @@ def test_average_linkage_matches_naive(spark):
 
 def test_scores_and_choice(spark):
     x = _planted_centroids()
-    d, pairs, items = _pairs(spark, x)
-    sc = {r.th: r for r in H.sweep(pairs, items, [0.2, 0.5, 1.9]).collect()}
+    d, cent = _centroid_frame(spark, x)
+    sc = {r.th: r for r in H.sweep(cent, "item", [0.2, 0.5, 1.9]).collect()}
 
     def score(labels):
         labs = np.array(labels)
@@ -85,13 +81,36 @@ def test_scores_and_choice(spark):
             lab[c] = k
         assert abs(sc[th].score - score(lab)) < 1e-9 and sc[th].n_clusters == len(cl)
     # rule 1 needs 8..15 clusters: with 4 groups none qualifies → closest to 11.5 among positive
-    choice = H.choose_threshold(H.sweep(pairs, items, [0.2, 0.5])).first()
+    choice = H.choose_threshold(H.sweep(cent, "item", [0.2, 0.5])).first()
     assert choice.rule in ("closest_to_mid", "in_range", "fallback")
     # no positive score at all → fallback 0.20
     none = spark.createDataFrame([(0.1, -1.0, 1), (0.3, -0.5, 3)], "th double, score double, n_clusters long")
     assert H.choose_threshold(none).first().th == 0.20
 
 
+def test_chain_of_merges_ends(spark):
+    """Each merge makes the next one possible: as many rounds as items."""
+    angle = np.cumsum(np.linspace(0.02, 0.05, 25))
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    d, cent = _centroid_frame(spark, x)
+    got = {}
+    for r in H.average_linkage(cent, "item", [0.01]).collect():
+        got.setdefault(r.cluster, []).append(r.item)
+    assert sorted(sorted(v) for v in got.values()) == _naive_average_linkage(d, 0.01)
+
+
+def test_knn_with_forty_copies(spark):
+    """Ties go to the smallest ids however many rows are equally near."""
+    rows = [(i, [1.0, 1.0], 0) for i in range(20, 60)] + [(i, [float(i), -5.0], 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    from vellum.operators import knn
+    for size in (64 << 20, 200):
+        nb = knn.knn_join(df, df, 3, qid="id", tid="id", qvec="v", tvec="v", label="label", exclude_self=True,
+                          train_block_bytes=size)
+        got = {r.id: [n.tid for n in r.neighbors] for r in nb.collect()}
+        assert got[50] == [20, 21, 22] and got[20] == [21, 22, 23] and got[21] == [20, 22, 23]
+
+
 def test_knn_matches_bruteforce(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 5)).astype(np.float32)

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,10 @@ from vellum.operators.knn import block_grid, knn_join
 from vellum.session import cut_lineage, drop_lineage_table
 
 
+STRIP = 512      # rows of a distance matrix held at once
+PAIRS = 65_536   # pairs measured directly at once
+
+
 def core_distances(points: DataFrame, id_col: str, vec: str, min_samples: Sequence[int]) -> DataFrame:
     """(id, vec, cores) with ``cores[i]`` the core distance for ``min_samples[i]``
     (NULL when the table has too few points)."""
@@ -44,45 +48,67 @@ def core_distances(points: DataFrame, id_col: str, vec: str, min_samples: Sequen
                   .join(nb, "_id", "left").select(F.col("_id").alias(id_col), "vec", cores.alias("cores")))
 
 
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component, by minima along edges and
+    pointer doubling until nothing changes."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while True:
+            nxt = new[new]
+            if (nxt == new).all():
+                break
+            new = nxt
+        new = np.minimum(new, new[root])
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _forest_kernel(configs: Sequence[tuple[int, float, int]]):
-    """configs: (cfg id, eps, index into cores)."""
+    """configs: (cfg id, eps, index into cores).  Distances come from matrix
+    products in strips; pairs near a radius are measured by differences."""
     def kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(t):
             qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
             tm = np.stack(t["vec"].to_numpy()).astype(np.float64)
-            qid = q["qid"].to_numpy()
-            tid = t["tid"].to_numpy()
-            qc = np.array([np.asarray(c, dtype=object) for c in q["cores"]], dtype=object)
-            tc = np.array([np.asarray(c, dtype=object) for c in t["cores"]], dtype=object)
-            diff = qm[:, None, :] - tm[None, :, :]
-            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            nodes = np.concatenate([qid, tid])
-            for cfg, eps, ci in configs:
-                cq = np.array([np.inf if c[ci] is None else float(c[ci]) for c in qc])
-                ct = np.array([np.inf if c[ci] is None else float(c[ci]) for c in tc])
-                mr = np.maximum(np.maximum(cq[:, None], ct[None, :]), d)
-                ii, jj = np.nonzero((mr <= eps) & (qid[:, None] != tid[None, :]))
-                if len(ii) == 0:
-                    continue
-                # union-find over the cell's nodes, labels = smallest id
-                uniq, inv = np.unique(nodes, return_inverse=True)
-                parent = np.arange(len(uniq))
-
-                def find(x):
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-                a = inv[ii]
-                b = inv[len(qid) + jj]
-                for x, y in zip(a, b):
-                    rx, ry = find(x), find(y)
-                    if rx != ry:
-                        parent[max(rx, ry)] = min(rx, ry)
-                used = np.unique(np.concatenate([a, b]))
-                roots = np.array([find(x) for x in used])
-                out.append(pd.DataFrame({"cfg": cfg, "node": uniq[used], "root": uniq[roots]}))
+            qid, tid = q["qid"].to_numpy(), t["tid"].to_numpy()
+            core = lambda col: np.array([[np.inf if v is None else float(v) for v in c] for c in col])
+            qc, tc = core(q["cores"]), core(t["cores"])
+            uniq, inv = np.unique(np.concatenate([qid, tid]), return_inverse=True)
+            radius = max(e for _, e, _ in configs)
+            tn = np.einsum("ij,ij->i", tm, tm)
+            # the nodes' stars so far, one row per configuration: bounded by the cell
+            roots = {cfg: np.arange(len(uniq)) for cfg, _, _ in configs}
+            used = {cfg: np.zeros(len(uniq), bool) for cfg, _, _ in configs}
+            for at in range(0, len(qm), STRIP):
+                x = qm[at:at + STRIP]
+                xn = np.einsum("ij,ij->i", x, x)
+                d2 = xn[:, None] + tn[None, :] - 2.0 * (x @ tm.T)
+                ii, jj = np.nonzero(d2 <= radius * radius + 1e-9 * (1 + xn.max() + tn.max()))
+                for s in range(0, len(ii), PAIRS):
+                    i, j = ii[s:s + PAIRS], jj[s:s + PAIRS]
+                    diff = x[i] - tm[j]
+                    d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                    i = i + at
+                    other = qid[i] != tid[j]
+                    for cfg, eps, ci in configs:
+                        ok = other & (np.maximum(np.maximum(qc[i, ci], tc[j, ci]), d) <= eps)
+                        if ok.any():
+                            a, b = inv[i[ok]], inv[len(qid) + j[ok]]
+                            old = roots[cfg]
+                            used[cfg][a] = used[cfg][b] = True
+                            nodes = np.arange(len(uniq))
+                            roots[cfg] = _forest(len(uniq), np.concatenate([a, nodes]),
+                                                 np.concatenate([b, old]))
+            for cfg, _, _ in configs:
+                some = np.flatnonzero(used[cfg])
+                if len(some):
+                    out.append(pd.DataFrame({"cfg": cfg, "node": uniq[some], "root": uniq[roots[cfg][some]]}))
         if not out:
             return pd.DataFrame({"cfg": pd.Series([], dtype="int32"), "node": pd.Series([], dtype="int64"),
                                  "root": pd.Series([], dtype="int64")})
@@ -90,14 +116,14 @@ def _forest_kernel(configs: Sequence[tuple[int, float, int]]):
     return kernel
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(cfg, node, comp) with comp = smallest node id reachable, for every
     node that appears in ``edges`` (cfg, node, root)."""
     e = edges.select("cfg", F.col("node").alias("a"), F.col("root").alias("b"))
     e = cut_lineage(e.unionByName(e.select("cfg", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     lab = cut_lineage(e.select("cfg", F.col("a").alias("node")).distinct()
                        .withColumn("comp", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         nbr = (e.join(lab.select("cfg", F.col("node").alias("b"), F.col("comp").alias("cb")), ["cfg", "b"])
                 .groupBy("cfg", "a").agg(F.min("cb").alias("m")))
         step = (lab.join(nbr.select("cfg", F.col("a").alias("node"), "m"), ["cfg", "node"], "left")
@@ -120,7 +146,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFram
 def density_clusters(points: DataFrame, id_col: str, vec: str,
                      configs: Sequence[tuple[float, int, int]]) -> DataFrame:
     """(cfg, id, cluster) for configs (eps, min_cluster_size, min_samples);
-    cluster ids are 0.. per cfg by smallest member id, −1 for noise."""
+    a cluster's id is its smallest member id, −1 for noise."""
     ms = sorted({c[2] for c in configs})
     cores = cut_lineage(core_distances(points, id_col, vec, ms))
     cfgs = [(i, float(eps), ms.index(m)) for i, (eps, _, m) in enumerate(configs)]
@@ -144,10 +170,8 @@ def density_clusters(points: DataFrame, id_col: str, vec: str,
     x = (allp.join(comp.withColumnRenamed("node", id_col), ["cfg", id_col], "left")
              .join(sizes, ["cfg", "comp"], "left")
              .withColumn("keep", F.coalesce(F.col("size") >= min_size[F.col("cfg")], F.lit(False))))
-    lab = F.dense_rank().over(Window.partitionBy("cfg").orderBy("comp")) - 1
-    kept = x.filter("keep").withColumn("cluster", lab)
-    noise = x.filter(~F.col("keep")).withColumn("cluster", F.lit(-1))
-    return kept.select("cfg", id_col, "cluster").unionByName(noise.select("cfg", id_col, "cluster"))
+    label = F.when(F.col("keep"), F.col("comp").cast("long")).otherwise(F.lit(-1).cast("long"))
+    return x.select("cfg", id_col, label.alias("cluster"))
 
 
 def grid_scores(clusters: DataFrame) -> DataFrame:

@@ -6,41 +6,34 @@
   anti join, new vectors are appended — running twice equals running once.
   A dimension check guards every batch.
 * The default encoder is a deterministic hashed character-trigram signed
-  projection written as DataFrame operations (explode → groupBy → dense
-  array); a learned model plugs in as an Arrow ``mapInPandas`` function.
+  projection; a learned model plugs in as an Arrow ``mapInPandas`` function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators.lang import trigrams
-from vellum.operators.vectors import norm2
 
 
-def hashed_trigram_encoder(dim: int = 64, seed: int = 42):
-    """DataFrame encoder: (id, text) → (id, embedding array<float>)."""
-    def encode(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        g = df.select(id_col, F.explode(trigrams(text_col)).alias("gram"))
-        h = F.xxhash64("gram", F.lit(seed))
-        s = (g.select(id_col, F.pmod(h, F.lit(dim)).cast("int").alias("i"),
-                      F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-                      .alias("sgn"))
-              .groupBy(id_col, "i").agg(F.sum("sgn").alias("v")))
-        sparse = s.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-        dense = df.select(id_col).join(sparse, id_col, "left").select(
-            id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("raw"))
-        n = norm2("raw")
-        return dense.select(id_col, F.transform("raw", lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))
-                                                .cast("float")).alias("embedding"))
-    encode.dim = dim
-    return encode
+def trigram_vector(text: str, dim: int) -> np.ndarray:
+    """L2-normalised signed counts of hashed code-point trigrams."""
+    c = np.frombuffer((text or "").lower().encode("utf-32-le"), "<u4").astype(np.int64)
+    h = c[:-2] * 1000003 + c[1:-1] * 10007 + c[2:] * 101 if len(c) > 2 else c[:0]
+    v = np.bincount(h % dim, np.where(h // dim % 2 == 0, 1.0, -1.0), dim)
+    n = np.sqrt((v * v).sum())
+    return (v / n if n else v).astype(np.float32)
+
+
+def hashed_trigram_encoder(dim: int = 64):
+    """Encoder (id, text) → (id, embedding array<float>): a text's trigrams are
+    counted within its row, Arrow batch by batch, without a shuffle."""
+    return pandas_encoder(lambda texts: [trigram_vector(t, dim) for t in texts], dim)
 
 
 def pandas_encoder(fn: Callable[[list[str]], list[list[float]]], dim: int):
@@ -51,7 +44,7 @@ def pandas_encoder(fn: Callable[[list[str]], list[list[float]]], dim: int):
         def run(batches: Iterator[pd.DataFrame]):
             for b in batches:
                 vecs = fn(b[text_col].fillna("").tolist())
-                yield pd.DataFrame({id_col: b[id_col], "embedding": [list(map(float, v)) for v in vecs]})
+                yield pd.DataFrame({id_col: b[id_col], "embedding": [np.asarray(v, np.float32) for v in vecs]})
         return df.select(id_col, text_col).mapInPandas(run, schema)
     encode.dim = dim
     return encode
@@ -70,13 +63,10 @@ def embed(df: DataFrame, id_col: str, text_col: str, encoder=None) -> DataFrame:
 def embed_incremental(spark: SparkSession, df: DataFrame, out: str, id_col: str = "emb_id",
                       text_col: str = "full_text", encoder=None) -> int:
     """Append vectors for ids not yet in ``out``; returns the number added."""
+    from vellum.session import cut_lineage, path_exists
     todo = distinct_texts(df, id_col, text_col)
-    try:
-        done = spark.read.parquet(out).select(id_col)
-        todo = todo.join(done, id_col, "left_anti")
-    except Exception:  # noqa: BLE001 - first run: empty sink
-        pass
-    from vellum.session import cut_lineage
+    if path_exists(spark, out):  # any other failure to read the sink is an error
+        todo = todo.join(spark.read.parquet(out).select(id_col), id_col, "left_anti")
     new = cut_lineage(embed(todo, id_col, text_col, encoder))
     bad = new.filter(~F.col("_dim_ok")).count()
     if bad:
@@ -88,7 +78,8 @@ def embed_incremental(spark: SparkSession, df: DataFrame, out: str, id_col: str
 
 
 def fingerprint(df: DataFrame, id_col: str) -> DataFrame:
-    """Order-free dataset fingerprint: row count and the sum of 64-bit id
-    hashes as an exact decimal (a xor would cancel duplicates)."""
+    """Order-free dataset fingerprint: row count and the sum of the ids' first 48
+    md5 bits (a xor would cancel duplicates)."""
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 12), 16, 10)
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(F.xxhash64(id_col).cast("decimal(38,0)")).alias("hash_sum"))
+                  F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").alias("hash_sum"))

@@ -1,27 +1,32 @@
 """Topic hierarchy over cluster centroids.
 
-Average-linkage merging is done with reciprocal-nearest-neighbour rounds:
-average linkage is reducible, so merging every mutually-nearest pair whose
-linkage is below the threshold, round after round, yields the same cut as
-the textbook greedy algorithm (ties aside).  Each round is a few joins and
-aggregations over the centroid pair table; the threshold is a *column*, so
-every threshold of a sweep advances in the same jobs.  The assignment is
-checkpointed (reliably, into ``spark.checkpoint.dir``) every round to keep
-the lineage short.
-
-Sizes: the pair table has k² rows for k clusters (not documents); k is
-checked against a bound before anything is built.
+Average linkage of cosine distances needs no table of pairs: with S the sum of a
+cluster's L2-normalised centroids and n their number, the mean distance between
+the members of X and Y is ``1 − S_X·S_Y / (n_X n_Y)``.  A threshold's state is one
+row per cluster, (S, n).  Average linkage is reducible, so merging every pair
+that is mutually nearest below the threshold, round after round, yields the same
+cut as the textbook greedy algorithm (ties aside).  A round is one blocked
+nearest-cluster search and a few joins on cluster ids; the threshold is a
+*column*, so every threshold of a sweep advances in the same jobs, and those
+without a merge leave the loop.  Each round's state is a table in the folder of
+``spark.checkpoint.dir``.
+
+The H4 scores come from the same sums: the mean distance inside a cluster is
+``1 − (|S|² + z) / n²`` (z zero vectors, whose distance to themselves is 0) and that
+to all others ``1 − S·(T − S) / (n (N − n))``, T and N over all clusters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import clean_topic_name
-from vellum.operators.vectors import MAX_BROADCAST_ROWS, centroid_distances, checked_broadcast
+from vellum.operators.vectors import centroid_distances, checked_broadcast, dot, norm2
 from vellum.session import cut_lineage, drop_lineage_table
 
 # ---------------------------------------------------------------------------
@@ -35,7 +40,8 @@ SOFT_SIMILARITY = 0.25
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
-MAX_CLUSTERS = 20_000
+BLOCK_CLUSTERS = 4096  # clusters of a block, about
+LINK_DIGITS = 12  # linkages are compared after rounding, so float noise cannot flip ties
 
 
 def pair_table(cent: DataFrame, key: str, vec: str = "centroid") -> DataFrame:
@@ -43,75 +49,127 @@ def pair_table(cent: DataFrame, key: str, vec: str = "centroid") -> DataFrame:
     return centroid_distances(cent, key, vec)
 
 
-def average_linkage(pairs: DataFrame, items: DataFrame, thresholds: Sequence[float],
+def unit_items(cent: DataFrame, key: str, vec: str = "centroid") -> DataFrame:
+    """(item, u): the L2-normalised vector of each centroid (zero stays zero)."""
+    n = norm2(vec)
+    return cent.select(F.col(key).alias("item"), F.transform(
+        F.col(vec), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))).alias("u"))
+
+
+def _nearest_kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    """For each cluster its nearest other one among a block's, ties to the smaller id."""
+    out = {"g": [], "x": [], "l": [], "y": []}
+    if len(q) and len(t):
+        t = t.sort_values("tid")
+        tid, m = t["tid"].to_numpy(), np.stack(t["vec"].to_numpy())
+        for at in range(0, len(q), 512):
+            part = q.iloc[at:at + 512]
+            link = np.round(1.0 - np.stack(part["vec"].to_numpy()) @ m.T, LINK_DIGITS)
+            link[part["qid"].to_numpy()[:, None] == tid[None, :]] = np.inf
+            best = link.argmin(axis=1)
+            least = link[np.arange(len(part)), best]
+            ok = np.isfinite(least)
+            for name, values in zip(out, (part["g"].to_numpy(), part["qid"].to_numpy(), least, tid[best]),
+                                    strict=True):
+                out[name].append(values[ok])
+    return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
+
+
+def nearest_clusters(state: DataFrame) -> DataFrame:
+    """(th, x, l, y): each cluster's nearest other cluster of its threshold."""
+    mean = F.transform("s", lambda v: v / F.col("n"))
+    key = state.schema["cluster"].dataType.simpleString()
+    blocks = -(-state.count() // BLOCK_CLUSTERS) or 1
+    own = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    vec = state.select(F.col("th").alias("g"), "cluster", mean.alias("vec"), own.alias("own"))
+    qx = vec.select("g", F.col("own").alias("qb"), F.col("cluster").alias("qid"), "vec").withColumn("tb", every)
+    tx = vec.select("g", F.col("own").alias("tb"), F.col("cluster").alias("tid"), "vec").withColumn("qb", every)
+    cells = ["g", "qb", "tb"]
+    found = (qx.select(*cells, "qid", "vec").groupBy(*cells)
+             .cogroup(tx.select(*cells, "tid", "vec").groupBy(*cells))
+             .applyInPandas(lambda a, b: _nearest_kernel(a, b), f"g double, x {key}, l double, y {key}"))
+    best = found.groupBy("g", "x").agg(F.min(F.struct("l", "y")).alias("m"))
+    return best.select(F.col("g").alias("th"), "x", "m.l", "m.y")
+
+
+def average_linkage(cent: DataFrame, key: str, thresholds: Sequence[float], vec: str = "centroid",
                     strict: bool = True) -> DataFrame:
     """(th, item, cluster) with ``cluster`` = smallest member id.
 
-    ``pairs``: (a, b, dist) for all ordered pairs of distinct items;
-    ``items``: one column ``item``.  Clusters merge while their average
-    linkage is ``< th`` (``<= th`` when ``strict`` is False).
-
-    The cluster-pair table keeps (sum of item-pair distances, number of item
-    pairs) per (th, x, y); a merge only relabels x/y and re-sums, so the
-    table shrinks every round (Lance–Williams update of average linkage).
+    Clusters merge while their average linkage is ``< th`` (``<= th`` when
+    ``strict`` is False).  The state shrinks by a row per merge.
     """
     th_arr = F.array(*[F.lit(float(t)) for t in thresholds])
-    assign = cut_lineage(items.select(F.explode(th_arr).alias("th"), "item",
-                                      F.col("item").alias("cluster")))
-    link = cut_lineage(pairs.select(F.explode(th_arr).alias("th"), F.col("a").alias("x"),
-                                    F.col("b").alias("y"), F.col("dist").cast("double").alias("s"),
-                                    F.lit(1).cast("long").alias("n")))
+    items = unit_items(cent, key, vec)
+    state = cut_lineage(items.select(F.explode(th_arr).alias("th"), F.col("item").alias("cluster"),
+                                     F.col("u").alias("s"), F.lit(1.0).alias("n")))
+    start = state.select("th", F.col("cluster").alias("item"))
+    first, steps = state, []
     while True:
-        nn = link.groupBy("th", "x").agg(F.min(F.struct((F.col("s") / F.col("n")).alias("l"), "y")).alias("m"))
-        nn = nn.select("th", "x", F.col("m.l").alias("l"), F.col("m.y").alias("y"))
+        nn = cut_lineage(nearest_clusters(state))
         back = nn.select("th", F.col("x").alias("y"), F.col("y").alias("x2"))
         below = (F.col("l") < F.col("th")) if strict else (F.col("l") <= F.col("th"))
         merges = cut_lineage(
             nn.join(back, ["th", "y"]).filter((F.col("x2") == F.col("x")) & (F.col("x") < F.col("y")) & below)
               .select("th", F.col("y").alias("old"), F.col("x").alias("new")))
+        drop_lineage_table(nn)
         if merges.isEmpty():
-            drop_lineage_table(merges)
-            drop_lineage_table(link)
             break
-        old_link, old_assign = link, assign
-        mx = merges.select("th", F.col("old").alias("x"), F.col("new").alias("nx"))
-        my = merges.select("th", F.col("old").alias("y"), F.col("new").alias("ny"))
-        link = cut_lineage(
-            link.join(mx, ["th", "x"], "left").join(my, ["th", "y"], "left")
-                .select("th", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"), "s", "n")
-                .filter(F.col("x") != F.col("y"))
-                .groupBy("th", "x", "y").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-        assign = cut_lineage(
-            assign.join(merges.select("th", F.col("old").alias("cluster"), "new"), ["th", "cluster"], "left")
-                  .select("th", "item", F.coalesce("new", "cluster").alias("cluster")))
-        for done in (old_link, old_assign, merges):
-            drop_lineage_table(done)
+        steps.append(merges)
+        old_state = state
+        live = state.join(merges.select("th").distinct(), "th", "left_semi")
+        joining = (live.join(merges.withColumnRenamed("old", "cluster"), ["th", "cluster"])
+                   .select("th", F.col("new").alias("cluster"), F.col("s").alias("s2"), F.col("n").alias("n2")))
+        staying = live.join(merges.select("th", F.col("old").alias("cluster")), ["th", "cluster"], "left_anti")
+        grown = F.when(F.col("n2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda a, b: a + b))
+        state = cut_lineage(staying.join(joining, ["th", "cluster"], "left")
+                            .select("th", "cluster", grown.alias("s"),
+                                    (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n")))
+        if old_state is not first:
+            drop_lineage_table(old_state)
+    # a cluster that was merged away points to the one it joined: follow to the end
+    up = start.withColumn("cluster", F.col("item"))
+    for done in steps:
+        up = (up.join(done.select("th", F.col("old").alias("cluster"), "new"), ["th", "cluster"], "left")
+              .select("th", "item", F.coalesce("new", "cluster").alias("cluster")))
+    assign = cut_lineage(up)
+    for done in (merges, first, state, *steps):
+        drop_lineage_table(done)
     return assign
 
 
 def label_clusters(assign: DataFrame) -> DataFrame:
-    """Dense labels 0..n−1 per threshold, ordered by smallest member id."""
-    return assign.withColumn("label", F.dense_rank().over(
-        Window.partitionBy("th").orderBy("cluster")) - 1)
+    """A cluster's label is its smallest member id: no ranking over all rows."""
+    return assign.withColumn("label", F.col("cluster"))
+
+
+def _array_sum(df: DataFrame, keys: list[str], vec: str, *aggs) -> DataFrame:
+    """Element-wise sum of arrays per key."""
+    e = df.select(*keys, F.posexplode(vec).alias("pos", "x"))
+    sums = (e.groupBy(*keys, "pos").agg(F.sum("x").alias("x")).groupBy(*keys)
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("s")))
+    return sums.join(df.groupBy(*keys).agg(*aggs), keys)
 
 
-def clustering_scores(pairs: DataFrame, items: DataFrame, assign: DataFrame) -> DataFrame:
+def clustering_scores(cent: DataFrame, key: str, assign: DataFrame, vec: str = "centroid") -> DataFrame:
     """H4 per threshold: mean inter-cluster distance − mean intra-cluster
     distance (diagonal zeros included, clusters of size > 1 only); −1 when
     fewer than two clusters or no multi-member cluster."""
-    diag = items.select(F.col("item").alias("a"), F.col("item").alias("b"), F.lit(0.0).alias("dist"))
-    full = pairs.select("a", "b", "dist").unionByName(diag)
-    a1 = assign.select("th", F.col("item").alias("a"), F.col("cluster").alias("ca"))
-    a2 = assign.select("th", F.col("item").alias("b"), F.col("cluster").alias("cb"))
-    x = full.join(a1, "a").join(a2, ["th", "b"])
-    per = x.groupBy("th", "ca").agg(
-        F.avg(F.when(F.col("ca") == F.col("cb"), F.col("dist"))).alias("intra"),
-        F.avg(F.when(F.col("ca") != F.col("cb"), F.col("dist"))).alias("inter"),
-        F.count_distinct(F.when(F.col("ca") == F.col("cb"), F.col("a"))).alias("size"))
-    s = per.groupBy("th").agg(
+    items = unit_items(cent, key, vec)
+    zero = F.sum((norm2("u") == 0).cast("double")).alias("z")
+    count = F.count(F.lit(1)).cast("double").alias("n")
+    per = _array_sum(assign.join(items, "item"), ["th", "cluster"], "u", count, zero)
+    total = _array_sum(items.withColumn("all", F.lit(1)), ["all"], "u", count).select(
+        F.col("s").alias("t"), F.col("n").alias("n_all"))
+    x = per.withColumn("all", F.lit(1)).join(total.withColumn("all", F.lit(1)), "all")
+    inside = 1.0 - (dot("s", "s") + F.col("z")) / (F.col("n") * F.col("n"))
+    others = F.col("n_all") - F.col("n")
+    outside = 1.0 - (dot("s", "t") - dot("s", "s")) / (F.col("n") * others)
+    s = x.groupBy("th").agg(
         F.count(F.lit(1)).alias("n_clusters"),
-        F.avg("inter").alias("inter"),
-        F.avg(F.when(F.col("size") > 1, F.col("intra"))).alias("intra"))
+        F.avg(F.when(others > 0, outside)).alias("inter"),
+        F.avg(F.when(F.col("n") > 1, inside)).alias("intra"))
     score = (F.when((F.col("n_clusters") < 2) | F.col("intra").isNull() | F.col("inter").isNull(), F.lit(-1.0))
               .otherwise(F.col("inter") - F.col("intra")))
     return s.select("th", score.alias("score"), "n_clusters")
@@ -136,9 +194,9 @@ def choose_threshold(scores: DataFrame, lo: int = TARGET_MIN_CLUSTERS, hi: int =
          .otherwise("fallback").alias("rule"))
 
 
-def sweep(pairs: DataFrame, items: DataFrame, thresholds: Sequence[float] = SWEEP) -> DataFrame:
+def sweep(cent: DataFrame, key: str, thresholds: Sequence[float] = SWEEP, vec: str = "centroid") -> DataFrame:
     """(th, score, n_clusters) for every threshold of the sweep."""
-    return clustering_scores(pairs, items, average_linkage(pairs, items, thresholds))
+    return clustering_scores(cent, key, average_linkage(cent, key, thresholds, vec), vec)
 
 
 # H6 / A2 -------------------------------------------------------------------------
@@ -175,7 +233,7 @@ def merged_topic_table(merged: DataFrame, cards: DataFrame) -> DataFrame:
     (merged_cluster_id, subclusters, keywords) with keywords concatenated in
     member order and deduplicated keeping first occurrence."""
     ex = merged.select("merged_cluster_id", F.posexplode("subclusters").alias("spos", "name"))
-    kw = cards.select("name", "keywords").dropDuplicates(["name"])
+    kw = cards.groupBy("name").agg(F.min("keywords").alias("keywords"))
     j = ex.join(checked_broadcast(kw), "name", "left")
     items = j.select("merged_cluster_id", "spos", F.posexplode_outer("keywords").alias("kpos", "kw"))
     agg = items.groupBy("merged_cluster_id").agg(
@@ -194,10 +252,11 @@ def missing_subclusters(merged: DataFrame, cards: DataFrame) -> DataFrame:
 # H10 / J3–J5 ---------------------------------------------------------------------
 def final_topic_table(docs: DataFrame, cards: DataFrame, merged: DataFrame) -> DataFrame:
     """documents (cluster_id, name …) → + subtopic, merged_cluster_id,
-    main_topic_name (cleaned).  Map keys are deduplicated first."""
+    main_topic_name (cleaned).  A name of several merged
+    clusters belongs to the smallest id."""
     sub = checked_broadcast(cards.select("cluster_id", "subtopic").dropDuplicates(["cluster_id"]))
     m = checked_broadcast(merged.select(F.explode("subclusters").alias("name"), "merged_cluster_id")
-                          .dropDuplicates(["name"]))
+                          .groupBy("name").agg(F.min("merged_cluster_id").alias("merged_cluster_id")))
     main = checked_broadcast(merged.select("merged_cluster_id",
                                            clean_topic_name("main_topic").alias("main_topic_name"))
                              .dropDuplicates(["merged_cluster_id"]))
@@ -208,10 +267,3 @@ def final_topic_table(docs: DataFrame, cards: DataFrame, merged: DataFrame) -> D
 def unresolved_count(final: DataFrame) -> DataFrame:
     return final.agg(F.count_if(F.col("main_topic_name").isNull()).alias("n_unresolved"),
                      F.count(F.lit(1)).alias("n_rows"))
-
-
-def check_cluster_count(cent: DataFrame) -> int:
-    n = cent.count()
-    if n > MAX_CLUSTERS:
-        raise ValueError(f"{n} clusters exceed the pair-table bound {MAX_CLUSTERS}")
-    return n

@@ -81,6 +81,18 @@ def detect(df: DataFrame, profile: DataFrame, doc: str, text: str, out: str = "p
     return best.select(doc, F.when(F.col("_letters"), F.col("_p")).alias(out))
 
 
+def detect_held_out(df: DataFrame, grams: DataFrame, doc: str, text: str, lang: str, fold: str,
+                    n_folds: int) -> DataFrame:
+    """(doc, pred_lang): each fold scored by the profile of the other folds."""
+    out = None
+    for f in range(n_folds):
+        mine = df.filter(F.col(fold) == f)
+        profile = profile_from_grams(grams, df.filter(F.col(fold) != f), doc, lang)
+        part = detect(mine, profile, doc, text, grams=grams.join(mine.select(doc), doc, "left_semi"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def language_routed(df: DataFrame, lang: str, columns: Sequence[str],
                     fn: Callable[[str, pd.Series], pd.Series]) -> DataFrame:
     """Add ``<col>_en`` for each of ``columns``: ``fn(norm_lang, texts)`` for

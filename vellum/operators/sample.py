@@ -1,6 +1,6 @@
 """Reproducible samples (S2, O3, S12) without driver-side RNG.
 
-Rows are ranked by a seeded 64-bit hash of their key; the first ``n`` form
+Rows are ranked by the md5 of seed and key; the first ``n`` form
 the sample.  The global top-n is a ``TakeOrderedAndProject``: each task keeps
 its local n best and only n·tasks rows reach the final merge.
 """
@@ -15,7 +15,7 @@ def stable_sample(df: DataFrame, n: int | None, key: str, seed: int = 42) -> Dat
     """Exactly ``min(n, rows)`` rows; all rows when n is None."""
     if n is None:
         return df
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
@@ -23,4 +23,4 @@ def sample_groups(df: DataFrame, group_col: str, n: int, seed: int = 42) -> Data
     """Keep every row of ``n`` seeded-hash-chosen groups (semi join back)."""
     groups = df.select(group_col).distinct()
     chosen = stable_sample(groups, n, key=group_col, seed=seed)
-    return df.join(F.broadcast(chosen), group_col, "left_semi")
+    return df.join(chosen, group_col, "left_semi")

@@ -505,40 +505,38 @@ def clustered_documents(spark, sf):
              .select("doc_id", "embedding", cid, tx.full_text(tx.first_line("text"), "text").alias("full_text")))
 
 
-def label_centroid_pairs(spark, sf):
-    from vellum.operators.hierarchy import pair_table
+def document_centroids(spark, sf):
+    """~200 cluster centroids of the documents with a vector."""
     from vellum.operators.vectors import centroids as cen
-    c = cen(table(spark, sf, "embeddings", "embedding", "label"), "label", "embedding")
-    return pair_table(c, "label"), c.select(F.col("label").alias("item"))
+    from vellum.session import cut_lineage
+    return cut_lineage(cen(clustered_documents(spark, sf), "cluster_id", "embedding"))
+
+
+LINK_THRESHOLDS = (0.6, 0.7, 0.8, 0.9, 1.0)
 
 
 @register
 def merge_average_linkage(spark, sf):
-    """H3 over ~200 document clusters at thresholds 0.6–1.2 (rows check +
-    brute-force test)."""
-    from vellum.operators.hierarchy import average_linkage, label_clusters, pair_table
-    from vellum.operators.vectors import centroids as cen
-    c = cen(clustered_documents(spark, sf), "cluster_id", "embedding")
-    pairs = pair_table(c, "cluster_id")
-    items = c.select(F.col("cluster_id").alias("item"))
-    a = average_linkage(pairs, items, [0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2])
+    """H3 over the document clusters: label = smallest member cluster."""
+    from vellum.operators.hierarchy import average_linkage, label_clusters
+    a = average_linkage(document_centroids(spark, sf), "cluster_id", LINK_THRESHOLDS)
     return label_clusters(a).select("th", F.col("item").alias("cluster_id"), "label")
 
 
 @register
 def threshold_scores(spark, sf):
-    """H4 over the standard sweep 0.10–0.40 on label centroids."""
+    """H4 over a sweep in which clusters merge."""
     from vellum.operators.hierarchy import sweep
-    pairs, items = label_centroid_pairs(spark, sf)
-    return sweep(pairs, items).withColumn("score", F.round("score", 6))
+    return (sweep(document_centroids(spark, sf), "cluster_id", LINK_THRESHOLDS)
+            .withColumn("score", F.round("score", 6)))
 
 
 @register
 def threshold_choice(spark, sf):
     """H5: chosen threshold and the rule that chose it."""
     from vellum.operators.hierarchy import choose_threshold, sweep
-    pairs, items = label_centroid_pairs(spark, sf)
-    return choose_threshold(sweep(pairs, items))
+    scores = sweep(document_centroids(spark, sf), "cluster_id", LINK_THRESHOLDS)
+    return choose_threshold(scores.withColumn("score", F.round("score", 6)))
 
 
 def topic_result(spark, sf):
@@ -577,8 +575,9 @@ def final_topic_table(spark, sf):
 def reassign_topics(spark, sf):
     """topics = labels; merge at 1.0; main = largest member topic."""
     from vellum.operators.hierarchy import (average_linkage, merge_report, reassign_topics as rt)
-    pairs, items = label_centroid_pairs(spark, sf)
-    a = average_linkage(pairs, items, [1.0]).select(F.col("item").alias("topic"), "cluster")
+    from vellum.operators.vectors import centroids as cen
+    c = cen(table(spark, sf, "embeddings", "embedding", "label"), "label", "embedding")
+    a = average_linkage(c, "label", [1.0]).select(F.col("item").alias("topic"), "cluster")
     e = table(spark, sf, "embeddings", "vec_id", "label").select("vec_id", F.col("label").alias("topic"))
     sizes = e.groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
     rep = merge_report(a, sizes)
@@ -614,18 +613,19 @@ def ingest_rdf(spark, sf):
 
 # 7. language ---------------------------------------------------------------------------
 def language_predictions(spark, sf):
-    from vellum.operators.lang import detect, doc_grams, profile_from_grams
+    from vellum.operators.lang import doc_grams, detect_held_out
     from vellum.session import cut_lineage
     d = table(spark, sf, "documents", "doc_id", "text", "lang")
+    fold = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 2
     grams = cut_lineage(doc_grams(d, "doc_id", "text"))  # used by training and scoring
-    prof = profile_from_grams(grams, d, "doc_id", "lang")
-    return detect(d, prof, "doc_id", "text", grams=grams).join(d.select("doc_id", "lang"), "doc_id")
+    pred = detect_held_out(d.withColumn("fold", fold), grams, "doc_id", "text", "lang", "fold", 2)
+    return pred.join(d.select("doc_id", "lang"), "doc_id")
 
 
 @register
 def language_id(spark, sf):
-    """G1: trigram profile learned from the whole labelled table, every
-    document scored (resubstitution)."""
+    """G1: every document scored by the trigram profile of the other half of
+    the labelled table."""
     return language_predictions(spark, sf).select("doc_id", "lang", "pred_lang")
 
 
@@ -658,9 +658,10 @@ def text_embeddings(spark, sf):
         tx.text_id(tx.full_text("title", "abstract")).alias("emb_id"),
         tx.full_text("title", "abstract").alias("full_text"))
     v = embed(d, "emb_id", "full_text")
-    from vellum.operators.vectors import norm2
-    return v.select("emb_id", F.size("embedding").alias("dim"), F.round(norm2("embedding"), 6).alias("norm"),
-                    "_dim_ok")
+    strongest = F.array_position("embedding", F.array_max("embedding")).cast("int") - 1
+    return v.select("emb_id", F.size("embedding").alias("dim"), "_dim_ok",
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("n_active"),
+                    F.when(F.array_max("embedding") > 0, strongest).otherwise(-1).alias("strongest"))
 
 
 @register

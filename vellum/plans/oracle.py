@@ -393,9 +393,9 @@ def _stop_sql() -> str:
     return ", ".join(s.q(w) for w in english_stop_words())
 
 
-def _tfidf_ctes(g: str) -> str:
+def _tfidf_ctes(g: str, src: str = "documents", text: str = "text") -> str:
     return f"""
-D AS (SELECT {g} AS g, doc_id, text FROM documents WHERE NOT {s.blank('text')}),
+D AS (SELECT {g} AS g, doc_id, {text} AS text FROM {src} WHERE NOT {s.blank(text)}),
 T AS (SELECT g, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM D),
 TF AS (SELECT g, doc_id, term, count(*) AS tf FROM T WHERE term NOT IN ({_stop_sql()}) GROUP BY ALL),
 VOC AS (SELECT g, term, sum(tf) AS cf, count(*) AS df FROM TF GROUP BY g, term),
@@ -445,19 +445,20 @@ FROM documents"""
 
 # 7. language ----------------------------------------------------------------------
 LANG_CTES = r"""
-D AS (SELECT doc_id, lang, text, lower(text) AS t FROM documents),
-G AS (SELECT doc_id, lang, substr(t, i, 3) AS gram
-      FROM (SELECT doc_id, lang, t, unnest(range(1, length(t) - 1)) AS i FROM D WHERE length(t) >= 3)),
-P AS (SELECT lang, gram, count(*) AS c FROM G WHERE lang IS NOT NULL GROUP BY ALL),
-V AS (SELECT count(DISTINCT gram) AS v FROM P),
-TT AS (SELECT lang, sum(c) AS t FROM P GROUP BY lang),
-DG AS (SELECT doc_id, gram, count(*) AS c FROM G GROUP BY ALL),
+D AS (SELECT doc_id, lang, text, lower(text) AS t,
+        ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 2 AS fold FROM documents),
+G AS (SELECT doc_id, lang, fold, substr(t, i, 3) AS gram
+      FROM (SELECT doc_id, lang, fold, t, unnest(range(1, length(t) - 1)) AS i FROM D WHERE length(t) >= 3)),
+P AS (SELECT 1 - fold AS fold, lang, gram, count(*) AS c FROM G WHERE lang IS NOT NULL GROUP BY ALL),
+V AS (SELECT fold, count(DISTINCT gram) AS v FROM P GROUP BY fold),
+TT AS (SELECT fold, lang, sum(c) AS t FROM P GROUP BY ALL),
+DG AS (SELECT doc_id, fold, gram, count(*) AS c FROM G GROUP BY ALL),
 N AS (SELECT doc_id, sum(c) AS n FROM DG GROUP BY doc_id),
-HIT AS (SELECT DG.doc_id, P.lang, sum(DG.c * ln(P.c + 1)) AS s FROM DG JOIN P USING (gram) GROUP BY ALL),
+HIT AS (SELECT DG.doc_id, P.lang, sum(DG.c * ln(P.c + 1)) AS s FROM DG JOIN P USING (fold, gram) GROUP BY ALL),
 SC AS (SELECT D.doc_id, D.lang AS true_lang, TT.lang,
-         -coalesce(N.n, 0) * ln(TT.t + (SELECT v FROM V)) + coalesce(HIT.s, 0) AS score,
+         -coalesce(N.n, 0) * ln(TT.t + V.v) + coalesce(HIT.s, 0) AS score,
          regexp_matches(D.text, '\p{L}') AS letters
-       FROM D CROSS JOIN TT LEFT JOIN N ON N.doc_id = D.doc_id
+       FROM D JOIN TT USING (fold) JOIN V USING (fold) LEFT JOIN N ON N.doc_id = D.doc_id
        LEFT JOIN HIT ON HIT.doc_id = D.doc_id AND HIT.lang = TT.lang),
 PRED AS (SELECT doc_id, any_value(true_lang) AS lang,
            CASE WHEN bool_or(letters) THEN arg_min(lang, (-score, lang)) END AS pred_lang
@@ -515,3 +516,12 @@ H AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(39, floor((v - lo) / (hi - lo)
              count(*) AS count FROM C, B GROUP BY 1)
 SELECT bin, count, round(lo + bin * ((hi - lo) / 40), 6) AS bin_lo, round(lo + (bin + 1) * ((hi - lo) / 40), 6) AS bin_hi
 FROM H, B"""
+
+
+# 11. iterative and sampled operators ------------------------------------------------
+def _register_late() -> None:
+    from vellum.plans import oracle_topics
+    ORACLE.update(oracle_topics.build(_classes_ctes, _knn_ctes, _tfidf_ctes, DOCS, s))
+
+
+_register_late()

@@ -37,16 +37,13 @@ def topic_hierarchy(docs: DataFrame, *, cluster: str = "cluster_id", vec: str =
                     thresholds=H.SWEEP) -> TopicResult:
     d = drop_outliers(docs, cluster)
     cent = cut_lineage(centroids(d, cluster, vec))
-    H.check_cluster_count(cent)
-    pairs = cut_lineage(H.pair_table(cent, cluster))
-    items = cent.select(F.col(cluster).alias("item"))
     scores = None
     if auto_tune:
-        scores = cut_lineage(H.sweep(pairs, items, thresholds))
+        scores = cut_lineage(H.sweep(cent, cluster, thresholds))
         th = float(H.choose_threshold(scores).first()["th"])
     else:
         th = float(manual_threshold)
-    assign = H.label_clusters(H.average_linkage(pairs, items, [th])).select(
+    assign = H.label_clusters(H.average_linkage(cent, cluster, [th])).select(
         F.col("item").alias(cluster), F.col("label").alias("main_topic"))
     cards = cluster_cards(d, cluster, doc, text)
     topics = H.topic_keywords(assign, cards.select(cluster, "name"), cluster)

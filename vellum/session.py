@@ -21,9 +21,10 @@ def get_spark(master: str | None = None, app: str = "vellum",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("VELLUM_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
+    parts = shuffle_partitions or os.environ.get("VELLUM_SHUFFLE_PARTITIONS")
+    if parts:  # else the cluster's own setting holds
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
@@ -31,7 +32,8 @@ def get_spark(master: str | None = None, app: str = "vellum",
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
     if master and master.startswith("local"):
-        b = b.config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "16g"))
+        if memory := os.environ.get("VELLUM_DRIVER_MEMORY"):
+            b = b.config("spark.driver.memory", memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -63,6 +65,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame, use_table: bool = True) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and return a frame
     that reads it back: lineage is cut and the data survives executor loss.

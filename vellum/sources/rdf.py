@@ -182,13 +182,10 @@ def ingest_new_files(spark: SparkSession, root: str, out: str, pattern: str = "*
     ``out`` and append them; returns the number of new rows.  Keyed on the
     path, so adding files never shifts earlier work."""
     files = discover(spark, root, pattern)
-    try:
-        done = spark.read.parquet(out).select("file")
-        files = files.join(done, "file", "left_anti")
-    except Exception:  # noqa: BLE001 - first run: nothing landed yet
-        pass
+    from vellum.session import cut_lineage, path_exists
+    if path_exists(spark, out):
+        files = files.join(spark.read.parquet(out).select("file"), "file", "left_anti")
     new = parse_records(files)
-    from vellum.session import cut_lineage
     new = cut_lineage(new)
     n = new.count()
     if n:
@@ -221,16 +218,22 @@ def merge_batches(spark: SparkSession, paths: list[str]) -> DataFrame:
 def repair_batches(spark: SparkSession, src: str, dst: str) -> int:
     """Read all batch files (schemas merged, unreadable files skipped), conform
     and write to a *new* path.  Returns the row count written."""
-    prev = spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false")
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    try:
-        df = conform(spark.read.option("mergeSchema", "true").parquet(src), PUBLICATION_SCHEMA)
-        df.write.mode("overwrite").parquet(dst)
-    finally:
-        spark.conf.set("spark.sql.files.ignoreCorruptFiles", prev)
+    read = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
+    conform(read.parquet(src), PUBLICATION_SCHEMA).write.mode("overwrite").parquet(dst)
     return spark.read.parquet(dst).count()
 
 
+def skipped_inputs(spark: SparkSession, src: str) -> DataFrame:
+    """(file) of the batch files that gave no row: unreadable or empty ones."""
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+              .load(src).select(F.col("path").alias("file")))
+    read = (spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(src)
+            .select(F.input_file_name().alias("file")).distinct())
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return (listed.select(plain("file").alias("file"))
+            .join(read.select(plain(F.url_decode("file")).alias("file")), "file", "left_anti"))
+
+
 # S2 / S12 ---------------------------------------------------------------------------
 def sample_files(files: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     from vellum.operators.sample import stable_sample

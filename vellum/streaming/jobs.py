@@ -21,16 +21,15 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: str, out: str, ch
     """E1 as a stream: new Parquet files of (id, text) rows are embedded in
     micro-batches and appended to ``out``."""
     from vellum.operators.embed import embed
+    from vellum.session import path_exists
 
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
                 .parquet(source_dir))
 
     def per_batch(df: DataFrame, epoch_id: int) -> None:
         todo = df.select(id_col, text_col).dropDuplicates([id_col])
-        try:
+        if path_exists(spark, out):
             todo = todo.join(spark.read.parquet(out).select(id_col), id_col, "left_anti")
-        except Exception:  # noqa: BLE001 - empty sink on the first batch
-            pass
         v = embed(todo, id_col, text_col, encoder)
         bad = v.filter(~F.col("_dim_ok")).limit(1).count()
         if bad:
