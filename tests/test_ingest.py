@@ -157,3 +157,22 @@ def test_clean_job_partitions(spark, tmpdir_path, sf):
     res = clean_job(spark, src, prof, os.path.join(tmpdir_path, "en"), os.path.join(tmpdir_path, "other"))
     assert res["kept"] == 5
     assert res["english_scientific"] + res["english_not_scientific"] + res["other"] == res["kept"]
+
+
+def test_declared_charsets_and_last_type(spark, tmpdir_path):
+    """Bytes are read by byte-order mark or declaration; the last type and the last
+    notation count, by their own text; comments do not split a text."""
+    latin = HEAD.replace("UTF-8", "ISO-8859-1") + (
+        "<Article><dc:title>Caf\u00e9</dc:title><description><type>abstract</type><type>other</type>"
+        "<notation>not typed</notation></description><relatedTitle>one <!-- x -->two</relatedTitle></Article>") + TAIL
+    wide = HEAD.replace("UTF-8", "UTF-16") + (
+        "<Article><dc:title>\u65e5\u672c</dc:title><description><type>other</type><type>Abstract<b/>x</type>"
+        "<notation>first</notation><notation>last<i>inner</i></notation></description></Article>") + TAIL
+    _write(tmpdir_path, "latin.rdf", None, raw=latin.encode("latin-1"))
+    _write(tmpdir_path, "wide.rdf", None, raw=wide.encode("utf-16"))
+    _write(tmpdir_path, "prefix.rdf", GOOD.replace("dc:", "d:").replace("xmlns:dc", "xmlns:d"))
+    rows = {os.path.basename(r.file): r for r in rdf.ingest(spark, tmpdir_path).collect()}
+    assert rows["latin.rdf"].title == "Caf\u00e9" and rows["latin.rdf"].abstract == "not typed"
+    assert rows["latin.rdf"].related_titles == ["one two"]
+    assert rows["wide.rdf"].title == "\u65e5\u672c" and rows["wide.rdf"].abstract == "last"
+    assert rows["prefix.rdf"].publisher == "Pub" and rows["prefix.rdf"].topics == ["Physics", "Math"]

@@ -605,10 +605,10 @@ def ingest_rdf(spark, sf):
     from vellum.sources.rdf import documents_as_rdf, parse_records
     d = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
     p = parse_records(documents_as_rdf(d))
-    return p.select("file", "title", F.length("abstract").alias("abstract_chars"),
-                    F.array_join("authors", ";").alias("authors"),
-                    F.array_join("affiliations", ";").alias("affiliations"), "doi", "journal", "publisher",
-                    "publication_date", F.array_join("topics", ";").alias("topics"), "created_at", "error")
+    lists = {"authors", "affiliations", "topics", "related_titles"}
+    shown = {"abstract": F.length("abstract").alias("abstract_chars"),
+             "error": F.substring_index("error", ":", 1).alias("error")}
+    return p.select(*[F.array_join(c, ";").alias(c) if c in lists else shown.get(c, F.col(c)) for c in p.columns])
 
 
 # 7. language ---------------------------------------------------------------------------

@@ -434,12 +434,20 @@ ORACLE["keyword_join_report"] = """
 SELECT 0 AS merged_cluster_id, 'unknown: ' || source AS name FROM documents
 WHERE text IS NOT NULL AND source <> '-1' GROUP BY source"""
 
+_RDF = {
+    "title": f"nullif({s.first_line('text')}, '')",
+    "abstract_chars": f"length(nullif({s.strip('text')}, ''))::INTEGER",
+    "doi": "'10.1000/' || doc_id", "authors": "'Author ' || doc_id", "affiliations": "source",
+    "journal": "'Journal ' || source", "publisher": "lang",
+    "publication_date": "'2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')",
+    "volume": "(doc_id % 40)::VARCHAR", "issue": "'7'", "start_page": "doc_id::VARCHAR",
+    "end_page": "(doc_id + 9)::VARCHAR", "topics": "source", "related_titles": "'About ' || source",
+    "created_at": "'2024-02-01'", "modified_at": "'2024-03-0' || (doc_id % 9)",
+}
+_RDF_COLS = ", ".join(f"CASE WHEN doc_id % 97 <> 13 THEN {v} END AS {k}" for k, v in _RDF.items())
 ORACLE["ingest_rdf"] = f"""
-SELECT 'doc-' || doc_id || '.rdf' AS file, nullif({s.first_line('text')}, '') AS title,
-  length(nullif({s.strip('text')}, ''))::INTEGER AS abstract_chars, 'Author ' || doc_id AS authors,
-  source AS affiliations, CAST(NULL AS VARCHAR) AS doi, 'Journal ' || source AS journal, lang AS publisher,
-  '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS publication_date, source AS topics,
-  '2024-02-01' AS created_at, CAST(NULL AS VARCHAR) AS error
+SELECT 'doc-' || doc_id || '.rdf' AS file, {_RDF_COLS},
+       CASE WHEN doc_id % 97 = 13 THEN 'ParseError' END AS error
 FROM documents"""
 
 

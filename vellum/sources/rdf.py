@@ -3,7 +3,8 @@
 Files are read with the ``binaryFile`` source (recursive, glob-filtered);
 each record becomes one row of the publications table.  A malformed file
 never fails the job: an Arrow-batched pandas UDF parses the bytes with the
-standard-library XML parser and returns ``None`` or the error text
+standard-library XML parser, which honours byte-order marks and declared
+encodings, and returns the decoded record or the error text
 (``"ParseError: …"``); field extraction then runs as Spark ``xpath*``
 expressions only on rows without an error, and every other column is NULL
 for the broken rows.
@@ -44,28 +45,34 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.rdf") -> DataFram
 
 
 # S3 validity ------------------------------------------------------------------------
-def _check(b):
+# Namespaces whose prefixes the field paths use.
+PREFIXES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
+    "dc": "http://purl.org/dc/elements/1.1/",
+    "prism": "http://prismstandard.org/namespaces/basic/2.0/",
+}
+
+
+def _read(b) -> tuple[str | None, str | None]:
+    """(the record written out anew, error).  The parser reads the encoding from
+    the byte-order mark or the declaration; comments are gone and prefixes are
+    those of `PREFIXES` in what comes out."""
     if b is None:
-        return "ValueError: no content"
+        return None, "ValueError: no content"
     try:
-        ET.fromstring(bytes(b))
-        return None
+        return ET.tostring(ET.fromstring(bytes(b)), encoding="unicode"), None
     except ET.ParseError as e:
-        return f"ParseError: {e}"
+        return None, f"ParseError: {e}"
     except Exception as e:  # noqa: BLE001 - the message is the data
-        return f"{type(e).__name__}: {e}"
+        return None, f"{type(e).__name__}: {e}"
 
 
-@F.pandas_udf(T.StringType())
-def xml_error(content: pd.Series) -> pd.Series:
-    """NULL for well-formed XML, else the parser's message."""
-    return content.map(_check)
-
-
-def as_text(content: str | Column) -> Column:
-    """UTF-8 text of the bytes with a leading byte-order mark removed."""
-    c = F.col(content) if isinstance(content, str) else content
-    return F.regexp_replace(F.decode(c, "UTF-8"), "^﻿", "")
+@F.pandas_udf(T.StructType([T.StructField("xml", T.StringType()), T.StructField("error", T.StringType())]))
+def read_xml(content: pd.Series) -> pd.DataFrame:
+    """(xml, error): the decoded record, or the parser's message."""
+    for prefix, uri in PREFIXES.items():
+        ET.register_namespace(prefix, uri)
+    return pd.DataFrame([_read(b) for b in content], columns=["xml", "error"], dtype=object)
 
 
 # X1–X9 ------------------------------------------------------------------------------
@@ -97,15 +104,17 @@ def xpath_fetches(x: Column) -> dict[str, Column]:
     list fields need one call each: 9 parses per document."""
     title_any = "//*[name()='dc:title']"
     title_ne = f"{title_any}[not(@*[local-name()='lang']='en')]"
-    typed = (f"//{_ln('description')}[{_ln('type')}[translate(normalize-space(.),'{UPPER}','{LOWER}')"
-             f"='abstract']][{_ln('notation')}[string-length(.)>0]]")
+    # an element's own text is what stands before its first child
+    own = "text()[1][not(preceding-sibling::*)]"
+    typed = (f"//{_ln('description')}[translate(normalize-space({_ln('type')}[{own}][last()]/{own}),"
+             f"'{UPPER}','{LOWER}')='abstract'][{_ln('notation')}[{own}]]")
     pub = f"(//{_ln('publication')})[1]"
     pub_names = ("publicationName", "publisher", "publicationDate", "volume", "number",
                  "startingPage", "endingPage")
     parts = [
         f"count({title_ne})", f"({title_ne})[1]", f"({title_any})[1]",
-        f"({typed})[1]/{_ln('notation')}[string-length(.)>0][last()]",
-        f"(//{_ln('notation')}[string-length(.)>0])[1]",
+        f"({typed})[1]/{_ln('notation')}[{own}][last()]/{own}",
+        f"(//{_ln('notation')}[{own}])[1]/{own}",
         (f"(//{_ln('productIdentifier')}/{_ln('identifier')}"
          f"[contains(@*[local-name()='datatype'],'DOI')])[1]"),
         f"(//{_ln('createdAt')}[string-length(.)>0])[last()]",
@@ -153,16 +162,16 @@ def fields_from_fetches() -> dict[str, Column]:
 def parse_records(df: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """(file, content bytes) → publications table (18 columns, fixed order).
 
-    Three steps: validity flag; each XPath once into a column; fields from
-    those columns."""
-    checked = df.select(F.col(file).alias("file"), F.col(content).alias("_bytes")).withColumn(
-        "error", xml_error("_bytes"))
+    Three steps: the record decoded and checked; each XPath once into a column;
+    fields from those columns."""
+    checked = df.select(F.col(file).alias("file"), read_xml(F.col(content)).alias("_r")).select(
+        "file", F.col("_r.xml").alias("_xml"), F.col("_r.error").alias("error"))
     ok = F.col("error").isNull()
     # XPath only ever sees well-formed input: broken records are swapped for
     # a stub document, so no evaluation order can make a malformed file
     # fail the job.
     safe = checked.select("file", "error",
-                          F.when(ok, as_text("_bytes")).otherwise(F.lit("<none/>")).alias("_x"))
+                          F.when(ok, F.col("_xml")).otherwise(F.lit("<none/>")).alias("_x"))
     # a one-row generator is an optimisation barrier: without it the
     # projections are collapsed and each XPath is re-run per reference
     fetched = safe.select("file", "error", F.inline(F.array(F.struct(
@@ -273,9 +282,18 @@ def documents_as_rdf(docs: DataFrame) -> DataFrame:
         F.lit("</prism:publicationName><dc:publisher>"), F.col("lang"),
         F.lit("</dc:publisher><prism:publicationDate>2024-01-"),
         F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"),
-        F.lit("</prism:publicationDate></publication>"),
+        F.lit("</prism:publicationDate><prism:volume>"), F.pmod("doc_id", F.lit(40)).cast("string"),
+        F.lit("</prism:volume><prism:number> 7 </prism:number><prism:startingPage>"), F.col("doc_id").cast("string"),
+        F.lit("</prism:startingPage><prism:endingPage>"), (F.col("doc_id") + 9).cast("string"),
+        F.lit("</prism:endingPage></publication>"),
+        F.lit('<productIdentifier><identifier rdf:datatype="https://example.org/NAID">x</identifier>'
+              '<identifier rdf:datatype="https://example.org/DOI">10.1000/'), F.col("doc_id").cast("string"),
+        F.lit("</identifier></productIdentifier>"),
         F.lit('<topic dc:title="'), F.col("source"), F.lit('"/>'),
+        F.lit("<relatedTitle> About <!-- a comment -->"), F.col("source"), F.lit(" </relatedTitle>"),
         F.lit("<createdAt>2024-01-01</createdAt><createdAt> 2024-02-01 </createdAt>"),
-        F.lit("</Article></rdf:RDF>"))
+        F.lit("<modifiedAt>2024-03-0"), F.pmod("doc_id", F.lit(9)).cast("string"), F.lit("</modifiedAt>"),
+        # one record in 97 breaks off
+        F.when(F.pmod("doc_id", F.lit(97)) == 13, F.lit("</Article>")).otherwise(F.lit("</Article></rdf:RDF>")))
     return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".rdf")).alias("file"),
                        F.encode(body, "UTF-8").alias("content"))
