@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions.text import tolerant_timestamp
+from vellum.functions.text import parse_list_literal, tolerant_timestamp, ustrip
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -103,8 +103,9 @@ def null_share_by_group(df: DataFrame, col: str, by: str) -> DataFrame:
 # A6 ------------------------------------------------------------------------------
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row over all hashable columns."""
-    cols = _hashable(df)
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"))
+    # a 256-bit hash of the row stands for it in the shuffle, whatever the row's size
+    key = F.sha2(F.to_json(F.struct(*_hashable(df)), {"ignoreNullFields": "false"}), 256)
+    g = df.groupBy(key.alias("row")).agg(F.count(F.lit(1)).alias("c"))
     return g.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("n_duplicates"),
                  F.count(F.lit(1)).alias("n_distinct_rows"))
 
@@ -210,9 +211,69 @@ def coverage(df: DataFrame, col: str) -> DataFrame:
 
 # A13 -----------------------------------------------------------------------------
 def list_item_counts(df: DataFrame, col: str, n: int = 20) -> DataFrame:
-    """Explode a list column and count items (top-n)."""
-    items = df.select(F.explode(F.col(col)).alias("item"))
-    return value_counts(items, "item", n)
+    """Explode a list column and count its items (top-n), stripped, blanks dropped."""
+    items = df.select(F.explode(F.col(col)).alias("item")).select(ustrip(F.col("item").cast("string")).alias("item"))
+    return value_counts(items.filter(F.col("item") != ""), "item", n)
+
+
+def list_profile(df: DataFrame, cols: Sequence[str], n: int = 20) -> DataFrame:
+    """(column, is_list, value, count): for each column whether it holds lists
+    (arrays or list literals) and its most frequent items."""
+    out = None
+    for c in cols:
+        is_list = looks_like_list(df, c)
+        kind = df.schema[c].dataType
+        items = (df.select(F.col(c).alias("l")) if isinstance(kind, T.ArrayType)
+                 else df.select((parse_list_literal(c) if is_list else F.array(F.col(c).cast("string"))).alias("l")))
+        part = list_item_counts(items, "l", n).select(F.lit(c).alias("column"), F.lit(is_list).alias("is_list"),
+                                                      "value", "count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Q1, Q2, Q5, Q10: whole reports in long form --------------------------------------
+def _facts(df: DataFrame, section: str, name, value) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("long").alias("value"))
+
+
+def overview(df: DataFrame) -> DataFrame:
+    """(section, name, value): rows, duplicate rows, columns by type, nulls and
+    distinct values by column."""
+    dup = duplicate_rows(df)
+    types = type_tally(df)
+    nulls = null_profile(df)
+    return (_facts(dup, "rows", F.lit("duplicates"), F.col("n_duplicates"))
+            .unionByName(_facts(dup, "rows", F.lit("distinct"), F.col("n_distinct_rows")))
+            .unionByName(_facts(types, "type", F.col("type"), F.col("n_columns")))
+            .unionByName(_facts(nulls, "nulls", F.col("column"), F.col("n_null")))
+            .unionByName(_facts(nulls, "distinct", F.col("column"), F.col("n_distinct"))))
+
+
+def metadata_profile(df: DataFrame, categories: Sequence[str], error: str = "error", top: int = 10) -> DataFrame:
+    """(section, name, value): coverage of every column, error counts with the most
+    frequent errors, and each category's number of values and top values."""
+    present = df.agg(F.count(F.lit(1)).alias("__all"), *[F.count(c).alias(c) for c in df.columns])
+    cover = present.select(_stack([("rows", [F.col("__all")])] + [(c, [F.col(c)]) for c in df.columns],
+                                  ["name", "value"]))
+    out = _facts(cover, "present", F.col("name"), F.col("value"))
+    errors = df.filter(F.col(error).isNotNull()).select(F.substring_index(error, ":", 1).alias("kind"))
+    out = out.unionByName(_facts(value_counts(errors, "kind", top), "error", F.col("value"), F.col("count")))
+    for c in categories:
+        n = df.agg(F.count_distinct(c).alias("n"))
+        out = out.unionByName(_facts(n, "distinct", F.lit(c), F.col("n")))
+        out = out.unionByName(_facts(value_counts(df, c, top), f"top {c}", F.col("value"), F.col("count")))
+    return out
+
+
+def describe_by(df: DataFrame, value: str, by: str, digits: int = 6) -> DataFrame:
+    """count, mean, std and five-number summary of a value for each category."""
+    v = F.col(value).cast("double")
+    q = F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+    g = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                           F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
+    r = lambda c, n: F.round(c, digits).alias(n)
+    return g.select(by, "n", r("mean", "mean"), r("std", "std"), r("min", "min"), r(F.col("q")[0], "p25"),
+                    r(F.col("q")[1], "median"), r(F.col("q")[2], "p75"), r("max", "max"))
 
 
 def looks_like_list(df: DataFrame, col: str, share: float = 0.5) -> bool:

@@ -745,3 +745,54 @@ def confidence_profile(spark, sf):
     p = knn_main(spark, sf)
     return histogram(p.select(F.col("confidence").cast("double").alias("confidence")), "confidence", 40) \
         .select("bin", "count", F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"))
+
+
+# 11. whole reports -----------------------------------------------------------------------
+@register
+def clean_text_pages(spark, sf):
+    """T1/T2 over raw pages, whose texts hold tags, entities and dollar signs."""
+    p = table(spark, sf, "pages", "page_id", "html").select("page_id", tx.clean_abstract("html").alias("t"))
+    return p.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@register
+def table_overview(spark, sf):
+    """Rows, duplicates, types and nulls of the labelled documents."""
+    from vellum.operators.profile import overview
+    return overview(documents_with_labels(spark, sf))
+
+
+@register
+def publication_profile(spark, sf):
+    """Coverage, errors and categories of the parsed publications."""
+    from vellum.operators.profile import metadata_profile
+    from vellum.sources.rdf import documents_as_rdf, parse_records
+    d = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    return metadata_profile(parse_records(documents_as_rdf(d)), ["journal", "publisher", "volume", "publication_date"])
+
+
+@register
+def confidence_by_class(spark, sf):
+    """Q3: kNN confidence described for each predicted class."""
+    from vellum.operators.profile import describe_by
+    return describe_by(knn_main(spark, sf), "confidence", "pred_label")
+
+
+@register
+def prediction_profile(spark, sf):
+    """Q10: coverage and categories of the prediction columns."""
+    from vellum.operators.profile import metadata_profile
+    p = predictions_with_truth(spark, sf)
+    kept = p.select("lcc_main_name_pred", "lcc_name_pred", "sub_model_used", "truth_source",
+                    F.when(F.col("gt_main").isNull(), F.lit("no truth: none found")).alias("error"))
+    return metadata_profile(kept, ["lcc_main_name_pred", "lcc_name_pred", "truth_source"])
+
+
+@register
+def list_profile(spark, sf):
+    """List detection and item counts of array, literal and plain columns."""
+    from vellum.operators.profile import list_profile as lp
+    d = table(spark, sf, "part", "p_name", "p_type").select(
+        F.split("p_name", " ").alias("words"), "p_type",
+        F.concat(F.lit("[' "), F.replace("p_name", F.lit(" "), F.lit("', '")), F.lit("', ' ']")).alias("literal"))
+    return lp(d, ["words", "literal", "p_type"])

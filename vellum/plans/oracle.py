@@ -526,7 +526,70 @@ SELECT bin, count, round(lo + bin * ((hi - lo) / 40), 6) AS bin_lo, round(lo + (
 FROM H, B"""
 
 
-# 11. iterative and sampled operators ------------------------------------------------
+# 11. whole reports ------------------------------------------------------------------
+def _decoded(x: str) -> str:
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', {s.q(char)})"
+    return x
+
+
+_PAGE = s.clean_abstract("html", decode=_decoded)
+ORACLE["clean_text_pages"] = f"""
+SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {_PAGE} AS t FROM pages)"""
+
+_LABELLED = "SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)"
+_LABELLED_COLS = ("doc_id", "lang", "source", "n_chars", "quality", "toxic")
+ORACLE["table_overview"] = f"""
+WITH L AS ({_LABELLED}), G AS (SELECT count(*) AS c FROM L GROUP BY {", ".join(_LABELLED_COLS)}),
+T AS (SELECT CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' END AS t
+      FROM (DESCRIBE {_LABELLED}))
+SELECT 'rows' AS section, 'duplicates' AS name, sum(c - 1)::BIGINT AS value FROM G
+UNION ALL SELECT 'rows', 'distinct', count(*) FROM G
+UNION ALL SELECT 'type', t, count(*) FROM T GROUP BY t
+""" + "".join(f"""UNION ALL SELECT 'nulls', '{c}', count(*) FILTER (WHERE {c} IS NULL) FROM L
+UNION ALL SELECT 'distinct', '{c}', count(DISTINCT {c}) FROM L
+""" for c in _LABELLED_COLS)
+
+
+def _metadata_sql(src: str, columns, categories, top: int = 10) -> str:
+    parts = [f"SELECT 'present' AS section, 'rows' AS name, count(*) AS value FROM {src}"]
+    parts += [f"SELECT 'present', '{c}', count({c}) FROM {src}" for c in columns]
+    parts.append(f"SELECT * FROM (SELECT 'error', split_part(error, ':', 1) AS v, count(*) AS n FROM {src} "
+                 f"WHERE error IS NOT NULL GROUP BY 2 ORDER BY n DESC, v LIMIT {top})")
+    for c in categories:
+        parts.append(f"SELECT 'distinct', '{c}', count(DISTINCT {c}) FROM {src}")
+        parts.append(f"SELECT * FROM (SELECT 'top {c}', {c} AS v, count(*) AS n FROM {src} "
+                     f"WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY n DESC, v LIMIT {top})")
+    return "\nUNION ALL ".join(parts)
+
+
+_PUB_COLS = ["file"] + ["abstract" if k == "abstract_chars" else k for k in _RDF] + ["error"]
+ORACLE["publication_profile"] = f"""
+WITH R AS ({ORACLE["ingest_rdf"].replace("AS abstract_chars", "AS abstract")})
+{_metadata_sql("R", _PUB_COLS, ["journal", "publisher", "volume", "publication_date"])}"""
+
+ORACLE["confidence_by_class"] = f"""WITH {_classes_ctes()},
+{_knn_ctes('K', 3, 'label')},
+C AS (SELECT pred AS pred_label, CAST(conf AS DOUBLE) AS v FROM KP)
+SELECT pred_label, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min,
+  round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median,
+  round(quantile_cont(v, 0.75), 6) AS p75, round(max(v), 6) AS max FROM C GROUP BY 1"""
+
+ORACLE["prediction_profile"] = f"""WITH {TWO_STAGE},
+PP AS (SELECT lcc_main_name_pred, lcc_name_pred, sub_model_used, truth_source,
+         CASE WHEN gt_main IS NULL THEN 'no truth: none found' END AS error FROM PT2)
+{_metadata_sql("PP", ["lcc_main_name_pred", "lcc_name_pred", "sub_model_used", "truth_source", "error"],
+               ["lcc_main_name_pred", "lcc_name_pred", "truth_source"])}"""
+
+_ITEMS = "SELECT * FROM (SELECT '{c}' AS \"column\", {l} AS is_list, v AS value, count(*) AS count FROM ({src}) WHERE v <> '' GROUP BY v ORDER BY count DESC, v LIMIT 20)"
+ORACLE["list_profile"] = "\nUNION ALL ".join(
+    _ITEMS.format(c=c, l=l, src=src) for c, l, src in (
+        ("words", "true", "SELECT trim(unnest(string_split(p_name, ' '))) AS v FROM part"),
+        ("literal", "true", "SELECT trim(unnest(string_split(p_name, ' '))) AS v FROM part"),
+        ("p_type", "false", "SELECT trim(p_type) AS v FROM part")))
+
+
+# 12. iterative and sampled operators ------------------------------------------------
 def _register_late() -> None:
     from vellum.plans import oracle_topics
     ORACLE.update(oracle_topics.build(_classes_ctes, _knn_ctes, _tfidf_ctes, DOCS, s))

@@ -26,11 +26,11 @@ def blank(x: str) -> str:
     return f"coalesce({strip(x)} = '', true)"
 
 
-def clean_abstract(x: str) -> str:
-    """T1 without entity decoding (the oracle tables hold no entities)."""
+def clean_abstract(x: str, decode=lambda x: x) -> str:
+    """T1; ``decode`` writes the SQL that decodes a table's entities (most hold none)."""
     one = q(r"\1")
     t = f"coalesce({x}, '')"
-    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    t = decode(f"regexp_replace({t}, '<[^>]+>', ' ', 'g')")
     t = f"regexp_replace({t}, {q(r'\\"([a-zA-Z])')}, {one}, 'g')"
     t = f"regexp_replace({t}, {q(r"\\'")}, '', 'g')"
     t = f"regexp_replace({t}, {q(r'\$(.*?)\$')}, {one}, 'g')"
