@@ -6,16 +6,15 @@ Design notes for scale:
 * totals for shares come from scalar subqueries (``df.scalar()``), which
   run as a separate tiny job and are inlined as a literal — no cross join
   and no single-partition window over the data;
-* exact quantiles use Spark's ``percentile`` (partial value→count maps), which
-  is bounded by the number of *distinct* values; for high-cardinality
-  columns pass ``exact=False`` to use ``percentile_approx``.
+* exact quantiles count equal values, then rank only the parts of the value
+  range that hold a wanted rank, part by part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,21 +49,29 @@ def type_tally(df: DataFrame) -> DataFrame:
 
 # A3 / Q1 -------------------------------------------------------------------------
 def null_profile(df: DataFrame, exact_distinct: bool = True, only_with_nulls: bool = False) -> DataFrame:
-    """Per column: rows, nulls, % null, distinct non-null values — one pass."""
+    """Per column: rows, nulls, % null, distinct non-null values.
+
+    Distinct values are counted through (column, 128-bit hash) groups, so values
+    are summed up before the shuffle and rows are not repeated per column set;
+    ``exact_distinct=False`` uses sketches.
+    """
     cols = df.columns
     hashable = set(_hashable(df))
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"__z{i}"))
-        if c in hashable:
-            d = F.count_distinct(F.col(c)) if exact_distinct else F.approx_count_distinct(F.col(c))
-        else:
-            d = F.lit(None).cast("long")
-        aggs.append(d.alias(f"__d{i}"))
+        approx = not exact_distinct and c in hashable
+        aggs.append((F.approx_count_distinct(F.col(c)) if approx else F.lit(None).cast("long")).alias(f"__d{i}"))
     wide = df.agg(*aggs)
     long = wide.select(F.col("__n").alias("n_rows"), _stack(
         [(c, [F.col(f"__z{i}"), F.col(f"__d{i}")]) for i, c in enumerate(cols)],
         ["column", "n_null", "n_distinct"]))
+    if exact_distinct and hashable:
+        values = df.select(_stack([(c, [F.md5(F.col(c).cast("string"))]) for c in cols if c in hashable],
+                                  ["column", "value"])).filter(F.col("value").isNotNull()).distinct()
+        counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("__c"))
+        known = F.when(F.col("column").isin(sorted(hashable)), F.coalesce("__c", F.lit(0)))
+        long = long.join(counts, "column", "left").withColumn("n_distinct", known.cast("long"))
     out = long.withColumn("pct_null", F.round(F.col("n_null") * 100.0 / F.col("n_rows"), 2))
     if only_with_nulls:
         out = out.filter(F.col("n_null") > 0)
@@ -111,25 +118,61 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 # A7 ------------------------------------------------------------------------------
-def _quartiles(c: Column, exact: bool) -> Column:
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return F.percentile(c, probs) if exact else F.percentile_approx(c, probs, 10000)
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """(key, q): interpolated quantiles of the non-null values of each key.
+
+    Equal values are counted first.  Counts are added up in parts of the value
+    range (64 to each power of two), which tells the parts that hold a wanted
+    rank; only the values of those parts are ranked, part by part.  No task sees
+    all values of a key.
+    """
+    v = F.col(value).cast("double")
+    c = (df.filter(v.isNotNull()).groupBy(F.col(key).alias("k"), v.alias("v"))
+         .agg(F.count(F.lit(1)).alias("n")))
+    c = c.withColumn("part", F.signum("v") * F.floor(F.log2(1 + F.abs("v")) * 64))
+    order = Window.partitionBy("k").orderBy("part")
+    parts = c.groupBy("k", "part").agg(F.sum("n").alias("n")).withColumns({
+        "base": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "all": F.sum("n").over(Window.partitionBy("k"))})
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("all") - 1)).alias("pos"))
+                      for i, p in enumerate(probs)])
+    wanted = parts.withColumn("w", F.explode(ranks)).select(
+        F.col("k").alias("wk"), F.col("part").alias("wpart"), "base", F.col("n").alias("held"), "w.i", "w.pos")
+    wanted = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
+    wanted = wanted.filter((F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("held")))
+    held = c.join(wanted.select("wk", "wpart", "base").distinct(),
+                  F.col("k").eqNullSafe(F.col("wk")) & (F.col("part") == F.col("wpart")))
+    inside = Window.partitionBy("k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = held.select("k", "part", "v", "n", "base").withColumn("upto", F.col("base") + F.sum("n").over(inside))
+    found = upto.select("k", "part", "v", "n", "upto").join(
+        wanted.drop("base", "held"), F.col("k").eqNullSafe(F.col("wk")) & (F.col("part") == F.col("wpart"))
+        & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    low = F.max(F.when(F.col("rank") == F.floor("pos"), F.col("v")))
+    high = F.max(F.when(F.col("rank") == F.ceil("pos"), F.col("v")))
+    share = F.first(F.col("pos") - F.floor("pos"))
+    each = found.groupBy("k", "i").agg((low + (high - low) * share).alias("x"))
+    return each.groupBy(F.col("k").alias(key)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("q"))
+
+
+def describe_by(df: DataFrame, value: str, by: str, digits: int = 6) -> DataFrame:
+    """count, mean, std (n−1) and five-number summary of a value for each key."""
+    v = F.col(value).cast("double")
+    g = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                           F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(df, by, value, (0.25, 0.5, 0.75)).withColumnRenamed(by, "__by")
+    j = g.join(q, F.col(by).eqNullSafe(F.col("__by")), "left")
+    r = lambda c, n: F.round(c, digits).alias(n)
+    return j.select(by, "n", r("mean", "mean"), r("std", "std"), r("min", "min"), r(F.col("q")[0], "p25"),
+                    r(F.col("q")[1], "median"), r(F.col("q")[2], "p75"), r("max", "max"))
 
 
-def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, digits: int = 6) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """count, mean, std (n−1), min, quartiles, max per column, long form."""
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), _quartiles(v, exact).alias(f"q{i}"), F.max(v).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    pairs = [(c, [F.col(f"n{i}").cast("double"), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"),
-                  F.col(f"q{i}")[0], F.col(f"q{i}")[1], F.col(f"q{i}")[2], F.col(f"hi{i}")])
-             for i, c in enumerate(cols)]
-    out = wide.select(_stack(pairs, ["column"] + names))
-    return out.select("column", *[F.round(n, digits).alias(n) for n in names])
+    long = df.select(_stack([(c, [F.col(c).cast("double")]) for c in cols], ["column", "value"]))
+    d = describe_by(long, "value", "column", digits)
+    return d.select("column", F.round(F.col("n").cast("double"), digits).alias("count"), "mean", "std", "min",
+                    "p25", F.col("median").alias("p50"), "p75", "max")
 
 
 # A8 ------------------------------------------------------------------------------
@@ -152,19 +195,14 @@ def top_categories(df: DataFrame, by: str, n: int) -> DataFrame:
     return value_counts(df, by, n).select(F.col("value").alias(by))
 
 
-def box_stats(df: DataFrame, value: str, by: str, top_n: int = 15, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, top_n: int = 15, digits: int = 12) -> DataFrame:
     """Five-number summary per category for the ``top_n`` most frequent ones.
 
     The top-n key list is tiny (n rows) and joined with a broadcast semi join.
     """
     keys = F.broadcast(top_categories(df, by, top_n))
-    v = F.col(value).cast("double")
-    q = (F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])) if exact
-         else F.percentile_approx(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]), 10000))
-    g = (df.join(keys, by, "left_semi").groupBy(by)
-           .agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max")))
-    return g.select(by, "n", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"),
-                    F.col("q")[2].alias("p75"), "max")
+    d = describe_by(df.join(keys, by, "left_semi"), value, by, digits)
+    return d.select(by, "n", "min", "p25", "median", "p75", "max")
 
 
 # A10 -----------------------------------------------------------------------------
@@ -265,16 +303,6 @@ def metadata_profile(df: DataFrame, categories: Sequence[str], error: str = "err
     return out
 
 
-def describe_by(df: DataFrame, value: str, by: str, digits: int = 6) -> DataFrame:
-    """count, mean, std and five-number summary of a value for each category."""
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    g = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                           F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    r = lambda c, n: F.round(c, digits).alias(n)
-    return g.select(by, "n", r("mean", "mean"), r("std", "std"), r("min", "min"), r(F.col("q")[0], "p25"),
-                    r(F.col("q")[1], "median"), r(F.col("q")[2], "p75"), r("max", "max"))
-
 
 def looks_like_list(df: DataFrame, col: str, share: float = 0.5) -> bool:
     """Auto-detect list-literal strings: > ``share`` of all non-null values."""

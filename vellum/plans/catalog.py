@@ -239,9 +239,9 @@ def list_literal_items(spark, sf):
 @register
 def text_length_profile(spark, sf):
     """Q4: abstract lengths clipped at their 99th percentile, 50 equal bins."""
-    from vellum.operators.profile import histogram
+    from vellum.operators.profile import exact_quantiles, histogram
     d = table(spark, sf, "documents", "text").select(F.length("text").alias("len"))
-    p99 = d.select(F.percentile("len", F.lit(0.99))).scalar()
+    p99 = exact_quantiles(d.withColumn("k", F.lit(1)), "k", "len", [0.99]).select(F.col("q")[0]).scalar()
     return histogram(d.select(F.least(F.col("len").cast("double"), p99).alias("len")), "len", 50)
 
 
