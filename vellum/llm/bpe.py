@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from vellum.llm.common import map_batches, worker_cache
 
 SHIFT = 21          # pair keys: first << SHIFT | second
-PIECES_KEPT = 300_000  # memoised pieces in a worker; the table is emptied when full
+PIECES_KEPT = 200_000  # memoised pieces of a task; the table is emptied when full
 PIECE_BYTES = 64    # longer pieces are encoded but not memoised
-PAIRS_KEPT = 300_000
+PAIRS_KEPT = 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -133,6 +133,10 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.merges.seen.clear()
+
     def piece(self, text: str) -> list[int]:
         """Ids of the merges of a piece, given as Latin-1 characters."""
         n, size, fits = len(text), self.size, self.merges.compatible
@@ -193,8 +197,12 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", out:
 
     def make():
         enc = worker_cache(f"bpe {path} {pattern}", lambda: Encoder(*shared.value, pattern))
-        return lambda texts: [pa.array([enc.encode(t) if t else b"" for t in texts.to_pylist()],
-                                       pa.binary())]
+
+        def run(texts: pa.Array) -> list[pa.Array]:
+            return [pa.array([enc.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())]
+
+        run.close = enc.forget
+        return run
 
     return map_batches(df, [text], T.StructType([T.StructField(out, T.BinaryType())]),
                        df.columns if keep is None else keep, make)

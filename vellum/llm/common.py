@@ -52,7 +52,9 @@ def map_batches(df: DataFrame, inputs: list[str], outputs: T.StructType, keep: l
     """Append ``outputs`` to the ``keep`` columns, Arrow batch by Arrow batch.
 
     ``make()`` runs once in each task and returns a function from the input
-    arrays to the list of output arrays.  Rows stay in their partition.  A kept
+    arrays to the list of output arrays; its attribute ``close``, if any, is called
+    at the task's end, so that idle workers hold little.  Rows stay in their
+    partition.  A kept
     column that has an output's name is replaced by the output.
     """
     keep = [c for c in keep if c not in outputs.names]
@@ -71,6 +73,9 @@ def map_batches(df: DataFrame, inputs: list[str], outputs: T.StructType, keep: l
                 cols += [g if isinstance(g, pa.Array) else pa.array(g, t)
                          for g, t in zip(got, out_types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        if close := getattr(func, "close", None):
+            close()
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 
