@@ -75,11 +75,11 @@ def _nearest_kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
 
 
-def nearest_clusters(state: DataFrame) -> DataFrame:
+def nearest_clusters(state: DataFrame, rows: int) -> DataFrame:
     """(th, x, l, y): each cluster's nearest other cluster of its threshold."""
     mean = F.transform("s", lambda v: v / F.col("n"))
     key = state.schema["cluster"].dataType.simpleString()
-    blocks = -(-state.count() // BLOCK_CLUSTERS) or 1
+    blocks = -(-rows // BLOCK_CLUSTERS) or 1
     own = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     vec = state.select(F.col("th").alias("g"), "cluster", mean.alias("vec"), own.alias("own"))
@@ -104,28 +104,26 @@ def average_linkage(cent: DataFrame, key: str, thresholds: Sequence[float], vec:
     items = unit_items(cent, key, vec)
     state = cut_lineage(items.select(F.explode(th_arr).alias("th"), F.col("item").alias("cluster"),
                                      F.col("u").alias("s"), F.lit(1.0).alias("n")))
-    start = state.select("th", F.col("cluster").alias("item"))
+    start, rows = state.select("th", F.col("cluster").alias("item")), state.count()
     first, steps = state, []
+    below = (F.col("l") < F.col("th")) if strict else (F.col("l") <= F.col("th"))
     while True:
-        nn = cut_lineage(nearest_clusters(state))
-        back = nn.select("th", F.col("x").alias("y"), F.col("y").alias("x2"))
-        below = (F.col("l") < F.col("th")) if strict else (F.col("l") <= F.col("th"))
-        merges = cut_lineage(
-            nn.join(back, ["th", "y"]).filter((F.col("x2") == F.col("x")) & (F.col("x") < F.col("y")) & below)
-              .select("th", F.col("y").alias("old"), F.col("x").alias("new")))
-        drop_lineage_table(nn)
-        if merges.isEmpty():
+        nn = nearest_clusters(state, rows)
+        pair = nn.groupBy("th", F.least("x", "y").alias("new"), F.greatest("x", "y").alias("old"))
+        merges = cut_lineage(pair.agg(F.count(F.lit(1)).alias("sides"), F.min("l").alias("l"))
+                             .filter((F.col("sides") == 2) & below).select("th", "old", "new"))
+        merged = merges.count()
+        if not merged:
             break
         steps.append(merges)
-        old_state = state
+        old_state, rows = state, rows - merged
         live = state.join(merges.select("th").distinct(), "th", "left_semi")
-        joining = (live.join(merges.withColumnRenamed("old", "cluster"), ["th", "cluster"])
-                   .select("th", F.col("new").alias("cluster"), F.col("s").alias("s2"), F.col("n").alias("n2")))
-        staying = live.join(merges.select("th", F.col("old").alias("cluster")), ["th", "cluster"], "left_anti")
-        grown = F.when(F.col("n2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda a, b: a + b))
-        state = cut_lineage(staying.join(joining, ["th", "cluster"], "left")
-                            .select("th", "cluster", grown.alias("s"),
-                                    (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n")))
+        moved = live.join(merges.withColumnRenamed("old", "cluster"), ["th", "cluster"], "left").withColumn(
+            "cluster", F.coalesce("new", "cluster"))
+        both = moved.groupBy("th", "cluster").agg(F.collect_list("s").alias("all"), F.sum("n").alias("n"))
+        add = F.aggregate(F.slice("all", 2, 1), F.col("all")[0],
+                          lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        state = cut_lineage(both.select("th", "cluster", add.alias("s"), "n"))
         if old_state is not first:
             drop_lineage_table(old_state)
     # a cluster that was merged away points to the one it joined: follow to the end

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000  # centroid tables above this are shuffled, not broadcast
+MAX_BROADCAST_ROWS = 200_000  # key tables above this are shuffled, not broadcast
+BROADCAST_BYTES = 64 << 20    # centroid vectors above this are joined, not broadcast
+BLOCK_ROWS = 2048             # centroids of a block, about
+SALTS = 64
 
 
 def col(c):
@@ -77,18 +80,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
 
 
 # H2 / J12 ------------------------------------------------------------------------
-def packed_centroids(cent: DataFrame, key: str, vec: str = "centroid") -> Column:
-    """The whole (size-checked) centroid table as one array value.
-
-    Returned as a scalar subquery: computed once, inlined into the consuming
-    projection, so no join (and no pair rows) is needed to compare each row
-    with every centroid.
-    """
-    n = cent.count()
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n} centroids exceed the bound of {MAX_BROADCAST_ROWS}")
-    return cent.agg(F.array_sort(F.collect_list(
-        F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))))).scalar()
+def _with_blocks(df: DataFrame, cent: DataFrame, key: str, vec: str) -> DataFrame:
+    """Every row of ``df`` once for each block of centroids, with the block as the
+    array ``_all`` of (k, v).  Blocks hold about `BLOCK_ROWS` centroids each; the
+    table of blocks is broadcast if its bytes are few, else joined on block and salt,
+    so that rows spread over tasks."""
+    n, dim = cent.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    packed = (cent.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).groupBy("_b")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")))).alias("_all")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = df.withColumn("_b", every)
+    if n * (dim or 0) * 8 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(packed), "_b").drop("_b")
+    salted = packed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_s", F.floor(F.rand(7) * SALTS).cast("int"))
+    return rows.join(salted, ["_b", "_s"]).drop("_b", "_s")
 
 
 def centroid_distances(cent: DataFrame, key: str, vec: str = "centroid",
@@ -96,22 +103,23 @@ def centroid_distances(cent: DataFrame, key: str, vec: str = "centroid",
     """Cosine distance for every ordered pair of centroids (a, b).
 
     The output *is* all pairs (the operator's definition); the input is a
-    centroid table, one row per cluster, whose size is checked.
+    centroid table, one row per cluster.
     """
-    allc = packed_centroids(cent, key, vec)
     pairs = F.transform("_all", lambda c: F.struct(c["k"].alias("b"), cosine_distance(vec, c["v"]).alias("dist")))
-    out = cent.withColumn("_all", allc).select(F.col(key).alias("a"), F.inline(pairs))
+    out = _with_blocks(cent, cent, key, vec).select(F.col(key).alias("a"), F.inline(pairs))
     return out if include_diagonal else out.filter(F.col("a") != F.col("b"))
 
 
 # J11 / H7 ------------------------------------------------------------------------
 def soft_tags(docs: DataFrame, cent: DataFrame, doc_vec: str, key: str,
               cent_vec: str = "centroid", threshold: float = 0.25,
-              out: str = "subtopics") -> DataFrame:
+              out: str = "subtopics", doc: str = "doc_id") -> DataFrame:
     """Ids of every centroid with cosine similarity ≥ threshold, per document
-    (in centroid-id order; an empty list when none qualifies)."""
-    allc = packed_centroids(cent, key, cent_vec)
+    (in centroid-id order; an empty list when none qualifies).  ``doc`` is unique."""
     sims = F.transform("_all", lambda c: F.struct(c["k"].alias("k"),
                                                  cosine_similarity(doc_vec, c["v"]).alias("s")))
-    keep = F.filter(sims, lambda x: x["s"] >= threshold)
-    return docs.withColumn("_all", allc).withColumn(out, F.transform(keep, lambda x: x["k"])).drop("_all")
+    near = F.transform(F.filter(sims, lambda x: x["s"] >= threshold), lambda x: x["k"])
+    found = (_with_blocks(docs.select(doc, doc_vec), cent, key, cent_vec).select(doc, near.alias("_n"))
+             .groupBy(doc).agg(F.array_sort(F.flatten(F.collect_list("_n"))).alias(out)))
+    none = F.coalesce(out, F.array().cast(found.schema[out].dataType))
+    return docs.join(found, doc, "left").withColumn(out, none)

@@ -437,7 +437,7 @@ def soft_subtopics(spark, sf):
     from vellum.operators.vectors import centroids as cen, soft_tags
     e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     c = cen(e, "label", "embedding")
-    t = soft_tags(e, c, "embedding", "label", threshold=0.25)
+    t = soft_tags(e, c, "embedding", "label", threshold=0.25, doc="vec_id")
     return t.select("vec_id", F.array_join("subtopics", ",").alias("subtopics"))
 
 

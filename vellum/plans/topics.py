@@ -48,7 +48,7 @@ def topic_hierarchy(docs: DataFrame, *, cluster: str = "cluster_id", vec: str =
     cards = cluster_cards(d, cluster, doc, text)
     topics = H.topic_keywords(assign, cards.select(cluster, "name"), cluster)
     tagged = soft_tags(H.assign_main_topics(d, assign, cluster), cent, vec, cluster,
-                       threshold=subtopic_similarity)
+                       threshold=subtopic_similarity, doc=doc)
     merged_members = (assign.join(cards.select(cluster, "name"), cluster)
                             .groupBy(F.col("main_topic").alias("merged_cluster_id"))
                             .agg(F.array_sort(F.collect_list("name")).alias("subclusters")))
