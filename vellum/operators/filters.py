@@ -21,23 +21,18 @@ META_KEYWORDS = ("article", "論文", "type:", "identifier:", "application/",
                  "text/", "pdf", "html", "doi", "report")
 MIN_ABSTRACT_CHARS = 100
 SENTENCE_MARKS = ".。、,"
-PAGE_NUM = "[0-9一二三四五六七八九十]"
-PAGE_DASH = "[-‐~〜]"
-DIAGNOSTIC_WORDS = ("bolometer", "flxloop", "fpellet", "interferometer", "cxrs",
-                    "ece", "diagnostic", "probe")
-BOILERPLATE_WORDS = ("type", "application", "departmental", "bulletin", "text",
-                     "論文", "記事", "表紙", "裏表紙", "奥付", "目次")
+# Whole patterns; WS and DIGIT spell out the white space and digits of Python's
+# regular expressions, which Java's and RE2's classes do not equal.
+CITATION_BODY = f"^.*(pp?\\.?{WS}*[0-9一二三四五六七八九十]+[-‐~〜][0-9一二三四五六七八九十]+).*;?{WS}*({DIGIT}{{4}})$"
+DIAGNOSTIC_BODY = f"\\blhd{WS}*(bolometer|flxloop|fpellet|interferometer|cxrs|ece|diagnostic|probe)\\b|^lhd\\b|\\blhd{WS}*#?{DIGIT}+"  # noqa: E501
+BOILERPLATE_BODY = "^(type|application|departmental|bulletin|text|論文|記事|表紙|裏表紙|奥付|目次)\\b"
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
-# Body of the citation rule: "pp. 12-34 ... 1999" at the very end.
-CITATION_BODY = (f"^.*(pp?\\.?{WS}*{PAGE_NUM}+{PAGE_DASH}{PAGE_NUM}+).*;?"
-                 f"{WS}*({DIGIT}{{4}})$")
 # Java: (?d) so that '.' stops only at '\n' (RE2 already behaves so).
 CITATION_RE = "(?d)" + CITATION_BODY
-DIAGNOSTIC_RE = ("(?iU)\\blhd" + WS + "*(" + "|".join(DIAGNOSTIC_WORDS) + ")\\b|^lhd\\b|\\blhd"
-                 + WS + "*#?" + DIGIT + "+")
-BOILERPLATE_RE = "(?iU)^(" + "|".join(BOILERPLATE_WORDS) + ")\\b"
+DIAGNOSTIC_RE = "(?iU)" + DIAGNOSTIC_BODY
+BOILERPLATE_RE = "(?iU)" + BOILERPLATE_BODY
 
 
 # F1 -------------------------------------------------------------------------

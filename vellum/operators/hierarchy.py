@@ -225,6 +225,17 @@ def reassign_topics(docs: DataFrame, report: DataFrame, topic: str = "topic") ->
     return x.withColumn("main_topic", F.when(F.col(topic) == -1, F.lit(-1)).otherwise(F.col("main_topic")))
 
 
+def labelled_documents(reassigned: DataFrame, labels: DataFrame, topic: str = "topic") -> DataFrame:
+    """H8: documents with the labels of their main topic and of their own topic;
+    outliers are labelled ``Outlier``.  ``labels``: (topic, label)."""
+    out = reassigned
+    for col, name in (("main_topic", "main_topic_label"), (topic, "subtopic_label")):
+        names = labels.select(F.col(topic).alias(col), F.col("label").alias(name))
+        text = F.when(F.col(col) == -1, F.lit("Outlier")).otherwise(F.col(name))
+        out = out.join(names, col, "left").withColumn(name, text)
+    return out
+
+
 # H9 / J8 / T9 --------------------------------------------------------------------
 def merged_topic_table(merged: DataFrame, cards: DataFrame) -> DataFrame:
     """merged (merged_cluster_id, subclusters) + cards (name, keywords) →

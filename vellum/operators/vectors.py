@@ -123,3 +123,12 @@ def soft_tags(docs: DataFrame, cent: DataFrame, doc_vec: str, key: str,
              .groupBy(doc).agg(F.array_sort(F.flatten(F.collect_list("_n"))).alias(out)))
     none = F.coalesce(out, F.array().cast(found.schema[out].dataType))
     return docs.join(found, doc, "left").withColumn(out, none)
+
+
+# J1 ------------------------------------------------------------------------------
+def lookup_vectors(rows: DataFrame, vectors: DataFrame, key: str, vec: str,
+                   order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their vector, rows without one).  Of several vectors of a key the
+    last by ``order`` counts; the second frame is the list of misses."""
+    last = vectors.groupBy(key).agg(F.max_by(vec, order).alias(vec))
+    return rows.join(last, key, "inner"), rows.join(vectors.select(key), key, "left_anti")

@@ -56,16 +56,27 @@ def english_split_counts(spark, sf):
               .groupBy("side").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
+def marked_title():
+    """Titles of which some name a diagnostic, and some are missing."""
+    kind = F.pmod("doc_id", F.lit(9))
+    return (F.when(kind == 1, F.concat(F.lit(" LHD #"), F.col("doc_id").cast("string")))
+            .when(kind == 2, F.concat(F.lit("the lhd  Probe "), "title")).when(kind == 3, F.lit(None))
+            .when(kind == 4, F.concat(F.lit("lhdx"), "title")).otherwise(F.col("title")))
+
+
 @register
 def doc_type_counts(spark, sf):
-    d = documents_as_records(spark, sf)
+    d = documents_as_records(spark, sf).withColumn("title", marked_title())
     return (d.withColumn("type", flt.document_type("title"))
              .groupBy("type").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 @register
 def boilerplate_filter(spark, sf):
-    d = documents_as_records(spark, sf).withColumn("clean_abstract", tx.clean_abstract("abstract"))
+    start = F.element_at(F.array(*[F.lit(x) for x in ("Type ", "typed ", "", "目次 ", "")]),
+                         (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    d = documents_as_records(spark, sf).withColumn(
+        "clean_abstract", tx.clean_abstract(F.concat(start, "abstract")))
     return (d.withColumn("boilerplate", flt.is_boilerplate("clean_abstract"))
              .groupBy("boilerplate").agg(F.count(F.lit(1)).alias("n_docs")))
 
@@ -443,13 +454,18 @@ def soft_subtopics(spark, sf):
 
 @register
 def id_vector_lookup(spark, sf):
-    """Text id → vector via the id table; vectors deduplicated per id."""
+    """Text id → vector; of an id's vectors the last one counts; documents
+    without a vector are listed with a null."""
+    from vellum.operators.vectors import lookup_vectors
     d = table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tx.text_id("text").alias("emb_id"))
     v = (table(spark, sf, "embeddings", "vec_id", "embedding")
-         .join(d.select(F.col("doc_id").alias("vec_id"), "emb_id"), "vec_id")
-         .groupBy("emb_id").agg(F.min("vec_id").alias("vec_id")))
-    return d.join(v, "emb_id", "inner").select("doc_id", "emb_id", "vec_id")
+         .join(d.select(F.col("doc_id").alias("vec_id"), "emb_id"), "vec_id"))
+    found, missed = lookup_vectors(d, v, "emb_id", "embedding", "vec_id")
+    cols = ["doc_id", "emb_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"),
+            F.size("embedding").alias("dim")]
+    return found.select(*cols).unionByName(missed.select(
+        "doc_id", "emb_id", F.lit(None).cast("double").alias("x0"), F.lit(None).cast("int").alias("dim")))
 
 
 @register
@@ -733,7 +749,13 @@ def head_tail(spark, sf):
 def vector_health(spark, sf):
     """Vectors flagged missing / wrong_dim / nan / zero (64-d expected)."""
     from vellum.operators.vectors import vector_health as vh
-    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    zero, nan = (F.lit(x).cast("float") for x in (0.0, float("nan")))
+    v = (F.when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 63))
+         .when(F.col("vec_id") % 13 == 0, F.transform("embedding", lambda x: zero))
+         .when(F.col("vec_id") % 17 == 0, F.lit(None))
+         .when(F.col("vec_id") % 19 == 0, F.transform("embedding", lambda x, i: F.when(i == 3, nan).otherwise(x)))
+         .otherwise(F.col("embedding")))
+    e = table(spark, sf, "embeddings", "vec_id", "embedding").withColumn("embedding", v)
     return (vh(e, "embedding", 64).groupBy("vector_problem")
               .agg(F.count(F.lit(1)).alias("n")))
 
@@ -796,3 +818,50 @@ def list_profile(spark, sf):
         F.split("p_name", " ").alias("words"), "p_type",
         F.concat(F.lit("[' "), F.replace("p_name", F.lit(" "), F.lit("', '")), F.lit("', ' ']")).alias("literal"))
     return lp(d, ["words", "literal", "p_type"])
+
+
+@register
+def known_languages(spark, sf):
+    """rows whose language codes are both known."""
+    d = documents_as_records(spark, sf).select("doc_id", tx.lang_code_norm(
+        F.when(F.col("title_lang") != "es", F.col("title_lang"))).alias("title_lang"), "abstract_lang")
+    return flt.drop_null_lang(d).groupBy("title_lang").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@register
+def named_documents(spark, sf):
+    """Cluster names on documents, outliers without one."""
+    from vellum.operators.labels import attach_names
+    d = table(spark, sf, "documents", "doc_id", "source").withColumn(
+        "cluster_id", F.when(F.col("doc_id") % 10 == 0, F.lit(-1)).otherwise(F.pmod("doc_id", F.lit(7))))
+    cards = table(spark, sf, "nation", "n_nationkey", "n_name").select(
+        F.col("n_nationkey").cast("long").alias("cluster_id"), F.col("n_name").alias("name")).filter("cluster_id < 6")
+    return attach_names(d, cards, "cluster_id").select("doc_id", "cluster_id", "name")
+
+
+@register
+def excluded_ids(spark, sf):
+    """A list of ids with comments and blanks is written, read back and
+    left out."""
+    import uuid
+    from vellum.session import checkpoint_dir
+    from vellum.sources.files import drop_ids, read_id_list
+    d = table(spark, sf, "documents", "doc_id", "lang")
+    line = (F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("  "), F.col("doc_id").cast("string"), F.lit("\t")))
+            .when(F.col("doc_id") % 7 == 1, F.concat(F.lit("#"), F.col("doc_id").cast("string")))
+            .otherwise(F.lit("   ")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    d.select(line.alias("value")).write.text(path)
+    ids = read_id_list(spark, path).select(F.col("id").cast("long").alias("id"))
+    return drop_ids(d, ids, "doc_id").select("doc_id", "lang")
+
+
+@register
+def topic_documents(spark, sf):
+    """H8: documents with the labels of their main topic and own topic."""
+    from vellum.operators.hierarchy import labelled_documents
+    d = reassign_topics(spark, sf).withColumn("topic", F.when(F.col("vec_id") % 25 == 0, F.lit(-1)).otherwise(
+        F.col("topic"))).withColumn("main_topic", F.when(F.col("topic") == -1, F.lit(-1)).otherwise(F.col("main_topic")))
+    labels = table(spark, sf, "embeddings", "label").distinct().select(
+        F.col("label").alias("topic"), F.concat(F.lit("topic "), F.col("label").cast("string")).alias("label"))
+    return labelled_documents(d, labels).select("vec_id", "topic", "main_topic", "main_topic_label", "subtopic_label")

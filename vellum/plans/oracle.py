@@ -34,11 +34,13 @@ SELECT CASE WHEN coalesce(lang = 'en', false) THEN 'english' ELSE 'other' END AS
        count(*) AS n_docs FROM documents GROUP BY 1"""
 
 ORACLE["doc_type_counts"] = f"""
-SELECT {s.document_type('title')} AS type, count(*) AS n_docs FROM ({DOCS}) GROUP BY 1"""
+SELECT {s.document_type('t')} AS type, count(*) AS n_docs FROM (
+  SELECT CASE doc_id % 9 WHEN 1 THEN ' LHD #' || doc_id WHEN 2 THEN 'the lhd  Probe ' || title WHEN 3 THEN NULL
+         WHEN 4 THEN 'lhdx' || title ELSE title END AS t FROM ({DOCS})) GROUP BY 1"""
 
 ORACLE["boilerplate_filter"] = f"""
-SELECT {s.boilerplate(s.clean_abstract('abstract'))} AS boilerplate, count(*) AS n_docs
-FROM ({DOCS}) GROUP BY 1"""
+SELECT {s.boilerplate(s.clean_abstract('a'))} AS boilerplate, count(*) AS n_docs
+FROM (SELECT ['Type ', 'typed ', '', '目次 ', ''][doc_id % 5 + 1] || abstract AS a FROM ({DOCS})) GROUP BY 1"""
 
 ORACLE["lang_code_map"] = """
 WITH m(k, v) AS (VALUES ('ja','ja'),('zh','zh'),('zh-cn','zh'),('zh-tw','zh'),('zh-hk','zh'),
@@ -379,8 +381,8 @@ FROM embeddings e, C GROUP BY e.vec_id"""
 
 ORACLE["id_vector_lookup"] = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS emb_id FROM documents),
-v AS (SELECT d.emb_id, min(e.vec_id) AS vec_id FROM embeddings e JOIN d ON d.doc_id = e.vec_id GROUP BY d.emb_id)
-SELECT d.doc_id, d.emb_id, v.vec_id FROM d JOIN v USING (emb_id)"""
+v AS (SELECT d.emb_id, arg_max(e.embedding, e.vec_id) AS v FROM embeddings e JOIN d ON d.doc_id = e.vec_id GROUP BY d.emb_id)
+SELECT d.doc_id, d.emb_id, round(v.v[1]::DOUBLE, 6) AS x0, len(v.v)::INTEGER AS dim FROM d LEFT JOIN v USING (emb_id)"""
 
 ORACLE["missing_vectors"] = """
 SELECT lang, count(*) AS n_missing FROM documents
@@ -510,10 +512,8 @@ UNION ALL
 (SELECT o_orderkey, o_totalprice, 'tail' FROM orders ORDER BY o_totalprice ASC, o_orderkey LIMIT 10)"""
 
 ORACLE["vector_health"] = """
-SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'wrong_dim'
-            WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'nan'
-            WHEN sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) = 0 THEN 'zero' END
-       AS vector_problem, count(*) AS n
+SELECT CASE WHEN vec_id % 11 = 0 THEN 'wrong_dim' WHEN vec_id % 13 = 0 THEN 'zero' WHEN vec_id % 17 = 0 THEN 'missing'
+            WHEN vec_id % 19 = 0 THEN 'nan' END AS vector_problem, count(*) AS n
 FROM embeddings GROUP BY 1"""
 
 ORACLE["confidence_profile"] = f"""WITH {_classes_ctes()},
@@ -589,6 +589,16 @@ ORACLE["list_profile"] = "\nUNION ALL ".join(
         ("p_type", "false", "SELECT trim(p_type) AS v FROM part")))
 
 
+ORACLE["known_languages"] = """
+SELECT lang AS title_lang, count(*) AS n_docs FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1"""
+
+ORACLE["named_documents"] = """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN -1 ELSE doc_id % 7 END AS cluster_id, n_name AS name
+FROM documents LEFT JOIN nation ON n_nationkey = CASE WHEN doc_id % 10 = 0 THEN -1 ELSE doc_id % 7 END AND n_nationkey < 6"""
+
+ORACLE["excluded_ids"] = "SELECT doc_id, lang FROM documents WHERE doc_id % 7 <> 0"
+
+
 # 12. iterative and sampled operators ------------------------------------------------
 def _register_late() -> None:
     from vellum.plans import oracle_topics

@@ -114,6 +114,12 @@ MN AS (SELECT cluster, arg_min(item, (-size, item)) AS main_topic FROM ASG JOIN
 SELECT vec_id, label AS topic, CASE WHEN label = -1 THEN -1 ELSE main_topic END AS main_topic
 FROM embeddings JOIN ASG ON item = label JOIN MN USING (cluster)"""
 
+    out["topic_documents"] = f"""WITH RECURSIVE R AS ({out["reassign_topics"]}),
+O AS (SELECT vec_id, CASE WHEN vec_id % 25 = 0 THEN -1 ELSE topic END AS topic,
+        CASE WHEN vec_id % 25 = 0 THEN -1 ELSE main_topic END AS main_topic FROM R)
+SELECT *, CASE WHEN main_topic = -1 THEN 'Outlier' ELSE 'topic ' || main_topic END AS main_topic_label,
+       CASE WHEN topic = -1 THEN 'Outlier' ELSE 'topic ' || topic END AS subtopic_label FROM O"""
+
     topics = f"""{base},{LINKAGE.format(ths="(0.9::DOUBLE)", cent="C")},
 {tfidf_ctes('cluster_id', 'CD', 'full_text')},
 SZ AS (SELECT cluster_id AS g, count(*) AS size FROM CD WHERE cluster_id <> -1 GROUP BY 1),

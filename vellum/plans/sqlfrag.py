@@ -8,8 +8,8 @@ already stops at ``\\n`` and ``(?U)`` would mean *ungreedy*).
 
 from __future__ import annotations
 
-from vellum.functions.text import DIGIT, WS
-from vellum.operators.filters import (BOILERPLATE_WORDS, CITATION_BODY, DIAGNOSTIC_WORDS,
+from vellum.functions.text import WORD, WS
+from vellum.operators.filters import (BOILERPLATE_BODY, CITATION_BODY, DIAGNOSTIC_BODY,
                                       META_KEYWORDS, MIN_ABSTRACT_CHARS, SENTENCE_MARKS)
 
 
@@ -59,15 +59,15 @@ def dropped_by(title: str, abstract: str) -> str:
 
 
 def document_type(x: str) -> str:
-    pat = (r"(?i)\blhd" + WS + "*(" + "|".join(DIAGNOSTIC_WORDS) + r")\b|^lhd\b|\blhd"
-           + WS + "*#?" + DIGIT + "+")
+    pat = "(?i)" + DIAGNOSTIC_BODY
     return (f"CASE WHEN {x} IS NULL THEN 'unknown' "
             f"WHEN regexp_matches(lower({strip(x)}), {q(pat)}) THEN 'diagnostic_report' "
             f"ELSE 'scientific_paper' END")
 
 
 def boilerplate(x: str) -> str:
-    pat = "(?i)^(" + "|".join(BOILERPLATE_WORDS) + r")\b"
+    # RE2's word boundary knows ASCII words only
+    pat = "(?i)" + BOILERPLATE_BODY.replace("\\b", f"([^{WORD[1:]}|$)")
     return f"regexp_matches(coalesce({x}, ''), {q(pat)})"
 
 
