@@ -22,17 +22,19 @@ writes no file and reads as an empty table.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm import eliasfano
-from vellum.llm.common import map_batches, utf8, worker_cache
+from vellum.llm.common import map_batches, worker_cache
 from vellum.llm.shared_files import Writer, local_map
 from vellum.session import checkpoint_dir, cut_lineage
 
@@ -40,7 +42,7 @@ MAGIC = b"TOKFILE1"
 FOOTER = "<QQQQQqQ8s"  # docs, null ids, ids, bytes an id, place of ends, least id, place of ids
 CHUNK = 1 << 22       # bytes of text whose new words are encoded together
 TOGETHER = 500        # words in one call's text
-WORDS_KEPT = 600_000  # memoised words in a worker; more are encoded again each time
+WORDS_KEPT = 400_000  # memoised words in a worker; more are encoded again each time
 CLOSING = b".,;:!?"
 # Fixed value: a split that parts letters, digits and other signs.
 LETTER_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -61,14 +63,16 @@ def exact_split(spec: dict) -> bool:
 class WordEncoder:
     """Ids of texts, word by word, as bytes of ``dtype`` numbers.
 
-    New words go to the library many at a time, with blanks between them.  A word
-    of letters alone is one unit of the split and so has one token with the
-    end-of-word suffix, which tells the words apart again; other words go one by
-    one.  Where the split is `LETTER_SPLIT`, closing punctuation is a unit of its
-    own and is cut off first.
+    Where the split is `LETTER_SPLIT`, a folded word of ASCII letters is one unit
+    that goes straight to the library's merges, and closing punctuation is a unit of
+    its own and is cut off first.  Other words of letters go to the library many at a
+    time, with blanks between them: each is one unit and so has one token with the
+    end-of-word suffix, which tells them apart again.  The rest go one by one.
     """
 
     def __init__(self, spec: str):
+        # one task has one core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
@@ -84,7 +88,8 @@ class WordEncoder:
         letters = suffix and (first.get("pattern") or {}).get("Regex") == LETTER_SPLIT
         self.closing = CLOSING if letters else b""
         self.letters = bool(letters)
-        self.special = [t["content"].lower().encode() for t in parsed.get("added_tokens", [])]
+        self.raw_ids = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tok.get_vocab_size())]
+        self.special = [t["content"].lower() for t in parsed.get("added_tokens", [])]
         self.kept: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -93,10 +98,15 @@ class WordEncoder:
 
     def fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Encode words that are not kept."""
-        texts = [w.decode() for w in words]
+        out, texts = {}, []
+        merge, raw_id = self.tok.model.tokenize, self.raw_ids
+        for w in words:
+            if self.letters and w.isalpha():  # ASCII letters: one unit, which no step alters
+                out[w] = b"".join([raw_id[t.id] for t in merge(w.decode())])
+            else:
+                texts.append(w.decode())
         plain = [t for t in texts if self.letters and t.isalpha()]
         other = [t for t in texts if not (self.letters and t.isalpha())]
-        out = {}
         groups = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         found = self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for g, e in zip(groups, found, strict=True):
@@ -119,40 +129,61 @@ class WordEncoder:
             return cut if len(last) == 1 and last.isalnum() else word
         return word
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not kept; kept from now on while there is room."""
-        parts = {w: self.core(w) for w in words}
-        tails = {w: w[len(c):] for w, c in parts.items()}
-        need = ({*parts.values(), *tails.values()} - {b""}).difference(self.kept)
+        core = [self.core(w) for w in words]
+        tail = [w[len(c):] for w, c in zip(words, core, strict=True)]
+        need = ({*core, *tail} - {b""}).difference(self.kept)
         now = self.fresh(list(need))
         now[b""] = b""
         get = lambda w: now[w] if w in now else self.kept[w]
-        now.update({w: get(c) + get(tails[w]) for w, c in parts.items()})
+        now.update({w: get(c) + get(t) for w, c, t in zip(words, core, tail, strict=True) if t})
         if len(self.kept) + len(now) <= WORDS_KEPT:
             self.kept.update(now)
         return now
 
-    def encode(self, raws: list[bytes]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; nulls count as empty."""
         if not self.by_word:
-            return self.whole([r.decode() for r in raws])
+            return self.whole([t or "" for t in texts.to_pylist()])
         out, at = [], 0
-        while at < len(raws):
-            size, stop = 0, at
-            while stop < len(raws) and (stop == at or size + len(raws[stop]) <= CHUNK):
-                size += len(raws[stop])
-                stop += 1
-            folded = [r.lower() for r in raws[at:stop]]  # ASCII only; the normalizer folds it too
-            texts = [r.split() for r in folded]
-            now = self.learn(set().union(*texts).difference(self.kept))
-            get = self.kept.get
-            for r, low, words in zip(raws[at:stop], folded, texts, strict=True):
-                if any(x in low for x in self.special):
-                    out += self.whole([r.decode()])
-                else:
-                    out.append(b"".join([x if (x := get(w)) is not None else now[w] for w in words]))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+            out += self.encode_chunk(texts.slice(at, stop - at).fill_null(""))
             at = stop
         return out
 
+    def encode_chunk(self, texts: pa.Array) -> list[bytes]:
+        folded = pc.ascii_lower(texts)  # the normalizer folds letters too
+        words = pc.ascii_split_whitespace(folded)
+        sizes = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        get = self.kept.get
+        ids = [get(w) for w in distinct]
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            now = self.learn([distinct[i] for i in new])
+            for i in new:
+                ids[i] = now[distinct[i]]
+        # the ids of all words, side by side, from those of the distinct ones
+        width = self.dtype.itemsize
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        starts = np.cumsum(lengths) - lengths
+        which = coded.indices.to_numpy()
+        n = lengths[which]
+        stops = np.cumsum(n)
+        places = np.repeat(starts[which] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)
+        raw = np.frombuffer(b"".join(ids), self.dtype)[places].tobytes()
+        edges = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(sizes)))] * width
+        out = [raw[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        for x in self.special:
+            for i in np.flatnonzero(pc.match_substring(folded, x).to_numpy(zero_copy_only=False)):
+                out[i] = self.whole([texts[int(i)].as_py()])[0]
+        return out
+
 
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
@@ -225,21 +256,21 @@ def write_tokens(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
     points = [i / files for i in range(1, files)]
     cuts = df.agg(F.percentile_approx(key, points, 10 * files)).first()[0] if points else []
     cuts = np.unique(np.array(cuts or [], np.int64))
-    rows = df.select(key.alias("doc_id"), utf8(F.col(f"`{text}`")).alias("raw"))
+    rows = df.select(key.alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("no", T.IntegerType())])
 
     def make():
         enc = worker_cache(f"tokenizer {path}", lambda: WordEncoder(shared.value))
         end = np.array([end_id], enc.dtype).tobytes()
 
-        def run(raws: pa.Array, ids: pa.Array) -> list:
+        def run(texts: pa.Array, ids: pa.Array) -> list:
             no = np.searchsorted(cuts, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-            return [pa.array([x + end for x in enc.encode(raws.to_pylist())], pa.binary()),
+            return [pa.array([x + end for x in enc.encode(texts)], pa.binary()),
                     pa.array(no.astype(np.int32))]
 
         return run
 
-    coded = map_batches(rows, ["raw", "doc_id"], out, ["doc_id"], make)
+    coded = map_batches(rows, ["text", "doc_id"], out, ["doc_id"], make)
     n = len(cuts) + 1
     placed = (coded.repartitionById(n, "no")
               .sortWithinPartitions("no", F.col("doc_id").asc_nulls_first(), "ids"))
