@@ -162,3 +162,28 @@ def test_centroids(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 5.0])], "g int, v array<float>")
     got = {r.g: r.centroid for r in centroids(df, "g", "v").collect()}
     assert got == {1: [2.0, 3.0], 2: [5.0, 5.0]}
+
+
+def test_pca_lengths_equal_a_dense_decomposition(spark, sf):
+    from vellum.plans.catalog import pca_reduce
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = np.linalg.eigh(np.cov(x.T))[1][:, -10:]
+    want = dict(zip([r.vec_id for r in rows], np.linalg.norm(x @ top, axis=1), strict=True))
+    got = pca_reduce(spark, sf).collect()
+    assert len(got) == len(rows) and all(r.dim == 10 and abs(r.length - want[r.vec_id]) < 1e-5 for r in got)
+
+
+def test_forest_and_strips(spark):
+    """Components from minima along edges, on chains that cross strips."""
+    rng = np.random.default_rng(2)
+    n = 400
+    a, b = rng.integers(0, n, 500), rng.integers(0, n, 500)
+    root = density._forest(n, a, b)
+    assert (root[a] == root[b]).all() and (root <= np.arange(n)).all() and (root[root] == root).all()
+    pts = [(i, [float(i), 0.0]) for i in range(1200)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    out = density.density_clusters(df, "id", "v", [(1.5, 5, 2), (0.5, 2, 2)])
+    assert {r.cluster for r in out.filter("cfg = 0").collect()} == {0}
+    assert {r.cluster for r in out.filter("cfg = 1").collect()} == {-1}

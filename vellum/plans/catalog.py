@@ -371,13 +371,20 @@ def confusion_long(spark, sf):
 
 
 def journal_rows(spark, sf):
-    return predictions_with_truth(spark, sf).filter(F.col("truth_source") == "journal")
+    """Written once: accuracy, low groups and shares all read this table."""
+    from vellum.session import cut_lineage
+    p = predictions_with_truth(spark, sf).filter(F.col("truth_source") == "journal")
+    return cut_lineage(p.select("journal", "gt_main", "gt_sub", "lcc_main_name_pred", "lcc_name_pred"))
+
+
+def accuracy_by_journal(rows):
+    from vellum.operators.evaluate import group_accuracy as ga
+    return ga(rows, "journal", "gt_main", "lcc_main_name_pred", "gt_sub", "lcc_name_pred")
 
 
 @register
 def group_accuracy(spark, sf):
-    from vellum.operators.evaluate import group_accuracy as ga
-    return ga(journal_rows(spark, sf), "journal", "gt_main", "lcc_main_name_pred", "gt_sub", "lcc_name_pred")
+    return accuracy_by_journal(journal_rows(spark, sf))
 
 
 @register
@@ -388,22 +395,23 @@ def low_performers(spark, sf):
 
 @register
 def wrong_destinations(spark, sf):
-    from vellum.operators.evaluate import prediction_shares
-    return prediction_shares(journal_rows(spark, sf), "journal", "gt_main", "lcc_main_name_pred",
-                             groups=low_performers(spark, sf))
+    from vellum.operators.evaluate import low_performers as lp, prediction_shares
+    rows = journal_rows(spark, sf)
+    return prediction_shares(rows, "journal", "gt_main", "lcc_main_name_pred", groups=lp(accuracy_by_journal(rows)))
 
 
 @register
 def wrong_destinations_sub(spark, sf):
-    from vellum.operators.evaluate import prediction_shares
-    return prediction_shares(journal_rows(spark, sf), "journal", "gt_sub", "lcc_name_pred",
-                             groups=low_performers(spark, sf))
+    from vellum.operators.evaluate import low_performers as lp, prediction_shares
+    rows = journal_rows(spark, sf)
+    return prediction_shares(rows, "journal", "gt_sub", "lcc_name_pred", groups=lp(accuracy_by_journal(rows)))
 
 
 @register
 def low_performer_summary(spark, sf):
     from vellum.operators.evaluate import low_performer_summary as lps
-    return lps(journal_rows(spark, sf), group_accuracy(spark, sf), "journal", "gt_main", "lcc_main_name_pred")
+    rows = journal_rows(spark, sf)
+    return lps(rows, accuracy_by_journal(rows), "journal", "gt_main", "lcc_main_name_pred")
 
 
 @register
@@ -698,10 +706,13 @@ def run_summary(spark, sf):
 # 9. reduction and density ---------------------------------------------------------------
 @register
 def pca_reduce(spark, sf):
-    """V2: 10-D PCA of the normalised embeddings (rows check)."""
+    """V2: 10-D PCA of the normalised embeddings; a vector's length in the subspace
+    does not depend on the components' signs."""
     from vellum.operators.density import pca_reduce as pr
+    from vellum.operators.vectors import norm2
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    return pr(e, "embedding", 10).select("vec_id", F.size("reduced").alias("dim"))
+    return pr(e, "embedding", 10).select("vec_id", F.size("reduced").alias("dim"),
+                                         F.round(norm2("reduced"), 6).alias("length"))
 
 
 DENSITY_GRID = [(eps, size, ms) for eps in (0.9, 1.0, 1.1) for size in (5, 10) for ms in (3, 5)]
