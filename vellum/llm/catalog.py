@@ -81,7 +81,8 @@ def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     model = lm.fit(docs.filter("not held_out"))
     scored = lm.score(docs, model, keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
-                         F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+                         F.lit(model["tokens"]).cast("long").alias("train_tokens"),
+                         F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 @query
@@ -290,3 +291,56 @@ QUALIFY row_number() OVER (PARTITION BY k, license ORDER BY containment DESC, wi
 
 
 ORACLE["op3_license_scan"] = _license_sql()
+
+
+def _discount_sql(name: str, table: str, count: str) -> str:
+    """D1, D2, D3+ of an order, 0.5 where the counts of counts give none."""
+    n = "list_value(" + ", ".join(f"count(*) FILTER (WHERE {count} = {i})" for i in (1, 2, 3, 4)) + ")"
+    d = [f"CASE WHEN n[{i}] > 0 THEN {i} - {i + 1} * y * n[{i + 1}] / n[{i}] ELSE 0 END AS d{i}" for i in (1, 2, 3)]
+    fit = ", ".join(f"CASE WHEN d{i} > 0 AND d{i} <= {i} THEN d{i} ELSE 0.5 END AS d{i}" for i in (1, 2, 3))
+    return f"""{name} AS (SELECT {fit} FROM (SELECT {", ".join(d)} FROM (
+  SELECT n, CASE WHEN n[1] > 0 THEN n[1]::DOUBLE / (n[1] + 2 * n[2]) ELSE 0 END AS y FROM (SELECT {n} AS n FROM {table}))))"""
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of a text of ASCII characters, byte by byte."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        table.append(c)
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+            f"lambda a, b: xor(a >> 8, list_extract({table}::BIGINT[], (xor(a, b) & 255) + 1))), 4294967295::BIGINT)")
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bigrams; the end token and the begin mark are blanks, which no word holds.
+ORACLE["op8_lm_score"] = rf"""
+WITH D AS (SELECT row_number() OVER () AS k, doc_id,
+        coalesce({_crc32_sql("doc_id::VARCHAR")} % 10 = 0, false) AS held_out,
+        list_append(regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x20\x09-\x0D]+'), chr(10)) AS w
+      FROM documents),
+T AS (SELECT k, doc_id, held_out, unnest(w) AS w, unnest(range(len(w))) AS pos FROM D),
+B AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY k ORDER BY pos), chr(9)) AS prev FROM T),
+UN AS (SELECT w, count(*) AS c FROM T WHERE NOT held_out GROUP BY w),
+TOT AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM UN),
+C2 AS (SELECT prev, w, count(*) AS c FROM B WHERE NOT held_out GROUP BY ALL),
+C1 AS (SELECT w, count(*) AS c FROM C2 GROUP BY w),
+{_discount_sql("D2", "C2", "c")},
+{_discount_sql("D1", "C1", "c")},
+X1 AS (SELECT sum(c) AS tot, D1.d1 * count(*) FILTER (WHERE c = 1) + D1.d2 * count(*) FILTER (WHERE c = 2)
+         + D1.d3 * count(*) FILTER (WHERE c > 2) AS spare FROM C1, D1 GROUP BY D1.d1, D1.d2, D1.d3),
+X2 AS (SELECT prev, sum(c) AS tot, D2.d1 * count(*) FILTER (WHERE c = 1) + D2.d2 * count(*) FILTER (WHERE c = 2)
+         + D2.d3 * count(*) FILTER (WHERE c > 2) AS spare FROM C2, D2 GROUP BY prev, D2.d1, D2.d2, D2.d3),
+P1 AS (SELECT UN.w, UN.c AS raw, (greatest(C1.c - CASE C1.c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0)
+         + X1.spare / (TOT.v + 1)) / X1.tot AS p FROM UN JOIN C1 USING (w), D1, X1, TOT),
+S AS (SELECT B.*, coalesce(raw, 0) AS raw, coalesce(p, X1.spare / X1.tot / (TOT.v + 1)) AS p1, TOT.n, TOT.v
+      FROM B LEFT JOIN P1 USING (w), X1, TOT),
+Q AS (SELECT S.k, doc_id, held_out, raw, log10((raw + 0.1) / (n + 0.1 * (v + 1))) AS base,
+        log10(CASE WHEN X2.tot IS NULL THEN p1 ELSE (greatest(coalesce(C2.c, 0)
+          - CASE coalesce(C2.c, 0) WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) + X2.spare * p1) / X2.tot END) AS lp
+      FROM S LEFT JOIN X2 ON X2.prev = S.prev LEFT JOIN C2 ON C2.prev = S.prev AND C2.w = S.w, D2)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE raw > 0) AS n_known,
+       (SELECT n FROM TOT) AS train_tokens, round(fsum(base), 6) AS base_score, round(fsum(lp), 6) AS score
+FROM Q GROUP BY k, doc_id, held_out"""

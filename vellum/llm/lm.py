@@ -401,9 +401,10 @@ class Model:
         first = np.cumsum(t.sizes) - t.sizes
         c = self.base_counts(t.words)
         base = np.log10((c + 0.1) / (self.m["tokens"] + 0.1 * (self.m["types"] + 1)))
-        sums = [np.add.reduceat(x, first) for x in
-                ((c > 0).astype(np.int64), base, np.log10(self.probabilities(t)))]
-        return t.sizes, *sums
+        # extended precision: a long text's sum does not depend on its order
+        sums = [np.add.reduceat(x.astype(np.longdouble), first).astype(np.float64)
+                for x in (base, np.log10(self.probabilities(t)))]
+        return t.sizes, np.add.reduceat((c > 0).astype(np.int64), first), *sums
 
 
 def score(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
