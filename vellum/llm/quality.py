@@ -33,6 +33,7 @@ WINDOW = 5
 MIN_WORDS = 10
 SPREAD = 3
 MIN_DOCS = 50
+BROADCAST_GROUPS = 100_000  # rows of cutoffs, some 100 bytes each, that may go to every task
 #: Least distance of the quartiles, by rule, and whether low values fail too.
 RULES = {"symbols_per_word": (50, False), "dup_line_share": (150, False),
          "chars_per_word": (1500, True)}
@@ -171,7 +172,9 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{lang}`").alias("__lang"),
                       F.col(f"`{source}`").alias("__source"), F.col(f"`{text}`").alias("__text"))
     rows = cut_lineage(measure(given, "__text").drop("__text"))
-    cuts = cutoffs(sketches(rows, "__lang", "__source"), min_docs, spread)
+    cuts = cut_lineage(cutoffs(sketches(rows, "__lang", "__source"), min_docs, spread))
+    if cuts.count() <= BROADCAST_GROUPS:  # else the rows move to their cutoffs
+        cuts = F.broadcast(cuts)
     return judge(rows, cuts, "__lang", "__source").select(*[f"`{c}`" for c in keep], *out)
 
 
