@@ -222,7 +222,11 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     row = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "text_hash")
     stay = (groups.groupBy("group_fp").agg(F.min(row).alias("r"))
             .select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__stay")))
-    rows = df.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
-    kept = rows.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))
-                     & (F.col("__hash") == F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__hash"]).select(*df.columns)
+    # one exchange of the texts serves the join and the removal of equal rows
+    mine = F.col(f"`{doc_id}`")
+    rows = (df.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
+            .withColumn("__key", F.xxhash64(mine, F.col("__hash"))))
+    stay = stay.withColumn("__stay_key", F.xxhash64("__id", "__stay"))
+    same = F.coalesce(mine == F.col("__id"), mine.isNull() & F.col("__id").isNull())
+    kept = rows.join(stay, (F.col("__key") == F.col("__stay_key")) & same, "left_semi")
+    return kept.dropDuplicates(["__key", doc_id, "__hash"]).select(*df.columns)
