@@ -167,10 +167,14 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                             F.col(f"`{source}`").alias("source")), "id")
               .filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"))
               .agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("m_copies")))
-    same = Window.partitionBy("__id").orderBy("__hash")
-    numbered = rows.withColumns({"__no": F.row_number().over(same),
-                                 "__all": F.count(F.lit(1)).over(Window.partitionBy("__id"))})
-    joined = numbered.join(wanted, F.col("__id").eqNullSafe(F.col("m_id")))
+    # one exchange of the texts, by the id's hash, serves the join and the windows
+    rows = rows.withColumn("__key", F.xxhash64("__id"))
+    wanted = wanted.withColumn("m_key", F.xxhash64("m_id"))
+    equal = F.coalesce(F.col("__id") == F.col("m_id"), F.col("__id").isNull() & F.col("m_id").isNull())
+    joined = rows.join(wanted, (F.col("__key") == F.col("m_key")) & equal)
+    group = Window.partitionBy("__key", "__id")
+    numbered = joined.withColumns({"__no": F.row_number().over(group.orderBy("__hash")),
+                                   "__all": F.count(F.lit(1)).over(group)})
     mine = F.floor((F.col("m_copies") + F.col("__all") - F.col("__no")) / F.col("__all"))
-    return (joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), mine.cast("int"))))
+    return (numbered.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), mine.cast("int"))))
             .select(*df.columns))
