@@ -1,6 +1,8 @@
 """Exact k-nearest-neighbour join and classification.
 
-Plan (a block nested-loop join that never emits pair rows):
+A training table of a few megabytes (counted first) is broadcast and the queries
+are streamed against it where they are.  Larger ones take this plan (a block
+nested-loop join that never emits pair rows):
 
 * Per group (stage 2 restricts neighbours to the query's predicted main
   class; stage 1 is one group) we count queries and training rows in a
@@ -34,6 +36,7 @@ from vellum.functions.text import confidence
 TRAIN_BLOCK_BYTES = 64 << 20   # training vectors held by one task
 QUERY_BLOCK_ROWS = 2048        # queries scored by one task
 MAX_GROUP_STATS_BROADCAST = 100_000
+SHARED_TRAIN_BYTES = 16 << 20  # training tables up to this are broadcast after a count
 EXACT_ROWS = 65_536            # pairs measured directly at once
 
 
@@ -81,6 +84,22 @@ def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
     return kernel
 
 
+def _against_shared(spark, train: DataFrame, kern):
+    """Worker function: queries of any partition against the whole training table,
+    whose size the caller has checked; the queries do not move."""
+    groups = spark.sparkContext.broadcast({g: p.drop(columns="g") for g, p in train.toPandas().groupby("g")})
+
+    def run(batches):
+        for b in batches:
+            for g, q in b.groupby("g"):
+                t = groups.value.get(g)
+                if t is not None:
+                    for at in range(0, len(q), 512):
+                        yield kern(q.iloc[at:at + 512], t)
+
+    return run
+
+
 def block_grid(q: DataFrame, t: DataFrame, *, train_block_bytes: int = TRAIN_BLOCK_BYTES,
                query_block_rows: int = QUERY_BLOCK_ROWS,
                grouped: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -136,17 +155,19 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, qid: str, tid: str
     t = train.select(F.col(tid).alias("tid"), F.col(tvec).alias("vec"), F.col(label).alias("label"),
                      tg.alias("g"))
 
-    qx, tx = block_grid(q, t, train_block_bytes=train_block_bytes, query_block_rows=query_block_rows,
-                        grouped=bool(qgroup or tgroup))
-    qx = qx.select("g", "qb", "tb", "qid", "vec")
-    tx = tx.select("g", "qb", "tb", "tid", "vec", "label")
-
     schema = T.StructType([T.StructField("qid", qid_type), T.StructField("tid", tid_type),
                            T.StructField("dist", T.DoubleType()), T.StructField("label", label_type)])
     kern = _kernel_factory(k, exclude_self, label_type)
-    cand = (qx.groupBy("g", "qb", "tb")
-              .cogroup(tx.groupBy("g", "qb", "tb"))
-              .applyInPandas(lambda a, b: kern(a, b), schema))
+    n_train, dim = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if n_train * ((dim or 0) * 8 + 64) <= min(train_block_bytes, SHARED_TRAIN_BYTES):
+        cand = q.mapInPandas(_against_shared(spark, t, kern), schema)
+    else:
+        cells = ["g", "qb", "tb"]
+        qx, tx = block_grid(q, t, train_block_bytes=train_block_bytes, query_block_rows=query_block_rows,
+                            grouped=bool(qgroup or tgroup))
+        cand = (qx.select(*cells, "qid", "vec").groupBy(*cells)
+                  .cogroup(tx.select(*cells, "tid", "vec", "label").groupBy(*cells))
+                  .applyInPandas(lambda a, b: kern(a, b), schema))
     # a ranked window keeps k rows per query in each task before the shuffle,
     # so what meets for a query does not grow with the number of blocks
     nearest = Window.partitionBy("qid").orderBy("dist", "tid")
