@@ -47,6 +47,18 @@ def worker_cache(key: str, build: Callable):
     return home.__dict__[key]
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends workers at most `BATCH_BYTES` at a time (a
+    smaller limit stays): rows of texts have no common length, and Spark's default
+    of 64 MB is held several times over in each task."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if not 0 < int(now.rstrip("kmg") or 0) * unit <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, inputs: list[str], outputs: T.StructType, keep: list[str],
                 make: Callable[[], Callable]) -> DataFrame:
     """Append ``outputs`` to the ``keep`` columns, Arrow batch by Arrow batch.
@@ -77,7 +89,7 @@ def map_batches(df: DataFrame, inputs: list[str], outputs: T.StructType, keep: l
             close()
         pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(run, schema)
+    return bounded_batches(source).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import slices, utf8
+from vellum.llm.common import bounded_batches, slices, utf8
 from vellum.llm.simhash import word_chunks
 
 SHINGLE = 5
@@ -245,4 +245,4 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
                     [b.column(0).take(pa.array(cols[0], pa.int64())),
                      *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)

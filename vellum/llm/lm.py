@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_batches, slices, utf8, worker_cache
+from vellum.llm.common import bounded_batches, map_batches, slices, utf8, worker_cache
 from vellum.llm.shared_files import local_map, view, write_arrays
 from vellum.session import checkpoint_dir, cut_lineage, drop_lineage_table
 
@@ -245,7 +245,7 @@ def _count_words(df: DataFrame, shards: int) -> DataFrame:
         if keys:
             yield from batch_rows(list(send())).to_batches()
 
-    return df.mapInArrow(run, SHARD_ROWS)
+    return bounded_batches(df).mapInArrow(run, SHARD_ROWS)
 
 
 def _count_grams(df: DataFrame, order: int, hot: np.ndarray, shards: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _count_grams(df: DataFrame, order: int, hot: np.ndarray, shards: int) -> Dat
         if held:
             yield from batch_rows(send()).to_batches()
 
-    return df.mapInArrow(run, SHARD_ROWS)
+    return bounded_batches(df).mapInArrow(run, SHARD_ROWS)
 
 
 def fit(df: DataFrame, text: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS,
