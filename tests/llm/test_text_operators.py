@@ -4,6 +4,7 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -11,7 +12,7 @@ from helpers import brute_kneser_ney, document_rows, frame, same_rows
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe, catalog, langid, license, lm, quality
-from vellum.llm.common import documents, fold
+from vellum.llm.common import BATCH_BYTES, bounded_batches, documents, fold
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -176,3 +177,25 @@ def test_kneser_ney_edges(spark):
     empty = [r for r in lm.score(df, lm.fit(df)).collect() if not (r.text or "").strip()]
     assert empty and all(r.n_tokens == 1 for r in empty)
     assert lm.discounts([0, 0, 0, 0]) == [0.5, 0.5, 0.5]
+
+
+def test_workers_get_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, after in (("64m", str(BATCH_BYTES)), ("1m", "1m"), ("2048b", "2048b")):
+            spark.conf.set(key, given)
+            bounded_batches(spark.range(1))
+            assert spark.conf.get(key) == after
+        spark.conf.set(key, "64m")
+        rows = [(i, "word " * 40_000) for i in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+        assert max(r.n for r in bounded_batches(df).mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
+        assert bpe.bpe_encode(df, RANKS, public_tokenizers.PATTERN, keep=["doc_id"]).count() == 60
+    finally:
+        spark.conf.set(key, before)
