@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from vellum.llm.common import map_batches, worker_cache
 
 SHIFT = 21          # pair keys: first << SHIFT | second
-PIECES_KEPT = 200_000  # memoised pieces of a task; the table is emptied when full
+PIECES_KEPT = 150_000  # memoised pieces of a worker: the first ones, so the frequent ones
 PIECE_BYTES = 64    # longer pieces are encoded but not memoised
 PAIRS_KEPT = 200_000
 
@@ -134,7 +134,7 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        self.kept.clear()
+        """Leave little in an idle worker."""
         self.merges.seen.clear()
 
     def piece(self, text: str) -> list[int]:
@@ -173,9 +173,7 @@ class Encoder:
         token = self.whole.get(text)
         ids = [token] if token is not None else self.piece(text)
         out = np.array(ids, "<u4").tobytes()
-        if len(raw) <= PIECE_BYTES:
-            if len(self.kept) >= PIECES_KEPT:
-                self.kept.clear()
+        if len(raw) <= PIECE_BYTES and len(self.kept) < PIECES_KEPT:
             self.kept[piece] = out
         return out
 
