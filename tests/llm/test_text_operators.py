@@ -73,6 +73,28 @@ def test_quality_edges(spark):
     assert quality.apply_rules(df.limit(0)).count() == 0
 
 
+def test_quality_cutoffs_follow_the_quartiles(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        lines = [" ".join(f"w{rng.randrange(10 ** 6):06d}"[:rng.randint(4, 6)] for _ in range(8)) for _ in range(9)]
+        if i == 0:  # three equal lines of four words, under the base limit
+            lines = [*lines, *["one two three four"] * 3]
+        if i == 1:  # long words, and short ones
+            lines = ["".join(rng.choice("abcdef") for _ in range(9)) + f" w{k}longword" for k in range(30)]
+        if i == 2:
+            lines = [f"{chr(97 + k)} {chr(97 + j)}" for k in range(26) for j in (k, (3 * k + 1) % 26)][:30]
+        if i == 3:
+            lines[0] += " ## ##"
+        rows.append((i, "\n".join(lines), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.apply_rules(df).collect()}
+    assert not any(got[i].base_failed for i in range(200))
+    assert [i for i in range(200) if not got[i].kept] == [0, 1, 2, 3]
+    cuts = quality.cutoffs(quality.sketches(quality.measure(df))).first()
+    assert cuts.cut_chars_per_word_low > 1000
+
+
 def test_sketch_quantiles_are_near_the_exact_ones(spark):
     values = [random.Random(4).randrange(10 ** random.Random(i).randint(1, 6)) for i in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "v long")

@@ -34,9 +34,11 @@ MIN_WORDS = 10
 SPREAD = 3
 MIN_DOCS = 50
 BROADCAST_GROUPS = 100_000  # rows of cutoffs, some 100 bytes each, that may go to every task
-#: Least distance of the quartiles, by rule, and whether low values fail too.
-RULES = {"symbols_per_word": (50, False), "dup_line_share": (150, False),
-         "chars_per_word": (1500, True)}
+#: Least distance of the quartiles, by rule, and whether low values fail too.  The
+#: distances are the sketch's resolution: values under 64 have buckets of their own,
+#: those of 4096 to 8191, where lengths of words lie, share buckets of 128.
+RULES = {"symbols_per_word": (1, False), "dup_line_share": (1, False),
+         "chars_per_word": (128, True)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
