@@ -191,6 +191,18 @@ def test_kneser_ney_equals_plain_version(spark, order):
         assert float(r.score) == pytest.approx(w[3], abs=1e-8)
 
 
+def test_order_3_query_equals_plain_version(spark):
+    small = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in catalog.QUERIES["op8_lm_score_order3"](spark, small).collect()}
+    docs = documents(spark, small).collect()
+    want, total, _ = brute_kneser_ney([d.text for d in docs if not rows[d.doc_id].held_out],
+                                      [d.text for d in docs], 3, lm.discounts)
+    for d, w in zip(docs, want, strict=True):
+        r = rows[d.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (*w[:2], total)
+        assert (r.base_score, r.score) == (pytest.approx(w[2], abs=2e-6), pytest.approx(w[3], abs=2e-6))
+
+
 def test_kneser_ney_edges(spark):
     df = frame(spark)
     nothing = lm.fit(df.limit(0))

@@ -185,9 +185,10 @@ def merge_words(table: pa.Table, folder: str) -> pa.Table:
     word, count = (np.concatenate([p[i] for p in parts]).astype(U8) for i in (0, 1))
     at, total = add_up(word, count)
     keys = word[at]
-    uri, places = write_arrays(folder, "words", (keys, total))
+    columns = (keys, narrow(total))
+    uri, places = write_arrays(folder, "words", columns)
     top = np.argsort(total)[-64:]
-    meta = {"keys": len(keys), "places": places, "tokens": int(total.sum()),
+    meta = {"keys": len(keys), "places": places, "kinds": [c.dtype.str for c in columns], "tokens": int(total.sum()),
             "top": [[int(keys[i]), int(total[i])] for i in top]}
     return batch_rows([("shard", table["shard"][0].as_py(), uri, json.dumps(meta), None)])
 
@@ -206,8 +207,9 @@ def merge_grams(table: pa.Table, k: int, folder: str, shards: int) -> pa.Table:
             for i, m in enumerate((total > 0, total == 1, total == 2, total > 2))]
     hot = np.zeros(len(names), bool)
     hot[of] = run >= k - 1
-    uri, places = write_arrays(folder, f"grams{k}", (key, total, names[~hot], *(s[~hot] for s in sums)))
-    meta = {"keys": len(key), "contexts": int((~hot).sum()), "places": places,
+    columns = (key, narrow(total), names[~hot], *(narrow(s[~hot]) for s in sums))
+    uri, places = write_arrays(folder, f"grams{k}", columns)
+    meta = {"keys": len(key), "contexts": int((~hot).sum()), "places": places, "kinds": [c.dtype.str for c in columns],
             "counts": [int((total == i).sum()) for i in (1, 2, 3, 4)]}
     shard = table["shard"][0].as_py()
     rows = [("shard", shard, uri, json.dumps(meta), None)]
@@ -351,7 +353,8 @@ class Model:
         uri = shard["uri"]
         if uri not in self.maps:
             self.maps[uri] = local_map(uri)
-        return [view(self.maps[uri], p, shard[of], "<u8") for p in shard["places"][first:first + n]]
+        return [view(self.maps[uri], p, shard[of], t) for p, t in
+                list(zip(shard["places"], shard["kinds"], strict=True))[first:first + n]]
 
     def look_up(self, files: dict, shard: np.ndarray, wanted: np.ndarray, of: str, first: int,
                 n: int) -> np.ndarray:
