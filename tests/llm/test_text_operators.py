@@ -175,6 +175,24 @@ def test_license_edges_and_sql(spark):
         license.Scanner({"short": "too few words"})
 
 
+def test_short_notices_and_common_licenses(spark):
+    rows = document_rows()
+    for i, text in ((30, "(c) me.\nAll  RIGHTS reserved. All rights reserved!"), (31, "overall rights reserved, all rights"),
+                    (32, "é all rights reserved")):
+        rows[i] = (i, text, *rows[i][2:])
+    df = frame(spark, rows)
+    got = license.find_notices(df)
+    same_rows(got, catalog.ORACLE["op3_short_notices"], documents=df)
+    assert sorted(tuple(r) for r in got.collect()) == [(30, "All rights reserved", 2, 3, 2), (32, "All rights reserved", 1, 3, 1)]
+    assert license.find_notices(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        license.find_notices(df, notices={"none": "..."})
+    scanner = license.Scanner(license.TEMPLATES)
+    for name in ("BSD-2-Clause text", "BSD-3-Clause text", "GPL-2.0 notice", "LGPL-2.1 notice", "AGPL-3.0 notice",
+                 "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-4.0 notice", "CC-BY-SA-4.0 notice"):
+        assert (name, 1.0) in [r[1:3] for r in scanner.scan([f"Some words first. {license.TEMPLATES[name]} End".encode()])]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_kneser_ney_equals_plain_version(spark, order):
     df = frame(spark, document_rows(3, 200))

@@ -42,6 +42,12 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license.scan(documents(spark, sf).select("doc_id", "text"))
 
 
+@query
+def op3_short_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """Notices shorter than a shingle, which the SQL of `op3_license_scan` leaves out."""
+    return license.find_notices(documents(spark, sf).select("doc_id", "text"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     """Encode every text, decode the ids, digest both."""
@@ -350,3 +356,21 @@ Q AS (SELECT S.k, doc_id, held_out, raw, log10((raw + 0.1) / (n + 0.1 * (v + 1))
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE raw > 0) AS n_known,
        (SELECT n FROM TOT) AS train_tokens, round(fsum(base), 6) AS base_score, round(fsum(lp), 6) AS score
 FROM Q GROUP BY k, doc_id, held_out"""
+
+
+def _notice_sql() -> str:
+    """Each place where a notice's words stand in a row."""
+    rows = []
+    for name, text in license.SHORT_NOTICES.items():
+        w = [x.decode() for x in license.words_of(text.encode())]
+        rows.append(f"('{name}', {len(w)}, '{' '.join(w)}')")
+    return rf"""
+WITH N(license, size, words) AS (VALUES {", ".join(rows)}),
+D AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+P AS (SELECT k, doc_id, w, license, size, words, unnest(range(len(w) - size + 1)) AS p FROM D, N)
+SELECT doc_id, license, min(p) AS first_word, size::BIGINT AS n_words, count(*) AS found
+FROM P WHERE array_to_string(w[p + 1:p + size], ' ') = words GROUP BY k, doc_id, license, size"""
+
+
+ORACLE["op3_short_notices"] = _notice_sql()

@@ -70,7 +70,46 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
         "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
         "in all copies."),
+    "BSD-2-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+        "binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution."),
+    "BSD-3-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+        "binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither "
+        "the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
+    "GPL-2.0 notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    "LGPL-2.1 notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+        "the License, or (at your option) any later version. This library is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    "AGPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 notice": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 }
+#: Notices shorter than a shingle, found as whole word sequences.
+SHORT_NOTICES = {"All rights reserved": "All rights reserved."}
 
 #: ASCII signs part words; letters are folded.
 FOLD = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 if i < 128 else i for i in range(256))
@@ -246,3 +285,37 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
                      *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=names)
 
     return bounded_batches(rows).mapInArrow(run, schema)
+
+
+def find_notices(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 notices: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, license, first_word, n_words, found) of each document and notice of
+    any length whose words it holds in a row: the first place and their number."""
+    notices = SHORT_NOTICES if notices is None else notices
+    wanted = {name: b" ".join(words_of(notice.encode())) for name, notice in notices.items()}
+    if not all(wanted.values()):
+        raise ValueError("a notice has no words")
+    rows = df.select(F.col(f"`{doc_id}`").alias("id"), utf8(F.col(f"`{text}`")).alias("raw"))
+    schema = T.StructType([T.StructField(doc_id, df.schema[doc_id].dataType),
+                           *T._parse_datatype_string("license string, first_word long, n_words long, found long").fields])
+    names = schema.names
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole):
+                got = []
+                for i, raw in enumerate(b.column(1).to_pylist()):
+                    line = b" " + b" ".join(words_of(raw)) + b" "
+                    for name, w in wanted.items():
+                        places, at = [], line.find(b" " + w + b" ")
+                        while at >= 0:
+                            places.append(at)
+                            at = line.find(b" " + w + b" ", at + 1)
+                        if places:
+                            got.append((i, name, line.count(b" ", 0, places[0]), w.count(b" ") + 1, len(places)))
+                cols = list(zip(*got, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()),
+                     *(pa.array(c, pa.int64()) for c in cols[2:])], names=names)
+
+    return bounded_batches(rows).mapInArrow(run, schema)
