@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm import bpe, chat, langid, license, lm, mixing, quality, simhash, tokenfile, topk
+from vellum.llm import align, bpe, chat, langid, license, lm, mixing, quality, simhash, tokenfile, topk
 from vellum.llm.common import documents, fold, map_batches
 
 QUERIES, ORACLE = {}, {}
@@ -114,6 +114,18 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
                         "component_id")
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf: str, a_path: str | None = None,
+                         b_path: str | None = None) -> DataFrame:
+    """Groups and links of the two public tokenizers' tokens, and the links' counts."""
+    a_path = a_path or public_tokenizers.path("byte_bpe_50k.json")
+    b_path = b_path or public_tokenizers.path("piece_bpe_32k.model")
+    found = align.align(documents(spark, sf).select("doc_id", "text"), a_path, b_path, keep=["doc_id"])
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    found = align.count_links(found.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 # SQL --------------------------------------------------------------------------------
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACE = r"'[\x20\x09-\x0D]'"
