@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm import align, bpe, chat, langid, license, lm, mixing, quality, simhash, tokenfile, topk
+from vellum.llm import align, bpe, chat, langid, license, lm, mixing, quality, simhash, tokenfile, topk, urlfilter, whiten
 from vellum.llm.common import documents, fold, map_batches
 
 QUERIES, ORACLE = {}, {}
@@ -126,6 +126,20 @@ def op11_token_alignment(spark: SparkSession, sf: str, a_path: str | None = None
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@query
+def op12_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every page's url."""
+    pages = spark.read.parquet(f"{sf.rstrip('/')}/pages.parquet").select("page_id", "url")
+    return urlfilter.filter_urls(pages, keep=["page_id"])
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 16 whitened components of every vector (a deviation beyond a long: null)."""
+    vectors = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")
+    return whiten.whiten(vectors).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 # SQL --------------------------------------------------------------------------------
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACE = r"'[\x20\x09-\x0D]'"
@@ -386,3 +400,51 @@ FROM P WHERE array_to_string(w[p + 1:p + size], ' ') = words GROUP BY k, doc_id,
 
 
 ORACLE["op3_short_notices"] = _notice_sql()
+
+
+def _url_sql() -> str:
+    """Rules, template trees, merged branches and purities."""
+    u = urlfilter
+    fits = []
+    for verdict, rule in sorted(u.RULES, key=lambda r: (-len(r[1]), r[1])):
+        name, _, tail = rule.partition("/")
+        fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}') "
+                    f"THEN {{'rule': '{rule}', 'verdict': '{verdict}'}}")
+    return rf"""
+WITH U AS (SELECT row_number() OVER () AS r, page_id,
+        CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+H AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{_AZ}', '{_AZ.lower()}') AS host,
+        regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM U),
+P AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS w, CASE {" ".join(fits)} END AS fit FROM H),
+S AS (SELECT r, host, unnest(w[:{u.DEPTH}]) AS segment, unnest(range(1, least(len(w), {u.DEPTH}) + 1)) AS k FROM P),
+SN AS (SELECT *, sum(n) OVER (PARTITION BY host, k) AS whole
+       FROM (SELECT host, k, segment, count(*) AS n FROM S GROUP BY host, k, segment)),
+BR AS (SELECT host, k, segment FROM SN
+       WHERE n >= {u.LEAST} AND length(segment) <= {u.SEGMENT} AND n * {u.BRANCHES} >= whole),
+TP AS (SELECT r, string_agg(CASE WHEN BR.k IS NULL THEN '*' ELSE segment END, '/' ORDER BY k) AS template
+       FROM S LEFT JOIN BR USING (host, k, segment) GROUP BY r),
+R AS (SELECT P.r, page_id, host, path, fit.rule AS rule, fit.verdict AS given,
+        coalesce(template, '') || CASE WHEN len(w) > {u.DEPTH} THEN '/**' ELSE '' END AS template FROM P LEFT JOIN TP USING (r)),
+L AS (SELECT host, template, count(*) AS n, count(*) FILTER (WHERE given = 'block') AS b,
+        count(*) FILTER (WHERE given = 'allow') AS a FROM R GROUP BY ALL),
+A AS (SELECT host, template, b, a, string_split(template, '/') AS way, unnest(range(1, len(way) + 1)) AS k FROM L),
+NA AS (SELECT *, way[k] AS segment, array_to_string(way[:k], '/') AS node, array_to_string(way[:k - 1], '/') AS parent FROM A),
+ND AS (SELECT host, k, parent, node, segment, sum(b)::DOUBLE AS b, sum(a)::DOUBLE AS a FROM NA GROUP BY ALL HAVING sum(a + b) > 0),
+PV AS (SELECT *, lag(b) OVER s AS pb, lag(a) OVER s AS pa FROM ND
+       WINDOW s AS (PARTITION BY host, k, parent ORDER BY b / (a + b), segment)),
+CL AS (SELECT *, sum(CASE WHEN pb IS NULL OR (a + b + pa + pb) * (b * pa - a * pb) * (b * pa - a * pb)
+              > {u.CHI2}::DOUBLE * ((a + b) * (pa + pb)) * ((a + pa) * (b + pb)) THEN 1 ELSE 0 END)
+         OVER (PARTITION BY host, k, parent ORDER BY b / (a + b), segment) AS one FROM PV),
+NM AS (SELECT host, k, node, min(segment) OVER (PARTITION BY host, k, parent, one) AS name FROM CL),
+MG AS (SELECT host, template, string_agg(coalesce(name, segment), '/' ORDER BY k) AS merged
+       FROM NA LEFT JOIN NM USING (host, k, node) GROUP BY ALL),
+PO AS (SELECT host, merged, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b, sum(a)::DOUBLE AS a FROM L JOIN MG USING (host, template) GROUP BY ALL),
+TOT AS (SELECT least(coalesce(sum(b)::DOUBLE / nullif(sum(a + b), 0), 0), {u.PRIOR}::DOUBLE) AS p FROM L),
+PU AS (SELECT host, merged, (b + ({u.SMOOTH} + (n - (b + a)) / 4) * p) / ((b + a) + ({u.SMOOTH} + (n - (b + a)) / 4)) AS purity
+       FROM PO, TOT)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN purity >= {u.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+       merged AS template
+FROM R JOIN MG USING (host, template) JOIN PU USING (host, merged)"""
+
+
+ORACLE["op12_url_filter"] = _url_sql()
