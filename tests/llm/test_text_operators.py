@@ -133,32 +133,42 @@ def test_language_sample_is_bounded(spark, sf):
 
 def brute_licenses(text, scanner):
     w, out = license.words_of((text or "").encode()), []
-    n = len(w) - license.SHINGLE + 1
     for name, grams in scanner.sets.items():
+        size = len(next(iter(grams)))
+        n = len(w) - size + 1
         level = license.level_of(len(grams))
         shares = []
         for k in range(0, max(n, 0), 2 << level):
             if k == 0 or k + (2 << level) < n:
-                held = {tuple(w[i:i + license.SHINGLE]) for i in range(k, min(k + (4 << level), n))}
-                shares.append(len(held & grams) / len(grams))
+                held = {tuple(w[i:i + size]) for i in range(k, min(k + (4 << level), n))}
+                shares.append(len(grams & held) / len(grams))
         if shares and max(shares) >= license.THRESHOLD:
             out.append((name, max(shares), sum(s >= license.THRESHOLD for s in shares)))
     return sorted(out)
 
 
-def test_license_scan_equals_exact_containment(monkeypatch):
-    monkeypatch.setattr(license, "PIECE", 64)
-    scanner, rng = license.Scanner(license.TEMPLATES), random.Random(5)
-    for _ in range(120):
+@pytest.mark.parametrize("piece,block", [(64, 64), (1 << 15, 1 << 11), (512, 256)])
+def test_license_scan_equals_exact_containment(monkeypatch, piece, block):
+    monkeypatch.setattr(license, "PIECE", piece)
+    monkeypatch.setattr(license, "BLOCK", block)
+    scanner, rng, texts = license.Scanner(license.TEMPLATES), random.Random(5), []
+    for _ in range(100):
         parts = []
         for _ in range(rng.randint(0, 5)):
-            parts += [f"w{rng.randint(0, 50)}" for _ in range(rng.choice([3, 50, 400]))]
+            parts += [f"w{rng.randint(0, 50)}" for _ in range(rng.choice([0, 3, 50, 400]))]
             found = rng.choice(list(license.TEMPLATES.values())).split()
             if rng.random() < 0.5:
                 found[rng.randrange(len(found))] = "other"
             parts += found
-        text = " ".join(parts)
-        assert sorted((r[1], r[2], r[5]) for r in scanner.scan([text.encode()])) == brute_licenses(text, scanner)
+        texts.append(" ".join(parts))
+    texts += ["", "all rights", "All  RIGHTS reserved!", "(c) me. All rights\nreserved. All rights reserved",
+              "overall rights reserved, all rights", "é all rights reserved"]
+    got = scanner.scan([t.encode() for t in texts])
+    assert any(r[1] == "All rights reserved" for r in got)
+    for i, text in enumerate(texts):
+        mine = sorted((r[1], r[2], r[5]) for r in got if r[0] == i)
+        assert mine == brute_licenses(text, scanner)
+        assert mine == sorted((r[1], r[2], r[5]) for r in scanner.scan([text.encode()]))
 
 
 def test_license_edges_and_sql(spark):
@@ -166,31 +176,22 @@ def test_license_edges_and_sql(spark):
     rows[30] = (30, "Intro words here.\nReleased under the MIT License.\nend", *rows[30][2:])
     rows[31] = rows[30]
     rows[32] = (None, license.TEMPLATES["MPL-2.0 notice"], *rows[32][2:])
+    for i, text in ((33, "(c) me.\nAll  RIGHTS reserved. All rights reserved!"), (34, "overall rights reserved, all rights"),
+                    (35, "é all rights reserved"), (36, "word " * 3000 + "Licensed under CC BY 4.0. All rights reserved")):
+        rows[i] = (i, text, *rows[i][2:])
     df = frame(spark, rows)
     got = license.scan(df)
-    assert got.count() == 3
+    assert got.count() == 7
     same_rows(got, catalog.ORACLE["op3_license_scan"], documents=df)
     assert license.scan(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        license.Scanner({"short": "too few words"})
+        license.Scanner({"none": "..."})
 
 
-def test_short_notices_and_common_licenses(spark):
-    rows = document_rows()
-    for i, text in ((30, "(c) me.\nAll  RIGHTS reserved. All rights reserved!"), (31, "overall rights reserved, all rights"),
-                    (32, "é all rights reserved")):
-        rows[i] = (i, text, *rows[i][2:])
-    df = frame(spark, rows)
-    got = license.find_notices(df)
-    same_rows(got, catalog.ORACLE["op3_short_notices"], documents=df)
-    assert sorted(tuple(r) for r in got.collect()) == [(30, "All rights reserved", 2, 3, 2), (32, "All rights reserved", 1, 3, 1)]
-    assert license.find_notices(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        license.find_notices(df, notices={"none": "..."})
+def test_every_license_is_found_whole():
     scanner = license.Scanner(license.TEMPLATES)
-    for name in ("BSD-2-Clause text", "BSD-3-Clause text", "GPL-2.0 notice", "LGPL-2.1 notice", "AGPL-3.0 notice",
-                 "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-4.0 notice", "CC-BY-SA-4.0 notice"):
-        assert (name, 1.0) in [r[1:3] for r in scanner.scan([f"Some words first. {license.TEMPLATES[name]} End".encode()])]
+    for name, text in license.TEMPLATES.items():
+        assert (name, 1.0) in [r[1:3] for r in scanner.scan([f"Some words first. {text} End".encode()])]
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])

@@ -42,12 +42,6 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license.scan(documents(spark, sf).select("doc_id", "text"))
 
 
-@query
-def op3_short_notices(spark: SparkSession, sf: str) -> DataFrame:
-    """Notices shorter than a shingle, which the SQL of `op3_license_scan` leaves out."""
-    return license.find_notices(documents(spark, sf).select("doc_id", "text"))
-
-
 @query
 def op4_byte_bpe(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     """Encode every text, decode the ids, digest both."""
@@ -143,6 +137,7 @@ def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
 # SQL --------------------------------------------------------------------------------
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACE = r"'[\x20\x09-\x0D]'"
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _rule_sql() -> str:
@@ -306,22 +301,27 @@ LEFT JOIN H ON H.conv_id = O.conv_id AND H.turn = O.turn"""
 
 def _license_sql() -> str:
     """Exact containment in every window, without the search for candidates."""
-    rows = []
+    rows, sizes = [], set()
     for name, text in license.TEMPLATES.items():
         w = [x.decode() for x in license.words_of(text.encode())]
-        grams = sorted({" ".join(w[i:i + license.SHINGLE]) for i in range(len(w) - license.SHINGLE + 1)})
+        words = license.shingle_size(w)
+        grams = sorted({" ".join(w[i:i + words]) for i in range(len(w) - words + 1)})
         step = 2 << license.level_of(len(grams))
-        rows += [f"('{name}', {len(grams)}, {step}, '{g}')" for g in grams]
+        sizes.add(words)
+        rows += [f"('{name}', {words}, {len(grams)}, {step}, '{g}')" for g in grams]
+    places = " UNION ALL ".join(
+        f"SELECT k, doc_id, {x} AS words, len(w) - {x - 1} AS n, p, array_to_string(w[p + 1:p + {x}], ' ') AS gram "
+        f"FROM (SELECT *, unnest(range(len(w) - {x - 1})) AS p FROM D WHERE len(w) >= {x})" for x in sorted(sizes))
     return rf"""
-WITH G(license, size, step, gram) AS (VALUES {", ".join(rows)}),
-D AS (SELECT row_number() OVER () AS k, doc_id,
-        regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
-P AS (SELECT k, doc_id, len(w) - 4 AS n, unnest(range(len(w) - 4)) AS p, w FROM D WHERE len(w) >= 5),
-H AS (SELECT k, doc_id, n, p, license, size, step, gram FROM P JOIN G ON array_to_string(w[p + 1:p + 5], ' ') = gram),
+WITH G(license, words, size, step, gram) AS (VALUES {", ".join(rows)}),
+D AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+P AS ({places}),
+H AS (SELECT k, doc_id, n, p, words, license, size, step, gram FROM P JOIN G USING (words, gram)),
 W AS (SELECT *, p // step - o AS win FROM H, range(2) r(o)
       WHERE p // step - o >= 0 AND (p // step - o = 0 OR (p // step - o) * step + step < n)),
 S AS (SELECT k, doc_id, license, win, count(DISTINCT gram) / size::DOUBLE AS containment,
-        min(p) AS first_word, max(p) - min(p) + 5 AS n_words FROM W GROUP BY k, doc_id, license, win, size)
+        min(p) AS first_word, max(p) - min(p) + words AS n_words FROM W GROUP BY k, doc_id, license, win, size, words)
 SELECT doc_id, license, containment, first_word, n_words,
        count(*) OVER (PARTITION BY k, license) AS windows
 FROM S WHERE containment >= {license.THRESHOLD}
@@ -352,7 +352,6 @@ def _crc32_sql(text: str) -> str:
             f"lambda a, b: xor(a >> 8, list_extract({table}::BIGINT[], (xor(a, b) & 255) + 1))), 4294967295::BIGINT)")
 
 
-_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bigrams; the end token and the begin mark are blanks, which no word holds.
 ORACLE["op8_lm_score"] = rf"""
 WITH D AS (SELECT row_number() OVER () AS k, doc_id,
@@ -384,24 +383,6 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE raw > 0) A
 FROM Q GROUP BY k, doc_id, held_out"""
 
 
-def _notice_sql() -> str:
-    """Each place where a notice's words stand in a row."""
-    rows = []
-    for name, text in license.SHORT_NOTICES.items():
-        w = [x.decode() for x in license.words_of(text.encode())]
-        rows.append(f"('{name}', {len(w)}, '{' '.join(w)}')")
-    return rf"""
-WITH N(license, size, words) AS (VALUES {", ".join(rows)}),
-D AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
-        translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
-P AS (SELECT k, doc_id, w, license, size, words, unnest(range(len(w) - size + 1)) AS p FROM D, N)
-SELECT doc_id, license, min(p) AS first_word, size::BIGINT AS n_words, count(*) AS found
-FROM P WHERE array_to_string(w[p + 1:p + size], ' ') = words GROUP BY k, doc_id, license, size"""
-
-
-ORACLE["op3_short_notices"] = _notice_sql()
-
-
 def _url_sql() -> str:
     """Rules, template trees, merged branches and purities."""
     u = urlfilter

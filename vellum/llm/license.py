@@ -1,21 +1,25 @@
 """License scans by MinHash over text windows (operator 3).
 
 Words are runs of ASCII letters and digits and of other non-ASCII characters,
-folded to lower case; a shingle is five of them.  Templates are grouped by
-length: a class holds those of 2^c to 2^(c+1) - 1 shingles.  For each class a text
+folded to lower case; a shingle is five of them, or a template's whole word sequence
+where that is shorter.  Templates are grouped by their shingles' length and by their
+own: a class holds those of 2^c to 2^(c+1) - 1 shingles.  For each class a text
 is cut into windows of 2^(c+2) shingles that overlap by half, so every passage as
 long as a template of the class lies in one window.  A window gets a MinHash
 signature of `BANDS` bands of one row; the minima of longer windows are the minima
-of shorter ones side by side.  A window and a template that share a band's value
-meet.  A window that holds 80 % of a template's shingles has a Jaccard similarity of
-at least 0.8 * 2^c / (2^(c+2) + 0.2 * 2^c) = 0.19, so it is missed with a
-probability of at most 0.81^96 < 2e-9.  Each meeting is then verified: the share of
-the template's shingles that the window holds, word by word, must be at least
-``threshold``.
-
-Edge cases: null and empty texts, and texts shorter than a shingle, match nothing;
-repeated rows match alike; a template without a shingle raises an error; an empty
-table gives an empty table; repeated licenses of a text are one row.
+of shorter ones side by side, so `BLOCK` shingles at a time, few enough for a core's
+cache, are hashed by all bands and halved level by level.  A window and a template
+that share a band's value meet.  A window that holds 80 % of a template's shingles has
+a Jaccard similarity of at least 0.8 * 2^c / (2^(c+2) + 0.2 * 2^c) = 0.19, so it is
+missed with a probability of at most 0.81^96 < 2e-9.  Each meeting is then verified:
+the share of the template's shingles that the window holds, word by word, must be at
+least ``threshold``.
+
+Edge cases: null and empty texts, and texts shorter than all shingles, match nothing;
+very long texts are scanned `PIECE` shingles at a time, with all their windows;
+repeated rows match alike; a template without a word raises an error; an empty
+table gives an empty table; repeated licenses of a text are one row; extra columns,
+of any name, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ SHINGLE = 5
 BANDS = 96
 THRESHOLD = 0.8
 PIECE = 1 << 15  # shingles of a text that are scanned together; whole windows all the same
+BLOCK = 1 << 11  # shingles whose minima are held at once, about
 U8 = np.uint64
 #: Upper limit of all templates' bytes: they travel with the job to every worker.
 TEMPLATE_BYTES = 16 << 20
@@ -105,12 +110,10 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "All rights reserved": "All rights reserved.",
     "CC-BY-SA-4.0 notice": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 }
-#: Notices shorter than a shingle, found as whole word sequences.
-SHORT_NOTICES = {"All rights reserved": "All rights reserved."}
-
 #: ASCII signs part words; letters are folded.
 FOLD = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 if i < 128 else i for i in range(256))
 SCHEMA = "license string, containment double, first_word long, n_words long, windows long"
@@ -132,16 +135,23 @@ def pieces(raw: bytes, step: int, more: int):
     yield at, held, True
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each run of `SHINGLE` words."""
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """64-bit hash of each run of ``size`` words."""
+    return run_hashes(word_hashes(words), size)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    n = len(words) - SHINGLE + 1
+    return np.fromiter(map(xxh64_intdigest, words), U8, len(words))
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    n = len(h) - size + 1
     if n < 1:
         return np.zeros(0, U8)
-    h = np.fromiter(map(xxh64_intdigest, words), U8, len(words))
     out = np.zeros(n, U8)
-    for i in range(SHINGLE):
+    for i in range(size):
         out = (out ^ h[i:i + n]) * U8(0x9E3779B97F4A7C15)
         out ^= out >> U8(29)
     return out
@@ -162,68 +172,80 @@ def level_of(n_shingles: int) -> int:
     return n_shingles.bit_length() - 1
 
 
+def shingle_size(words: list) -> int:
+    """Words of a template's shingles."""
+    return min(SHINGLE, len(words))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float = THRESHOLD):
         self.threshold, self.factors = threshold, multipliers()
-        self.sets, by_level = {}, {}
+        self.sets: dict[str, set] = {}
+        #: shingle length -> level -> (name, signature) of its templates
+        self.classes: dict[int, dict[int, list]] = {}
         for name, text in templates.items():
             w = words_of(text.encode())
-            grams = {tuple(w[i:i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-            if not grams:
-                raise ValueError(f"template {name} is shorter than a shingle")
-            self.sets[name] = grams
-            by_level.setdefault(level_of(len(grams)), []).append((name, signature(shingle_hashes(w), self.factors)))
-        self.levels = {}
-        for level, found in sorted(by_level.items()):
-            # a bit for each band and low 16 bits: windows that miss all of them meet no template
-            bits = np.zeros((BANDS, 1 << 16), bool)
-            for _, s in found:
-                bits[np.arange(BANDS), s & 0xFFFF] = True
-            self.levels[level] = ([n for n, _ in found], np.array([s for _, s in found]), bits)
-
-    def meetings(self, hashes: np.ndarray, starts: np.ndarray, inner: np.ndarray):
-        """(level, piece, first shingle) of the windows that may share a band with a
-        template, over several pieces' shingles side by side.  ``starts`` are the
-        pieces' first shingles and the end, ``inner`` tells that a text has shingles
+            if not w:
+                raise ValueError(f"template {name} has no words")
+            size = shingle_size(w)
+            self.sets[name] = {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
+            self.classes.setdefault(size, {}).setdefault(level_of(len(self.sets[name])), []).append(
+                (name, signature(shingle_hashes(w, size), self.factors)))
+        self.top = max(level for levels in self.classes.values() for level in levels)
+
+    def meetings(self, pieces: list[np.ndarray], inner: np.ndarray, levels: dict[int, list]):
+        """(level, template, piece, first shingle) of the windows that share a band with
+        a template, over pieces' shingles.  ``inner`` tells that a text has shingles
         before the piece."""
-        sizes = np.diff(starts)
-        count = -(-sizes // 2)  # halves of the shortest windows; a text's last may be shorter
-        owner = np.repeat(np.arange(len(sizes)), count)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        first = starts[owner] + 2 * nth
-        grid = []  # for each level: piece, first shingle, may start a window, place of its halves below
-        at = first
-        for level in range(max(self.levels) + 1):
-            # a window is a half and the next one of its piece, or a text's only half
-            follows = np.append(owner[1:] == owner[:-1], False)
-            grid.append((owner, first, follows, follows | (nth == 0) & ~inner[owner], at))
-            at = np.flatnonzero(nth % 2 == 0)
-            owner, first, nth = owner[at], first[at], nth[at] // 2
-        low, high = hashes.astype(np.uint32), (hashes >> U8(32)).astype(np.uint32)
-        near = {level: np.zeros(len(grid[level][0]), bool) for level in self.levels}
-        for band, factor in enumerate(self.factors):
-            mins = low * factor ^ high
-            for level, (_, _, follows, _, at) in enumerate(grid):
-                mins = np.minimum.reduceat(mins, at)
-                if level in near:
-                    whole = np.where(follows, np.minimum(mins, np.append(mins[1:], mins[-1])), mins)
-                    near[level] |= self.levels[level][2][band][whole & 0xFFFF]
-        for level, some in near.items():
-            at = np.flatnonzero(some & grid[level][3])
-            yield level, grid[level][0][at], grid[level][1][at]
+        top = max(levels)
+        unit = 2 << top  # a half of the longest windows; pieces are filled up to it
+        sizes = np.array([len(p) for p in pieces])
+        units = -(-sizes // unit)
+        base = unit * (np.cumsum(units) - units)
+        owner_of_unit = np.repeat(np.arange(len(pieces)), units)
+        total = unit * len(owner_of_unit)
+        # a filler's value is the largest one in every band
+        low, high = np.zeros(total, np.uint32), np.full(total, 0xFFFFFFFF, np.uint32)
+        for p, at in zip(pieces, base.tolist(), strict=True):
+            low[at:at + len(p)], high[at:at + len(p)] = p.astype(np.uint32), (p >> U8(32)).astype(np.uint32)
+        block = max(BLOCK, unit)
+        held = np.empty((block + unit, BANDS), np.uint32)
+        for begin in range(0, total, block):
+            end = min(begin + block + unit, total)  # the next block's first unit ends this one's windows
+            mins = held[:end - begin]
+            np.multiply(low[begin:end, None], self.factors, out=mins)
+            np.bitwise_xor(mins, high[begin:end, None], out=mins)
+            for level in range(top + 1):
+                mins = np.minimum(mins[::2], mins[1::2])
+                if level not in levels:
+                    continue
+                step = 2 << level
+                first = np.arange(begin, min(begin + block, total), step)
+                owner = owner_of_unit[first // unit]
+                first -= base[owner]
+                follows = first + step < sizes[owner]
+                valid = follows | (first == 0) & ~inner[owner]  # a text's only half is a window too
+                n = len(first)
+                whole = mins[:n].copy()
+                more = mins[1:n + 1]
+                np.minimum(whole[:len(more)], more, out=whole[:len(more)])
+                alone = np.flatnonzero(valid & ~follows)
+                whole[alone] = mins[alone]
+                for name, mine in levels[level]:
+                    met = (whole == mine).view(np.uint64).any(axis=1) & valid
+                    for i in np.flatnonzero(met).tolist():
+                        yield level, name, int(owner[i]), int(first[i])
 
     def scan(self, raws: list[bytes]) -> list[tuple]:
         """(text, license, containment, first word, words, windows) of all matches."""
-        more = 2 << max(self.levels)  # a half of the longest windows
+        more = 2 << self.top  # a half of the longest windows
         step = max(PIECE, more)
         best: dict[tuple, list] = {}
         held, size = [], 0
         for i, raw in enumerate(raws):
             for at, words, last in pieces(raw, step, more):
-                hashes = shingle_hashes(words)
-                if len(hashes):
-                    held.append((i, at, words, hashes, len(hashes) if last else step))
-                    size += len(hashes)
+                held.append((i, at, words, len(words) if last else step))
+                size += len(words)
                 if size >= 2 * PIECE:
                     self.scan_pieces(held, best)
                     held, size = [], 0
@@ -232,34 +254,32 @@ class Scanner:
         return [(i, name, *found) for (i, name), found in sorted(best.items())]
 
     def scan_pieces(self, held: list[tuple], best: dict) -> None:
-        starts = np.concatenate(([0], np.cumsum([len(p[3]) for p in held])))
-        inner = np.array([p[1] > 0 for p in held])
-        hashes = np.concatenate([p[3] for p in held])
-        for level, owner, first in self.meetings(hashes, starts, inner):
-            names, signatures, _ = self.levels[level]
-            size = 4 << level
-            for piece, start in zip(owner.tolist(), first.tolist(), strict=True):
-                text, at, words, own, limit = held[piece]
-                begin = start - int(starts[piece])
+        hashes = [word_hashes(words) for _, _, words, _ in held]
+        for size, levels in self.classes.items():
+            runs = [run_hashes(h, size) for h in hashes]
+            some = [i for i, r in enumerate(runs) if len(r)]
+            if not some:
+                continue
+            inner = np.array([held[i][1] > 0 for i in some])
+            for level, name, piece, begin in self.meetings([runs[i] for i in some], inner, levels):
+                text, at, words, limit = held[some[piece]]
                 if begin >= limit:  # a window of the next piece
                     continue
-                mine = signature(own[begin:begin + size], self.factors)
-                w = words[begin:begin + size + SHINGLE - 1]
-                grams = {tuple(w[i:i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-                for t in np.flatnonzero((signatures == mine).any(axis=1)).tolist():
-                    wanted = self.sets[names[t]]
-                    share = len(wanted & grams) / len(wanted)
-                    if share >= self.threshold:
-                        self.note(best, text, names[t], share, at + begin, w, wanted)
+                w = words[begin:begin + (4 << level) + size - 1]
+                grams = {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
+                wanted = self.sets[name]
+                share = len(wanted & grams) / len(wanted)
+                if share >= self.threshold:
+                    self.note(best, text, name, share, at + begin, w, wanted, size)
 
     @staticmethod
-    def note(best: dict, text: int, name: str, share: float, begin: int, w: list, mine: set) -> None:
+    def note(best: dict, text: int, name: str, share: float, begin: int, w: list, mine: set, size: int) -> None:
         """Keep the best window, the first of equals, and count windows."""
         held = best.setdefault((text, name), [-1.0, 0, 0, 0])
         held[3] += 1
         if share > held[0]:
-            hits = [i for i in range(len(w) - SHINGLE + 1) if tuple(w[i:i + SHINGLE]) in mine]
-            held[:3] = [share, begin + hits[0], hits[-1] - hits[0] + SHINGLE]
+            hits = [i for i in range(len(w) - size + 1) if tuple(w[i:i + size]) in mine]
+            held[:3] = [share, begin + hits[0], hits[-1] - hits[0] + size]
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
@@ -285,37 +305,3 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
                      *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=names)
 
     return bounded_batches(rows).mapInArrow(run, schema)
-
-
-def find_notices(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 notices: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, license, first_word, n_words, found) of each document and notice of
-    any length whose words it holds in a row: the first place and their number."""
-    notices = SHORT_NOTICES if notices is None else notices
-    wanted = {name: b" ".join(words_of(notice.encode())) for name, notice in notices.items()}
-    if not all(wanted.values()):
-        raise ValueError("a notice has no words")
-    rows = df.select(F.col(f"`{doc_id}`").alias("id"), utf8(F.col(f"`{text}`")).alias("raw"))
-    schema = T.StructType([T.StructField(doc_id, df.schema[doc_id].dataType),
-                           *T._parse_datatype_string("license string, first_word long, n_words long, found long").fields])
-    names = schema.names
-
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole):
-                got = []
-                for i, raw in enumerate(b.column(1).to_pylist()):
-                    line = b" " + b" ".join(words_of(raw)) + b" "
-                    for name, w in wanted.items():
-                        places, at = [], line.find(b" " + w + b" ")
-                        while at >= 0:
-                            places.append(at)
-                            at = line.find(b" " + w + b" ", at + 1)
-                        if places:
-                            got.append((i, name, line.count(b" ", 0, places[0]), w.count(b" ") + 1, len(places)))
-                cols = list(zip(*got, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()),
-                     *(pa.array(c, pa.int64()) for c in cols[2:])], names=names)
-
-    return bounded_batches(rows).mapInArrow(run, schema)
