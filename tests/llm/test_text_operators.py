@@ -65,7 +65,7 @@ def test_quality_matches_sql(spark):
 def test_quality_edges(spark):
     df = frame(spark)
     out = quality.apply_rules(df)
-    assert sorted(out.columns) == sorted({*df.columns, *quality.COUNTS, "base_failed", "kept"})
+    assert sorted(out.columns) == sorted({*df.columns, *quality.COUNTS, "base_failed", "kept", "failed"})
     rows = {(r.doc_id, r.n_chars): r for r in out.collect()}
     assert out.count() == df.count()
     assert rows[11, 0].base_failed and rows[11, 0].n_words == 0 and not rows[12, 0].kept
@@ -73,26 +73,71 @@ def test_quality_edges(spark):
     assert quality.apply_rules(df.limit(0)).count() == 0
 
 
-def test_quality_cutoffs_follow_the_quartiles(spark):
-    rng = random.Random(6)
-    rows = []
-    for i in range(200):
-        lines = [" ".join(f"w{rng.randrange(10 ** 6):06d}"[:rng.randint(4, 6)] for _ in range(8)) for _ in range(9)]
-        if i == 0:  # three equal lines of four words, under the base limit
-            lines = [*lines, *["one two three four"] * 3]
-        if i == 1:  # long words, and short ones
+def plain_lines(rng, n=9, letters=(4, 6), words=8):
+    return [" ".join(f"w{rng.randrange(10 ** 9):09d}"[:rng.randint(*letters)] for _ in range(words)) for _ in range(n)]
+
+
+def test_quality_cutoffs_follow_each_group(spark):
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        lines = plain_lines(rng)
+        if i >= 200:  # a source of tables: signs, repeated headings, longer words
+            lines = [x.replace(" ", " | ", rng.randint(2, 4)) for x in plain_lines(rng, 9, (7, 10))]
+            lines += ["head"] * rng.randint(3, 6)
+        if i == 0:  # one equal line of many is no reason
+            lines.append(lines[0][:14])
+            lines.append(lines[0][:14])
+        if i == 1:  # long words
             lines = ["".join(rng.choice("abcdef") for _ in range(9)) + f" w{k}longword" for k in range(30)]
-        if i == 2:
+        if i == 2:  # short words
             lines = [f"{chr(97 + k)} {chr(97 + j)}" for k in range(26) for j in (k, (3 * k + 1) % 26)][:30]
-        if i == 3:
-            lines[0] += " ## ##"
-        rows.append((i, "\n".join(lines), "en", "s"))
+        if i in (3, 203):  # as many signs as the source of tables has
+            lines = [x.replace(" ", " | ", 3) for x in plain_lines(rng, 9, (4, 6) if i == 3 else (7, 10))]
+        if i in (4, 204):  # as many headings as that
+            lines = plain_lines(rng, 9, (4, 6) if i == 4 else (7, 10)) + ["head"] * 12
+        if i == 205:  # far more signs
+            lines = [x.replace(" ", " ||| ") for x in plain_lines(rng, 9, (7, 10))]
+        if i == 5:  # many equal short lines: under the base limit of repeated words
+            lines = [*plain_lines(rng, 30), *[x for k in range(24) for x in ("one", f"x{k} y{k} z{k} v{k} t{k}")]]
+        rows.append((i, "\n".join(lines), "en", "prose" if i < 200 else "tables"))
+    rows += [(500 + i, "\n".join(plain_lines(rng, 40, (4, 6), 12)), "en", "books") for i in range(60)]
+    rows += [(600, "few words for a book but more than ten of them here", "en", "books"),
+             (601, "\n".join(plain_lines(rng, 3000, (4, 6), 12)), "en", "books")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = quality.apply_rules(df)
+    same_rows(out.drop("text", "lang", "source"), catalog.ORACLE["op2_quality_rules"], documents=df)
+    got = {r.doc_id: r.failed for r in out.collect()}
+    want = {1: "word_length_high", 2: "word_length_low", 3: "symbols", 4: "dup_lines", 5: "dup_lines", 205: "symbols",
+            600: "length_log_low"}
+    assert [(i, rule, got[i]) for i, rule in want.items() if rule not in got[i].split(",")] == []
+    # the same numbers of signs and headings are common among tables
+    assert got[203] == "" and "symbols" not in got[204] and "dup_lines" not in got[204]
+    assert {i for i, f in got.items() if f} <= {*want, 204}
+    cuts = {r.source: r for r in quality.cutoffs(quality.sketches(quality.measure(df))).collect()}
+    assert cuts["prose"].cut_symbols == 0 < 100 < cuts["tables"].cut_symbols
+    assert cuts["prose"].cut_dup_lines < cuts["tables"].cut_dup_lines
+    assert cuts["prose"].cut_word_length_q75 < cuts["tables"].cut_word_length_q25
+    assert cuts["prose"].cut_length_log_q25 < cuts["books"].cut_length_log_q25
+
+
+def test_quality_of_very_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(plain_lines(rng)), "en", "s") for i in range(60)]
+    rows += [(100, "\n".join(plain_lines(rng, 20_000)), "en", "s"), (101, "y" * 300_000, "en", "s"),
+             (102, "a b c d e f g h\n" * 20_000, "en", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality.apply_rules(df).collect()}
-    assert not any(got[i].base_failed for i in range(200))
-    assert [i for i in range(200) if not got[i].kept] == [0, 1, 2, 3]
-    cuts = quality.cutoffs(quality.sketches(quality.measure(df))).first()
-    assert cuts.cut_chars_per_word_low > 1000
+    assert got[100].kept and got[100].n_words == 160_000
+    assert got[101].n_words == 1 and got[101].failed == got[102].failed == "base" and got[102].n_repeat_words == 160_000
+
+
+def test_clean_documents_are_left_alone(spark):
+    sf = "/root/testdata/sf0.1"
+    out = quality.apply_rules(documents(spark, sf), keep=["doc_id"])
+    known = out.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("NOT base_failed")
+    share = {r.quality: r.k / r.n for r in known.groupBy("quality").agg(
+        F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n")).collect()}
+    assert share[1] >= 0.995 and share[0] < 0.3
 
 
 def test_sketch_quantiles_are_near_the_exact_ones(spark):

@@ -142,23 +142,25 @@ _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def _rule_sql() -> str:
     """Cutoffs and verdict of the quality rules, from the bucket counts."""
-    def cut(rule: str, end: str) -> str:
-        least = quality.RULES[rule][0]
-        step = f"{quality.SPREAD} * greatest(q3 - q1, {least})"
-        value = f"q1 - {step}" if end == "low" else f"q3 + {step}"
-        return f"max(CASE WHEN rule = '{rule}' THEN {value} END) AS {rule}_{end}"
-
-    def pick(col: str) -> str:
-        return (f"CASE WHEN o.docs >= {quality.MIN_DOCS} THEN o.{col} "
-                f"WHEN l.docs >= {quality.MIN_DOCS} THEN l.{col} ELSE a.{col} END AS {col}")
-
-    cuts = ", ".join(cut(r, e) for r in quality.RULES for e in ("low", "high"))
-    picks = ", ".join(pick(f"{r}_{e}") for r in quality.RULES for e in ("low", "high"))
-    fails = " AND ".join(
-        f"coalesce({r} <= {r}_high, true)" + (f" AND coalesce({r} >= {r}_low, true)" if low else "")
-        for r, (_, low) in quality.RULES.items())
-    stacked = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r} AS v FROM M WHERE NOT base_failed"
-                                 for r in quality.RULES)
+    q, cuts, bad = quality, [], []
+    for rule, (count, unit, event, upper) in q.SHARES.items():
+        cuts.append((rule, f"greatest(q75 + {q.SPREAD} * (q75 - q25), q{upper})"))
+        bad.append((rule, f"(1000 * {count} - cut_{rule} * {unit})::DOUBLE > {q.SPREAD} * sqrt(1000.0::DOUBLE * {event} "
+                          f"* (cut_{rule} * {unit} + {1000 * event}))"))
+    for rule, (least, both) in q.RANGES.items():
+        cuts += [(f"{rule}_q{p}", f"q{p}") for p in (25, 75)]
+        step = (f"{q.SPREAD} * greatest(cut_{rule}_q75 - cut_{rule}_q25, {least}) "
+                f"* (1 + 10 / sqrt(greatest(n_words, 1)::DOUBLE))")
+        bad.append((f"{rule}_low", f"cut_{rule}_q25 - {rule} > {step}"))
+        if both:
+            bad.append((f"{rule}_high", f"{rule} - cut_{rule}_q75 > {step}"))
+    sums = ", ".join(f"max(CASE WHEN rule = '{r if r in q.SHARES else r[:-4]}' THEN {x} END) AS cut_{r}" for r, x in cuts)
+    picks = ", ".join(f"CASE WHEN o.docs >= {q.MIN_DOCS} THEN o.cut_{r} WHEN l.docs >= {q.MIN_DOCS} THEN l.cut_{r} "
+                      f"ELSE a.cut_{r} END AS cut_{r}" for r, _ in cuts)
+    failed = ", ".join(f"CASE WHEN {x} THEN '{r}' END" for r, x in bad)
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r}::BIGINT AS v FROM M WHERE NOT base_failed"
+                                 for r in (*q.SHARES, *q.RANGES))
+    points = ", ".join(f"min(CASE WHEN 100 * nth >= {p} * n THEN bucket END) AS q{p}" for p in q.PERCENTS)
     return f"""
 V AS ({stacked}),
 H AS (SELECT lang, source, rule,
@@ -169,16 +171,14 @@ G AS (SELECT 2 AS level, lang, source, rule, bucket FROM H
       UNION ALL SELECT 0, NULL, NULL, rule, bucket FROM H),
 R AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS nth,
         count(*) OVER (PARTITION BY level, lang, source, rule) AS n FROM G),
-Q AS (SELECT level, lang, source, rule, max(n) AS docs,
-        min(CASE WHEN 4 * nth >= n THEN bucket END) AS q1,
-        min(CASE WHEN 4 * nth >= 3 * n THEN bucket END) AS q3 FROM R GROUP BY ALL),
-C AS (SELECT level, lang, source, max(docs) AS docs, {cuts} FROM Q GROUP BY ALL),
+Q AS (SELECT level, lang, source, rule, max(n) AS docs, {points} FROM R GROUP BY ALL),
+C AS (SELECT level, lang, source, max(docs) AS docs, {sums} FROM Q GROUP BY ALL),
 K AS (SELECT o.lang, o.source, {picks} FROM (SELECT * FROM C WHERE level = 2) o
       LEFT JOIN (SELECT * FROM C WHERE level = 1) l ON l.lang IS NOT DISTINCT FROM o.lang
-      LEFT JOIN (SELECT * FROM C WHERE level = 0) a ON true)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND {fails} AS kept
-FROM M LEFT JOIN K ON K.lang IS NOT DISTINCT FROM M.lang AND K.source IS NOT DISTINCT FROM M.source"""
+      LEFT JOIN (SELECT * FROM C WHERE level = 0) a ON true),
+J AS (SELECT M.*, CASE WHEN base_failed THEN 'base' ELSE concat_ws(',', {failed}) END AS failed
+      FROM M LEFT JOIN K ON K.lang IS NOT DISTINCT FROM M.lang AND K.source IS NOT DISTINCT FROM M.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = '' AS kept, failed FROM J"""
 
 
 ORACLE["op2_quality_rules"] = rf"""
@@ -189,17 +189,19 @@ S AS (SELECT k, p, array_to_string(w[p:p + 4], ' ') AS s FROM P),
 T AS (SELECT k, p, count(*) OVER (PARTITION BY k, s) AS c FROM S),
 RW AS (SELECT k, count(DISTINCT p + o) AS n FROM T, range(0, 5) r(o) WHERE c > 1 GROUP BY k),
 LN AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM D),
-DL AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM LN
+DL AS (SELECT k, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM LN
        WHERE regexp_replace(line, {_SPACE}, '', 'g') <> '' GROUP BY k),
 B AS (SELECT D.*, len(w)::BIGINT AS n_words,
         length(regexp_replace(text, {_SPACE}, '', 'g'))::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(lines, 0)::BIGINT AS n_lines,
         coalesce(DL.n, 0)::BIGINT AS n_dup_lines, coalesce(RW.n, 0)::BIGINT AS n_repeat_words
       FROM D LEFT JOIN DL USING (k) LEFT JOIN RW USING (k)),
 M AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-        1000 * n_symbols // greatest(n_words, 1) AS symbols_per_word,
-        1000 * n_dup_lines // greatest(n_words, 1) AS dup_line_share,
-        1000 * word_chars // greatest(n_words, 1) AS chars_per_word FROM B),
+        {", ".join(f"1000 * {c} // greatest({u}, 1) AS {r}" for r, (c, u, _, _) in quality.SHARES.items())},
+        1000 * word_chars // greatest(n_words, 1) AS word_length,
+        16 * (length(bin(greatest(n_words, 1))) - 1) + ((16 * greatest(n_words, 1)) >> (length(bin(greatest(n_words, 1))) - 1)) - 16
+          AS length_log FROM B),
 {_rule_sql()}"""
 
 ORACLE["op5_mix_sources"] = rf"""
