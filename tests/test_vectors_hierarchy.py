@@ -104,9 +104,9 @@ def test_knn_with_forty_copies(spark):
     rows = [(i, [1.0, 1.0], 0) for i in range(20, 60)] + [(i, [float(i), -5.0], 1) for i in range(20)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
     from vellum.operators import knn
-    for size in (64 << 20, 200):
+    for size in (16 << 20, 0):
         nb = knn.knn_join(df, df, 3, qid="id", tid="id", qvec="v", tvec="v", label="label", exclude_self=True,
-                          train_block_bytes=size)
+                          shared_train_bytes=size)
         got = {r.id: [n.tid for n in r.neighbors] for r in nb.collect()}
         assert got[50] == [20, 21, 22] and got[20] == [21, 22, 23] and got[21] == [20, 22, 23]
 
@@ -129,20 +129,61 @@ def test_knn_matches_bruteforce(spark):
         assert abs(got[i][1] - np.float32(1 / (1 + dist[order[0]]))) < 1e-6
 
 
-def test_knn_small_blocks_same_result(spark):
-    """Forcing many grid cells (tiny blocks) must not change the answer."""
+def test_knn_cells_same_result(spark):
+    """Pivots and many small cells must not change the answer."""
     from vellum.operators import knn
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 4))
     df = spark.createDataFrame([(i, x[i].tolist(), i % 4) for i in range(80)], "id long, v array<double>, label int")
     a = knn.knn_join(df, df, 4, qid="id", tid="id", qvec="v", tvec="v", label="label", exclude_self=True)
     b = knn.knn_join(df, df, 4, qid="id", tid="id", qvec="v", tvec="v", label="label", exclude_self=True,
-                     train_block_bytes=200, query_block_rows=7)
+                     shared_train_bytes=0, cell_rows=7)
     ra = {r.id: [n.tid for n in r.neighbors] for r in a.collect()}
     rb = {r.id: [n.tid for n in r.neighbors] for r in b.collect()}
     assert ra == rb
 
 
+def test_knn_cells_with_groups_copies_and_short_tables(spark):
+    """Groups without rows, fewer rows than neighbours, copies over many cells, text ids."""
+    from vellum.operators import knn
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", f"g{i % 3}", rng.normal(size=3).tolist(), i % 5) for i in range(150)]
+    rows += [(f"c{i}", "g1", [0.5, 0.5, 0.5], 7) for i in range(60)] + [("one", "alone", [1.0, 2.0, 3.0], 1)]
+    rows += [("none", "g1", None, 1), ("no group", None, [0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "id string, g string, v array<double>, label int")
+    queries = df.unionByName(spark.createDataFrame([("q", "empty", [0.0, 0.0, 0.0], 1)], df.schema))
+    got = {}
+    for size in (16 << 20, 0):
+        nb = knn.knn_join(queries.filter("v IS NOT NULL"), df.filter("v IS NOT NULL"), 4, qid="id", tid="id", qvec="v", tvec="v",
+                          label="label", qgroup="g", tgroup="g", exclude_self=True, shared_train_bytes=size, cell_rows=6)
+        got[size] = {r.id: [(n.tid, n.label, round(n.dist, 9)) for n in r.neighbors] for r in nb.collect()}
+    assert got[0] == {k: v for k, v in got[16 << 20].items() if k != "no group"} and "one" not in got[0] and len(got[0]) == 210
+    assert [t for t, *_ in got[0]["c5"]] == ["c0", "c1", "c10", "c11"]
+    none = knn.knn_join(df, df.limit(0), 4, qid="id", tid="id", qvec="v", tvec="v", label="label", shared_train_bytes=-1)
+    assert none.count() == 0
+
+
+def test_knn_cells_measure_few_pairs_of_clustered_vectors(spark):
+    from pyspark.sql import types as T
+    from vellum.operators import knn
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(40, 16)) * 4
+    x = centre[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], "id long, vec array<double>, label int, g string")
+    schema = T._parse_datatype_string("qid long, tid long, dist double, label int")
+    best, pairs = knn.pruned_candidates(df.select(F.col("id").alias("qid"), "vec", "g"),
+                                        df.select(F.col("id").alias("tid"), "vec", "label", "g"), 5, schema, True, 256)
+    measured = sum(r.pairs for r in pairs.collect())
+    assert measured < 0.2 * len(x) ** 2
+    got = {}
+    for r in best.collect():
+        got.setdefault(r.qid, []).append((r.dist, r.tid))
+    for i in range(0, len(x), 97):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert [t for _, t in sorted(got[i])] == np.argsort(d, kind="stable")[:5].tolist()
+
+
 def test_density_recovers_blobs(spark):
     rng = np.random.default_rng(11)
     centers = np.array([[0, 0], [10, 10], [0, 10]], float)

@@ -1,37 +1,36 @@
 """Exact k-nearest-neighbour join and classification.
 
 A training table of a few megabytes (counted first) is broadcast and the queries
-are streamed against it where they are.  Larger ones take this plan (a block
-nested-loop join that never emits pair rows):
-
-* Per group (stage 2 restricts neighbours to the query's predicted main
-  class; stage 1 is one group) we count queries and training rows in a
-  small aggregate and derive how many *query blocks* and *training blocks*
-  that group needs: training blocks bound the bytes one task holds, query
-  blocks bound rows per task.  A group holding a third of all rows simply
-  gets more blocks — skew is split, never funnelled into one task.
-* Queries are replicated to every training block of their group and training
-  rows to every query block, so each grid cell ``(group, qb, tb)`` meets each
-  (query, train) pair exactly once.  ``cogroup().applyInPandas`` runs a numpy
-  kernel per cell that returns only the ``k`` best candidates per query.
-* A ranked window keeps the best ``k`` candidates of a query, in each task
-  first and then over all blocks, and the vote and confidence are array expressions on that
-  short list — no further shuffle.
+are streamed against it where they are.  Larger ones go through the cells of
+`vellum.operators.pivots`: a query visits only the cells of its group that the
+triangle inequality leaves, in rounds of shrinking radius, and the numpy kernel
+measures only the rows of a cell's rings that the radius reaches.  Of equal training
+vectors the k smallest ids are enough, so copies add no work.  A ranked window keeps
+the best ``k`` candidates of a query, in each task first; the vote and confidence are
+array expressions on that short list, without a further shuffle.
+
+`block_grid` cuts two tables into cells that meet pairwise, for kernels that need
+every pair (density forests).
 
 Ties are broken by (distance, training id), votes by (count desc, label asc).
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellum.functions.text import confidence
+from vellum.operators import pivots
+from vellum.session import cut_lineage
 
 TRAIN_BLOCK_BYTES = 64 << 20   # training vectors held by one task
 QUERY_BLOCK_ROWS = 2048        # queries scored by one task
@@ -40,7 +39,39 @@ SHARED_TRAIN_BYTES = 16 << 20  # training tables up to this are broadcast after
 EXACT_ROWS = 65_536            # pairs measured directly at once
 
 
-def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
+def nearest_rows(qid, qm, tid, tm, lab, k: int, exclude_self: bool):
+    """(query row, tid, dist, label) of the k nearest rows of each query, by distance
+    and id; arrays side by side."""
+    by_id = np.argsort(tid, kind="stable")  # places in order of id, for ties
+    tm, tid, lab = tm[by_id], tid[by_id], lab[by_id]
+    tn = np.einsum("ij,ij->i", tm, tm)
+    m = min(k, len(tid))
+    for s in range(0, len(qm), 512):
+        qc = qm[s:s + 512]
+        qi = qid[s:s + 512]
+        d2 = np.einsum("ij,ij->i", qc, qc)[:, None] + tn[None, :] - 2.0 * (qc @ tm.T)
+        if exclude_self:
+            d2[qi[:, None] == tid[None, :]] = np.inf
+        # every row as near as the k-th, up to rounding, is measured again by
+        # direct differences, so ties go to the smallest id however many there are
+        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+        slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", qc, qc) + tn.max())
+        rows, cand = np.nonzero(d2 <= (kth + slack)[:, None])
+        for a in range(0, len(rows), EXACT_ROWS):
+            r, c = rows[a:a + EXACT_ROWS], cand[a:a + EXACT_ROWS]
+            diff = qc[r] - tm[c]
+            d2[r, c] = np.einsum("ij,ij->i", diff, diff)
+        if exclude_self:
+            d2[qi[:, None] == tid[None, :]] = np.inf
+        dist = np.sqrt(np.maximum(d2[rows, cand], 0.0))
+        order = np.lexsort((cand, dist, rows))
+        first = np.searchsorted(rows, np.arange(len(qc)))  # nonzero lists rows in order
+        nth = np.arange(len(order)) - first[rows[order]]
+        order = order[(nth < k) & np.isfinite(dist[order])]
+        yield s + rows[order], tid[cand[order]], dist[order], lab[cand[order]]
+
+
+def _kernel_factory(k: int, exclude_self: bool):
     def kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "tid", "dist", "label"]
         if len(q) == 0 or len(t) == 0:
@@ -48,37 +79,8 @@ def _kernel_factory(k: int, exclude_self: bool, label_type: T.DataType):
         qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
         tm = np.stack(t["vec"].to_numpy()).astype(np.float64)
         qid = q["qid"].to_numpy()
-        tid = t["tid"].to_numpy()
-        lab = t["label"].to_numpy()
-        tn = np.einsum("ij,ij->i", tm, tm)
-        by_id = np.argsort(tid, kind="stable")  # places in order of id, for ties
-        tm, tid, lab, tn = tm[by_id], tid[by_id], lab[by_id], tn[by_id]
-        m = min(k, len(t))
-        parts = []
-        for s in range(0, len(qm), 512):
-            qc = qm[s:s + 512]
-            qi = qid[s:s + 512]
-            d2 = np.einsum("ij,ij->i", qc, qc)[:, None] + tn[None, :] - 2.0 * (qc @ tm.T)
-            if exclude_self:
-                d2[qi[:, None] == tid[None, :]] = np.inf
-            # every row as near as the k-th, up to rounding, is measured again by
-            # direct differences, so ties go to the smallest id however many there are
-            kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
-            slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", qc, qc) + tn.max())
-            rows, cand = np.nonzero(d2 <= (kth + slack)[:, None])
-            for a in range(0, len(rows), EXACT_ROWS):
-                r, c = rows[a:a + EXACT_ROWS], cand[a:a + EXACT_ROWS]
-                diff = qc[r] - tm[c]
-                d2[r, c] = np.einsum("ij,ij->i", diff, diff)
-            if exclude_self:
-                d2[qi[:, None] == tid[None, :]] = np.inf
-            dist = np.sqrt(np.maximum(d2[rows, cand], 0.0))
-            order = np.lexsort((cand, dist, rows))
-            first = np.searchsorted(rows, np.arange(len(qc)))  # nonzero lists rows in order
-            nth = np.arange(len(order)) - first[rows[order]]
-            order = order[(nth < k) & np.isfinite(dist[order])]
-            parts.append(pd.DataFrame({"qid": qi[rows[order]], "tid": tid[cand[order]],
-                                       "dist": dist[order], "label": lab[cand[order]]}))
+        parts = [pd.DataFrame({"qid": qid[rows], "tid": tid, "dist": dist, "label": lab}) for rows, tid, dist, lab in
+                 nearest_rows(qid, qm, t["tid"].to_numpy(), tm, t["label"].to_numpy(), k, exclude_self)]
         return pd.concat(parts, ignore_index=True)
 
     return kernel
@@ -137,8 +139,8 @@ def block_grid(q: DataFrame, t: DataFrame, *, train_block_bytes: int = TRAIN_BLO
 def knn_join(queries: DataFrame, train: DataFrame, k: int, *, qid: str, tid: str,
              qvec: str, tvec: str, label: str, qgroup: str | None = None,
              tgroup: str | None = None, exclude_self: bool = False,
-             train_block_bytes: int = TRAIN_BLOCK_BYTES,
-             query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+             shared_train_bytes: int = SHARED_TRAIN_BYTES,
+             cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
     """Exact top-k neighbours: one row per query with ``neighbors`` =
     array<struct<dist, tid, label>> sorted by (dist, tid).
 
@@ -157,24 +159,72 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, qid: str, tid: str
 
     schema = T.StructType([T.StructField("qid", qid_type), T.StructField("tid", tid_type),
                            T.StructField("dist", T.DoubleType()), T.StructField("label", label_type)])
-    kern = _kernel_factory(k, exclude_self, label_type)
     n_train, dim = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if n_train * ((dim or 0) * 8 + 64) <= min(train_block_bytes, SHARED_TRAIN_BYTES):
-        cand = q.mapInPandas(_against_shared(spark, t, kern), schema)
+    if n_train * ((dim or 0) * 8 + 64) <= shared_train_bytes:
+        cand = q.mapInPandas(_against_shared(spark, t, _kernel_factory(k, exclude_self)), schema)
     else:
-        cells = ["g", "qb", "tb"]
-        qx, tx = block_grid(q, t, train_block_bytes=train_block_bytes, query_block_rows=query_block_rows,
-                            grouped=bool(qgroup or tgroup))
-        cand = (qx.select(*cells, "qid", "vec").groupBy(*cells)
-                  .cogroup(tx.select(*cells, "tid", "vec", "label").groupBy(*cells))
-                  .applyInPandas(lambda a, b: kern(a, b), schema))
-    # a ranked window keeps k rows per query in each task before the shuffle,
-    # so what meets for a query does not grow with the number of blocks
+        cand = pruned_candidates(q, t, k, schema, exclude_self, cell_rows)[0]
+    return _neighbour_lists(cand, k).withColumnRenamed("qid", qid)
+
+
+def nearest_k(cand: DataFrame, k: int) -> DataFrame:
+    """The k nearest candidates of each query: a ranked window keeps k rows per query
+    in each task before the shuffle, so what meets for a query does not grow."""
     nearest = Window.partitionBy("qid").orderBy("dist", "tid")
-    best = cand.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k)
-    nb = (best.groupBy("qid")
-              .agg(F.array_sort(F.collect_list(F.struct("dist", "tid", "label"))).alias("neighbors")))
-    return nb.withColumnRenamed("qid", qid)
+    return cand.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _neighbour_lists(cand: DataFrame, k: int) -> DataFrame:
+    return (nearest_k(cand, k).groupBy("qid")
+            .agg(F.array_sort(F.collect_list(F.struct("dist", "tid", "label"))).alias("neighbors")))
+
+
+def pruned_candidates(q: DataFrame, t: DataFrame, k: int, schema: T.StructType, exclude_self: bool,
+                      cell_rows: int = pivots.CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(the k nearest rows of each query, the pairs measured in each round), by the
+    cells of `vellum.operators.pivots`."""
+    need = k + int(exclude_self)
+    # of equal vectors only so many smallest ids can be neighbours
+    copies = Window.partitionBy("g", "vec").orderBy("tid")
+    t = (t.filter("vec IS NOT NULL AND g IS NOT NULL").withColumn("_n", F.row_number().over(copies))
+         .filter(F.col("_n") <= need).drop("_n"))
+    placed, cells = pivots.place(t.withColumnRenamed("tid", "id"), cell_rows)
+    q = q.filter("vec IS NOT NULL AND g IS NOT NULL").select(F.col("qid").alias("id"), "g", F.col("vec").cast("array<double>").alias("vec"))
+    out = T.StructType([*schema.fields, T.StructField("measured", T.LongType())])
+    names, slack = out.names, cells.slack
+    types = [f.type for f in to_arrow_schema(out)]
+
+    def kernel(queries: pa.Table, points: pa.Table) -> pa.Table:
+        parts, measured = [], 0
+        if queries.num_rows and points.num_rows:
+            qid, tid = queries["id"].to_numpy(), points["id"].to_numpy()
+            qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"])
+            for some, near in pivots.near_batches(queries, points, slack):
+                measured += len(some) * len(near)
+                for rows, _, dist, at in nearest_rows(qid[some], qm[some], tid[near], tm[near], near, k, exclude_self):
+                    parts.append((some[rows], at, dist))
+        q_at, t_at, dist = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else ([np.zeros(0, np.int64)] * 3)
+        table = pa.table([queries["id"].take(pa.array(q_at)), points["id"].take(pa.array(t_at)), pa.array(dist, pa.float64()),
+                          points["label"].take(pa.array(t_at)), pa.nulls(len(q_at), pa.int64())], names=names)
+        count = pa.table([*(pa.nulls(1, x) for x in types[:4]), pa.array([measured], pa.int64())], names=names)
+        return pa.concat_tables([table.cast(count.schema), count])
+
+    best, measured = None, []
+    for nth, (first, last) in enumerate(((None, None), *pivots.ROUNDS)):
+        if best is None:
+            asking = q.withColumn("r", F.lit(float("inf")))
+        else:
+            radius = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(float("inf")).alias("r"))
+            asking = (q.join(radius.withColumnRenamed("qid", "id"), "id", "left")
+                      .withColumn("r", F.coalesce("r", F.lit(float("inf")))))
+        visiting = cut_lineage(pivots.visits(asking, cells, need, first, last))
+        if nth and visiting.isEmpty():
+            continue
+        found = cut_lineage(pivots.meet(visiting, placed, kernel, out))
+        measured.append(found.filter("measured IS NOT NULL").agg(F.sum("measured").alias("pairs")).withColumn("round", F.lit(nth)))
+        cand = found.filter("qid IS NOT NULL AND measured IS NULL").select(*schema.names)
+        best = cut_lineage(nearest_k(cand if best is None else best.unionByName(cand), k))
+    return best, functools.reduce(DataFrame.unionByName, measured)
 
 
 def vote(neighbors: str = "neighbors"):
