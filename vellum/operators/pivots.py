@@ -65,6 +65,7 @@ class Cells:
     """Pivots and, for each cell, its key and numbers."""
 
     pivots: np.ndarray
+    ids: list = field(default_factory=list)   # the pivots' ids
     group: np.ndarray = field(default=None)
     part: np.ndarray = field(default=None)
     ring: np.ndarray = field(default=None)
@@ -116,7 +117,7 @@ def place(points: DataFrame, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_P
     wanted = max(1, min(max_pivots, math.isqrt(n), MAX_CELLS // (2 * max(1, groups))))
     sample = (points.select("id", "vec").orderBy(F.xxhash64("vec"), "id").limit(4 * wanted)
               .dropDuplicates(["vec"]).orderBy(F.xxhash64("vec", F.lit(1))).limit(wanted).toArrow())
-    cells = Cells(matrix(sample["vec"]))
+    cells = Cells(matrix(sample["vec"]), sample["id"].to_pylist())
     pivots = cells.pivots
     schema = T.StructType([*points.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("dp", T.DoubleType())])
 
@@ -186,7 +187,7 @@ def visits(queries: DataFrame, cells: Cells, need: int, first: int | None, last:
                     order = np.argsort(bound, axis=1, kind="stable")
                     upto = np.cumsum(c.rows[mine][order], axis=1)
                     # cells that hold `need` points
-                    start = np.minimum((upto < need).sum(axis=1) + 1, len(mine))[:, None]
+                    start = np.minimum((upto < need).sum(axis=1) + (need > 0), len(mine))[:, None]
                     place_ = np.arange(len(mine))[None]
                     if first is None:
                         take = place_ < start

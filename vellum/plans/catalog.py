@@ -733,6 +733,47 @@ def density_grid(spark, sf):
     return grid_scores(density_clusters(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+#: Least cluster sizes of a tree; the selections of the two jobs that cluster.
+TREE_SIZES, TREE_SAMPLES, LEAF_EPSILON = (3, 4, 6), 3, 1.0
+
+
+def density_tree(spark, sf, method, epsilon=0.0):
+    from vellum.operators.density_tree import cluster_tree
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    return cluster_tree(e, "vec_id", "embedding", TREE_SIZES, TREE_SAMPLES, method, epsilon)
+
+
+@register
+def density_leaf(spark, sf):
+    """V3: leaves of the condensed tree, climbing to births above the epsilon."""
+    return density_tree(spark, sf, "leaf", LEAF_EPSILON)
+
+
+@register
+def density_eom(spark, sf):
+    """The condensed tree's most stable clusters."""
+    return density_tree(spark, sf, "eom")
+
+
+@register
+def density_tree_grid(spark, sf):
+    """V4: score of each least cluster size, all read from one tree."""
+    from vellum.operators.density import grid_scores
+    found = density_tree(spark, sf, "leaf").withColumnRenamed("m", "cfg")
+    return grid_scores(found).withColumn("score", F.round("score", 6))
+
+
+@register
+def knn_cells(spark, sf):
+    """K1/W1 by pivots whatever the table's size: the 5 nearest other vectors."""
+    from vellum.operators.knn import knn_join
+    e = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    nb = knn_join(e, e, 5, qid="vec_id", tid="vec_id", qvec="embedding", tvec="embedding", label="label",
+                  exclude_self=True, shared_train_bytes=0, cell_rows=256)
+    return nb.select("vec_id", F.posexplode("neighbors").alias("pos", "n")).select(
+        "vec_id", (F.col("pos") + 1).alias("rank"), F.col("n.tid").alias("neighbor"), F.round("n.dist", 6).alias("dist"))
+
+
 # 10. remaining profile and report queries ----------------------------------------------
 @register
 def column_profile(spark, sf):

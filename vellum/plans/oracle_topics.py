@@ -171,4 +171,90 @@ DC AS (SELECT CFG.cfg, X.id AS vec_id, CASE WHEN size >= min_size THEN CP.comp E
 G AS (SELECT cfg, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
         count(*) FILTER (WHERE cluster = -1) AS n_outliers, count(*) AS n FROM DC GROUP BY cfg)
 SELECT *, round(n_clusters / (1 + n_outliers / n), 6) AS score FROM G"""
+    out |= density_trees()
+    out["knn_cells"] = """
+SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)
+         ::INTEGER AS rank, b.vec_id AS neighbor,
+       round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 5"""
     return out
+
+
+# Prim's order of the mutual reachabilities: every part of the tree under a weight is a
+# run of it.  CT holds the runs that are still a cluster's, heaviest edges cut first.
+TREE = """
+X AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+DS AS (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM X a JOIN X b ON a.id <> b.id),
+CO AS (SELECT a AS id, d AS core FROM DS QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = {samples} - 1),
+MR AS (SELECT a, b, round(greatest(x.core, y.core, d), 9) AS w FROM DS JOIN CO x ON x.id = a JOIN CO y ON y.id = b),
+PR AS (SELECT 0 AS step, id, CASE WHEN id = (SELECT min(id) FROM X) THEN 0.0 ELSE 'inf'::DOUBLE END AS w,
+         id = (SELECT min(id) FROM X) AS now, false AS done FROM X
+  UNION ALL
+  SELECT step + 1, id, w, NOT done AND id = first(id) OVER (ORDER BY done, w, id), done FROM (
+    SELECT step, R.id, least(R.w, coalesce(MR.w, 'inf'::DOUBLE)) AS w, R.done OR R.now AS done
+    FROM (SELECT *, max(CASE WHEN now THEN id END) OVER () AS at FROM PR) R
+    LEFT JOIN MR ON MR.a = R.at AND MR.b = R.id AND NOT R.done AND NOT R.now
+    WHERE step + 1 < (SELECT count(*) FROM X))),
+PO AS (SELECT step AS pos, id, w FROM PR WHERE now),
+SM(m) AS (VALUES {sizes}),
+CT AS (SELECT m, min(id)::VARCHAR || ':' || count(*) AS key, NULL::VARCHAR AS parent, NULL::DOUBLE AS birth, 0 AS lo, (max(pos))::INTEGER AS hi,
+         (SELECT max(w) FROM PO WHERE pos > 0) AS top, count(*) AS size, min(id) AS least
+       FROM SM, PO GROUP BY m HAVING count(*) >= m
+  UNION ALL
+  SELECT m, CASE WHEN parts > 1 THEN least::VARCHAR || ':' || (hi - lo + 1) ELSE key END, CASE WHEN parts > 1 THEN key ELSE parent END,
+         CASE WHEN parts > 1 THEN top ELSE birth END, lo, hi, (SELECT max(w) FROM PO WHERE pos > lo AND pos <= hi),
+         CASE WHEN parts > 1 THEN hi - lo + 1 ELSE size END, CASE WHEN parts > 1 THEN least ELSE old_least END
+  FROM (SELECT m, key, parent, birth, top, size, old_least, parts, part.lo AS lo, part.hi AS hi,
+          (SELECT min(id) FROM PO WHERE pos >= part.lo AND pos <= part.hi) AS least
+    FROM (SELECT *, len(large) AS parts, unnest(large) AS part FROM (
+      SELECT m, key, parent, birth, top, size, least AS old_least, list_filter(list_transform(range(1, len(cuts) + 1),
+          lambda i: {{'lo': cuts[i], 'hi': coalesce(cuts[i + 1] - 1, hi)}}), lambda x: x.hi - x.lo + 1 >= m) AS large
+      FROM (SELECT *, list_prepend(lo, (SELECT coalesce(list(pos::INTEGER ORDER BY pos), []) FROM PO
+                                        WHERE pos > lo AND pos <= hi AND w = top)) AS cuts FROM CT))))),
+EX AS (SELECT m, id, arg_min(key, hi - lo) AS key, arg_min(top, hi - lo) AS w FROM CT JOIN PO ON pos BETWEEN lo AND hi GROUP BY m, id),
+CL AS (SELECT DISTINCT m, key, parent, birth, size, least FROM CT),
+OU AS (SELECT m, key, 1 / greatest(w, 1e-6) AS r, 1 AS n FROM EX
+       UNION ALL SELECT m, parent, 1 / greatest(birth, 1e-6), size FROM CL WHERE parent IS NOT NULL),
+ST AS (SELECT CL.*, round(o - n * coalesce(1 / greatest(birth, 1e-6), 0.0), 9) AS stability
+       FROM CL JOIN (SELECT m, key, sum(r * n) AS o, sum(n) AS n FROM OU GROUP BY ALL) USING (m, key)),
+UP AS (SELECT m, key, key AS anc, 0 AS far FROM ST UNION ALL
+       SELECT UP.m, UP.key, ST.parent, far + 1 FROM UP JOIN ST ON ST.m = UP.m AND ST.key = UP.anc WHERE ST.parent IS NOT NULL),
+DP AS (SELECT m, key, max(far) AS depth FROM UP GROUP BY ALL)"""
+
+# The leaf itself, the first ancestor that is born above the epsilon, or else the one below the root.
+LEAF = """
+LF AS (SELECT m, key, birth FROM ST WHERE parent IS NOT NULL AND (m, key) NOT IN (SELECT (m, parent) FROM ST WHERE parent IS NOT NULL)),
+PK AS (SELECT DISTINCT LF.m, CASE WHEN LF.birth >= {eps} THEN LF.key
+         ELSE coalesce(arg_min(anc, far) FILTER (WHERE far > 0 AND a.birth > {eps} AND a.parent IS NOT NULL),
+                       arg_max(anc, far) FILTER (WHERE a.parent IS NOT NULL)) END AS key
+       FROM LF JOIN UP USING (m, key) JOIN ST a ON a.m = UP.m AND a.key = UP.anc GROUP BY LF.m, LF.key, LF.birth)"""
+
+EOM = """
+VA AS (SELECT depth, ST.m, ST.key, parent, stability AS value, true AS pick FROM ST JOIN DP USING (m, key)
+       WHERE depth = (SELECT max(depth) FROM DP)
+  UNION ALL
+  SELECT D.depth, D.m, D.key, D.parent, greatest(stability, coalesce(below, 0.0)), below IS NULL OR below <= stability
+  FROM (SELECT depth, ST.m, key, parent, stability FROM ST JOIN DP USING (m, key)) D
+  JOIN (SELECT DISTINCT depth - 1 AS depth FROM VA) L ON L.depth = D.depth
+  LEFT JOIN (SELECT m, parent AS key, sum(value) AS below FROM VA GROUP BY ALL) B ON B.m = D.m AND B.key = D.key),
+PK AS (SELECT m, key FROM VA WHERE pick AND parent IS NOT NULL)"""
+
+CHOSEN = """
+OK AS (SELECT UP.m, UP.key, arg_max(least, far) AS least FROM UP JOIN PK ON PK.m = UP.m AND PK.key = UP.anc
+       JOIN ST ON ST.m = UP.m AND ST.key = UP.anc GROUP BY ALL),
+LB AS (SELECT SM.m, X.id AS vec_id, coalesce(least, -1) AS cluster FROM SM CROSS JOIN X
+       LEFT JOIN EX ON EX.m = SM.m AND EX.id = X.id LEFT JOIN OK ON OK.m = EX.m AND OK.key = EX.key)"""
+
+
+def density_trees() -> dict[str, str]:
+    from vellum.plans.catalog import LEAF_EPSILON, TREE_SAMPLES, TREE_SIZES
+
+    tree = TREE.format(samples=TREE_SAMPLES, sizes=", ".join(f"({m})" for m in TREE_SIZES))
+    leaf = lambda eps: f"WITH RECURSIVE {tree},{LEAF.format(eps=f'{eps}::DOUBLE')},{CHOSEN}"
+    return {
+        "density_leaf": leaf(LEAF_EPSILON) + "\nSELECT * FROM LB",
+        "density_eom": f"WITH RECURSIVE {tree},{EOM},{CHOSEN}\nSELECT * FROM LB",
+        "density_tree_grid": leaf(0.0) + """
+SELECT m AS cfg, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
+       count(*) FILTER (WHERE cluster = -1) AS n_outliers, count(*) AS n,
+       round(n_clusters / (1 + n_outliers / n), 6) AS score FROM LB GROUP BY m"""}
