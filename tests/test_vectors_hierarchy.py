@@ -1,6 +1,7 @@
 """Iterative and vector operators against brute force on planted data."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import density, hierarchy as H
@@ -43,10 +44,15 @@ def _centroid_frame(spark, x):
     return d, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, centroid array<double>")
 
 
-def test_average_linkage_matches_naive(spark):
+@pytest.mark.parametrize("local", [H.LOCAL_CLUSTERS, 3])
+def test_average_linkage_matches_naive(spark, monkeypatch, local):
+    monkeypatch.setattr(H, "LOCAL_CLUSTERS", local)
     x = _planted_centroids()
     d, cent = _centroid_frame(spark, x)
     ths = [0.05, 0.2, 0.5, 0.9, 1.3]
+    if local == 3:
+        tree = H.dendrogram(cent, "item").collect()
+        assert len(tree) == len(x) - 1 and all(r.new < r.old for r in tree)
     a = H.average_linkage(cent, "item", ths).collect()
     for th in ths:
         got = {}

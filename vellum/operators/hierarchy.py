@@ -2,14 +2,18 @@
 
 Average linkage of cosine distances needs no table of pairs: with S the sum of a
 cluster's L2-normalised centroids and n their number, the mean distance between
-the members of X and Y is ``1 − S_X·S_Y / (n_X n_Y)``.  A threshold's state is one
-row per cluster, (S, n).  Average linkage is reducible, so merging every pair
-that is mutually nearest below the threshold, round after round, yields the same
-cut as the textbook greedy algorithm (ties aside).  A round is one blocked
-nearest-cluster search and a few joins on cluster ids; the threshold is a
-*column*, so every threshold of a sweep advances in the same jobs, and those
-without a merge leave the loop.  Each round's state is a table in the folder of
-``spark.checkpoint.dir``.
+the members of X and Y is ``1 − S_X·S_Y / (n_X n_Y)``.  Average linkage is reducible,
+so merging every pair that is mutually nearest, round after round, yields the same
+tree as the textbook greedy algorithm (ties aside).  `dendrogram` runs the merges
+once, up to the highest threshold, and records each with its height; any threshold's
+clusters follow from it by doubling the pointers to the cluster that took one in
+(`cut_tree`), all thresholds in the same joins.
+
+A merge leaves the nearest cluster of all others in place, unless that was one of the
+two, so a round searches again only for those and for the new clusters.  Up to
+`LOCAL_CLUSTERS` clusters (counted first) are merged in one task; more go round by
+round, by a blocked nearest-cluster search and joins on cluster ids.  Their state is
+one row per cluster, (S, n), in a table in the folder of ``spark.checkpoint.dir``.
 
 The H4 scores come from the same sums: the mean distance inside a cluster is
 ``1 − (|S|² + z) / n²`` (z zero vectors, whose distance to themselves is 0) and that
@@ -18,6 +22,7 @@ to all others ``1 − S·(T − S) / (n (N − n))``, T and N over all clusters.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,6 +46,7 @@ SOFT_SIMILARITY = 0.25
 # ---------------------------------------------------------------------------
 
 BLOCK_CLUSTERS = 4096  # clusters of a block, about
+LOCAL_CLUSTERS = 2048  # clusters that one task merges: some 32 MB of distances
 LINK_DIGITS = 12  # linkages are compared after rounding, so float noise cannot flip ties
 
 
@@ -58,7 +64,7 @@ def unit_items(cent: DataFrame, key: str, vec: str = "centroid") -> DataFrame:
 
 def _nearest_kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
     """For each cluster its nearest other one among a block's, ties to the smaller id."""
-    out = {"g": [], "x": [], "l": [], "y": []}
+    out = {"x": [], "l": [], "y": []}
     if len(q) and len(t):
         t = t.sort_values("tid")
         tid, m = t["tid"].to_numpy(), np.stack(t["vec"].to_numpy())
@@ -69,72 +75,127 @@ def _nearest_kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
             best = link.argmin(axis=1)
             least = link[np.arange(len(part)), best]
             ok = np.isfinite(least)
-            for name, values in zip(out, (part["g"].to_numpy(), part["qid"].to_numpy(), least, tid[best]),
-                                    strict=True):
+            for name, values in zip(out, (part["qid"].to_numpy(), least, tid[best]), strict=True):
                 out[name].append(values[ok])
     return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()})
 
 
-def nearest_clusters(state: DataFrame, rows: int) -> DataFrame:
-    """(th, x, l, y): each cluster's nearest other cluster of its threshold."""
+def nearest_clusters(asking: DataFrame, state: DataFrame, rows: int) -> DataFrame:
+    """(x, l, y): the nearest other cluster of ``state`` for each of ``asking``."""
     mean = F.transform("s", lambda v: v / F.col("n"))
     key = state.schema["cluster"].dataType.simpleString()
     blocks = -(-rows // BLOCK_CLUSTERS) or 1
     own = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    vec = state.select(F.col("th").alias("g"), "cluster", mean.alias("vec"), own.alias("own"))
-    qx = vec.select("g", F.col("own").alias("qb"), F.col("cluster").alias("qid"), "vec").withColumn("tb", every)
-    tx = vec.select("g", F.col("own").alias("tb"), F.col("cluster").alias("tid"), "vec").withColumn("qb", every)
-    cells = ["g", "qb", "tb"]
-    found = (qx.select(*cells, "qid", "vec").groupBy(*cells)
-             .cogroup(tx.select(*cells, "tid", "vec").groupBy(*cells))
-             .applyInPandas(lambda a, b: _nearest_kernel(a, b), f"g double, x {key}, l double, y {key}"))
-    best = found.groupBy("g", "x").agg(F.min(F.struct("l", "y")).alias("m"))
-    return best.select(F.col("g").alias("th"), "x", "m.l", "m.y")
-
-
-def average_linkage(cent: DataFrame, key: str, thresholds: Sequence[float], vec: str = "centroid",
-                    strict: bool = True) -> DataFrame:
-    """(th, item, cluster) with ``cluster`` = smallest member id.
-
-    Clusters merge while their average linkage is ``< th`` (``<= th`` when
-    ``strict`` is False).  The state shrinks by a row per merge.
-    """
-    th_arr = F.array(*[F.lit(float(t)) for t in thresholds])
-    items = unit_items(cent, key, vec)
-    state = cut_lineage(items.select(F.explode(th_arr).alias("th"), F.col("item").alias("cluster"),
-                                     F.col("u").alias("s"), F.lit(1.0).alias("n")))
-    start, rows = state.select("th", F.col("cluster").alias("item")), state.count()
-    first, steps = state, []
-    below = (F.col("l") < F.col("th")) if strict else (F.col("l") <= F.col("th"))
+    qx = asking.select(own.alias("qb"), F.col("cluster").alias("qid"), mean.alias("vec")).withColumn("tb", every)
+    tx = state.select(own.alias("tb"), F.col("cluster").alias("tid"), mean.alias("vec")).withColumn("qb", every)
+    found = (qx.select("qb", "tb", "qid", "vec").groupBy("qb", "tb")
+             .cogroup(tx.select("qb", "tb", "tid", "vec").groupBy("qb", "tb"))
+             .applyInPandas(lambda a, b: _nearest_kernel(a, b), f"x {key}, l double, y {key}"))
+    return found.groupBy("x").agg(F.min(F.struct("l", "y")).alias("m")).select("x", "m.l", "m.y")
+
+
+def _merge_locally(items: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """Merges of a bounded table of items, all rounds."""
+    items = items.sort_values("item")
+    ids = items["item"].to_numpy()
+    total = np.stack(items["u"].to_numpy()).astype(np.float64)
+    count, live = np.ones(len(ids)), np.ones(len(ids), bool)
+    link = np.round(1.0 - total @ total.T, LINK_DIGITS)
+    np.fill_diagonal(link, np.inf)
+    near = link.argmin(axis=1)  # the first of equals has the smallest id
+    out = {"old": [], "new": [], "height": []}
+    while True:
+        x = np.flatnonzero(live & (near[near] == np.arange(len(ids))) & (np.arange(len(ids)) < near))
+        x = x[link[x, near[x]] <= limit]
+        if not len(x):
+            return pd.DataFrame(out)
+        y = near[x]
+        for name, values in zip(out, (ids[y], ids[x], link[x, y]), strict=True):
+            out[name] += values.tolist()
+        total[x] += total[y]
+        count[x] += count[y]
+        live[y] = False
+        link[y], link[:, y] = np.inf, np.inf
+        mean = total / count[:, None]
+        fresh = np.round(1.0 - mean[x] @ mean.T, LINK_DIGITS)
+        fresh[:, ~live] = np.inf
+        fresh[np.arange(len(x)), x] = np.inf
+        link[x], link[:, x] = fresh, fresh.T
+        again = np.flatnonzero(live & np.isin(near, np.concatenate((x, y))))
+        again = np.union1d(again, x)
+        near[again] = link[again].argmin(axis=1)
+
+
+def dendrogram(cent: DataFrame, key: str, limit: float = 2.0, vec: str = "centroid") -> DataFrame:
+    """(old, new, height): each merge up to a height of ``limit``; the merged cluster
+    keeps the smaller id, ``new``."""
+    items = cut_lineage(unit_items(cent, key, vec))
+    kind = items.schema["item"].dataType.simpleString()
+    rows = items.count()
+    if rows <= LOCAL_CLUSTERS:
+        return cut_lineage(items.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
+            lambda part: _merge_locally(part, limit), f"old {kind}, new {kind}, height double"))
+    state = cut_lineage(items.select(F.col("item").alias("cluster"), F.col("u").alias("s"), F.lit(1.0).alias("n")))
+    near = cut_lineage(nearest_clusters(state, state, rows))
+    steps = []
     while True:
-        nn = nearest_clusters(state, rows)
-        pair = nn.groupBy("th", F.least("x", "y").alias("new"), F.greatest("x", "y").alias("old"))
-        merges = cut_lineage(pair.agg(F.count(F.lit(1)).alias("sides"), F.min("l").alias("l"))
-                             .filter((F.col("sides") == 2) & below).select("th", "old", "new"))
+        pair = near.groupBy(F.least("x", "y").alias("new"), F.greatest("x", "y").alias("old"))
+        merges = cut_lineage(pair.agg(F.count(F.lit(1)).alias("sides"), F.min("l").alias("height"))
+                             .filter((F.col("sides") == 2) & (F.col("height") <= limit)).select("old", "new", "height"))
         merged = merges.count()
         if not merged:
             break
         steps.append(merges)
-        old_state, rows = state, rows - merged
-        live = state.join(merges.select("th").distinct(), "th", "left_semi")
-        moved = live.join(merges.withColumnRenamed("old", "cluster"), ["th", "cluster"], "left").withColumn(
+        rows -= merged
+        moved = state.join(merges.select(F.col("old").alias("cluster"), "new"), "cluster", "left").withColumn(
             "cluster", F.coalesce("new", "cluster"))
-        both = moved.groupBy("th", "cluster").agg(F.collect_list("s").alias("all"), F.sum("n").alias("n"))
+        both = moved.groupBy("cluster").agg(F.collect_list("s").alias("all"), F.sum("n").alias("n"))
         add = F.aggregate(F.slice("all", 2, 1), F.col("all")[0],
                           lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-        state = cut_lineage(both.select("th", "cluster", add.alias("s"), "n"))
-        if old_state is not first:
-            drop_lineage_table(old_state)
-    # a cluster that was merged away points to the one it joined: follow to the end
-    up = start.withColumn("cluster", F.col("item"))
-    for done in steps:
-        up = (up.join(done.select("th", F.col("old").alias("cluster"), "new"), ["th", "cluster"], "left")
-              .select("th", "item", F.coalesce("new", "cluster").alias("cluster")))
-    assign = cut_lineage(up)
-    for done in (merges, first, state, *steps):
-        drop_lineage_table(done)
-    return assign
+        new_state = cut_lineage(both.select("cluster", add.alias("s"), "n"))
+        touched = merges.select(F.explode(F.array("old", "new")).alias("c"))
+        kept = (near.join(touched, F.col("x") == F.col("c"), "left_anti").join(touched, F.col("y") == F.col("c"), "left_anti"))
+        asking = new_state.join(kept.select(F.col("x").alias("cluster")), "cluster", "left_anti")
+        new_near = cut_lineage(kept.unionByName(nearest_clusters(asking, new_state, rows)))
+        for old in (state, near):
+            drop_lineage_table(old)
+        state, near = new_state, new_near
+    if not steps:
+        return merges
+    return cut_lineage(functools.reduce(DataFrame.unionByName, steps))
+
+
+def cut_tree(tree: DataFrame, items: DataFrame, thresholds: Sequence[float], strict: bool = True) -> DataFrame:
+    """(th, item, cluster) of a `dendrogram`: merges below a threshold hold (or at it,
+    when ``strict`` is False); ``items`` has the column item."""
+    jumps = [cut_lineage(tree.select(F.col("old").alias("node"), F.col("new").alias("to"), "height"))]
+    while True:  # twice as far, with the highest merge on the way
+        first, then = jumps[-1], jumps[-1].select(F.col("node").alias("at"), F.col("to").alias("end"), F.col("height").alias("h"))
+        step = first.join(then, F.col("to") == F.col("at")).select(
+            "node", F.col("end").alias("to"), F.greatest("height", "h").alias("height"))
+        step = cut_lineage(step)
+        if step.isEmpty():
+            break
+        jumps.append(step)
+    out = items.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("th"), "item",
+                       F.col("item").alias("cluster"))
+    for jump in reversed(jumps):
+        reach = (F.col("height") < F.col("th")) if strict else (F.col("height") <= F.col("th"))
+        out = (out.join(jump, (F.col("cluster") == F.col("node")) & reach, "left")
+               .select("th", "item", F.coalesce("to", "cluster").alias("cluster")))
+    return cut_lineage(out)
+
+
+def average_linkage(cent: DataFrame, key: str, thresholds: Sequence[float], vec: str = "centroid",
+                    strict: bool = True) -> DataFrame:
+    """(th, item, cluster) with ``cluster`` = smallest member id.
+
+    Clusters merge while their average linkage is ``< th`` (``<= th`` when
+    ``strict`` is False).
+    """
+    tree = dendrogram(cent, key, max(thresholds), vec)
+    return cut_tree(tree, cent.select(F.col(key).alias("item")), thresholds, strict)
 
 
 def label_clusters(assign: DataFrame) -> DataFrame:

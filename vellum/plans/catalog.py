@@ -536,7 +536,8 @@ def document_centroids(spark, sf):
     return cut_lineage(cen(clustered_documents(spark, sf), "cluster_id", "embedding"))
 
 
-LINK_THRESHOLDS = (0.6, 0.7, 0.8, 0.9, 1.0)
+#: The job's sweep, and wider thresholds at which clusters of the driver's vectors merge.
+LINK_THRESHOLDS = (*(round(0.10 + 0.01 * i, 2) for i in range(31)), 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
 @register
@@ -575,6 +576,14 @@ def topic_tags(spark, sf):
     return t.select("doc_id", "cluster_id", "main_topic", F.array_join("subtopics", ",").alias("subtopics"))
 
 
+@register
+def topic_tags_auto(spark, sf):
+    """H5/H11 with the threshold that the sweep chooses."""
+    from vellum.plans.topics import topic_hierarchy
+    t = topic_hierarchy(clustered_documents(spark, sf), auto_tune=True, thresholds=LINK_THRESHOLDS).tagged
+    return t.select("doc_id", "cluster_id", "main_topic", F.array_join("subtopics", ",").alias("subtopics"))
+
+
 @register
 def merged_topic_table(spark, sf):
     """H6/H9: merged clusters with member names and ordered-distinct keywords."""

@@ -99,11 +99,12 @@ SELECT th, item AS cluster_id, cluster AS label FROM ASG"""
     scores = swept + "," + SCORES.format(cent="C")
     out["threshold_scores"] = f"WITH RECURSIVE {scores}\nSELECT th, score, n_clusters FROM SCO"
     lo, hi = H.TARGET_MIN_CLUSTERS, H.TARGET_MAX_CLUSTERS
-    out["threshold_choice"] = f"""WITH RECURSIVE {scores},
+    choice = f"""
 RK AS (SELECT th, CASE WHEN n_clusters BETWEEN {lo} AND {hi} THEN 1 ELSE 2 END AS tier,
          CASE WHEN n_clusters BETWEEN {lo} AND {hi} THEN -score ELSE abs(n_clusters - {(lo + hi) / 2}) END AS key
        FROM SCO WHERE score > 0),
-B AS (SELECT min((tier, key, th)) AS b, arg_min(th, (tier, key, th)) AS th, arg_min(tier, (tier, key, th)) AS tier FROM RK)
+B AS (SELECT min((tier, key, th)) AS b, arg_min(th, (tier, key, th)) AS th, arg_min(tier, (tier, key, th)) AS tier FROM RK)"""
+    out["threshold_choice"] = f"""WITH RECURSIVE {scores},{choice}
 SELECT coalesce(th, {H.FALLBACK_THRESHOLD})::DOUBLE AS th,
        CASE tier WHEN 1 THEN 'in_range' WHEN 2 THEN 'closest_to_mid' ELSE 'fallback' END AS rule FROM B"""
 
@@ -144,6 +145,13 @@ TG AS (SELECT doc_id, string_agg(C.k::VARCHAR, ',' ORDER BY C.k)
        FROM CD, C GROUP BY doc_id)
 SELECT CD.doc_id, CD.cluster_id, ASG.cluster AS main_topic, coalesce(subtopics, '') AS subtopics
 FROM CD JOIN ASG ON ASG.item = CD.cluster_id JOIN TG USING (doc_id)"""
+    out["topic_tags_auto"] = f"""WITH RECURSIVE {scores},{choice},
+TG AS (SELECT doc_id, string_agg(C.k::VARCHAR, ',' ORDER BY C.k)
+         FILTER (WHERE list_cosine_similarity(CD.embedding::DOUBLE[], C.c) >= {H.SOFT_SIMILARITY}) AS subtopics
+       FROM CD, C GROUP BY doc_id)
+SELECT CD.doc_id, CD.cluster_id, ASG.cluster AS main_topic, coalesce(subtopics, '') AS subtopics
+FROM CD JOIN ASG ON ASG.item = CD.cluster_id AND ASG.th = (SELECT coalesce(th, {H.FALLBACK_THRESHOLD})::DOUBLE FROM B)
+JOIN TG USING (doc_id)"""
     out["final_topic_table"] = f"""WITH RECURSIVE {topics},
 OWNER AS (SELECT name, min(merged_cluster_id) AS merged_cluster_id FROM MEM GROUP BY name)
 SELECT CD.doc_id, CD.cluster_id, CARDS.name AS subtopic, OWNER.merged_cluster_id, MT.main_topic AS main_topic_name

@@ -37,13 +37,13 @@ def topic_hierarchy(docs: DataFrame, *, cluster: str = "cluster_id", vec: str =
                     thresholds=H.SWEEP) -> TopicResult:
     d = drop_outliers(docs, cluster)
     cent = cut_lineage(centroids(d, cluster, vec))
-    scores = None
+    scores, th = None, float(manual_threshold)
+    tree = H.dendrogram(cent, cluster, max([*thresholds, H.FALLBACK_THRESHOLD]) if auto_tune else th)
+    items = cent.select(F.col(cluster).alias("item"))
     if auto_tune:
-        scores = cut_lineage(H.sweep(cent, cluster, thresholds))
+        scores = cut_lineage(H.clustering_scores(cent, cluster, H.cut_tree(tree, items, thresholds)))
         th = float(H.choose_threshold(scores).first()["th"])
-    else:
-        th = float(manual_threshold)
-    assign = H.label_clusters(H.average_linkage(cent, cluster, [th])).select(
+    assign = H.label_clusters(H.cut_tree(tree, items, [th])).select(
         F.col("item").alias(cluster), F.col("label").alias("main_topic"))
     cards = cluster_cards(d, cluster, doc, text)
     topics = H.topic_keywords(assign, cards.select(cluster, "name"), cluster)
