@@ -2,9 +2,10 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from vellum.sources import rdf
+from vellum.sources import ledger, rdf
 
 HEAD = ('<?xml version="1.0" encoding="UTF-8"?>\n'
         '<rdf:RDF xmlns="https://example.org/schema/1.0/" '
@@ -105,6 +106,68 @@ def test_resumable_ingest(spark, tmpdir_path):
     assert spark.read.parquet(out).count() == 2
 
 
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["record", "publish"])
+def test_a_stop_between_the_steps_adds_nothing_twice(spark, tmpdir_path, monkeypatch, step):
+    """Rows are written, then the job dies: before the record, or before the files show."""
+    src, out = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "out")
+    for i in range(5):
+        _write(src, f"d{i}.rdf", GOOD)
+    _write(src, "odd [1]{a}*.rdf", NO_LANG)
+    with monkeypatch.context() as m:
+        m.setattr(ledger.Ledger, step, lambda *a: (_ for _ in ()).throw(Stop))
+        with pytest.raises(Stop):
+            rdf.ingest_new_files(spark, src, out, batch_files=2)
+    book = ledger.Ledger(spark, out)
+    assert book.rows() is None and book.batches() == []
+    total = rdf.ingest_new_files(spark, src, out, batch_files=2)
+    assert total == (6 if step == "record" else 4)  # a recorded batch was finished first
+    rows = spark.read.parquet(out)
+    assert rows.count() == 6 and rows.select("file").distinct().count() == 6
+    assert [b["rows"] for b in book.batches()] == [2, 2, 2] and not os.listdir(os.path.join(out, "_stage"))
+    assert len([n for n in os.listdir(os.path.join(out, "_ledger")) if n.endswith(".inputs")]) == 3
+    assert rdf.ingest_new_files(spark, src, out) == 0
+
+
+def test_half_published_batches_are_finished(spark, tmpdir_path, monkeypatch):
+    out = os.path.join(tmpdir_path, "out")
+    book, moves = ledger.Ledger(spark, out), []
+    entry = book.stage(spark.range(100).repartition(4), spark.createDataFrame([("x",)], "file string"))
+    book.record(entry)
+    move = ledger.Ledger._move
+
+    def some(self, a, b):
+        if len(moves) == 2:
+            raise Stop
+        moves.append(b)
+        move(self, a, b)
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger.Ledger, "_move", some)
+        with pytest.raises(Stop):
+            book.publish(entry)
+    assert ledger.Ledger(spark, out).recover().rows().count() == 100
+    assert book.inputs().count() == 1 and ledger.Ledger(spark, out).recover().rows().distinct().count() == 100
+    assert book.append(spark.range(0)) == 0 and len(book.batches()) == 1
+
+
+def test_finished_files_are_not_read(spark, tmpdir_path):
+    src, out = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "out")
+    _write(src, "a.rdf", GOOD)
+    assert rdf.ingest_new_files(spark, src, out) == 1
+    os.chmod(os.path.join(src, "a.rdf"), 0)
+    plan = rdf.list_files(spark, src)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+    _write(src, "b.rdf", NO_LANG)
+    with open(os.path.join(src, "a.rdf"), "wb") as f:  # other bytes: never looked at
+        f.write(b"broken")
+    assert rdf.ingest_new_files(spark, src, out) == 1
+    assert {os.path.basename(r.file): r.error for r in spark.read.parquet(out).collect()} == {"a.rdf": None, "b.rdf": None}
+
+
 def test_streaming_ingest_resumes(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "src")
     out = os.path.join(tmpdir_path, "out")

@@ -105,6 +105,38 @@ def test_embed_incremental_resume(spark, tmpdir_path):
     assert v.count() == 3 and v.select(F.size("embedding")).distinct().first()[0] == 64
 
 
+def test_embedding_refuses_another_dataset(spark, tmpdir_path):
+    from vellum.operators.embed import dataset_key, embed_incremental
+    rows = [(i, f"t{i}", f"text number {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "n long, emb_id string, full_text string")
+    key = dataset_key(df, "full_text", ["n"])
+    assert key == dataset_key(df.repartition(7), "full_text", ["n"])
+    out = os.path.join(tmpdir_path, "vec")
+    assert embed_incremental(spark, df.filter("n < 20"), out, dataset=key) == 20
+    assert embed_incremental(spark, df, out, dataset=key) == 20
+    swapped = df.withColumn("n", F.when(F.col("n") == 3, 4).when(F.col("n") == 4, 3).otherwise(F.col("n")))
+    for other in (swapped, df.filter("n > 0"), df.replace("text number 7", "text", "full_text")):
+        with pytest.raises(ValueError, match="order"):
+            embed_incremental(spark, other, out, dataset=dataset_key(other, "full_text", ["n"]))
+    assert spark.read.parquet(out).count() == 40
+    assert dataset_key(df.limit(0), "full_text", ["n"]) == "0-0000000000000000"
+
+
+def test_ordered_fingerprint_is_a_polynomial(spark):
+    import hashlib
+
+    from vellum.operators.embed import BASES, PRIME, ordered_fingerprint
+    rows = [(i // 3, None if i == 5 else f"x{i * i}") for i in range(500)]
+    got = ordered_fingerprint(spark.createDataFrame(rows, "k long, t string").repartition(6), "t", ["k"]).first()
+    md5 = sorted((k, hashlib.md5((t or "").encode()).hexdigest()) for k, t in rows)
+    for at, base, name in ((0, BASES[0], "hash_a"), (8, BASES[1], "hash_b")):
+        value = 0
+        for _, m in md5:
+            value = (value * base + int(m[at:at + 8], 16)) % PRIME
+        assert got[name] == value
+    assert got.n_rows == 500
+
+
 def test_file_sources(spark, tmpdir_path):
     from vellum.sources import files
     p = os.path.join(tmpdir_path, "ids.txt")

@@ -705,6 +705,14 @@ def dataset_fingerprint(spark, sf):
     return fingerprint(d, "emb_id")
 
 
+@register
+def ordered_fingerprint(spark, sf):
+    """Fingerprint of the texts in order of their ids, changed by any move."""
+    from vellum.operators.embed import ordered_fingerprint as of
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return of(d, "text", ["doc_id"]).unionByName(of(d.withColumn("doc_id", -F.col("doc_id")), "text", ["doc_id"]))
+
+
 @register
 def run_summary(spark, sf):
     """Clusters and outliers of the clustered documents."""

@@ -67,6 +67,17 @@ SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_i
 SELECT count(*) AS n_rows,
        sum(('0x' || substr(md5(sha256(full_text)), 1, 12))::BIGINT)::DECIMAL(38, 0) AS hash_sum FROM ({ids})"""
 
+    from vellum.operators.embed import BASES, PRIME
+    hashes = ", ".join(f"('0x' || substr(md5(coalesce(text, '')), {at}, 8))::BIGINT % {PRIME} AS h{i}" for i, at in enumerate((1, 9)))
+    sums = ", ".join(f"(sum(h{i} * p{i} % {PRIME}) % {PRIME})::BIGINT AS hash_{c}" for i, c in enumerate("ab"))
+    step = ", ".join(f"p{i} * {b} % {PRIME} AS p{i}" for i, b in enumerate(BASES))
+    out["ordered_fingerprint"] = f"""WITH RECURSIVE
+PW AS (SELECT 0::BIGINT AS i, 1::BIGINT AS p0, 1::BIGINT AS p1 UNION ALL
+       SELECT i + 1, {step} FROM PW WHERE i + 1 < (SELECT count(*) FROM documents)),
+H AS (SELECT s, count(*) OVER (PARTITION BY s) - row_number() OVER (PARTITION BY s ORDER BY s * doc_id, md5(coalesce(text, ''))) AS i, {hashes}
+      FROM documents, (VALUES (1), (-1)) t(s))
+SELECT count(*) AS n_rows, {sums} FROM H JOIN PW USING (i) GROUP BY s"""
+
     out["text_embeddings"] = f"""
 WITH T AS (SELECT DISTINCT sha256(full_text) AS emb_id, lower(full_text) AS t FROM ({ids})),
 C AS (SELECT emb_id, list_transform(string_split(t, ''), lambda x: unicode(x)::BIGINT) AS c FROM T),

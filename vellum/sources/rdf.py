@@ -2,12 +2,11 @@
 
 Files are read with the ``binaryFile`` source (recursive, glob-filtered);
 each record becomes one row of the publications table.  A malformed file
-never fails the job: an Arrow-batched pandas UDF parses the bytes with the
+never fails the job: an Arrow-batched pandas UDF parses the bytes once with the
 standard-library XML parser, which honours byte-order marks and declared
-encodings, and returns the decoded record or the error text
-(``"ParseError: …"``); field extraction then runs as Spark ``xpath*``
-expressions only on rows without an error, and every other column is NULL
-for the broken rows.
+encodings, and returns the fields as they stand in the record, or the error text
+(``"ParseError: …"``); every other column is NULL for the broken rows.  Stripping,
+entity decoding and empty values are Spark expressions.
 
 Element names are matched by ``local-name()``, so any namespace prefix or
 default namespace works.  (The original DOI lookup used an unprefixed path
@@ -17,6 +16,7 @@ intended lookup is built here.)
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -25,17 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.text import html_unescape, ustrip
+from vellum.session import cut_lineage
+from vellum.sources.ledger import Ledger
 from vellum.sources.schema import PUBLICATION_SCHEMA, conform
 
 
-def _ln(name: str) -> str:
-    return f"*[local-name()='{name}']"
-
-
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
-
 # S1 ------------------------------------------------------------------------------
 def discover(spark: SparkSession, root: str, pattern: str = "*.rdf") -> DataFrame:
     """(file, content) for every matching file below ``root``, recursively."""
@@ -44,46 +38,106 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.rdf") -> DataFram
                  .select(F.col("path").alias("file"), "content"))
 
 
-# S3 validity ------------------------------------------------------------------------
-# Namespaces whose prefixes the field paths use.
-PREFIXES = {
-    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
-    "dc": "http://purl.org/dc/elements/1.1/",
-    "prism": "http://prismstandard.org/namespaces/basic/2.0/",
-}
+# S3, X1–X9 --------------------------------------------------------------------------
+# The namespace of titles, and the element names of the record's fields.
+TITLE = "{http://purl.org/dc/elements/1.1/}title"
+PUBLICATION_FIELDS = {"journal": "publicationName", "publisher": "publisher", "publication_date": "publicationDate",
+                      "volume": "volume", "issue": "number", "start_page": "startingPage", "end_page": "endingPage"}
+# End of fixed values.
+TEXTS = ("title", "abstract", "doi", "created_at", "modified_at", *PUBLICATION_FIELDS)
+LISTS = ("authors", "affiliations", "topics", "related_titles")
+RECORD = T.StructType([*[T.StructField(c, T.StringType()) for c in (*TEXTS, "error")],
+                       *[T.StructField(c, T.ArrayType(T.StringType())) for c in LISTS]])
+
+
+def _local(name: str) -> str:
+    return name.rsplit("}", 1)[-1]
+
+
+def _string(e: ET.Element) -> str:
+    """All text below an element."""
+    return "".join(e.itertext())
+
+
+def _texts(e: ET.Element) -> list[str]:
+    """An element's own pieces of text, between its children."""
+    return [x for x in (e.text, *(c.tail for c in e)) if x]
+
+
+def _attribute(e: ET.Element, name: str) -> list[str]:
+    return [v for k, v in e.attrib.items() if _local(k) == name]
+
+
+def _by_name(root: ET.Element) -> tuple[dict[str, list], dict]:
+    """Elements by local name, in document order, and each element's parent."""
+    found, parent = {}, {}
+    for e in root.iter():
+        found.setdefault(_local(e.tag), []).append(e)
+        for c in e:
+            parent[c] = e
+    return found, parent
+
+
+def _children(e: ET.Element, name: str) -> list[ET.Element]:
+    return [c for c in e if _local(c.tag) == name]
+
+
+def _abstract(found: dict[str, list]) -> str | None:
+    """The last notation of the first description whose last type says so, else the first
+    notation; an element's own text is what stands before its first child."""
+    for d in found.get("description", ()):
+        kinds = [c.text for c in _children(d, "type") if c.text]
+        notations = [c.text for c in _children(d, "notation") if c.text]
+        if kinds and notations and " ".join(kinds[-1].strip(" \t\r\n").split()).lower() == "abstract":
+            return notations[-1]
+    return next((e.text for e in found.get("notation", ()) if e.text), None)
+
+
+def record_fields(root: ET.Element) -> dict:
+    """The 16 content fields of a record, as they stand there."""
+    found, parent = _by_name(root)
+    out: dict = dict.fromkeys(TEXTS)
+    titles = [e for e in found.get("title", ()) if e.tag == TITLE]
+    other = [e for e in titles if "en" not in _attribute(e, "lang")]
+    if titles:
+        out["title"] = _string((other or titles)[0])
+    out["abstract"] = _abstract(found)
+    for e in found.get("identifier", ()):
+        kind = _attribute(e, "datatype")
+        if kind and "DOI" in kind[0] and e in parent and _local(parent[e].tag) == "productIdentifier":
+            out["doi"] = _string(e)
+            break
+    for field, name in (("created_at", "createdAt"), ("modified_at", "modifiedAt")):
+        out[field] = next((s for s in map(_string, reversed(found.get(name, ()))) if s), None)
+    if publication := found.get("publication"):
+        for field, name in PUBLICATION_FIELDS.items():
+            out[field] = next((s for s in map(_string, _children(publication[0], name)) if s), None)
+    people = [e for e in found.get("Researcher", ()) if e in parent and _local(parent[e].tag) == "creator"]
+    for field, name in (("authors", "name"), ("affiliations", "affiliationName")):
+        last = [[c for c in _children(e, name) if _string(c)][-1:] for e in people]
+        out[field] = [x for found_ in last for c in found_ for x in _texts(c)]
+    out["topics"] = [v for e in found.get("topic", ()) for v in _attribute(e, "title")]
+    out["related_titles"] = [x for e in found.get("relatedTitle", ()) for x in _texts(e)]
+    return out
 
 
-def _read(b) -> tuple[str | None, str | None]:
-    """(the record written out anew, error).  The parser reads the encoding from
-    the byte-order mark or the declaration; comments are gone and prefixes are
-    those of `PREFIXES` in what comes out."""
+def _read(b) -> dict:
+    """A record's fields, or the error."""
+    empty: dict = dict.fromkeys((*TEXTS, *LISTS))
     if b is None:
-        return None, "ValueError: no content"
+        return empty | {"error": "ValueError: no content"}
     try:
-        return ET.tostring(ET.fromstring(bytes(b)), encoding="unicode"), None
+        return record_fields(ET.fromstring(bytes(b))) | {"error": None}
     except ET.ParseError as e:
-        return None, f"ParseError: {e}"
+        return empty | {"error": f"ParseError: {e}"}
     except Exception as e:  # noqa: BLE001 - the message is the data
-        return None, f"{type(e).__name__}: {e}"
-
-
-@F.pandas_udf(T.StructType([T.StructField("xml", T.StringType()), T.StructField("error", T.StringType())]))
-def read_xml(content: pd.Series) -> pd.DataFrame:
-    """(xml, error): the decoded record, or the parser's message."""
-    for prefix, uri in PREFIXES.items():
-        ET.register_namespace(prefix, uri)
-    return pd.DataFrame([_read(b) for b in content], columns=["xml", "error"], dtype=object)
-
-
-# X1–X9 ------------------------------------------------------------------------------
-SEP = "\u0001"   # cannot occur in XML 1.0 text, so it safely separates fields
+        return empty | {"error": f"{type(e).__name__}: {e}"}
 
-def _xs(x: Column, path: str) -> Column:
-    return F.xpath_string(x, F.lit(path))
 
-
-def _xa(x: Column, path: str) -> Column:
-    return F.xpath(x, F.lit(path))
+@F.pandas_udf(RECORD)
+def read_record(content: pd.Series) -> pd.DataFrame:
+    """The fields of each record, or the parser's message."""
+    return pd.DataFrame([_read(b) for b in content], columns=RECORD.names, dtype=object)
 
 
 def _nullif_empty(c: Column) -> Column:
@@ -95,90 +149,15 @@ def _non_empty_list(a: Column) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
-def xpath_fetches(x: Column) -> dict[str, Column]:
-    """The XPath calls, each to be evaluated once per document.
-
-    Single-valued fields are fetched a family at a time with
-    ``xpath_string(concat(...))`` (each xpath call parses the document anew,
-    and one call for all would exceed the JDK's operator limit); the four
-    list fields need one call each: 9 parses per document."""
-    title_any = "//*[name()='dc:title']"
-    title_ne = f"{title_any}[not(@*[local-name()='lang']='en')]"
-    # an element's own text is what stands before its first child
-    own = "text()[1][not(preceding-sibling::*)]"
-    typed = (f"//{_ln('description')}[translate(normalize-space({_ln('type')}[{own}][last()]/{own}),"
-             f"'{UPPER}','{LOWER}')='abstract'][{_ln('notation')}[{own}]]")
-    pub = f"(//{_ln('publication')})[1]"
-    pub_names = ("publicationName", "publisher", "publicationDate", "volume", "number",
-                 "startingPage", "endingPage")
-    parts = [
-        f"count({title_ne})", f"({title_ne})[1]", f"({title_any})[1]",
-        f"({typed})[1]/{_ln('notation')}[{own}][last()]/{own}",
-        f"(//{_ln('notation')}[{own}])[1]/{own}",
-        (f"(//{_ln('productIdentifier')}/{_ln('identifier')}"
-         f"[contains(@*[local-name()='datatype'],'DOI')])[1]"),
-        f"(//{_ln('createdAt')}[string-length(.)>0])[last()]",
-        f"(//{_ln('modifiedAt')}[string-length(.)>0])[last()]",
-    ] + [f"({pub}/{_ln(n)}[string-length(.)>0])[1]" for n in pub_names]
-    out = {}
-    for k, (a, b) in enumerate(CHUNKS):
-        out[f"_s{k}"] = F.split(_xs(x, "concat(" + f", '{SEP}', ".join(parts[a:b]) + ")"), SEP)
-    researcher = f"//{_ln('creator')}/{_ln('Researcher')}"
-    out["_authors"] = _xa(x, f"{researcher}/{_ln('name')}[string-length(.)>0][last()]/text()")
-    out["_affs"] = _xa(x, f"{researcher}/{_ln('affiliationName')}[string-length(.)>0][last()]/text()")
-    out["_topics"] = _xa(x, f"//{_ln('topic')}/@*[local-name()='title']")
-    out["_related"] = _xa(x, f"//{_ln('relatedTitle')}[string-length(.)>0]/text()")
-    return out
-
-
-# parts per xpath call, grouped by field family (title, abstract, doi+dates, publication)
-CHUNKS = ((0, 3), (3, 5), (5, 8), (8, 11), (11, 15))
-
-
-def fields_from_fetches() -> dict[str, Column]:
-    """The 16 content fields from the columns produced by ``xpath_fetches``."""
-    def at(i: int) -> Column:
-        for k, (a, b) in enumerate(CHUNKS):
-            if a <= i < b:
-                return F.col(f"_s{k}").getItem(i - a)
-        raise IndexError(i)
-
-    fields = {
-        "title": F.when(at(0).cast("int") > 0, _nullif_empty(at(1))).otherwise(_nullif_empty(at(2))),
-        "abstract": ustrip(html_unescape(F.coalesce(_nullif_empty(at(3)), _nullif_empty(at(4))))),
-        "authors": _non_empty_list(F.col("_authors")),
-        "affiliations": _non_empty_list(F.col("_affs")),
-        "doi": _nullif_empty(ustrip(at(5))),
-        "created_at": _nullif_empty(ustrip(at(6))), "modified_at": _nullif_empty(ustrip(at(7))),
-        "topics": _non_empty_list(F.col("_topics")),
-        "related_titles": _non_empty_list(F.col("_related")),
-    }
-    names = ("journal", "publisher", "publication_date", "volume", "issue", "start_page", "end_page")
-    for i, name in enumerate(names):
-        fields[name] = _nullif_empty(ustrip(at(8 + i)))
-    return fields
-
-
 def parse_records(df: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
-    """(file, content bytes) → publications table (18 columns, fixed order).
-
-    Three steps: the record decoded and checked; each XPath once into a column;
-    fields from those columns."""
-    checked = df.select(F.col(file).alias("file"), read_xml(F.col(content)).alias("_r")).select(
-        "file", F.col("_r.xml").alias("_xml"), F.col("_r.error").alias("error"))
-    ok = F.col("error").isNull()
-    # XPath only ever sees well-formed input: broken records are swapped for
-    # a stub document, so no evaluation order can make a malformed file
-    # fail the job.
-    safe = checked.select("file", "error",
-                          F.when(ok, F.col("_xml")).otherwise(F.lit("<none/>")).alias("_x"))
-    # a one-row generator is an optimisation barrier: without it the
-    # projections are collapsed and each XPath is re-run per reference
-    fetched = safe.select("file", "error", F.inline(F.array(F.struct(
-        *[c.alias(n) for n, c in xpath_fetches(F.col("_x")).items()]))))
-    fields = {k: F.when(ok, v) for k, v in fields_from_fetches().items()}
-    return conform(fetched.select("file", "error", *[v.alias(k) for k, v in fields.items()]),
-                   PUBLICATION_SCHEMA)
+    """(file, content bytes) → publications table (18 columns, fixed order); each
+    record is parsed once."""
+    r = df.select(F.col(file).alias("file"), read_record(F.col(content)).alias("_r")).select("file", "_r.*")
+    plain = {c: _nullif_empty(ustrip(F.col(c))) for c in TEXTS}
+    plain["title"] = _nullif_empty(F.col("title"))
+    plain["abstract"] = ustrip(html_unescape(_nullif_empty(F.col("abstract"))))
+    lists = {c: _non_empty_list(F.col(c)) for c in LISTS}
+    return conform(r.select("file", "error", *[v.alias(k) for k, v in (plain | lists).items()]), PUBLICATION_SCHEMA)
 
 
 def ingest(spark: SparkSession, root: str, pattern: str = "*.rdf") -> DataFrame:
@@ -186,20 +165,43 @@ def ingest(spark: SparkSession, root: str, pattern: str = "*.rdf") -> DataFrame:
 
 
 # S4 -------------------------------------------------------------------------------
-def ingest_new_files(spark: SparkSession, root: str, out: str, pattern: str = "*.rdf") -> int:
-    """Resumable batch ingest: parse only files whose path is not yet in
-    ``out`` and append them; returns the number of new rows.  Keyed on the
-    path, so adding files never shifts earlier work."""
-    files = discover(spark, root, pattern)
-    from vellum.session import cut_lineage, path_exists
-    if path_exists(spark, out):
-        files = files.join(spark.read.parquet(out).select("file"), "file", "left_anti")
-    new = parse_records(files)
-    new = cut_lineage(new)
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(out)
-    return n
+BATCH_FILES = 50_000      # files of a committed batch; their paths pass through the driver
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*.rdf") -> DataFrame:
+    """(file, length) from the listing alone: the source reads no bytes of a file whose
+    content is not asked for."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+            .load(root).select(F.col("path").alias("file"), "length"))
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, content) of the named files; Spark deals them to tasks by their lengths."""
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]  # a path is no pattern
+    return spark.read.format("binaryFile").load(literal).select(F.col("path").alias("file"), "content")
+
+
+def ingest_new_files(spark: SparkSession, root: str, out: str, pattern: str = "*.rdf",
+                     batch_files: int = BATCH_FILES) -> int:
+    """Resumable batch ingest: parse only files whose path is not in the sink's ledger
+    and append them, in committed batches of ``batch_files`` in order of their paths;
+    returns the number of new rows.  Keyed on the path, so adding files never shifts
+    earlier work; finished files are listed, not read."""
+    ledger = Ledger(spark, out).recover()
+    done = ledger.inputs()
+    if done is None and (old := ledger.rows()) is not None:  # a sink from before the ledger
+        done = old.select("file")
+    todo = list_files(spark, root, pattern)
+    if done is not None:
+        todo = todo.join(done.select("file"), "file", "left_anti")
+    todo, added, last = cut_lineage(todo), 0, ""
+    while True:
+        batch = todo.filter(F.col("file") > last).orderBy("file").limit(batch_files)
+        paths = [r.file for r in batch.select("file").collect()]
+        if not paths:
+            return added
+        last = paths[-1]
+        added += ledger.append(parse_records(read_files(spark, paths)), batch.select("file"), {"root": root})
 
 
 def ingest_stream(spark: SparkSession, root: str, out: str, checkpoint: str,
