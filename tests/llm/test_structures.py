@@ -89,15 +89,18 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     rows[12] = (None, [0.5, 0.5, 0.5, 0.5], "x")
     rows += [(1000 + i, [0.5, 0.5, 0.5, 0.5], "x") for i in range(100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    rows = [*rows, rows[20], rows[20], rows[21]]  # a query's row three times, a candidate's twice
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
     got = topk.top_k(df, F.col("id") % 10 == 0, block=37, queries=7)
-    held = {(i, tuple(int(256 * x // 1) for x in v)) for i, v, _ in rows if i is not None and v is not None
-            and all(x is not None and np.isfinite(x) for x in v)}
+    held = [(i, tuple(int(256 * x // 1) for x in v)) for i, v, _ in rows if i is not None and v is not None
+            and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in held:
         if q % 10 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in held if i != q)
             want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    same_rows(topk.top_k(df, F.col("id") % 50 == 0), catalog.ORACLE["op6_top_k"], embeddings=df.filter("size(embedding) = 4"))
     assert topk.top_k(df.limit(0), F.col("id") % 10 == 0).count() == 0
     two = topk.top_k(df.filter("vec_id IN (0, 1, 2)"), F.col("id") == 0)
     assert two.count() == 2
@@ -127,6 +130,39 @@ def test_mix_edges(spark, where):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixed_documents_of_sources_that_share_ids(spark):
+    """Copies go to the rows that the mix took, whatever ids they share."""
+    rows = [(i, f"{' '.join(f'w{k}' for k in range(10))} {src} {j}", "en", src, 1)
+            for src, n in (("a", 80), ("b", 80), ("c", 80), (None, 80)) for j in range(n) for i in [7 if j % 2 else None]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = collections.Counter(r[3] for r in rows for _ in r[1].split())
+    want = {r.source: r.target for r in mixing.targets(mixing.sized(df)).collect()}
+    got = collections.Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[r.source] += len(r.text.split())
+    assert set(got) == {"a", "b", "c", None}
+    for source, target in want.items():
+        assert target <= got[source] <= target + 13 and got[source] <= 2 * size[source]
+
+
+CLASHES = ["row", "ids", "kept", "score", "n_words", "failed", "__key", "__row", "m_copies", "key", "copies", "id", "hash", "size",
+           "taken", "u", "held_out", "lang_pred", "fp", "fingerprint", "all", "no", "copy", "base_failed", "__text", "__in0"]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    df = frame(spark, [r[:5] for r in document_rows(4, 80)], ", ".join(DOCS.split(", ")[:5]))
+    wide = df.select("*", *[F.concat(F.lit(c), F.lit(" of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c)
+                            for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns and out.dtypes == wide.dtypes
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c} of {'?' if r.doc_id is None else r.doc_id}" for c in CLASHES), name
+        assert sorted(r.doc_id or -1 for r in rows) == sorted(r.doc_id or -1 for r in stage(spark, df, "").collect()), name
+
+
 def test_mixed_documents_repeat_whole_rows(spark):
     df = frame(spark, document_rows(6, 200))
     copies = collections.Counter((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect())
@@ -205,6 +241,19 @@ def test_links_of_crowded_cells(spark, bits, cell):
     assert {x: got.get(x, x) for x in fps} == brute_components(fps, bits)
 
 
+def test_second_pivots_part_crowded_cells(spark):
+    """Fingerprints that share a block, and little else, need no bit flips."""
+    rng = random.Random(6)
+    fps = {simhash.signed(rng.getrandbits(43) << 21 | 5) for _ in range(400)}
+    fps |= {x ^ (1 << 30) for x in list(fps)[:20]}
+    fps |= {simhash.signed(simhash.blocks(3)[1] ^ (1 << a) ^ (1 << b)) for a in range(12) for b in range(a)}
+    df = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
+    shares = {r.way: r.fingerprints for r in simhash.search_shares(df, 2, 20).collect()}
+    assert shares["second level"] >= 40 and 0 < shares["bit flips"] <= 66
+    got = {r.node: r.root for r in components(simhash.links(df, 2, 20)).collect()}
+    assert {x: got.get(x, x) for x in fps} == brute_components(fps, 2)
+
+
 def test_components_of_chains_and_stars(spark):
     rng, u = random.Random(3), Union()
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)]
@@ -227,11 +276,19 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in state.collect()) == good
     state.write.parquet(str(tmp_path / "1"))
     state = spark.read.parquet(str(tmp_path / "1"))
-    net = langid.learn(state)
-    want = []
+    held = lambda r: r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % langid.HELD_OUT == 0
+    net = langid.learn(state.filter(F.crc32(F.col("doc_id").cast("string")) % langid.HELD_OUT != 0).unionByName(
+        state.filter("doc_id IS NULL")), reject=True)
+    scored = []
     for r in state.collect():
-        if any(map(str.isalpha, r.text)) and net.predict([r.text.encode()])[1][0] >= corpus_pipeline.MIN_SCORE:
-            want.append(r)
+        if any(map(str.isalpha, r.text)):
+            best, score = net.predict([r.text.encode()])
+            scored.append((r, net.langs[best[0]], round(float(score[0]), 6)))
+    cut = {}
+    for name in net.langs:
+        mine = sorted(x for r, n, x in scored if n == name == r.lang and held(r))
+        cut[name] = mine[max(0, -int(-len(mine) * langid.LOW // 1) - 1)] if mine else 0.0
+    want = [r for r, name, x in scored if name != langid.REJECT and x >= cut[name]]
     state = stage["language_id"](spark, state, "")
     assert sorted(map(str, state.collect())) == sorted(map(str, want))
     state.write.parquet(str(tmp_path / "2"))

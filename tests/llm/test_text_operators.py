@@ -147,6 +147,75 @@ def test_sketch_quantiles_are_near_the_exact_ones(spark):
         assert b <= v and v - b <= v / 32
 
 
+def plain_forward(net, x):
+    """One window at a time, filter by filter."""
+    out = []
+    for window in x:
+        e = net.w["embed"][np.concatenate((window, np.zeros(max(langid.WIDTHS) - 1, np.uint8)))]
+        hidden = []
+        for f in range(net.w["conv"].shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            k = net.w["conv"][:, f].reshape(-1, langid.EMBED)
+            assert not k[width:].any()
+            top = max(float((e[i:i + width] * k[:width]).sum()) for i in range(len(window)))
+            hidden.append(max(top + float(net.w["conv_bias"][f]), 0.0))
+        z = np.array(hidden) @ net.w["out"] + net.w["out_bias"]
+        out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    return np.array(out)
+
+
+def small_net(seed=3):
+    rng = np.random.default_rng(seed)
+    net = langid.untrained(["a", "b", "c"], rng)
+    net.w = {k: v.astype(np.float64) + (0.05 * rng.normal(size=v.shape) if "bias" in k else 0) for k, v in net.w.items()}
+    return net, rng.integers(0, 256, (4, 24), dtype=np.uint8)
+
+
+def test_network_equals_a_loop_over_windows():
+    net, x = small_net()
+    assert np.allclose(net.forward(x), plain_forward(net, x))
+
+
+def test_gradients_equal_finite_differences():
+    net, x = small_net()
+    target, weight = np.array([0, 2, 1, 2]), np.array([0.5, 1.0, 0.25, 2.0])
+    loss = lambda: float(-(np.log(net.forward(x)[np.arange(4), target]) * weight).sum())
+    grad, rng, mask = langid.gradients(net, x, target, weight), np.random.default_rng(1), langid.filter_mask()
+    for name, g in grad.items():
+        places = np.flatnonzero(mask) if name == "conv" else np.arange(g.size)
+        if name == "embed":
+            places = np.flatnonzero(np.repeat(np.isin(np.arange(256), x), langid.EMBED))
+        for i in rng.choice(places, min(12, len(places)), replace=False):
+            flat, h = net.w[name].reshape(-1), 1e-5
+            old = flat[i]
+            flat[i] = old + h
+            up = loss()
+            flat[i] = old - h
+            down = loss()
+            flat[i] = old
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / (2 * h), rel=1e-4, abs=1e-7), name
+
+
+def test_sample_takes_a_text_once(spark):
+    rows = [(i, "same text again" if i % 3 else f"text number {chr(97 + i % 26)}{i}", "en" if i % 2 else "fr") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = langid.sample(df, "text", "lang", per_lang=80)
+    assert len(set(zip(texts, labels, strict=True))) == len(texts)
+    assert labels.count("en") == labels.count("fr") == 80
+
+
+def test_known_languages_keeps_clean_documents(spark, sf):
+    docs = documents(spark, sf)
+    junk = spark.createDataFrame([(10 ** 6 + i, "".join(random.Random(i).choice("qxzjkvw ") for _ in range(600)), None, "j", 600)
+                                  for i in range(20)], docs.schema)
+    kept = {r.doc_id for r in langid.known_languages(docs.unionByName(junk)).select("doc_id").collect()}
+    assert len([i for i in kept if i >= 10 ** 6]) <= 10  # letters of no language
+    letters = docs.filter(F.col("text").rlike(r"\p{L}") & (F.length("text") > 100)).count()
+    assert len(kept) >= 0.98 * letters
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.known_languages(none).count() == docs.count() and langid.known_languages(docs.limit(0)).count() == 0
+
+
 def test_language_id_accuracy_and_edges(spark, sf):
     docs = documents(spark, sf).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     net = langid.learn(docs.filter("not held_out"))

@@ -206,7 +206,7 @@ M AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_w
 
 ORACLE["op5_mix_sources"] = rf"""
 WITH RECURSIVE D AS (SELECT row_number() OVER () AS k, doc_id, source, len({_WORDS})::BIGINT AS size,
-             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS u FROM documents),
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS u FROM documents),
 S AS (SELECT source, sum(size)::BIGINT AS source_size,
         row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM D GROUP BY source),
 W AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [5, 2, 1][((sid - 1) % 3) + 1]::DOUBLE AS w FROM S),
@@ -250,13 +250,13 @@ FROM D JOIN T ON T.source IS NOT DISTINCT FROM D.source LEFT JOIN PI USING (k)
 GROUP BY D.k, D.doc_id, D.size, T.source_size, T.target"""
 
 ORACLE["op6_top_k"] = """
-WITH E AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+WITH E AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-P AS (SELECT q.vec_id AS query_id, c.vec_id,
+P AS (SELECT q.k, q.vec_id AS query_id, c.vec_id,
         list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
       FROM E q JOIN E c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM P)
+R AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS nth FROM P)
 SELECT query_id, nth::INTEGER AS rank, vec_id, score FROM R WHERE nth <= 5"""
 
 _NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"

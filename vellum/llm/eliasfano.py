@@ -29,9 +29,8 @@ def encode(values: np.ndarray) -> bytes:
         raise ValueError("too many numbers for 32-bit samples")
     bits[high] = 1
     shifts = np.arange(low, dtype=np.uint64)
-    parts = [((v[i:i + 65536, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-             for i in range(0, n, 65536)]  # 65536 x low bits: whole bytes
-    packed = b"".join(np.packbits(p, bitorder="little").tobytes() for p in parts) if low else b""
+    packed = b"".join(np.packbits(((v[i:i + 65536, None] >> shifts) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes()
+                      for i in range(0, n, 65536)) if low else b""  # 65536 x low bits: whole bytes
     ones = np.packbits(bits, bitorder="little").tobytes()
     samples = high[::SAMPLE].astype("<u4").tobytes()
     return struct.pack(HEAD, n, low, len(packed), len(ones)) + packed + ones + samples

@@ -3,27 +3,35 @@
 Bytes are embedded, filters of several widths slide over a window of fixed
 length, each filter keeps its maximum, and a softmax layer names the language.
 The network is trained in numpy on the driver, on a bounded sample: at most
-``per_lang`` labelled rows of each language, chosen by hash, one window of each
-at a hashed place of its text.  The weights, some ten thousand numbers, go to
+``per_lang`` different labelled texts of each language, chosen by hash, one window of
+each at a hashed place.  The weights, some ten thousand numbers, go to
 the workers, which cut every whole text into windows side by side, score them in
 batches and average the windows' probabilities by their bytes.
 
+`known_languages` drops what is in none of the learned languages.  Its network has a
+class more, ``REJECT``, that learns from the same windows with their bytes shuffled, and
+a document's score must reach its language's cutoff: a low quantile of the scores of all
+held-out documents whose label the network finds.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text where no labelled row exists; with one learned language each text with
-a letter is that language; texts shorter than a window are padded with zero
-bytes; repeated rows get equal answers; rows with a null id count as labelled
-rows of fold 1; an empty table gives an empty table.
+a letter is that language; of equally likely languages the first in code-point order
+wins; texts shorter than a window are padded with zero bytes, very long ones are more
+windows; repeated rows get equal answers, and are learned once; rows with a null id
+count as labelled rows of fold 1; a kept column with a result's name is replaced; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_batches
+from vellum.llm.common import fold, map_batches
+from vellum.session import cut_lineage
 
 WINDOW = 256        # bytes in a window
 EMBED = 8
@@ -32,6 +40,9 @@ FILTERS = 12        # of each width
 PER_LANG = 1500     # labelled rows of a language that training reads at most
 EPOCHS = 12
 BATCH = 256         # windows scored at once
+REJECT = ""         # class of shuffled windows: text in no learned language
+HELD_OUT = 5        # folds, one of which is held out for the cutoffs
+LOW = 0.002         # quantile of held-out scores below which a document is dropped
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()),
                        T.StructField("score", T.DoubleType())])
 
@@ -81,24 +92,52 @@ class ByteNet:
         return best, total[np.arange(len(best)), best]
 
 
+def gradients(net: ByteNet, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the windows' weighted cross entropy by the network's weights."""
+    w, (n, span) = net.w, (len(x), max(WIDTHS))
+    p, hidden, best, view = net.forward(x, True)
+    d = p.copy()
+    d[np.arange(n), target] -= 1
+    d *= weight[:, None].astype(p.dtype)
+    back = (d @ w["out"].T) * (hidden > 0)
+    # only the place of a filter's maximum passes gradient on
+    at_best = np.take_along_axis(view, best[:, :, None], 1)  # (n, filters, span x EMBED)
+    per_place = (back[:, :, None] * w["conv"].T[None]).reshape(n, back.shape[1], span, EMBED)
+    padded = np.pad(x, ((0, 0), (0, span - 1)))
+    seen = padded[np.arange(n)[:, None, None], best[:, :, None] + np.arange(span)]
+    embed = np.zeros_like(w["embed"])
+    np.add.at(embed, seen.ravel(), per_place.reshape(-1, EMBED))
+    return {"out": hidden.T @ d, "out_bias": d.sum(0), "conv_bias": back.sum(0),
+            "conv": np.einsum("nfk,nf->kf", at_best, back) * filter_mask(), "embed": embed}
+
+
+def filter_mask() -> np.ndarray:
+    """Ones at the places of each filter's width."""
+    span, n_filters = max(WIDTHS), FILTERS * len(WIDTHS)
+    mask = np.zeros((span, EMBED, n_filters), np.float32)
+    for i, width in enumerate(WIDTHS):
+        mask[:width, :, i * FILTERS:(i + 1) * FILTERS] = 1
+    return mask.reshape(span * EMBED, n_filters)
+
+
+def untrained(langs: list[str], rng) -> ByteNet:
+    n_filters, span = FILTERS * len(WIDTHS), max(WIDTHS)
+    normal = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
+    return ByteNet(langs, {
+        "embed": normal(256, EMBED, scale=0.5), "conv": normal(span * EMBED, n_filters, scale=0.2) * filter_mask(),
+        "conv_bias": np.zeros(n_filters, np.float32),
+        "out": normal(n_filters, len(langs), scale=0.2), "out_bias": np.zeros(len(langs), np.float32)})
+
+
 def train(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = EPOCHS) -> ByteNet:
     """Adam on cross entropy; each epoch shows random crops, so that short texts
     are learned too.  Languages weigh alike."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
-    n_filters, span = FILTERS * len(WIDTHS), max(WIDTHS)
-    mask = np.zeros((span, EMBED, n_filters), np.float32)
-    for i, width in enumerate(WIDTHS):
-        mask[:width, :, i * FILTERS:(i + 1) * FILTERS] = 1
-    mask = mask.reshape(span * EMBED, n_filters)
-    normal = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
-    w = {"embed": normal(256, EMBED, scale=0.5),
-         "conv": normal(span * EMBED, n_filters, scale=0.2) * mask,
-         "conv_bias": np.zeros(n_filters, np.float32),
-         "out": normal(n_filters, len(langs), scale=0.2), "out_bias": np.zeros(len(langs), np.float32)}
-    net = ByteNet(langs, w)
+    net = untrained(langs, rng)
     if len(langs) < 2:
         return net
+    w = net.w
     y = np.array([langs.index(v) for v in labels])
     share = len(y) / (len(langs) * np.bincount(y, minlength=len(langs)))
     mean = {k: np.zeros_like(v) for k, v in w.items()}
@@ -114,23 +153,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = EP
                 size = min(len(raw), int(rng.integers(16, WINDOW + 1)))
                 start = int(rng.integers(0, len(raw) - size + 1))
                 x[j, :size] = np.frombuffer(raw[start:start + size], np.uint8)
-            p, hidden, best, view = net.forward(x, True)
-            target = y[rows]
-            d = p.copy()
-            d[np.arange(len(rows)), target] -= 1
-            d *= (share[target] / len(rows))[:, None].astype(np.float32)
-            back = (d @ w["out"].T) * (hidden > 0)
-            # only the place of a filter's maximum passes gradient on
-            at_best = np.take_along_axis(view, best[:, :, None], 1)  # (n, filters, span x EMBED)
-            grad = {"out": hidden.T @ d, "out_bias": d.sum(0), "conv_bias": back.sum(0),
-                    "conv": np.einsum("nfk,nf->kf", at_best, back) * mask}
-            per_place = (back[:, :, None] * w["conv"].T[None]).reshape(len(rows), n_filters, span, EMBED)
-            padded = np.pad(x, ((0, 0), (0, span - 1)))
-            seen = padded[np.arange(len(rows))[:, None, None], best[:, :, None] + np.arange(span)]
-            grad["embed"] = np.zeros_like(w["embed"])
-            np.add.at(grad["embed"], seen.ravel(), per_place.reshape(-1, EMBED))
             step += 1
-            for k, g in grad.items():
+            for k, g in gradients(net, x, y[rows], share[y[rows]] / len(rows)).items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.001 * (g * g - square[k])
                 rate = 0.004 * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
@@ -139,39 +163,66 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = EP
 
 
 def sample(df: DataFrame, text: str, lang: str, per_lang: int = PER_LANG) -> tuple[list, list]:
-    """At most ``per_lang`` windows of labelled rows per language, on the driver.
+    """Windows of at most ``per_lang`` different labelled texts per language, on the
+    driver.
 
-    Rows are chosen by a hash of the text, with a chance that a count per language
-    sets, so that no language's rows meet in one task.
+    Texts are chosen by their hashes, with a chance that a count per language sets, so
+    that no language's texts meet in one task; copies of a text are one.
     """
     t, label = F.col(f"`{text}`"), F.col(f"`{lang}`")
     rows = df.filter(label.isNotNull() & t.rlike(r"\p{L}")).select(
         label.alias("lang"), t.alias("text"), F.pmod(F.xxhash64(t), F.lit(1 << 30)).alias("u"),
         F.pmod(F.xxhash64(t, F.lit("place")), F.lit(1 << 30)).alias("v"))
-    counts = dict(rows.groupBy("lang").count().collect())  # one row per language
+    counts = dict(rows.select("lang", "u", "v").distinct().groupBy("lang").count().collect())  # one row per language
     if not counts:
         return [], []
     chance = F.create_map(*[F.lit(x) for k, n in counts.items()
                             for x in (k, int((1 << 30) * min(1.0, 1.2 * per_lang / n)) + 1)])
     start = 1 + F.pmod(F.col("v"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1)))
-    got = (rows.filter(F.col("u") < chance[F.col("lang")])
+    few = (rows.filter(F.col("u") < chance[F.col("lang")])
            .select("lang", "u", "v", F.substring(F.col("text"), start, F.lit(WINDOW)).alias("text"))
-           .orderBy("u", "v", "lang", "text").limit(2 * per_lang * len(counts)).collect())
-    texts, labels, taken = [], [], dict.fromkeys(counts, 0)
-    for r in got:
-        if taken[r.lang] < per_lang and r.text:
-            taken[r.lang] += 1
-            texts.append(r.text.encode()[:WINDOW])
-            labels.append(r.lang)
-    return texts, labels
-
-
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> ByteNet:
-    """Network trained on a bounded sample of the labelled rows of ``df``."""
+           .dropDuplicates(["lang", "u", "v"]))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "v", "text"))  # some per_lang rows
+    got = few.withColumn("nth", nth).filter(F.col("nth") <= per_lang).orderBy("u", "v", "lang").collect()
+    return [r.text.encode()[:WINDOW] for r in got], [r.lang for r in got]
+
+
+def shuffled(texts: list[bytes], n: int, seed: int = 5) -> list[bytes]:
+    """n windows with their bytes in random order."""
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(np.frombuffer(texts[int(i)], np.uint8)).tobytes() for i in rng.integers(0, len(texts), n)]
+
+
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, reject: bool = False) -> ByteNet:
+    """Network trained on a bounded sample of the labelled rows of ``df``; with
+    ``reject``, and a class `REJECT` of shuffled windows."""
     texts, labels = sample(df, text, lang, per_lang)
+    if reject and texts:
+        junk = shuffled(texts, min(per_lang, len(texts)))
+        texts, labels = texts + junk, labels + [REJECT] * len(junk)
     return train(texts, labels)
 
 
+def known_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                    low: float = LOW) -> DataFrame:
+    """The rows of ``df`` in a learned language, by the network and the cutoffs; all of
+    them where no row has a label.  The network learns from the labelled rows outside
+    one of `HELD_OUT` folds."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"),
+                     F.col(f"`{lang}`").alias("lang"), (fold(F.col(f"`{doc_id}`"), HELD_OUT) == 0).alias("held_out"))
+    net = learn(rows.filter("NOT held_out"), reject=True)
+    if not net.langs:
+        return df
+    scored = cut_lineage(identify(rows, net, keep=["row", "lang", "held_out"]))
+    found = scored.filter((F.col("lang_pred") != "und") & (F.col("lang_pred") != REJECT))
+    cuts = (found.filter("held_out AND lang = lang_pred").groupBy("lang_pred")
+            .agg(F.percentile_approx("score", low, 10_000).alias("cut")).collect())  # a row per language
+    cut = F.lit(0.0)
+    for r in cuts:  # a language without held-out rows has no cutoff
+        cut = F.when(F.col("lang_pred") == r.lang_pred, F.lit(r.cut)).otherwise(cut)
+    return found.filter(F.col("score") >= cut).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+
+
 def identify(df: DataFrame, net: ByteNet, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to the ``keep`` columns."""
     langs, weights = net.langs, net.w

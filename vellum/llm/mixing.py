@@ -16,9 +16,14 @@ their shares.  The slots beyond a source's blocks stay empty; the few blocks tha
 the finite sequence leaves without a slot come last.  A target's last block is
 cut, so each source gives its rounded target exactly.
 
-Edge cases: null and empty texts have size 0 and are not taken; a null source is
-a source, the last one; documents of equal hash go by id and size; rows with equal
-ids are separate documents; an empty table, or one without a word, takes nothing.
+Documents are ordered by a hash of their id and text, so rows that share an id, or
+have none, are spread like others.
+
+Edge cases: null and empty texts have size 0 and are not taken; very long texts lie
+in several blocks; a null source is a source, the last one; documents of equal hash go
+by id and size; rows with equal ids are separate documents, and of repeated rows it does
+not matter which is taken; extra columns, of any name, are not read by `mix` and carried
+by `mixed_documents`; an empty table, or one without a word, takes nothing.
 """
 
 from __future__ import annotations
@@ -41,12 +46,15 @@ def hash32(key: Column) -> Column:
                   16, 10).cast("long")
 
 
-def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          source: str = "source") -> DataFrame:
-    """(doc_id, source, size) of every row."""
-    size = F.greatest(F.size(words(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.lit(0))
-    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
-                     size.cast("long").alias("size"))
+def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, source, size, u, and the ``keep`` columns) of every row; ``u`` is the
+    hash that orders a source's documents."""
+    t, i = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`")
+    size = F.greatest(F.size(words(t)), F.lit(0))
+    mark = F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.md5(t))
+    return df.select(i.alias("doc_id"), F.col(f"`{source}`").alias("source"), size.cast("long").alias("size"),
+                     hash32(mark).alias("u"), *(keep or []))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -117,21 +125,22 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_slot) of every row.
+        slots: int = SLOTS, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot) of every row, and the
+    ``keep`` columns, whose names differ from these.
 
     ``taken`` counts the words that the mix takes, repeats included;
     ``first_slot`` is the earliest slot that takes one (null: none does).
     """
-    rows = cut_lineage(sized(df, doc_id, text, source))
+    keep = keep or []
+    rows = cut_lineage(sized(df, doc_id, text, source, keep))
     plan = cut_lineage(targets(rows))
     total = plan.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, -(-int(total) // slots))
     named = rows.join(F.broadcast(plan) if _small(plan) else plan,
                       rows["source"].eqNullSafe(plan["source"])).drop(rows["source"], plan["source"])
-    key = hash32(F.col("doc_id"))
     placed = running_start(
-        named.filter("size > 0").withColumn("u", key), ["sid"], [F.col("u"), F.col("doc_id"), F.col("size")],
+        named.filter("size > 0"), ["sid"], [F.col("u"), F.col("doc_id"), F.col("size")],
         F.col("size"), "start", F.shiftright("u", 32 - PART_BITS).cast("int"))
     first, last = (F.floor(x / block).cast("long") for x in
                    (F.col("start"), F.col("start") + F.col("size") - 1))
@@ -142,10 +151,10 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
                          - F.greatest(begin, F.col("start")))
     taken = (pieces.join(b, (F.col("sid") == F.col("b_sid")) & (F.col("no") == F.col("block_no")), "left")
              .withColumn("part", F.when(F.col("slot").isNull(), F.lit(0).cast("long")).otherwise(overlap))
-             .groupBy("sid", "start", "doc_id", "size", "source_size", "target")
+             .groupBy("sid", "start", "doc_id", "size", "source_size", "target", *keep)
              .agg(F.sum("part").alias("taken"),
                   F.min(F.when(F.col("part") > 0, F.col("slot"))).alias("first_slot")))
-    out = ["doc_id", "size", "source_size", "target", "taken", "first_slot"]
+    out = ["doc_id", "size", "source_size", "target", "taken", "first_slot", *keep]
     none = named.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"),
                                                  "first_slot": F.lit(None).cast("long")})
     return taken.select(*out).unionByName(none.select(*out))
@@ -161,20 +170,18 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The rows of ``df`` as the mix takes them: a row stands once for every pass
     that takes words of it (the one document a target cuts stays whole)."""
     t = F.col(f"`{text}`")
-    rows = (df.select("*", F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(t).alias("__hash"))
-            .filter(F.translate(t, SPACES, "") != ""))
-    wanted = (mix(df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"),
-                            F.col(f"`{source}`").alias("source")), "id")
-              .filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"))
-              .agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("m_copies")))
-    # one exchange of the texts, by the id's hash, serves the join and the windows
-    rows = rows.withColumn("__key", F.xxhash64("__id"))
-    wanted = wanted.withColumn("m_key", F.xxhash64("m_id"))
-    equal = F.coalesce(F.col("__id") == F.col("m_id"), F.col("__id").isNull() & F.col("m_id").isNull())
-    joined = rows.join(wanted, (F.col("__key") == F.col("m_key")) & equal)
-    group = Window.partitionBy("__key", "__id")
-    numbered = joined.withColumns({"__no": F.row_number().over(group.orderBy("__hash")),
-                                   "__all": F.count(F.lit(1)).over(group)})
-    mine = F.floor((F.col("m_copies") + F.col("__all") - F.col("__no")) / F.col("__all"))
-    return (numbered.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), mine.cast("int"))))
-            .select(*df.columns))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
+    # rows of one id, source and text can stand in for each other
+    key = F.md5(F.concat_ws("\n", part(doc_id), part(source), F.md5(t)))
+    rows = (df.filter(F.translate(t, SPACES, "") != "")
+            .select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key")))
+    given = df.select(F.col(f"`{doc_id}`").alias("id"), t.alias("text"), F.col(f"`{source}`").alias("source"), key.alias("row_key"))
+    wanted = (mix(given, "id", keep=["row_key"]).filter("taken > 0").groupBy(F.col("row_key").alias("key"))
+              .agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("copies")))
+    # one exchange of the texts, by the key, serves the join and the windows
+    group = Window.partitionBy("key")
+    numbered = rows.join(wanted, "key").withColumns({"no": F.row_number().over(group.orderBy(F.lit(1))),
+                                                     "all": F.count(F.lit(1)).over(group)})
+    mine = F.floor((F.col("copies") + F.col("all") - F.col("no")) / F.col("all"))
+    return (numbered.withColumn("copy", F.explode(F.array_repeat(F.lit(1), mine.cast("int"))))
+            .select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns]))

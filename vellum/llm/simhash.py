@@ -16,15 +16,22 @@ its coordinates do not differ at all.  The coordinates of a block are thus the
 key of a cell; pairs of a cell are discarded if any coordinate of another block
 differs by more than ``max_bits``, and the survivors are verified bit by bit.
 
-Crowded cells (over ``cell_rows`` members, as in large groups of near copies)
-are not paired.  Their members go, exactly, through single bit flips: two
-fingerprints within two bits meet in a value one flip away from both, and at
-most 65 fingerprints meet in a value; wider limits add flips in turn.
+A crowded cell (over ``cell_rows`` members) gets a second level of pivots: the bits
+outside its block fall into ``max_bits + 1`` blocks of their own, with references of
+their own, and a linked pair of the cell is equal in at least one of these as well, so
+the coordinates of both blocks together are the key of a smaller cell.
+
+Cells that are still crowded, as in large groups of near copies, are not paired.
+Their members go, exactly, through single bit flips: two fingerprints within two bits
+meet in a value one flip away from both, and at most 65 fingerprints meet in a value;
+wider limits add flips in turn.  `search_shares` counts who takes which way.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero
 and is linked like any other; a text of fewer words than a shingle is one
-shingle; repeated rows are linked by their equal fingerprints; rows with a null
-id get a component but never name one; an empty table gives an empty table.
+shingle; very long texts are hashed a megabyte at a time; repeated rows are linked by
+their equal fingerprints; rows with a null id get a component but never name one; extra
+columns, of any name, are not read by `near_duplicates` and carried by `one_of_each`; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -110,19 +117,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _coordinates(mask: int, rng) -> Column:
+    """Distances of ``fp`` to the references within the bits of a mask, 5 bits each."""
+    packed = F.lit(0).cast("long")
+    for j in range(REFERENCES):
+        ref = int.from_bytes(rng.bytes(8), "little") & mask
+        inside = F.col("fp").bitwiseAND(F.lit(signed(mask)))
+        distance = F.bit_count(inside.bitwiseXOR(F.lit(signed(ref)))).cast("long")
+        packed = packed.bitwiseOR(F.shiftleft(distance, 5 * j))
+    return packed
+
+
 def pivot_table(fps: DataFrame, max_bits: int, seed: int = SEED) -> DataFrame:
-    """(fp, c0, c1, ...): the distances to a block's references, 5 bits each."""
+    """(fp, c0, c1, ...): the distances to each block's references."""
     rng = np.random.default_rng(seed)
-    cols = []
-    for i, mask in enumerate(blocks(max_bits + 1)):
-        packed = F.lit(0).cast("long")
-        for j in range(REFERENCES):
-            ref = int.from_bytes(rng.bytes(8), "little") & mask
-            inside = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-            distance = F.bit_count(inside.bitwiseXOR(F.lit(signed(ref)))).cast("long")
-            packed = packed.bitwiseOR(F.shiftleft(distance, 5 * j))
-        cols.append(packed.alias(f"c{i}"))
-    return fps.select("fp", *cols)
+    return fps.select("fp", *[_coordinates(mask, rng).alias(f"c{i}") for i, mask in enumerate(blocks(max_bits + 1))])
+
+
+def inner_blocks(mask: int, n: int) -> list[int]:
+    """Masks of n blocks of the bits outside ``mask``, in order."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(rest) * i // n for i in range(n + 1)]
+    return [sum(1 << b for b in rest[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def _near(a: Column, b: Column, max_bits: int) -> Column:
@@ -134,30 +150,69 @@ def _near(a: Column, b: Column, max_bits: int) -> Column:
     return ok
 
 
+def _in_cells(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Members of cells that hold more than one, with the cell's ``members``."""
+    sizes = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return cut_lineage(cells.join(sizes, key))
+
+
+def _pairs(members: DataFrame, key: list[str], max_bits: int) -> DataFrame:
+    """(a, b) of the linked pairs of each cell: those that the coordinates leave,
+    verified bit by bit."""
+    x, y = members.alias("x"), members.alias("y")
+    on = F.col("x.fp") < F.col("y.fp")
+    for k in key:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    for i in range(max_bits + 1):
+        on = on & _near(F.col(f"x.c{i}"), F.col(f"y.c{i}"), max_bits)
+    return (x.join(y, on).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+            .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+
+
+def _levels(fps: DataFrame, max_bits: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the cells of both levels, each with its ``members``."""
+    n = max_bits + 1
+    coords = [f"c{i}" for i in range(n)]
+    table = pivot_table(fps, max_bits)
+    cells = table.select("fp", *coords, F.explode(F.array(
+        *[F.struct(F.lit(i).alias("block"), F.col(f"c{i}").alias("key")) for i in range(n)]))
+        .alias("cell")).select("fp", *coords, "cell.*")
+    first = _in_cells(cells, ["block", "key"])
+    rng, inner = np.random.default_rng(SEED + 1), []
+    for i, mask in enumerate(blocks(n)):
+        inner += [F.struct(F.lit(i).alias("of"), F.lit(j).alias("inner"), _coordinates(m, rng).alias("inner_key"))
+                  for j, m in enumerate(inner_blocks(mask, n))]
+    mine = F.filter(F.array(*inner), lambda c: c["of"] == F.col("block"))
+    deep = (first.filter(F.col("members") > cell_rows).drop("members")
+            .select("fp", *coords, "block", "key", F.explode(mine).alias("c")).select("fp", *coords, "block", "key", "c.inner", "c.inner_key"))
+    return first, _in_cells(deep, ["block", "key", "inner", "inner_key"])
+
+
 def links(fps: DataFrame, max_bits: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b) with the same components as all pairs of distinct ``fp`` values
     that differ in ``max_bits`` bits or fewer."""
     n = max_bits + 1
     if not 0 <= max_bits <= 20 or 64 / n > 31 and n < 3:
         raise ValueError("max_bits must be 2 to 20")
-    table = pivot_table(fps, max_bits)
-    cells = table.select("fp", *[f"c{i}" for i in range(n)], F.explode(F.array(
-        *[F.struct(F.lit(i).alias("block"), F.col(f"c{i}").alias("key")) for i in range(n)]))
-        .alias("cell")).select("fp", *[f"c{i}" for i in range(n)], "cell.*")
-    sizes = (cells.groupBy("block", "key").agg(F.count(F.lit(1)).alias("members"))
-             .filter("members > 1"))
-    shared = cut_lineage(cells.join(sizes, ["block", "key"]))
-    small = shared.filter(F.col("members") <= cell_rows)
-    x, y = small.alias("x"), small.alias("y")
-    near = F.lit(True)
-    for i in range(n):
-        near = near & _near(F.col(f"x.c{i}"), F.col(f"y.c{i}"), max_bits)
-    pairs = (x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.key") == F.col("y.key"))
-                    & (F.col("x.fp") < F.col("y.fp")) & near)
-             .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-             .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-    crowded = shared.filter(F.col("members") > cell_rows).select("fp").distinct()
-    return pairs.unionByName(_flip_links(crowded, max_bits))
+    first, second = _levels(fps, max_bits, cell_rows)
+    small = F.col("members") <= cell_rows
+    crowded = second.filter(~small).select("fp").distinct()
+    return (_pairs(first.filter(small), ["block", "key"], max_bits)
+            .unionByName(_pairs(second.filter(small), ["block", "key", "inner", "inner_key"], max_bits))
+            .unionByName(_flip_links(crowded, max_bits)))
+
+
+def search_shares(fps: DataFrame, max_bits: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(way, fingerprints): how many distinct fingerprints stand in paired cells of
+    either level, and how many in cells that single bit flips had to take."""
+    first, second = _levels(fps, max_bits, cell_rows)
+    small = F.col("members") <= cell_rows
+    ways = (("first level", first.filter(small)), ("second level", second.filter(small)), ("bit flips", second.filter(~small)))
+    out = None
+    for way, members in ways:
+        one = members.agg(F.count_distinct("fp").alias("fingerprints")).select(F.lit(way).alias("way"), "fingerprints")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _flip_links(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -219,14 +274,14 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     """The rows of ``df`` without near-duplicates: of each group the row with the
     smallest id stays (null ids last, then by the text's hash); of equal rows, one."""
     groups = near_duplicates(df, doc_id, text, shingle, max_bits)
-    row = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "text_hash")
+    row = F.struct(F.col(f"`{doc_id}`").isNull().alias("no_id"), F.col(f"`{doc_id}`").alias("id"), "text_hash")
     stay = (groups.groupBy("group_fp").agg(F.min(row).alias("r"))
             .select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__stay")))
     # one exchange of the texts serves the join and the removal of equal rows
-    mine = F.col(f"`{doc_id}`")
-    rows = (df.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
-            .withColumn("__key", F.xxhash64(mine, F.col("__hash"))))
-    stay = stay.withColumn("__stay_key", F.xxhash64("__id", "__stay"))
-    same = F.coalesce(mine == F.col("__id"), mine.isNull() & F.col("__id").isNull())
-    kept = rows.join(stay, (F.col("__key") == F.col("__stay_key")) & same, "left_semi")
-    return kept.dropDuplicates(["__key", doc_id, "__hash"]).select(*df.columns)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"),
+                     F.xxhash64(F.col(f"`{text}`")).alias("hash")).withColumn("key", F.xxhash64("id", "hash"))
+    stay = stay.withColumn("stay_key", F.xxhash64("__id", "__stay"))
+    same = F.coalesce(F.col("id") == F.col("__id"), F.col("id").isNull() & F.col("__id").isNull())
+    kept = rows.join(stay, (F.col("key") == F.col("stay_key")) & same, "left_semi")
+    kept = kept.dropDuplicates(["key", "id", "hash"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -10,10 +10,11 @@ sorted by score and id, and the blocks' winners are merged.
 
 Edge cases: vectors that are null or hold a null or non-finite component take no
 part, nor do rows with a null id; an empty vector scores 0 with everything;
-vectors of unequal length share the terms that both have; equal rows count once;
-rows of one id with different vectors are separate, and none is a candidate for a
-query of its own id; ties go to the smaller id; fewer than k candidates give all;
-empty tables give an empty result.  A weight must fit 31 bits.
+vectors of unequal length share the terms that both have; repeated rows are separate
+queries and separate candidates, but no row is a candidate for a query of its own id;
+ties go to the smaller id; fewer than k candidates give all; very long vectors are
+more terms; extra columns, of any name, are not read; empty tables give an empty
+result.  A weight must fit 31 bits.
 """
 
 from __future__ import annotations
@@ -117,16 +118,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     v = F.col(f"`{vector}`")
     rows = (df.filter(F.col(f"`{vec_id}`").isNotNull() & whole(v))
             .select(F.col(f"`{vec_id}`").cast("long").alias("id"), v.alias("vector"))
-            .dropDuplicates(["id", "vector"])
-            .withColumn("key", F.xxhash64("id", "vector")))
-    rows = cut_lineage(rows)
+            .withColumn("key", F.monotonically_increasing_id()))
+    rows = cut_lineage(rows)  # keeps the keys as they are
     asked = rows.filter(is_query)
     n_blocks = max(1, -(-rows.count() // block))
     n_queries = max(1, -(-asked.count() // queries))
-    other = F.xxhash64("key", F.lit("query"))  # so that query blocks do not follow candidate blocks
+    mine, other = F.xxhash64("key"), F.xxhash64("key", F.lit("query"))  # query blocks do not follow candidate blocks
     left = (asked.withColumn("q", F.pmod(other, F.lit(n_queries)).cast("int"))
             .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    right = (rows.withColumn("c", F.pmod("key", F.lit(n_blocks)).cast("int"))
+    right = (rows.withColumn("c", F.pmod(mine, F.lit(n_blocks)).cast("int"))
              .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))))
 
     def pair(queries_in: pa.Table, candidates_in: pa.Table) -> pa.Table:
