@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``, which
 its predecessor kept; all but the last return the columns of ``documents``.
-Null and empty texts fail the quality rules; extra columns are carried by every
-stage but the last; an empty table passes through as an empty table.
+Null and empty texts fail the quality rules; extra columns, of any name, are carried
+by every stage but the last, packed into one column while a stage works; repeated rows
+and rows that share an id, or have none, are separate documents until the near-duplicates
+go; an empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -12,28 +14,27 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum.llm import bpe, langid, mixing, quality, simhash
 from vellum.llm.catalog import digests
 from vellum.llm.common import documents
 from vellum.session import checkpoint_dir
 
-#: A document is dropped if its best language is less likely than this.
-MIN_SCORE = 0.35
-
 #: The network, the links and the encoding have no SQL form.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the adaptive cutoffs."""
-    return quality.apply_rules(docs).filter("kept").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = quality.apply_rules(docs.select(row, "text", "lang", "source"), keep=["row"])
+    return judged.filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: not ``und``, score at least `MIN_SCORE`."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.filter((found.lang_pred != "und") & (found.score >= MIN_SCORE)).select(*docs.columns)
+    """Documents in a learned language; all of them if nothing is labelled."""
+    return langid.known_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
