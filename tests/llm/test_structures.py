@@ -76,6 +76,22 @@ def test_token_files_hold_every_document(spark, tmp_path):
     assert tokenfile.read_tokens(none).count() == 0
 
 
+def test_token_files_of_one_id_are_split(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i % 50} of {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = tokenfile.write_tokens(df, WORD_BPE, 2, folder=str(tmp_path), files=12)
+    docs = [r.docs for r in manifest.collect()]
+    assert len(docs) > 12 and max(docs) < 120 and sum(docs) == 600
+    got, tok, at = sorted(tokenfile.read_tokens(manifest).collect(), key=lambda r: r.start), Tokenizer.from_file(WORD_BPE), 0
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    want = collections.Counter((i, tuple(tok.encode(t, add_special_tokens=False).ids + [2])) for i, t in rows)
+    assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.25, 0.5]) for _ in range(4)], "x") for i in range(300)]
@@ -198,6 +214,28 @@ def test_chat_links_and_sql(spark):
     assert chat.link(df.limit(0)).count() == 0
 
 
+def test_quoted_turns_are_linked(spark):
+    rows = [(c, t, "user" if t % 2 else None, f"Talk {c} begins with turn {t}.\nIt has a second line of {t * 7 + c} words, or more.")
+            for c in range(6) for t in range(8)] + [(2, 9, "u", None), (None, 1, "u", "x"), (3, None, "u", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sent = chat.quote_previous(df)
+    assert sent.count() == len(rows) and sent.filter("text LIKE '%>> %'").count() > 5
+    got = {(r.conv_id, r.turn): r for r in chat.link(sent).collect()}
+    for c, t, _, text in rows:
+        r = got[c, t]
+        if c is None or t is None or text is None:
+            continue
+        assert r.text == text  # no quote is left
+        assert r.reply_to == (t - 1 if t and (c + t) % 4 else None)
+
+
+def test_very_long_messages(spark):
+    first = "\n".join(f"line number {i} of a long text" for i in range(20_000))
+    rows = [(1, 0, "u", first), (1, 1, "u", "> line number 777 of a long text\nyes"), (1, 2, "u", "> " + "z" * 200_000 + "\nno")]
+    got = {r.turn: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].reply_to == 0 and got[2].reply_to is None and got[0].text == first
+
+
 def test_fingerprints_and_components(spark):
     df = frame(spark, document_rows(7, 150))
     rows = simhash.near_duplicates(df).collect()

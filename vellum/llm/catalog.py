@@ -74,6 +74,12 @@ def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat.link(spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet"))
 
 
+@query
+def op7_quoted_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies found in messages that quote earlier turns: as they stand, nested, re-wrapped."""
+    return chat.link(chat.quote_previous(spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")))
+
+
 @query
 def op8_lm_score(spark: SparkSession, sf: str, order: int = lm.ORDER) -> DataFrame:
     """Learn from the documents outside fold 0 of 10, score all."""
@@ -301,6 +307,24 @@ FROM O LEFT JOIN R ON R.conv_id = O.conv_id AND R.turn = O.turn
 LEFT JOIN H ON H.conv_id = O.conv_id AND H.turn = O.turn"""
 
 
+_QUOTED = rf"""(
+  SELECT C.conv_id, C.turn, role, CASE WHEN last IS NULL OR len(w) < 1 THEN text
+      WHEN (C.conv_id + C.turn) % 4 = 1 THEN {{last}} || chr(10) || coalesce(text, '')
+      WHEN (C.conv_id + C.turn) % 4 = 2 THEN coalesce(role, 'someone') || ' wrote:' || chr(10)
+        || CASE WHEN first IS NOT NULL THEN {{first}} || chr(10) ELSE '' END || {{last}} || chr(10) || coalesce(text, '')
+      WHEN (C.conv_id + C.turn) % 4 = 3 THEN array_to_string(list_transform(range(0, len(w), {chat.WRAP}),
+        lambda i: '> ' || array_to_string(w[i + 1:i + {chat.WRAP}], ' ')), chr(10)) || chr(10) || coalesce(text, '')
+      ELSE text END AS text
+  FROM conversations C
+  LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS last, regexp_extract_all(min(text), '[^\x20\x09-\x0D]+') AS w
+             FROM conversations GROUP BY ALL) A ON A.conv_id = C.conv_id AND A.turn = C.turn
+  LEFT JOIN (SELECT conv_id, turn + 2 AS turn, min(text) AS first FROM conversations GROUP BY ALL) B
+    ON B.conv_id = C.conv_id AND B.turn = C.turn)"""
+_MARKED = "array_to_string(list_transform(string_split({}, chr(10)), lambda x: '{} ' || x), chr(10))"
+ORACLE["op7_quoted_replies"] = ORACLE["op7_chat_format"].replace(
+    "FROM conversations)", "FROM " + _QUOTED.format(last=_MARKED.format("last", ">"), first=_MARKED.format("first", ">>")) + ")", 1)
+
+
 def _license_sql() -> str:
     """Exact containment in every window, without the search for candidates."""
     rows, sizes = [], set()

@@ -17,8 +17,9 @@ the order is a range sort.
 Edge cases: a null text has no lines and stays null; a text without quotes stays as
 it is, one of quotes alone becomes empty; quotes that match no earlier message are
 removed all the same; rows with a null conversation or turn are never linked; rows
-of one conversation and turn are one message in links, and each stays; a null role
-is formatted as ``unknown``; an empty table gives an empty table.
+of one conversation and turn are one message in links, and each stays; a very long text
+is parsed in its row; a null role is formatted as ``unknown``; extra columns, of any
+name, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.common import words
 from vellum.llm.components import components
 from vellum.session import cut_lineage
 
@@ -127,3 +129,36 @@ def link(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "
                        F.col("own").alias(text), "reply_to", F.coalesce("root", "turn").alias("thread"),
                        F.concat(header, F.coalesce("own", F.lit(""))).alias("formatted"))
             .orderBy(conv, "thread", turn))
+
+
+WRAP = 7  # words of a re-wrapped line
+
+
+def quote_previous(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+                   text: str = "text") -> DataFrame:
+    """(conv, turn, role, text): messages as mail programs send them, by conversation and
+    turn modulo 4: as they are; after the previous turn, quoted line by line; after the
+    two turns before, nested; after the previous turn, re-wrapped."""
+    rows = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"),
+                     F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"))
+    one = rows.groupBy("conv", "turn").agg(F.min("text").alias("said"))
+    for name, back in (("last", 1), ("first", 2)):
+        before = one.select("conv", (F.col("turn") + back).alias("turn"), F.col("said").alias(name))
+        rows = rows.join(before, ["conv", "turn"], "left")
+
+    def quoted(value: Column, mark: str) -> Column:
+        return F.array_join(F.transform(F.split(value, "\n"), lambda x: F.concat(F.lit(mark), x)), "\n")
+
+    w = words("last")
+    wrapped = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / WRAP).cast("int")), lambda i: F.concat(
+        F.lit("> "), F.array_join(F.slice(w, i * WRAP + 1, WRAP), " "))), "\n")
+    kind = F.pmod(F.col("conv") + F.col("turn"), F.lit(4))
+    own = F.coalesce("text", F.lit(""))
+    nested = F.concat(F.coalesce("role", F.lit("someone")), F.lit(" wrote:\n"),
+                      F.when(F.col("first").isNotNull(), F.concat(quoted(F.col("first"), ">> "), F.lit("\n"))).otherwise(""),
+                      quoted(F.col("last"), "> "), F.lit("\n"), own)
+    message = (F.when(F.col("last").isNull() | (F.size(w) < 1), F.col("text"))
+               .when(kind == 1, F.concat(quoted(F.col("last"), "> "), F.lit("\n"), own))
+               .when(kind == 2, nested)
+               .when(kind == 3, F.concat(wrapped, F.lit("\n"), own)).otherwise(F.col("text")))
+    return rows.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), message.alias(text))

@@ -3,9 +3,12 @@
 A table becomes a set of files in ascending id order.  A file holds its
 documents' ids side by side (16 bits each if the vocabulary allows, else 32),
 the documents' ends and their ascending doc_ids as Elias-Fano sequences, and a
-footer; there is no table of 64-bit offsets.  File i holds the documents between
-two quantiles of doc_id; the quantiles come from the id column alone, and each
-text is encoded once, before its ids move.  A file is written as a stream by the
+footer; there is no table of 64-bit offsets.  There are as many files as the texts'
+bytes ask for (`FILE_BYTES`), and one for each shuffle partition at least.  File i
+holds the documents between two quantiles of doc_id; an id that fills more than two
+files by itself, the null id too, has files of its own, in order of its rows' hashes.
+The quantiles come from the id column alone, and each text is encoded once, before its
+ids move.  A file is written as a stream by the
 task that sorts its documents.  The manifest (a row per file) is a table in the
 shared folder and gives each file the ids of all files before it.
 
@@ -14,9 +17,10 @@ join characters across ASCII white space, so texts are cut there and each distin
 word is encoded once for a batch and kept for later ones; `exact_split` checks
 these conditions on the tokenizer and other tokenizers get whole texts.
 
-Edge cases: a null or empty text has the end id alone; rows with a null id come
-first; rows of equal id stand side by side, in order of their ids; an empty table
-writes no file and reads as an empty table.
+Edge cases: a null or empty text has the end id alone; very long texts are encoded
+whole; rows with a null id come first; rows of equal id stand side by side, in order of
+their ids within a file; repeated rows are separate documents; extra columns, of any
+name, are not read; an empty table writes no file and reads as an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import json
 import os
 import struct
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +44,9 @@ from vellum.llm.shared_files import Writer, local_map
 from vellum.session import checkpoint_dir, cut_lineage
 
 MAGIC = b"TOKFILE1"
+NULL_ID = -(1 << 63)   # the null id's place among the others
 FOOTER = "<QQQQQqQ8s"  # docs, null ids, ids, bytes an id, place of ends, least id, place of ids
+FILE_BYTES = 1 << 30   # bytes of text that a file holds, about
 CHUNK = 1 << 22       # bytes of text whose new words are encoded together
 TOGETHER = 500        # words in one call's text
 WORDS_KEPT = 400_000  # memoised words in a worker; more are encoded again each time
@@ -243,20 +250,19 @@ def write_tokens(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
     """Write the files and return the manifest: (no, uri, docs, tokens, start).
 
     ``path`` names a tokenizer file that the driver reads; workers get its text,
-    a fixed size whatever the input's.  ``files`` is the session's number of
-    shuffle partitions by default.
+    a fixed size whatever the input's.  ``files`` follows from the bytes by default.
     """
     spark = df.sparkSession
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     shared = spark.sparkContext.broadcast(spec)
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(f"`{doc_id}`").cast("long")
-    points = [i / files for i in range(1, files)]
-    cuts = df.agg(F.percentile_approx(key, points, 10 * files)).first()[0] if points else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
-    rows = df.select(key.alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    key, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    if files is None:
+        size = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    cuts, first, width_of = _places(df.select(key.alias("id")), files)
+    rows = df.select(key.alias("doc_id"), body.alias("text"))
     out = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("no", T.IntegerType())])
 
     def make():
@@ -264,14 +270,17 @@ def write_tokens(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
         end = np.array([end_id], enc.dtype).tobytes()
 
         def run(texts: pa.Array, ids: pa.Array) -> list:
-            no = np.searchsorted(cuts, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-            return [pa.array([x + end for x in enc.encode(texts)], pa.binary()),
-                    pa.array(no.astype(np.int32))]
+            slot = np.searchsorted(cuts, ids.fill_null(NULL_ID).to_numpy(), "right")
+            coded = [x + end for x in enc.encode(texts)]
+            no = first[slot]
+            for i in np.flatnonzero(width_of[slot] > 1).tolist():  # one of an id's own files, by hash
+                no[i] += zlib.crc32(coded[i]) * int(width_of[slot[i]]) >> 32
+            return [pa.array(coded, pa.binary()), pa.array(no.astype(np.int32))]
 
         return run
 
     coded = map_batches(rows, ["text", "doc_id"], out, ["doc_id"], make)
-    n = len(cuts) + 1
+    n = int(width_of.sum())
     placed = (coded.repartitionById(n, "no")
               .sortWithinPartitions("no", F.col("doc_id").asc_nulls_first(), "ids"))
     width = id_type(json_vocabulary(spec)).itemsize
@@ -306,6 +315,23 @@ def write_tokens(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
+def _places(ids: DataFrame, files: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids that begin a slot, each slot's first file, its number of files): slots lie
+    between quantiles of the ids; an id with more than two files' share of the rows is a
+    slot with files of its own."""
+    points = [i / files for i in range(1, files)]
+    total, cuts = ids.agg(F.count(F.lit(1)), F.percentile_approx("id", points, 10 * files) if points else F.lit(None)).first()
+    share = max(1.0, total / files)
+    heavy = {NULL_ID if r["id"] is None else r["id"]: r["count"] for r in
+             ids.groupBy("id").count().filter(F.col("count") > 2 * share).collect()}  # fewer than files / 2 rows
+    edges = {*(cuts or []), *heavy, *(h + 1 for h in heavy if h < np.iinfo(np.int64).max)}
+    cuts = np.array(sorted(edges), np.int64)
+    width = np.ones(len(cuts) + 1, np.int64)
+    for h, n in heavy.items():
+        width[np.searchsorted(cuts, h, "right")] = int(-(-n // share))
+    return cuts, np.cumsum(width) - width, width
+
+
 def json_vocabulary(spec: str) -> int:
     from tokenizers import Tokenizer
 
