@@ -203,3 +203,28 @@ def test_classify_job_runs(spark):
     rep = {r["class"] for r in out["report_main"].collect()}
     assert {"accuracy", "macro avg", "weighted avg"} <= rep
     assert out["journal_accuracy"].count() > 0
+
+
+def test_language_scores_in_rows_equal_the_join(spark, sf):
+    from vellum.operators.lang import detect, train_profile
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(300)
+    d = d.unionByName(spark.createDataFrame([(-1, None, None, None, 0), (-2, "", None, None, 0), (-3, "ab", None, None, 0),
+                                             (-4, "12 34", None, None, 0)], d.schema))
+    profile = train_profile(d, "doc_id", "text", "lang")
+    rows, joined = ({r.doc_id: r.p for r in detect(d, profile, "doc_id", "text", "p", n).collect()} for n in (10 ** 9, -1))
+    assert rows == joined and len(rows) == 304 and rows[-1] is None and rows[-4] is None and rows[-3] is not None
+
+
+def test_large_samples_rank_one_range(spark, monkeypatch):
+    from vellum.operators import sample
+    df = spark.range(5000).withColumn("v", F.col("id") * 2)
+    want = {r.id for r in sample.stable_sample(df, 777, "id").collect()}
+    monkeypatch.setattr(sample, "TOP_ROWS", 10)
+    assert {r.id for r in sample.stable_sample(df, 777, "id").collect()} == want
+    assert sample.stable_sample(df, 9000, "id").count() == 5000
+
+
+def test_term_counts_are_made_once(spark, sf):
+    from vellum.plans.catalog import tfidf_terms
+    plan = tfidf_terms(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # the texts are behind a written table

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from vellum.functions.stopwords import ENGLISH
 from vellum.functions.text import WORD, col, is_blank, keyword_label
 from vellum.operators.filters import is_outlier
+from vellum.session import cut_lineage
 
 TOKEN_RE = WORD + "+"
 SCORE_DIGITS = 9  # scores are compared after rounding, so float-sum order cannot flip ties
@@ -45,9 +46,10 @@ def tfidf_term_scores(df: DataFrame, group: str, doc: str, text: str,
     docs = df.filter(~is_blank(text)).select(group, doc, text)
     # explode first, then drop stop words with a hashed set test (InSet), not
     # a per-token scan of the stop list inside a lambda
-    tf = (docs.select(group, doc, F.explode(tokens(text)).alias("term"))
-              .filter(~F.col("term").isin(list(sw)))
-              .groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # a table: four branches read the counts, the texts are cut into terms once
+    tf = cut_lineage(docs.select(group, doc, F.explode(tokens(text)).alias("term"))
+                     .filter(~F.col("term").isin(list(sw)))
+                     .groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf")))
     vocab = tf.groupBy(group, "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     if max_features:
         vocab = most_frequent(vocab, group, max_features)
@@ -111,7 +113,7 @@ def class_tfidf(df: DataFrame, cls: str, text: str, n_words: int = 3) -> DataFra
     ``<class>_<w1>_<w2>_<w3>``; outlier class −1 is labelled too, by id."""
     toks = df.select(cls, F.explode(F.regexp_extract_all(F.lower(col(text)), F.lit(WORD + "{2,}"), 0))
                      .alias("term"))
-    tf = toks.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(toks.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("tf")))  # read by three branches
     tot = tf.groupBy(cls).agg(F.sum("tf").alias("tot"))
     avg_words = tot.select(F.avg("tot")).scalar()
     ft = tf.groupBy("term").agg(F.sum("tf").alias("ft"))

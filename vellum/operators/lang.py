@@ -6,9 +6,11 @@ naive-Bayes score per (document, language) with add-one smoothing:
 
     score(d, L) = Σ_g c(d,g) · ln(c(L,g) + 1)  −  N(d) · ln(T(L) + V)
 
-The first sum only needs grams the document shares with the profile (an
-equi-join on the gram), the second is a per-language constant.  Whole texts
-are used; texts without any letter get NULL.  Ties go to the smaller code.
+The profile, as long as it is small (its rows are counted first), goes to every task
+as a sorted array of grams and a matrix of log counts, and whole texts are scored in
+their rows, Arrow batch by batch: nothing is shuffled.  A larger profile is joined to
+the (document, gram) counts.  Several folds are held out from one table of counts by
+fold.  Texts without any letter get NULL.  Ties go to the smaller code.
 
 G3: rows whose normalised language is supported and not English are passed
 through a user batch function per language; everything else passes through
@@ -21,14 +23,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.text import lang_code_norm
+from vellum.session import cut_lineage
 
 GRAM = 3
+PROFILE_ROWS = 2_000_000  # (language, gram) rows of a profile that every task gets: some 32 MB
 
 
 def trigrams(text: str) -> F.Column:
@@ -51,20 +57,15 @@ def train_profile(labelled: DataFrame, doc: str, text: str, lang: str) -> DataFr
     return g.groupBy(F.col(lang).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def profile_from_grams(grams: DataFrame, labels: DataFrame, doc: str, lang: str) -> DataFrame:
-    """(lang, gram, c) from per-document gram counts — reuses one explode
-    when the same table is both the training set and the one scored."""
-    return (grams.join(labels.filter(F.col(lang).isNotNull()).select(doc, F.col(lang).alias("lang")), doc)
-                 .groupBy("lang", "gram").agg(F.sum("c").alias("c")))
-
-
 def detect(df: DataFrame, profile: DataFrame, doc: str, text: str, out: str = "pred_lang",
-           grams: DataFrame | None = None) -> DataFrame:
+           profile_rows: int = PROFILE_ROWS) -> DataFrame:
     """(doc, out) for every row of ``df``."""
+    if profile.count() <= profile_rows:
+        return _detect_in_rows(df, profile, doc, text, out)
     v = profile.select(F.count_distinct("gram")).scalar()
     totals = profile.groupBy("lang").agg(F.sum("c").alias("t"))
     langs = totals.select(F.array_sort(F.collect_list(F.struct("lang", "t")))).scalar()
-    dg = grams if grams is not None else doc_grams(df, doc, text)
+    dg = doc_grams(df, doc, text)
     hit = (dg.join(profile.select("lang", "gram", F.log(F.col("c") + 1).alias("lp")), "gram")
              .groupBy(doc, "lang").agg(F.sum(F.col("c") * F.col("lp")).alias("s")))
     n = dg.groupBy(doc).agg(F.sum("c").alias("n"))
@@ -81,14 +82,52 @@ def detect(df: DataFrame, profile: DataFrame, doc: str, text: str, out: str = "p
     return best.select(doc, F.when(F.col("_letters"), F.col("_p")).alias(out))
 
 
-def detect_held_out(df: DataFrame, grams: DataFrame, doc: str, text: str, lang: str, fold: str,
-                    n_folds: int) -> DataFrame:
-    """(doc, pred_lang): each fold scored by the profile of the other folds."""
+def gram_codes(text: str) -> np.ndarray:
+    """Each trigram of a text as one whole number: three code points of 21 bits."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:] if len(c) >= GRAM else c[:0]
+
+
+def _detect_in_rows(df: DataFrame, profile: DataFrame, doc: str, text: str, out: str) -> DataFrame:
+    """`detect` with the profile at hand in every task."""
+    p = profile.select("lang", "gram", "c").toPandas()  # counted by the caller
+    langs = sorted(p["lang"].unique())
+    codes = np.array([gram_codes(g)[0] for g in p["gram"]], np.int64)
+    grams, row = np.unique(codes, return_inverse=True)
+    column = p["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    count = np.zeros((len(grams), len(langs)))
+    np.add.at(count, (row, column), p["c"].to_numpy(np.float64))
+    shared = df.sparkSession.sparkContext.broadcast((langs, grams, np.log(count + 1), np.log(count.sum(axis=0) + len(grams))))
+    schema = T.StructType([df.schema[doc], T.StructField(out, T.StringType())])
+
+    def run(batches):
+        names, keys, weight, total = shared.value
+        for b in batches:
+            found = []
+            for t in b.column(1).to_pylist():
+                if t is None or not names:
+                    found.append(None)
+                    continue
+                g = gram_codes(t)
+                at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+                score = weight[at[keys[at] == g]].sum(axis=0) - len(g) * total
+                found.append(names[int(score.argmax())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=schema.names)
+
+    letters = F.col(f"`{text}`").rlike(r"\p{L}")
+    return df.select(doc, F.when(letters, F.lower(F.col(f"`{text}`"))).alias("_t")).mapInArrow(run, schema)
+
+
+def detect_held_out(df: DataFrame, doc: str, text: str, lang: str, fold: str, n_folds: int) -> DataFrame:
+    """(doc, pred_lang): each fold scored by the profile of the other folds, whose gram
+    counts are made once, by fold."""
+    labelled = df.filter(F.col(lang).isNotNull() & (F.length(text) >= GRAM))
+    counts = cut_lineage(labelled.select(F.col(fold).alias("fold"), F.col(lang).alias("lang"), F.explode(trigrams(text)).alias("gram"))
+                         .groupBy("fold", "lang", "gram").agg(F.count(F.lit(1)).alias("c")))
     out = None
     for f in range(n_folds):
-        mine = df.filter(F.col(fold) == f)
-        profile = profile_from_grams(grams, df.filter(F.col(fold) != f), doc, lang)
-        part = detect(mine, profile, doc, text, grams=grams.join(mine.select(doc), doc, "left_semi"))
+        profile = counts.filter(F.col("fold") != f).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+        part = detect(df.filter(F.col(fold) == f), profile, doc, text)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -80,10 +80,12 @@ def null_profile(df: DataFrame, exact_distinct: bool = True, only_with_nulls: bo
 
 # A4 ------------------------------------------------------------------------------
 def value_counts(df: DataFrame, col: str, n: int | None = 20, ascending: bool = False,
-                 dropna: bool = True) -> DataFrame:
-    """Counts per value; top-n (or bottom-n) with ties broken by value."""
+                 dropna: bool = True, weight: str | None = None) -> DataFrame:
+    """Counts per value (sums of ``weight`` if given); top-n (or bottom-n) with ties
+    broken by value."""
     src = df.filter(F.col(col).isNotNull()) if dropna else df
-    vc = src.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    each = F.sum(weight) if weight else F.count(F.lit(1))
+    vc = src.groupBy(F.col(col).alias("value")).agg(each.alias("count"))
     order = [F.col("count").asc() if ascending else F.col("count").desc(), F.col("value").asc_nulls_first()]
     vc = vc.orderBy(*order)
     return vc.limit(n) if n else vc
@@ -249,9 +251,11 @@ def coverage(df: DataFrame, col: str) -> DataFrame:
 
 # A13 -----------------------------------------------------------------------------
 def list_item_counts(df: DataFrame, col: str, n: int = 20) -> DataFrame:
-    """Explode a list column and count its items (top-n), stripped, blanks dropped."""
-    items = df.select(F.explode(F.col(col)).alias("item")).select(ustrip(F.col("item").cast("string")).alias("item"))
-    return value_counts(items.filter(F.col("item") != ""), "item", n)
+    """Explode a list column and count its items (top-n), stripped, blanks dropped.
+    Items are counted as they stand; only different ones are stripped and added up."""
+    raw = (df.select(F.explode(F.col(col)).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+           .select(ustrip(F.col("item").cast("string")).alias("item"), "c").filter(F.col("item") != ""))
+    return value_counts(raw, "item", n, weight="c")
 
 
 def list_profile(df: DataFrame, cols: Sequence[str], n: int = 20) -> DataFrame:

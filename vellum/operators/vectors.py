@@ -94,7 +94,8 @@ def _with_blocks(df: DataFrame, cent: DataFrame, key: str, vec: str) -> DataFram
     if n * (dim or 0) * 8 <= BROADCAST_BYTES:
         return rows.join(F.broadcast(packed), "_b").drop("_b")
     salted = packed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_s", F.floor(F.rand(7) * SALTS).cast("int"))
+    # a hash of the row, not a random number: a repeated task deals its rows alike
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
     return rows.join(salted, ["_b", "_s"]).drop("_b", "_s")
 
 

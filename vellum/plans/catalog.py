@@ -646,12 +646,10 @@ def ingest_rdf(spark, sf):
 
 # 7. language ---------------------------------------------------------------------------
 def language_predictions(spark, sf):
-    from vellum.operators.lang import doc_grams, detect_held_out
-    from vellum.session import cut_lineage
+    from vellum.operators.lang import detect_held_out
     d = table(spark, sf, "documents", "doc_id", "text", "lang")
     fold = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 2
-    grams = cut_lineage(doc_grams(d, "doc_id", "text"))  # used by training and scoring
-    pred = detect_held_out(d.withColumn("fold", fold), grams, "doc_id", "text", "lang", "fold", 2)
+    pred = detect_held_out(d.withColumn("fold", fold), "doc_id", "text", "lang", "fold", 2)
     return pred.join(d.select("doc_id", "lang"), "doc_id")
 
 
