@@ -7,7 +7,10 @@ are added up on the driver.  A shard adds up its n-grams and writes one file:
 sorted 64-bit hashes of the n-grams with their counts, and sorted hashes of the
 contexts with their totals and numbers of words seen once, twice and more often.
 A shard's distinct n-grams give the next lower order its continuation counts, so
-each order is one exchange of what the order above has left.
+each order is one exchange of what the order above has left.  The number of shards
+follows from the training texts' bytes, then tokens, and each exchange has a task for
+each shard.  A shard's file is named after its number and describes itself, so that a
+model of any size is a folder and a few numbers.
 
 Scoring.  Workers map the files and look up hashes in sorted batches.  With
 modified Kneser-Ney discounts D1, D2, D3+ from the counts of counts,
@@ -18,10 +21,11 @@ and p_0 = 1 / (types + 1), the share of each type and of all unknown words.  A
 context that was never seen passes p_(k-1) on.  A text starts with order - 1
 begin marks and ends with the end token.
 
-Edge cases: a null or empty text is the end token alone; without training rows
-every token has probability 1; a discount that its counts of counts do not give
-is 0.5; rows with equal ids are scored one by one; an empty table gives an empty
-table; 64-bit hashes stand for words and n-grams.
+Edge cases: a null or empty text is the end token alone; a very long text is one
+chunk, scored whole; without training rows every token has probability 1; a discount
+that its counts of counts do not give is 0.5; repeated rows and rows with equal ids are
+learned and scored one by one; a kept column with a result's name is replaced; an empty
+table gives an empty table; 64-bit hashes stand for words and n-grams.
 """
 
 from __future__ import annotations
@@ -36,18 +40,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.common import bounded_batches, map_batches, slices, utf8, worker_cache
-from vellum.llm.shared_files import local_map, view, write_arrays
+from vellum.llm.shared_files import mapped_arrays, write_arrays
 from vellum.session import checkpoint_dir, cut_lineage, drop_lineage_table
 
 ORDER = 2
 FLUSH = 3_000_000        # tokens whose n-grams a task adds up before it sends them
 SHARD_TOKENS = 4_000_000  # training tokens for each shard, about
+WORD_BYTES = 6           # bytes of a token with its space, about, before tokens are counted
+TOP_WORDS = 64           # of a shard's words, those that may be hot
 CHUNK = 1 << 21          # bytes of text that are hashed or scored together
 U8 = np.uint64
 ROOT = U8(0)             # the empty context
 RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                        T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-SHARD_ROWS = "kind string, shard int, uri string, meta string, blob binary"
+SHARD_ROWS = "kind string, shard int, counts array<long>, blob binary"
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,10 +179,15 @@ def add_up(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batch_rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary())
+    """A table of (kind, shard, counts, blob)."""
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary())
     return pa.table({n: pa.array(c, t) for n, c, t in
-                     zip(("kind", "shard", "uri", "meta", "blob"), cols, kinds, strict=True)})
+                     zip(("kind", "shard", "counts", "blob"), cols, kinds, strict=True)})
+
+
+def signed(x) -> int:
+    return int(np.asarray(x, U8).view(np.int64))
 
 
 def merge_words(table: pa.Table, folder: str) -> pa.Table:
@@ -184,13 +195,11 @@ def merge_words(table: pa.Table, folder: str) -> pa.Table:
     parts = [unpack(b) for b in table["blob"].to_pylist()]
     word, count = (np.concatenate([p[i] for p in parts]).astype(U8) for i in (0, 1))
     at, total = add_up(word, count)
-    keys = word[at]
-    columns = (keys, narrow(total))
-    uri, places = write_arrays(folder, "words", columns)
-    top = np.argsort(total)[-64:]
-    meta = {"keys": len(keys), "places": places, "kinds": [c.dtype.str for c in columns], "tokens": int(total.sum()),
-            "top": [[int(keys[i]), int(total[i])] for i in top]}
-    return batch_rows([("shard", table["shard"][0].as_py(), uri, json.dumps(meta), None)])
+    keys, shard = word[at], table["shard"][0].as_py()
+    write_arrays(folder, f"words-{shard}", (keys, narrow(total)))
+    top = np.argsort(total)[-TOP_WORDS:]
+    return batch_rows([("shard", shard, [len(keys), int(total.sum())], None),
+                       *(("top", shard, [signed(keys[i]), int(total[i])], None) for i in top)])
 
 
 def merge_grams(table: pa.Table, k: int, folder: str, shards: int) -> pa.Table:
@@ -199,6 +208,7 @@ def merge_grams(table: pa.Table, k: int, folder: str, shards: int) -> pa.Table:
     word, count = (np.concatenate([p[i] for p in parts]).astype(U8) for i in (3, 4))
     context, run, *lowers = (np.concatenate([np.repeat(p[i], p[2]) for p in parts])
                              for i in (0, 1, *range(5, len(parts[0]))))
+    del parts
     key = mix(context, word)
     at, total = add_up(key, count)
     key, context, run, word, *lowers = (x[at] for x in (key, context, run, word, *lowers))
@@ -207,18 +217,15 @@ def merge_grams(table: pa.Table, k: int, folder: str, shards: int) -> pa.Table:
             for i, m in enumerate((total > 0, total == 1, total == 2, total > 2))]
     hot = np.zeros(len(names), bool)
     hot[of] = run >= k - 1
-    columns = (key, narrow(total), names[~hot], *(narrow(s[~hot]) for s in sums))
-    uri, places = write_arrays(folder, f"grams{k}", columns)
-    meta = {"keys": len(key), "contexts": int((~hot).sum()), "places": places, "kinds": [c.dtype.str for c in columns],
-            "counts": [int((total == i).sum()) for i in (1, 2, 3, 4)]}
     shard = table["shard"][0].as_py()
-    rows = [("shard", shard, uri, json.dumps(meta), None)]
+    write_arrays(folder, f"grams{k}-{shard}", (key, narrow(total), names[~hot], *(narrow(s[~hot]) for s in sums)))
+    rows = [("shard", shard, [int((total == i).sum()) for i in (1, 2, 3, 4)], None)]
     if hot.any():
-        rows.append(("hot", shard, None, None, pack(names[hot], *(s[hot] for s in sums))))
+        rows.append(("hot", shard, None, pack(names[hot], *(s[hot] for s in sums))))
     if k > 1:
         context = lowers[0] if lowers else np.zeros(len(word), U8)
         at, n = add_up(mix(context, word), np.ones(len(word), U8))
-        rows += [("next", to, None, None, b) for to, b in
+        rows += [("next", to, None, b) for to, b in
                  deal(k - 1, context[at], [x[at] for x in lowers[1:]], run[at], word[at], n, shards)]
     return batch_rows(rows)
 
@@ -234,7 +241,7 @@ def _count_words(df: DataFrame, shards: int) -> DataFrame:
             shard = (mix(word, U8(2)) % U8(shards)).astype(np.int32)
             for s in np.unique(shard).tolist():
                 mine = shard == s
-                yield "words", s, None, None, pack(word[mine], narrow(total[mine]))
+                yield "words", s, None, pack(word[mine], narrow(total[mine]))
 
         for raws in raw_chunks(batches):
             k, c = np.unique(Tokens(raws, 1).words, return_counts=True)
@@ -260,7 +267,7 @@ def _count_grams(df: DataFrame, order: int, hot: np.ndarray, shards: int) -> Dat
             key = mix(contexts[0], word)
             at, count = add_up(key, np.ones(len(key), U8))
             context, *lowers = (c[at] for c in contexts)
-            return [("next", s, None, None, b) for s, b in
+            return [("next", s, None, b) for s, b in
                     deal(order, context, lowers, run_[at], word[at], count, shards)]
 
         for raws in raw_chunks(batches):
@@ -280,46 +287,46 @@ def _count_grams(df: DataFrame, order: int, hot: np.ndarray, shards: int) -> Dat
 def fit(df: DataFrame, text: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS,
         folder: str | None = None) -> dict:
     """Count the texts of ``df``, write the model's files in the shared folder and
-    return their description: a few numbers and names for each shard."""
+    return their description: a few numbers, and the totals of hot words' contexts."""
     spark = df.sparkSession
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
     rows = df.select(utf8(F.col(f"`{text}`")).alias("raw"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    word_shards = max(width, -(-size // (WORD_BYTES * shard_tokens)))
 
-    def merged(parts: DataFrame, merge) -> DataFrame:
-        return cut_lineage(parts.groupBy("shard").applyInArrow(merge, SHARD_ROWS))
+    def merged(parts: DataFrame, merge, n: int) -> DataFrame:
+        """One task for each shard, however many there are."""
+        return cut_lineage(parts.repartition(n, "shard").groupBy("shard").applyInArrow(merge, SHARD_ROWS))
 
     def merge(k: int):
         return lambda table: merge_grams(table, k, folder, shards)
 
-    done = merged(_count_words(rows, width), lambda table: merge_words(table, folder))
-    words = _shards(done)
-    drop_lineage_table(done)
-    n_tokens = sum(m["tokens"] for m in words.values())
+    done = merged(_count_words(rows, word_shards), lambda table: merge_words(table, folder), word_shards)
+    types, n_tokens = _sums(done, 2)
     shards = max(width, -(-n_tokens // shard_tokens))
-    hot = np.sort(np.array([w for m in words.values() for w, c in m["top"] if c * 4 * shards > n_tokens], U8))
-    for m in words.values():
-        del m["top"]
-    model = {"order": order, "tokens": n_tokens, "types": sum(m["keys"] for m in words.values()),
-             "words": words, "word_shards": width, "shards": shards, "hot": hot, "levels": {}}
+    # words with a quarter of a shard's share: fewer than 4 * shards
+    often = done.filter("kind = 'top'").filter(F.col("counts")[1] * 4 * shards > n_tokens).select(F.col("counts")[0].alias("word"))
+    hot = np.sort(np.array([r.word for r in often.collect()], np.int64).view(U8))
+    drop_lineage_table(done)
+    model = {"order": order, "tokens": n_tokens, "types": types, "folder": folder,
+             "word_shards": word_shards, "shards": shards, "hot": hot, "levels": {}}
     parts = _count_grams(rows, order, hot, shards)
     before = None
     for k in range(order, 0, -1):
-        done = merged(parts, merge(k))
+        done = merged(parts, merge(k), shards)
         if before is not None:
             drop_lineage_table(before)
-        level = {"shards": _shards(done), "hot": _hot(done)}
-        level["discounts"] = discounts([sum(m["counts"][i] for m in level["shards"].values()) for i in range(4)])
-        model["levels"][k] = level
+        model["levels"][k] = {"hot": _hot(done), "discounts": discounts(_sums(done, 4))}
         parts, before = done.filter("kind = 'next'"), done
     drop_lineage_table(before)
     return model
 
 
-def _shards(done: DataFrame) -> dict[int, dict]:
-    """A row per shard: a file's name and some numbers."""
-    got = done.filter("kind = 'shard'").select("shard", "uri", "meta").collect()
-    return {r.shard: {"uri": r.uri, **json.loads(r.meta)} for r in got}
+def _sums(done: DataFrame, n: int) -> list[int]:
+    """Sums of the shards' counts."""
+    got = done.filter("kind = 'shard'").agg(*[F.sum(F.col("counts")[i]) for i in range(n)]).first()
+    return [x or 0 for x in got]
 
 
 def _hot(done: DataFrame) -> list[np.ndarray]:
@@ -349,15 +356,13 @@ class Model:
     def __init__(self, model: dict):
         self.m, self.maps = model, {}
 
-    def arrays(self, shard: dict, n: int, of: str, first: int) -> list[np.ndarray]:
-        uri = shard["uri"]
-        if uri not in self.maps:
-            self.maps[uri] = local_map(uri)
-        return [view(self.maps[uri], p, shard[of], t) for p, t in
-                list(zip(shard["places"], shard["kinds"], strict=True))[first:first + n]]
+    def arrays(self, name: str) -> list[np.ndarray]:
+        """The columns of a shard's file; none if the shard has no file."""
+        if name not in self.maps:
+            self.maps[name] = mapped_arrays(f"{self.m['folder']}/{name}")
+        return self.maps[name]
 
-    def look_up(self, files: dict, shard: np.ndarray, wanted: np.ndarray, of: str, first: int,
-                n: int) -> np.ndarray:
+    def look_up(self, kind: str, shard: np.ndarray, wanted: np.ndarray, first: int, n: int) -> np.ndarray:
         """The n numbers of each wanted hash (0 where there is none)."""
         distinct, place, back = np.unique(wanted, return_index=True, return_inverse=True)
         home = shard[place]
@@ -365,8 +370,9 @@ class Model:
         order = np.argsort(home, kind="stable")
         edges = np.flatnonzero(np.diff(home[order])) + 1
         for part in np.split(order, edges):
-            if len(part) and int(home[part[0]]) in files:
-                keys, *values = self.arrays(files[int(home[part[0]])], n + 1, of, first)
+            columns = self.arrays(f"{kind}-{int(home[part[0]])}") if len(part) else []
+            if columns:
+                keys, *values = columns[first:first + n + 1]
                 there, at = found(keys, distinct[part])
                 for i, v in enumerate(values):
                     out[i, part[there]] = v[at[there]]
@@ -374,7 +380,7 @@ class Model:
 
     def base_counts(self, words: np.ndarray) -> np.ndarray:
         home = (mix(words, U8(2)) % U8(self.m["word_shards"])).astype(np.int32)
-        return self.look_up(self.m["words"], home, words, "keys", 0, 1)[0]
+        return self.look_up("words", home, words, 0, 1)[0]
 
     def probabilities(self, t: Tokens) -> np.ndarray:
         order, shards = self.m["order"], self.m["shards"]
@@ -383,10 +389,8 @@ class Model:
         for k in range(1, order + 1):
             level = self.m["levels"][k]
             context, hot = t.context(k), run >= k - 1
-            count = self.look_up(level["shards"], shard_of(context, t.words, hot, shards),
-                                 mix(context, t.words), "keys", 0, 1)[0]
-            sums = self.look_up(level["shards"], shard_of(context, t.words, np.zeros(len(hot), bool), shards),
-                                context, "contexts", 2, 4)
+            count = self.look_up(f"grams{k}", shard_of(context, t.words, hot, shards), mix(context, t.words), 0, 1)[0]
+            sums = self.look_up(f"grams{k}", shard_of(context, t.words, np.zeros(len(hot), bool), shards), context, 2, 4)
             there, at = found(level["hot"][0], context)
             for i in range(4):
                 sums[i][there] = level["hot"][i + 1][at[there]] if there.any() else 0
@@ -412,7 +416,7 @@ class Model:
 
 def score(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add n_tokens, n_known, base_score and score (log10) to the ``keep`` columns."""
-    # the description has some numbers and a name per shard, not the counts
+    # a few numbers and the hot contexts, at most four a shard: not the counts
     shared = df.sparkSession.sparkContext.broadcast(model)
     d = df.withColumn("__raw", utf8(F.col(f"`{text}`")))
     name = uuid.uuid4().hex
