@@ -464,16 +464,14 @@ def soft_subtopics(spark, sf):
 def id_vector_lookup(spark, sf):
     """Text id → vector; of an id's vectors the last one counts; documents
     without a vector are listed with a null."""
-    from vellum.operators.vectors import lookup_vectors
+    from vellum.operators.vector_store import look_up, write_store
     d = table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", tx.text_id("text").alias("emb_id"))
     v = (table(spark, sf, "embeddings", "vec_id", "embedding")
          .join(d.select(F.col("doc_id").alias("vec_id"), "emb_id"), "vec_id"))
-    found, missed = lookup_vectors(d, v, "emb_id", "embedding", "vec_id")
-    cols = ["doc_id", "emb_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"),
-            F.size("embedding").alias("dim")]
-    return found.select(*cols).unionByName(missed.select(
-        "doc_id", "emb_id", F.lit(None).cast("double").alias("x0"), F.lit(None).cast("int").alias("dim")))
+    found = look_up(d, write_store(v, "emb_id", "embedding", "vec_id"), "emb_id", "embedding")
+    return found.select("doc_id", "emb_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"),
+                        F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"))
 
 
 @register
@@ -789,6 +787,20 @@ def knn_cells(spark, sf):
         "vec_id", (F.col("pos") + 1).alias("rank"), F.col("n.tid").alias("neighbor"), F.round("n.dist", 6).alias("dist"))
 
 
+@register
+def profile_by_month(spark, sf):
+    """States of the orders by month, written, merged by year and read again."""
+    from vellum.operators.profile_state import merge_states, profile_state, read_profile
+    from vellum.session import cut_lineage
+    o = table(spark, sf, "orders", "o_orderdate", "o_totalprice", "o_custkey", "o_orderstatus")
+    o = o.withColumn("month", F.date_format("o_orderdate", "yyyy-MM")).withColumn(
+        "o_custkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")))
+    state = cut_lineage(profile_state(o, ["o_totalprice", "o_custkey", "o_orderstatus"], ["month"]))
+    yearly = read_profile(merge_states(state.withColumn("year", F.substring("month", 1, 4)), ["year"]))
+    return yearly.select("year", "column", "n_rows", "n_null", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"),
+                         F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"))
+
+
 # 10. remaining profile and report queries ----------------------------------------------
 @register
 def column_profile(spark, sf):

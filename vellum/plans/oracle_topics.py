@@ -191,6 +191,12 @@ G AS (SELECT cfg, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_
         count(*) FILTER (WHERE cluster = -1) AS n_outliers, count(*) AS n FROM DC GROUP BY cfg)
 SELECT *, round(n_clusters / (1 + n_outliers / n), 6) AS score FROM G"""
     out |= density_trees()
+    columns = [("o_totalprice", "o_totalprice::DOUBLE"), ("o_custkey", "CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END::DOUBLE"),
+               ("o_orderstatus", "NULL::DOUBLE")]
+    out["profile_by_month"] = " UNION ALL ".join(f"""
+SELECT strftime(o_orderdate, '%Y') AS year, '{c}' AS "column", count(*) AS n_rows,
+       {"0::BIGINT" if c == "o_orderstatus" else "count(*) - count(x)"} AS n_null, round(min(x), 4) AS min, round(max(x), 4) AS max,
+       round(avg(x), 4) AS mean, round(stddev_pop(x), 3) AS std FROM (SELECT o_orderdate, {x} AS x FROM orders) GROUP BY 1""" for c, x in columns)
     out["knn_cells"] = """
 SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)
          ::INTEGER AS rank, b.vec_id AS neighbor,
