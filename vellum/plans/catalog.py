@@ -615,17 +615,17 @@ def reassign_topics(spark, sf):
     return rt(e, rep).select("vec_id", "topic", "main_topic")
 
 
+#: Documents of a cluster whose card is kept in the report below.
+CARD_SIZE = 3
+
+
 @register
 def keyword_join_report(spark, sf):
-    """Member names of merged topics without a card (here: planted
-    unknown names alongside real ones)."""
+    """Member names of the merged topics without a card, where small clusters'
+    cards are not kept."""
     from vellum.operators.hierarchy import missing_subclusters
-    from vellum.operators.labels import cluster_cards as cc
-    d = table(spark, sf, "documents", "doc_id", "text", "source")
-    cards = cc(d, "source", "doc_id", "text")
-    merged = cards.select(F.lit(0).alias("merged_cluster_id"),
-                          F.array(F.col("name"), F.concat(F.lit("unknown: "), F.col("source"))).alias("subclusters"))
-    return missing_subclusters(merged, cards).select("merged_cluster_id", "name")
+    r = topic_result(spark, sf)
+    return missing_subclusters(r.merged, r.cards.filter(F.col("size") >= CARD_SIZE)).select("merged_cluster_id", "name")
 
 
 # 6. ingest -------------------------------------------------------------------------------

@@ -432,10 +432,6 @@ TOP AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY rou
         FROM W QUALIFY r <= 3)
 SELECT source, source || '_' || string_agg(term, '_' ORDER BY r) AS label FROM TOP GROUP BY source"""
 
-ORACLE["keyword_join_report"] = """
-SELECT 0 AS merged_cluster_id, 'unknown: ' || source AS name FROM documents
-WHERE text IS NOT NULL AND source <> '-1' GROUP BY source"""
-
 _RDF = {
     "title": f"nullif({s.first_line('text')}, '')",
     "abstract_chars": f"length(nullif({s.strip('text')}, ''))::INTEGER",

@@ -56,7 +56,7 @@ SCO AS (SELECT th, round(CASE WHEN n_clusters < 2 OR inter IS NULL OR intra IS N
 
 def build(classes_ctes, knn_ctes, tfidf_ctes, docs: str, s) -> dict[str, str]:
     from vellum.operators import hierarchy as H
-    from vellum.plans.catalog import DENSITY_GRID, LINK_THRESHOLDS
+    from vellum.plans.catalog import CARD_SIZE, DENSITY_GRID, LINK_THRESHOLDS
 
     out: dict[str, str] = {}
     out["stable_sample"] = """
@@ -150,6 +150,9 @@ MS AS (SELECT merged_cluster_id, string_agg(name, ' | ' ORDER BY spos) AS subclu
 MT AS (SELECT merged_cluster_id, subclusters, array_to_string(keywords, ',') AS keywords,
          array_to_string(list_slice(keywords, 1, 3), ' / ') AS main_topic FROM MS JOIN MK USING (merged_cluster_id))"""
     out["merged_topic_table"] = f"WITH RECURSIVE {topics}\nSELECT * FROM MT"
+    out["keyword_join_report"] = f"""WITH RECURSIVE {topics}
+SELECT merged_cluster_id, name FROM MEM
+WHERE name NOT IN (SELECT name FROM CARDS JOIN SZ ON SZ.g = CARDS.cluster_id WHERE size >= {CARD_SIZE})"""
     out["topic_tags"] = f"""WITH RECURSIVE {topics},
 TG AS (SELECT doc_id, string_agg(C.k::VARCHAR, ',' ORDER BY C.k)
          FILTER (WHERE list_cosine_similarity(CD.embedding::DOUBLE[], C.c) >= {H.SOFT_SIMILARITY}) AS subtopics
