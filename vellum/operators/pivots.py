@@ -108,13 +108,13 @@ def with_columns(batch: pa.RecordBatch, extra: dict) -> pa.RecordBatch:
 
 
 def place(points: DataFrame, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS,
-          extra: dict | None = None) -> tuple[DataFrame, Cells]:
+          extra: dict | None = None, roots: int = 1) -> tuple[DataFrame, Cells]:
     """Points (id, g, vec, ...) with the key of their cell and ``dp``, their distance to
     its pivot, as a table of the shared folder; and the cells.  ``extra`` are further
-    aggregates of a cell."""
+    aggregates of a cell; pivots are ``roots`` times the square root of the points."""
     points = points.withColumn("vec", F.col("vec").cast("array<double>"))
     n, groups = points.agg(F.count(F.lit(1)), F.approx_count_distinct("g")).first()
-    wanted = max(1, min(max_pivots, math.isqrt(n), MAX_CELLS // (2 * max(1, groups))))
+    wanted = max(1, min(max_pivots, roots * math.isqrt(n), MAX_CELLS // (2 * max(1, groups))))
     sample = (points.select("id", "vec").orderBy(F.xxhash64("vec"), "id").limit(4 * wanted)
               .dropDuplicates(["vec"]).orderBy(F.xxhash64("vec", F.lit(1))).limit(wanted).toArrow())
     cells = Cells(matrix(sample["vec"]), sample["id"].to_pylist())

@@ -116,14 +116,10 @@ def soft_tags(docs: DataFrame, cent: DataFrame, doc_vec: str, key: str,
               cent_vec: str = "centroid", threshold: float = 0.25,
               out: str = "subtopics", doc: str = "doc_id") -> DataFrame:
     """Ids of every centroid with cosine similarity ≥ threshold, per document
-    (in centroid-id order; an empty list when none qualifies).  ``doc`` is unique."""
-    sims = F.transform("_all", lambda c: F.struct(c["k"].alias("k"),
-                                                 cosine_similarity(doc_vec, c["v"]).alias("s")))
-    near = F.transform(F.filter(sims, lambda x: x["s"] >= threshold), lambda x: x["k"])
-    found = (_with_blocks(docs.select(doc, doc_vec), cent, key, cent_vec).select(doc, near.alias("_n"))
-             .groupBy(doc).agg(F.array_sort(F.flatten(F.collect_list("_n"))).alias(out)))
-    none = F.coalesce(out, F.array().cast(found.schema[out].dataType))
-    return docs.join(found, doc, "left").withColumn(out, none)
+    (in centroid-id order; an empty list when none qualifies), by the tree of
+    `vellum.operators.cones`.  ``doc`` is unique."""
+    from vellum.operators.cones import tags_within
+    return tags_within(docs, cent, doc_vec, key, cent_vec, threshold, doc, out, "_cost").drop("_cost")
 
 
 # J1 ------------------------------------------------------------------------------

@@ -728,6 +728,42 @@ def pca_reduce(spark, sf):
                                          F.round(norm2("reduced"), 6).alias("length"))
 
 
+#: Neighbours of the map's graph; steps of power iteration.
+MAP_NEIGHBOURS, MAP_STEPS = 10, 20
+
+
+def map_edges(spark, sf):
+    from vellum.operators.graph_map import neighbour_graph
+    return neighbour_graph(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", MAP_NEIGHBOURS)
+
+
+@register
+def neighbour_graph(spark, sf):
+    """V2: weighted edges of the embeddings' neighbour graph, both directions."""
+    return map_edges(spark, sf).withColumn("w", F.round("w", 6))
+
+
+def graph_map(spark, sf, dims):
+    """Coordinates after a set number of steps; a point's length in the space that they span
+    depends neither on signs nor on the choice of its axes."""
+    from vellum.operators.graph_map import spectral_map
+    from vellum.operators.vectors import norm2
+    coords, _ = spectral_map(map_edges(spark, sf), dims, steps=MAP_STEPS, extra=0, tolerance=-1.0)
+    return coords.select(F.col("id").alias("vec_id"), F.size("coords").alias("dim"), F.round(norm2("coords"), 6).alias("length"))
+
+
+@register
+def graph_map_2d(spark, sf):
+    """The embeddings' map in the plane."""
+    return graph_map(spark, sf, 2)
+
+
+@register
+def graph_map_10d(spark, sf):
+    """V2: ten coordinates, as clustering takes them."""
+    return graph_map(spark, sf, 10)
+
+
 DENSITY_GRID = [(eps, size, ms) for eps in (0.9, 1.0, 1.1) for size in (5, 10) for ms in (3, 5)]
 
 

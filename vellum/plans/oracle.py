@@ -389,6 +389,50 @@ SELECT lang, count(*) AS n_missing FROM documents
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY lang"""
 
 
+# neighbour-graph map --------------------------------------------------------------
+def _graph_ctes() -> str:
+    from vellum.plans.catalog import MAP_NEIGHBOURS
+    return f"""MV AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+MN AS (SELECT q.vec_id AS a, t.vec_id AS b, list_distance(q.v, t.v) AS dist,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS rn
+  FROM MV q JOIN MV t ON q.vec_id <> t.vec_id QUALIFY rn <= {MAP_NEIGHBOURS}),
+MP AS (SELECT a, b, CASE WHEN dist > 0 THEN exp(-pow(dist / max(dist) OVER (PARTITION BY a), 2)) ELSE 1.0 END AS p FROM MN),
+MW AS MATERIALIZED (SELECT a, b, max(p) + (CASE WHEN count(*) > 1 THEN min(p) ELSE 0 END) * (1 - max(p)) AS w
+  FROM (SELECT a, b, p FROM MP UNION ALL SELECT b, a, p FROM MP) GROUP BY a, b)"""
+
+
+def _graph_map_sql(dims: int) -> str:
+    """Long-form steps of the matrix, then Gram-Schmidt with the root of the degrees first."""
+    from vellum.plans.catalog import MAP_STEPS
+    cols = ["r", *[f"c{j}" for j in range(dims)]]
+    ctes = []
+    for i, c in enumerate(cols):
+        unit = ", ".join([*cols[:i], f"{c} / sqrt(sum({c} * {c}) OVER ()) AS {c}", *cols[i + 1:]])
+        rest = ", ".join([*cols[:i + 1], *[f"{o} - {c} * (sum({c} * {o}) OVER ()) AS {o}" for o in cols[i + 1:]]])
+        ctes.append(f"U{i} AS MATERIALIZED (SELECT id, {unit} FROM {f'O{i - 1}' if i else 'S'}),\n"
+                    f"O{i} AS MATERIALIZED (SELECT id, {rest} FROM U{i})")
+    wide = ", ".join(f"max(x) FILTER (WHERE j = {j}) AS c{j}" for j in range(dims))
+    length = " + ".join(f"c{j} * c{j}" for j in range(dims))
+    steps = ",\n".join(ctes)
+    return f"""WITH RECURSIVE {_graph_ctes()},
+MD AS MATERIALIZED (SELECT a AS id, sqrt(sum(w)) AS r FROM MW GROUP BY a),
+MM AS MATERIALIZED (SELECT a, b, w / (p.r * q.r) / 2 AS w FROM MW JOIN MD p ON p.id = a JOIN MD q ON q.id = b
+  UNION ALL SELECT id, id, 0.5 FROM MD),
+R AS (SELECT 0 AS step, id, j, ('0x' || substr(md5(id::VARCHAR || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x
+    FROM MD, range({dims}) t(j)
+  UNION ALL
+  SELECT step + 1, a, j, sum(w * x) FROM R JOIN MM ON b = id WHERE step < {MAP_STEPS} GROUP BY step, a, j),
+S AS MATERIALIZED (SELECT id, any_value(r) AS r, {wide} FROM R JOIN MD USING (id) WHERE step = {MAP_STEPS} GROUP BY id),
+{steps}
+SELECT id AS vec_id, {dims}::INTEGER AS dim, round(sqrt({length}), 6) AS length FROM O{len(cols) - 1}"""
+
+
+ORACLE["neighbour_graph"] = f"""WITH {_graph_ctes()}
+SELECT a, b, round(w, 6) AS w FROM MW"""
+ORACLE["graph_map_2d"] = _graph_map_sql(2)
+ORACLE["graph_map_10d"] = _graph_map_sql(10)
+
+
 # 4. labelling ---------------------------------------------------------------------
 def _stop_sql() -> str:
     from vellum.operators.labels import english_stop_words
