@@ -433,6 +433,35 @@ ORACLE["graph_map_2d"] = _graph_map_sql(2)
 ORACLE["graph_map_10d"] = _graph_map_sql(10)
 
 
+def _pca_sql(dims: int, squarings: int = 11) -> str:
+    """Leading eigenvectors of the covariance one by one: the matrix squared again and again
+    is the eigenvector's projector, which is then taken out of the matrix."""
+    ctes = []
+    for k in range(dims):
+        for n in range(squarings):
+            of, t = (f"C{k}", f"A{k}_0") if not n else (f"A{k}_{n - 1}", f"A{k}_{n}")
+            ctes.append(f"""{t} AS MATERIALIZED (SELECT i, j, x / sum(x) FILTER (WHERE i = j) OVER () AS x
+  FROM (SELECT p.i, q.j, sum(p.x * q.x) AS x FROM {of} p JOIN {of} q ON p.j = q.i GROUP BY p.i, q.j))""")
+        last = f"A{k}_{squarings - 1}"
+        ctes.append(f"""V{k} AS MATERIALIZED (SELECT i, x / sqrt(sum(x * x) OVER ()) AS v FROM {last}
+  WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j)),
+W{k} AS MATERIALIZED (SELECT c.i, sum(c.x * v.v) AS u FROM C{k} c JOIN V{k} v ON v.i = c.j GROUP BY c.i),
+C{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c.x - a.v * p.u - o.u * b.v + a.v * b.v * (SELECT sum(u * v) FROM W{k} JOIN V{k} USING (i)) AS x
+  FROM C{k} c JOIN V{k} a ON a.i = c.i JOIN V{k} b ON b.i = c.j JOIN W{k} o ON o.i = c.i JOIN W{k} p ON p.i = c.j)""")
+    parts = " UNION ALL ".join(f"SELECT {k} AS k, i, v FROM V{k}" for k in range(dims))
+    chain = ",\n".join(ctes)
+    return f"""WITH X AS MATERIALIZED (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)),
+Z AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM X),
+C0 AS MATERIALIZED (SELECT p.i, q.i AS j, sum(p.x * q.x) AS x FROM Z p JOIN Z q USING (vec_id) GROUP BY p.i, q.i),
+{chain},
+P AS (SELECT vec_id, k, sum(x * v) AS y FROM X JOIN ({parts}) USING (i) GROUP BY vec_id, k)
+SELECT vec_id, {dims}::INTEGER AS dim, round(sqrt(sum(y * y)), 6) AS length FROM P GROUP BY vec_id"""
+
+
+ORACLE["pca_reduce"] = _pca_sql(10)
+
+
 # 4. labelling ---------------------------------------------------------------------
 def _stop_sql() -> str:
     from vellum.operators.labels import english_stop_words
