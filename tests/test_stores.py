@@ -49,3 +49,28 @@ def test_states_of_halves_make_the_state_of_the_whole(spark):
     assert merged["s"].q50 is None and merged["none"].n_null == 20_000 and merged["none"].mean is None
     empty = ps.read_profile(ps.merge_states(ps.profile_state(df.filter(F.lit(False)), ["x"], ["half"])))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("keep", [4, 25, 1000])
+def test_bounds_of_frequent_values_hold_after_merges(spark, keep):
+    rng = random.Random(5)
+    rows = [(i % 6, f"v{min(rng.randrange(200), rng.randrange(200))}" if i % 13 else None, i % 3) for i in range(6000)]
+    df = spark.createDataFrame(rows, "part int, s string, n int")
+    truth = {}
+    for _, s, n in rows:
+        for c, v in (("s", s), ("n", str(n))):
+            if v is not None:
+                truth[c, v] = truth.get((c, v), 0) + 1
+    state = ps.frequent_state(df, ["s", "n"], ["part"], keep)
+    thirds = ps.merge_frequent(state.withColumn("third", F.col("part") % 3), ["part"], ["third"], keep)
+    for merged in (ps.merge_frequent(state, ["part"], keep=keep), ps.merge_frequent(thirds, ["third"], keep=keep)):
+        got = {(r.column, r.value): r for r in merged.collect()}
+        assert all(r.low <= truth[at] <= r.high for at, r in got.items())
+        missed = {c: next(r.missed for at, r in got.items() if at[0] == c) for c in ("s", "n")}
+        assert all(at in got or n <= missed[at[0]] for at, n in truth.items())
+        assert missed["n"] == 0 and all(got["n", str(v)].low == truth["n", str(v)] for v in range(3))
+        assert sum(at[0] == "s" for at in got) == min(keep, 200 if keep > 200 else keep, len([a for a in truth if a[0] == "s"]))
+        if keep == 1000:
+            assert all(r.low == r.high == truth[at] for at, r in got.items()) and missed["s"] == 0
+    assert all(r.missed <= 1000 / (keep + 1) for r in state.collect())
+    assert ps.merge_frequent(ps.frequent_state(df.limit(0), ["s"], ["part"], keep), ["part"], keep=keep).count() == 0

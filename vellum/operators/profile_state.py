@@ -5,14 +5,15 @@ batch): rows, nulls, least, greatest, sum and sum of squares are exact; distinct
 are a HyperLogLog sketch of 2^`LOG_K` registers (a standard error of 1.04 / 2^(`LOG_K` / 2),
 1.6 %), quantiles a KLL sketch of size `KLL_K` (a rank error of 1.33 % at 99 %
 confidence for one quantile).  States of parts add up to the state of the whole without
-reading old rows again, in any order and grouping.
+reading old rows again, in any order and grouping.  Frequent values have a state of their
+own, a row a value, with bounds of their counts that hold after any merge.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,3 +55,36 @@ def read_profile(state: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75
     keep = [c for c in state.columns if c not in (*EXACT, "kinds", "ranks")]
     return state.select(*keep, F.col("n").alias("n_rows"), "n_null", F.hll_sketch_estimate("kinds").alias("n_distinct"),
                         F.col("low").alias("min"), F.col("high").alias("max"), mean.alias("mean"), spread.alias("std"), *at)
+
+
+# Heavy hitters -------------------------------------------------------------------------
+def frequent_state(df: DataFrame, columns: Sequence[str], part: Sequence[str] = (), keep: int = 100) -> DataFrame:
+    """(part..., column, value, low, high, missed): the ``keep`` most frequent values, as
+    text, of each column and part.  ``low`` and ``high`` bound a value's count, and no value
+    that is not listed has more than ``missed`` rows, at most one in ``keep`` + 1 of the part's.
+    Equal counts go to the smaller value; nulls are not counted."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+    counts = (df.select(*part, each).filter("value IS NOT NULL").groupBy(*part, "column", "value")
+              .agg(F.count(F.lit(1)).alias("low")))
+    return _most_frequent(counts.withColumns({"high": F.col("low"), "missed": F.lit(0).cast("long")}), [*part, "column"], keep)
+
+
+def merge_frequent(states: DataFrame, part: Sequence[str], by: Sequence[str] = (), keep: int = 100) -> DataFrame:
+    """States of many parts as one for each value of ``by``, of the same form: a part that does not
+    list a value may hold it as often as its ``missed`` says."""
+    group = [*by, "column"]
+    missed = (states.groupBy(*dict.fromkeys([*group, *part])).agg(F.max("missed").alias("missed"))
+              .groupBy(*group).agg(F.sum("missed").alias("missed")))
+    values = states.groupBy(*group, "value").agg(F.sum("low").alias("low"), F.sum(F.col("high") - F.col("missed")).alias("above"))
+    merged = values.join(missed, group).select(*group, "value", "low", (F.col("above") + F.col("missed")).alias("high"), "missed")
+    return _most_frequent(merged, group, keep)
+
+
+def _most_frequent(values: DataFrame, group: Sequence[str], keep: int) -> DataFrame:
+    """The ``keep`` rows of highest count in each group; tasks drop the others before the
+    shuffle, and the first row that is dropped bounds the rest."""
+    ranked = Window.partitionBy(*group).orderBy(F.col("high").desc(), "value")
+    some = values.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= keep + 1)
+    dropped = F.max(F.when(F.col("_r") > keep, F.col("high"))).over(Window.partitionBy(*group))
+    return (some.withColumn("missed", F.greatest("missed", F.coalesce(dropped, F.lit(0).cast("long"))))
+            .filter(F.col("_r") <= keep).drop("_r"))

@@ -837,6 +837,22 @@ def profile_by_month(spark, sf):
                          F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"))
 
 
+#: Values that a month's state lists; values of a year.
+FREQUENT_OF_MONTH, FREQUENT_OF_YEAR = 12, 20
+
+
+@register
+def frequent_by_month(spark, sf):
+    """A4/Q6: frequent customers and priorities of each year from the months' written states,
+    with the bounds of their counts."""
+    from vellum.operators.profile_state import frequent_state, merge_frequent
+    from vellum.session import cut_lineage
+    o = table(spark, sf, "orders", "o_orderdate", "o_custkey", "o_orderpriority")
+    o = o.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    state = cut_lineage(frequent_state(o, ["o_custkey", "o_orderpriority"], ["month"], FREQUENT_OF_MONTH))
+    return merge_frequent(state.withColumn("year", F.substring("month", 1, 4)), ["month"], ["year"], FREQUENT_OF_YEAR)
+
+
 # 10. remaining profile and report queries ----------------------------------------------
 @register
 def column_profile(spark, sf):

@@ -200,6 +200,27 @@ SELECT *, round(n_clusters / (1 + n_outliers / n), 6) AS score FROM G"""
 SELECT strftime(o_orderdate, '%Y') AS year, '{c}' AS "column", count(*) AS n_rows,
        {"0::BIGINT" if c == "o_orderstatus" else "count(*) - count(x)"} AS n_null, round(min(x), 4) AS min, round(max(x), 4) AS max,
        round(avg(x), 4) AS mean, round(stddev_pop(x), 3) AS std FROM (SELECT o_orderdate, {x} AS x FROM orders) GROUP BY 1""" for c, x in columns)
+    from vellum.plans.catalog import FREQUENT_OF_MONTH, FREQUENT_OF_YEAR
+    out["frequent_by_month"] = f"""
+WITH counted AS (
+  SELECT month, "column", value, count(*) AS n,
+         row_number() OVER (PARTITION BY month, "column" ORDER BY count(*) DESC, value) AS r
+  FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, unnest(['o_custkey', 'o_orderpriority']) AS "column",
+               unnest([o_custkey::VARCHAR, o_orderpriority]) AS value FROM orders)
+  WHERE value IS NOT NULL GROUP BY month, "column", value),
+bound AS (SELECT month, "column", coalesce(max(n) FILTER (WHERE r > {FREQUENT_OF_MONTH}), 0) AS missed FROM counted GROUP BY ALL),
+yearly AS (SELECT substr(month, 1, 4) AS year, "column", sum(missed) AS missed FROM bound GROUP BY ALL),
+listed AS (
+  SELECT substr(c.month, 1, 4) AS year, c."column" AS "column", c.value AS value, sum(n)::BIGINT AS low, sum(n - missed) AS above
+  FROM counted c JOIN bound USING (month, "column")
+  WHERE r <= {FREQUENT_OF_MONTH} GROUP BY substr(c.month, 1, 4), c."column", c.value),
+ranked AS (
+  SELECT year, "column", value, low, (above + missed)::BIGINT AS high, missed,
+         row_number() OVER (PARTITION BY year, "column" ORDER BY above + missed DESC, value) AS r
+  FROM listed JOIN yearly USING (year, "column")),
+closed AS (SELECT *, greatest(missed, coalesce(max(high) FILTER (WHERE r > {FREQUENT_OF_YEAR}) OVER (PARTITION BY year, "column"), 0))::BIGINT AS m
+  FROM ranked)
+SELECT year, "column", value, low, high, m AS missed FROM closed WHERE r <= {FREQUENT_OF_YEAR}"""
     out["knn_cells"] = """
 SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id)
          ::INTEGER AS rank, b.vec_id AS neighbor,
