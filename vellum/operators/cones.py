@@ -12,8 +12,9 @@ centroids are parted by `vellum.operators.pivots`; the tree holds the pivots, wh
 angles take in all of their parts' members, and documents meet the cells that the walk
 leaves, in tasks of bounded size on both sides.
 
-Vectors that are null, zero or hold null or non-finite entries have no direction: as
-documents they get no tags, as centroids they tag nothing.
+Vectors that are null, zero, shorter than the longest centroid or longer, or hold null or
+non-finite entries have no direction: as documents they get no tags, as centroids they tag
+nothing.
 """
 
 from __future__ import annotations
@@ -104,13 +105,14 @@ def walk(tree: Cones, x: np.ndarray, limit: float) -> tuple[list, np.ndarray]:
     return found, cost
 
 
-def has_direction(vec: str) -> Column:
+def has_direction(vec: str, dim: int | None = None) -> Column:
     x = F.col(vec)
-    return F.coalesce(x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & (F.abs(e) < float("inf")))
+    length = F.lit(True) if dim is None else F.size(x) == dim
+    return F.coalesce(x.isNotNull() & length & F.forall(x, lambda e: e.isNotNull() & (F.abs(e) < float("inf")))
                       & F.exists(x, lambda e: e != 0), F.lit(False))
 
 
-def _shared(docs: DataFrame, cent: DataFrame, doc_vec: str, threshold: float, out: str, cost: str) -> DataFrame:
+def _shared(docs: DataFrame, cent: DataFrame, doc_vec: str, dim: int, threshold: float, out: str, cost: str) -> DataFrame:
     """``docs`` with their tags, beside every column that they have."""
     table = cent.orderBy("key").toArrow()  # within the bytes that the caller has counted
     x = unit(pivots.matrix(table["vec"]))
@@ -119,7 +121,7 @@ def _shared(docs: DataFrame, cent: DataFrame, doc_vec: str, threshold: float, ou
     limit, nth = float(angles(np.float64(threshold))), docs.columns.index(doc_vec)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(cent.schema["key"].dataType)),
                            T.StructField(cost, T.LongType())])
-    usable = docs.withColumn("_ok", has_direction(doc_vec))
+    usable = docs.withColumn("_ok", has_direction(doc_vec, dim))
 
     def tag(batches):
         keys, x, tree = shared.value["keys"], shared.value["x"], Cones(**shared.value["tree"])
@@ -146,7 +148,7 @@ def _shared(docs: DataFrame, cent: DataFrame, doc_vec: str, threshold: float, ou
     return usable.mapInArrow(tag, schema)
 
 
-def _parted(docs: DataFrame, cent: DataFrame, doc_vec: str, doc: str, threshold: float, out: str, cost: str,
+def _parted(docs: DataFrame, cent: DataFrame, doc_vec: str, doc: str, dim: int, threshold: float, out: str, cost: str,
             cell_rows: int) -> DataFrame:
     """(doc, tags, directions compared with), by the cells of `vellum.operators.pivots`."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, e: s + e * e))
@@ -164,7 +166,7 @@ def _parted(docs: DataFrame, cent: DataFrame, doc_vec: str, doc: str, threshold:
         "tree": asdict(build(pivot, wide, 1)), "pivot": pivot, "low": low, "high": high, "first": first, "by_part": by_part,
         "part": cells.part, "ring": cells.ring, "block": cells.block})  # at most MAX_CELLS rows of numbers
     limit = float(angles(np.float64(threshold)))
-    q = docs.filter(has_direction(doc_vec)).select(F.col(doc).alias("id"), F.lit("").alias("g"),
+    q = docs.filter(has_direction(doc_vec, dim)).select(F.col(doc).alias("id"), F.lit("").alias("g"),
                                                    F.col(doc_vec).cast("array<double>").alias("vec"))
     where = T.StructType([*q.schema.fields, *[T.StructField(c, T.IntegerType()) for c in pivots.KEY[1:]],
                           T.StructField("cost", T.LongType())])
@@ -216,8 +218,10 @@ def tags_within(docs: DataFrame, cent: DataFrame, doc_vec: str, key: str, cent_v
     with (nodes of the tree and members of its leaves).  ``doc`` is unique."""
     cent = cent.filter(has_direction(cent_vec)).select(F.col(key).alias("key"), F.col(cent_vec).alias("vec"))
     n, dim = cent.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if n * ((dim or 0) * 8 + 64) <= shared_bytes:
-        return _shared(docs, cent, doc_vec, threshold, out, cost)
-    found = _parted(docs, cent, doc_vec, doc, threshold, out, cost, cell_rows)
+    dim = dim or 0
+    cent = cent.filter(F.size("vec") == dim)
+    if n * (dim * 8 + 64) <= shared_bytes:
+        return _shared(docs, cent, doc_vec, dim, threshold, out, cost)
+    found = _parted(docs, cent, doc_vec, doc, dim, threshold, out, cost, cell_rows)
     none = F.array().cast(found.schema[out].dataType)
     return docs.join(found, doc, "left").withColumns({out: F.coalesce(out, none), cost: F.coalesce(cost, F.lit(0))})
