@@ -42,6 +42,7 @@ from vellum.session import cut_lineage, drop_lineage_table
 
 NEIGHBOURS = 8          # least length of the neighbour lists
 DIGITS = 9              # weights are compared after rounding, so float noise cannot flip ties
+HELD_EDGES = 1 << 18    # edges that a search keeps before it drops all but the cheapest
 LOCAL_EDGES = 65_536    # edges of a subtree that one task solves
 TREE_ROWS = 200_000     # clusters of a tree whose selection the driver makes; more go round by round
 LEAST_WEIGHT = 1e-6     # weights under it count as it where their reciprocal is taken
@@ -124,7 +125,7 @@ def _to_pivots(now: DataFrame, cells: pivots.Cells, schema: T.StructType) -> Dat
 
 
 def _search(asking: DataFrame, now: DataFrame, cells: pivots.Cells, schema: T.StructType) -> DataFrame:
-    """Cheapest edges within ``r`` of the asking points, one for a component and cell."""
+    """Cheapest edges within ``r`` of the asking points, one for a component and tile."""
     def skip(at, rows, cell, c):
         own = at["comp"].to_numpy(zero_copy_only=False)[rows]
         r = at["r"].to_numpy()[rows]
@@ -133,30 +134,39 @@ def _search(asking: DataFrame, now: DataFrame, cells: pivots.Cells, schema: T.St
     visiting = cut_lineage(pivots.visits(asking, cells, 0, 0, None, skip))
     slack = cells.slack
 
-    def kernel(queries: pa.Table, points: pa.Table) -> pa.Table:
-        best = []
+    def kernel(queries: pa.Table, points: pa.Table, vectors) -> pa.Table:
+        best, held = [], 0
         if queries.num_rows and points.num_rows:
             column = lambda t, c: t[c].to_numpy()
-            qid, qcore, qcomp, r = (column(queries, c) for c in ("id", "core", "comp", "r"))
+            qid, qcore, qcomp, limit = (column(queries, c) for c in ("id", "core", "comp", "r"))
             tid, tcore, tcomp = (column(points, c) for c in ("id", "core", "comp"))
             qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"])
-            for some, near in pivots.near_batches(queries, points, slack):
-                cores = np.maximum(qcore[some][:, None], tcore[near][None])
-                w = np.maximum(pivots.distances(qm[some], tm[near]), cores)
-                w[qcomp[some][:, None] == tcomp[near][None]] = np.inf
-                least = w.min(axis=1)
-                q, t = np.nonzero((w <= (least + slack)[:, None]) & (w <= (r[some] + slack)[:, None]))
-                q, t, w = some[q], near[t], cores[q, t]
+            group, limit = np.unique(qcomp, return_inverse=True)[1], limit.copy()
+            least = np.full(len(group), np.inf)  # of each component, by its number
+            for some, near in pivots.near_batches(queries, points, qm, vectors, limit, slack):
+                q, t = pivots.close_pairs(qm[some], tm[near], limit[some], slack)
+                q, t = some[q], near[t]
+                other = np.asarray(qcomp[q] != tcomp[t], bool)
+                q, t = q[other], t[other]
                 for i in range(0, len(q), 65_536):
-                    s = slice(i, i + 65_536)
-                    w[s] = np.maximum(w[s], np.sqrt(((qm[q[s]] - tm[t[s]]) ** 2).sum(axis=1)))
-                best.append(_cheapest(_edge_table(qcomp[q], w, qid[q], tid[t], tcomp[t])))
+                    a, b = q[i:i + 65_536], t[i:i + 65_536]
+                    w = np.maximum(np.maximum(qcore[a], tcore[b]), np.sqrt(((qm[a] - tm[b]) ** 2).sum(axis=1)))
+                    ok = w <= limit[a] + slack
+                    a, b, w = a[ok], b[ok], w[ok]
+                    if len(a):
+                        best.append(_cheapest(_edge_table(qcomp[a], w, qid[a], tid[b], tcomp[b])))
+                        np.minimum.at(least, group[a], w)
+                        np.minimum(limit, least[group], out=limit)
+                        held += len(best[-1])
+                        if held > HELD_EDGES:
+                            best = [_cheapest(pd.concat(best))]
+                            held = 0
         out = _cheapest(pd.concat(best)) if best else pd.DataFrame({c: [] for c in schema.names})
         return pa.Table.from_pandas(out, schema=arrow, preserve_index=False)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
-    return pivots.meet(visiting, now, kernel, schema)
+    return pivots.meet_tiles(visiting, now, cells, kernel, schema)
 
 
 def _roots(picks: DataFrame) -> DataFrame:

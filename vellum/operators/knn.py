@@ -37,6 +37,7 @@ QUERY_BLOCK_ROWS = 2048        # queries scored by one task
 MAX_GROUP_STATS_BROADCAST = 100_000
 SHARED_TRAIN_BYTES = 16 << 20  # training tables up to this are broadcast after a count
 EXACT_ROWS = 65_536            # pairs measured directly at once
+WAITING_ROWS = 1 << 18         # candidates that wait to be ranked
 
 
 def nearest_rows(qid, qm, tid, tm, lab, k: int, exclude_self: bool):
@@ -179,6 +180,32 @@ def _neighbour_lists(cand: DataFrame, k: int) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("dist", "tid", "label"))).alias("neighbors")))
 
 
+def _within(qid, qm, tid, tm, some, near, limit, slack, exclude_self):
+    """Parts of (query row, point row, dist) of the pairs within the queries' limits."""
+    i, j = pivots.close_pairs(qm[some], tm[near], limit[some], slack)
+    for a in range(0, len(i), EXACT_ROWS):
+        q, t = some[i[a:a + EXACT_ROWS]], near[j[a:a + EXACT_ROWS]]
+        if exclude_self:
+            other = np.asarray(qid[q] != tid[t], bool)
+            q, t = q[other], t[other]
+        diff = qm[q] - tm[t]
+        dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        held = dist <= limit[q] + slack
+        yield q[held], t[held], dist[held]
+
+
+def _shortened(found, parts, by_id, limit, k: int):
+    """The k nearest of each query among ``found`` and ``parts``; lists of k shorten its limit."""
+    q, t, dist = (np.concatenate(c) for c in zip(found, *parts, strict=True))
+    order = np.lexsort((by_id[t], dist, q))
+    q, t, dist = q[order], t[order], dist[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    last = np.flatnonzero((nth == k - 1) & np.isfinite(dist))
+    limit[q[last]] = np.minimum(limit[q[last]], dist[last])
+    held = (nth < k) & np.isfinite(dist)
+    return q[held], t[held], dist[held]
+
+
 def pruned_candidates(q: DataFrame, t: DataFrame, k: int, schema: T.StructType, exclude_self: bool,
                       cell_rows: int = pivots.CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """(the k nearest rows of each query, the pairs measured in each round), by the
@@ -194,16 +221,25 @@ def pruned_candidates(q: DataFrame, t: DataFrame, k: int, schema: T.StructType,
     names, slack = out.names, cells.slack
     types = [f.type for f in to_arrow_schema(out)]
 
-    def kernel(queries: pa.Table, points: pa.Table) -> pa.Table:
-        parts, measured = [], 0
+    def kernel(queries: pa.Table, points: pa.Table, vectors) -> pa.Table:
+        found, waiting, measured = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], [], 0
         if queries.num_rows and points.num_rows:
             qid, tid = queries["id"].to_numpy(), points["id"].to_numpy()
             qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"])
-            for some, near in pivots.near_batches(queries, points, slack):
+            limit = queries["r"].to_numpy().copy()
+            by_id = np.empty(len(tid), np.int64)  # places in order of id, for ties
+            by_id[np.argsort(tid, kind="stable")] = np.arange(len(tid))
+            for some, near in pivots.near_batches(queries, points, qm, vectors, limit, slack):
                 measured += len(some) * len(near)
-                for rows, _, dist, at in nearest_rows(qid[some], qm[some], tid[near], tm[near], near, k, exclude_self):
-                    parts.append((some[rows], at, dist))
-        q_at, t_at, dist = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else ([np.zeros(0, np.int64)] * 3)
+                if np.isinf(limit[some]).all():
+                    for rows, _, dist, at in nearest_rows(qid[some], qm[some], tid[near], tm[near], near, k, exclude_self):
+                        waiting.append((some[rows], at, dist))
+                else:
+                    waiting += _within(qid, qm, tid, tm, some, near, limit, slack, exclude_self)
+                if sum(len(p[0]) for p in waiting) >= WAITING_ROWS:
+                    found, waiting = _shortened(found, waiting, by_id, limit, k), []
+            found = _shortened(found, waiting, by_id, limit, k)
+        q_at, t_at, dist = found
         table = pa.table([queries["id"].take(pa.array(q_at)), points["id"].take(pa.array(t_at)), pa.array(dist, pa.float64()),
                           points["label"].take(pa.array(t_at)), pa.nulls(len(q_at), pa.int64())], names=names)
         count = pa.table([*(pa.nulls(1, x) for x in types[:4]), pa.array([measured], pa.int64())], names=names)
@@ -220,7 +256,7 @@ def pruned_candidates(q: DataFrame, t: DataFrame, k: int, schema: T.StructType,
         visiting = cut_lineage(pivots.visits(asking, cells, need, first, last))
         if nth and visiting.isEmpty():
             continue
-        found = cut_lineage(pivots.meet(visiting, placed, kernel, out))
+        found = cut_lineage(pivots.meet_tiles(visiting, placed, cells, kernel, out))
         measured.append(found.filter("measured IS NOT NULL").agg(F.sum("measured").alias("pairs")).withColumn("round", F.lit(nth)))
         cand = found.filter("qid IS NOT NULL AND measured IS NULL").select(*schema.names)
         best = cut_lineage(nearest_k(cand if best is None else best.unionByName(cand), k))

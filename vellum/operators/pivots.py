@@ -14,8 +14,14 @@ far from a query as
 so a query visits only the cells whose bound is within its radius, in order of that
 bound and in rounds: first the cells that hold enough points, then a few more, then
 all that the radius found so far still leaves.  Within a cell the ring does the same
-for single points.  Queries of a cell are dealt to as many tasks as they need, each
-with the cell's points, so neither a crowded cell nor a popular one fills a task.
+for single points.
+
+Cells whose pivots lie near each other form a tile of about ``TILE_CELLS`` full cells.
+A query is sent once to a tile, with one bit for each of its cells: where vectors have
+so many dimensions that a radius reaches most cells, a query still moves once for tens
+of thousands of points and not once for each cell.  Queries of a tile (or of a cell, in
+`meet`) are dealt to as many tasks as they need, each with the tile's points, so neither
+a crowded cell nor a popular one fills a task.
 """
 
 from __future__ import annotations
@@ -36,7 +42,12 @@ MAX_PIVOTS = 2048
 MAX_CELLS = 200_000     # cells, about: their numbers travel to every task
 CELL_ROWS = 4096        # points of a cell, about
 RINGS = 64              # rings of a part
+TILE_CELLS = 16         # full cells whose points make a tile
+MAX_TILE_CELLS = 1024   # cells of a tile: each is a bit of a row
 QUERY_ROWS = 4096       # queries that meet a cell in one task
+TILE_QUERIES = 32_768   # queries that meet a tile in one task, at most
+TILE_TASKS = 64         # tasks that a round is cut into, if they have `QUERY_ROWS` queries
+BATCH_PAIRS = 1 << 18   # pairs measured at once
 AT_ONCE = 1 << 21       # bounds that a task holds at once
 KEY = ["g", "part", "ring", "block"]
 #: Cells of the rounds after the first, in order of their bounds.
@@ -60,6 +71,22 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def nearby(x: np.ndarray) -> np.ndarray:
+    """Rows in an order that keeps near ones together: halves by two far rows, again and again."""
+    out, todo = [np.zeros(0, np.int64)], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= 2:
+            out.append(rows)
+            continue
+        y = x[rows]
+        to_a = ((y - y[((y - y.mean(axis=0)) ** 2).sum(axis=1).argmax()]) ** 2).sum(axis=1)
+        to_b = ((y - y[to_a.argmax()]) ** 2).sum(axis=1)
+        order, half = rows[np.argsort(to_a - to_b, kind="stable")], len(rows) // 2
+        todo += [order[half:], order[:half]]
+    return np.concatenate(out)
+
+
 @dataclass
 class Cells:
     """Pivots and, for each cell, its key and numbers."""
@@ -73,11 +100,26 @@ class Cells:
     low: np.ndarray = field(default=None)
     high: np.ndarray = field(default=None)
     rows: np.ndarray = field(default=None)
+    tile: np.ndarray = field(default=None)    # the cell's tile, and its place there
+    nth: np.ndarray = field(default=None)
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self._between = self._by_group = None
 
+    def make_tiles(self, tile_rows: int) -> None:
+        """Cells in order of group and of near pivots, cut into tiles of about ``tile_rows``."""
+        rank = np.empty(len(self.pivots), np.int64)
+        rank[nearby(self.pivots)] = np.arange(len(rank))
+        group = np.unique(self.group.astype(str), return_inverse=True)[1] if len(self.group) else self.part
+        self.tile, self.nth = np.zeros(len(self.part), np.int32), np.zeros(len(self.part), np.int32)
+        tile = held = nth = 0
+        for c in np.lexsort((self.block, self.ring, rank[self.part], group)).tolist():
+            if nth and (held + self.rows[c] > tile_rows or nth >= MAX_TILE_CELLS):
+                tile, held, nth = tile + 1, 0, 0
+            self.tile[c], self.nth[c] = tile, nth
+            held, nth = held + int(self.rows[c]), nth + 1
+
     @property
     def slack(self) -> float:
         return SLACK * (1.0 + float(np.abs(self.pivots).max(initial=0.0)) * math.sqrt(max(1, self.pivots.shape[1])))
@@ -150,13 +192,14 @@ def place(points: DataFrame, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_P
     cells.group, cells.part, cells.ring, cells.block = (array(c) for c in KEY)
     cells.low, cells.high, cells.rows = array("low"), array("high"), array("rows")
     cells.extra = {c: array(c) for c in extra}
+    cells.make_tiles(TILE_CELLS * cell_rows)
     return placed, cells
 
 
 def visits(queries: DataFrame, cells: Cells, need: int, first: int | None, last: int | None,
            skip: Callable | None = None) -> DataFrame:
-    """Rows of ``queries`` (id, g, vec, r, ...) for each cell that they visit, with its
-    key and ``dq``, the query's distance to the pivot.
+    """Rows of ``queries`` (id, g, vec, r, ...) for each ``tile`` with a cell that they
+    visit; ``cells`` has a bit for each cell of the tile.
 
     A round takes the cells ``first`` to ``last`` after those with ``need`` points, as
     far as their bounds are within ``r``; a first of None takes those themselves.
@@ -166,11 +209,12 @@ def visits(queries: DataFrame, cells: Cells, need: int, first: int | None, last:
     # at most MAX_CELLS rows of numbers, as a dict: workers have no copy of the package
     shared = spark.sparkContext.broadcast({f.name: getattr(cells, f.name) for f in fields(cells)})
     keep = queries.columns
-    schema = T.StructType([*queries.schema.fields,
-                           *[T.StructField(c, T.IntegerType()) for c in KEY[1:]], T.StructField("dq", T.DoubleType())])
+    schema = T.StructType([*queries.schema.fields, T.StructField("tile", T.IntegerType()), T.StructField("cells", T.BinaryType())])
 
     def run(batches):
         c = Cells(**shared.value)
+        width = np.bincount(c.tile)
+        tiles_of = {}
         for b in batches:
             at = {name: b.column(i) for i, name in enumerate(keep)}
             if not b.num_rows:
@@ -179,11 +223,12 @@ def visits(queries: DataFrame, cells: Cells, need: int, first: int | None, last:
             g = np.array(at["g"].to_pylist(), object)
             for name in dict.fromkeys(g.tolist()):
                 rows, mine = np.flatnonzero(g == name), c.of_group(name)
+                if name not in tiles_of:
+                    tiles_of[name] = [(t, np.flatnonzero(c.tile[mine] == t)) for t in np.unique(c.tile[mine]).tolist()]
                 step = max(1, AT_ONCE // max(1, max(len(mine), len(c.pivots))))
                 for i in range(0, len(rows) if len(mine) else 0, step):
                     part = rows[i:i + step]
-                    to_pivots = distances(x[part], c.pivots)
-                    bound = c.bounds(to_pivots, mine)
+                    bound = c.bounds(distances(x[part], c.pivots), mine)
                     order = np.argsort(bound, axis=1, kind="stable")
                     upto = np.cumsum(c.rows[mine][order], axis=1)
                     # cells that hold `need` points
@@ -196,21 +241,43 @@ def visits(queries: DataFrame, cells: Cells, need: int, first: int | None, last:
                         if last is not None:
                             take &= place_ < start + last
                         take &= np.take_along_axis(bound, order, 1) <= r[part][:, None] + c.slack
-                    q, nth = np.nonzero(take)
-                    cell = mine[order[q, nth]]
-                    if skip is not None and len(q):
-                        left = ~skip(at, part[q], cell, c)
-                        q, cell = q[left], cell[left]
-                    if len(q):
-                        got = b.take(pa.array(part[q]))
-                        yield with_columns(got, {
-                            "part": pa.array(c.part[cell], pa.int32()), "ring": pa.array(c.ring[cell], pa.int32()),
-                            "block": pa.array(c.block[cell], pa.int32()),
-                            "dq": pa.array(to_pivots[q, c.part[cell]])})
+                    taken = np.zeros_like(take)
+                    np.put_along_axis(taken, order, take, 1)
+                    if skip is not None:
+                        q, nth = np.nonzero(taken)
+                        if len(q):
+                            taken[q, nth] = ~skip(at, part[q], mine[nth], c)
+                    for tile, columns in tiles_of[name]:
+                        some = np.flatnonzero(taken[:, columns].any(axis=1))
+                        if len(some):
+                            bits = np.zeros((len(some), width[tile]), bool)
+                            bits[:, c.nth[mine[columns]]] = taken[np.ix_(some, columns)]
+                            yield with_columns(b.take(pa.array(part[some])), {
+                                "tile": pa.array(np.full(len(some), tile, np.int32)),
+                                "cells": pa.array([v.tobytes() for v in np.packbits(bits, axis=1)], pa.binary())})
 
     return queries.mapInArrow(run, schema)
 
 
+def meet_tiles(visiting: DataFrame, placed: DataFrame, cells: Cells, kernel: Callable, schema,
+               query_rows: int | None = None) -> DataFrame:
+    """``kernel(queries, points, pivots)`` on Arrow tables for each tile that is visited, for
+    `near_batches`; ``visiting`` is a table of the shared folder."""
+    spark = visiting.sparkSession
+    shared = spark.sparkContext.broadcast(cells.pivots)
+    query_rows = query_rows or min(TILE_QUERIES, max(QUERY_ROWS, visiting.count() // TILE_TASKS))
+    per = visiting.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("tasks"))
+    at = pa.table({"g": pa.array(cells.group.tolist(), pa.string()), **{c: pa.array(getattr(cells, c), pa.int32()) for c in
+                                                                        (*KEY[1:], "tile", "nth")}})
+    # at most MAX_CELLS rows each
+    at = F.broadcast(spark.createDataFrame(at).join(F.broadcast(per), "tile"))
+    q = visiting.join(F.broadcast(per), "tile").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
+    t = (placed.join(at, KEY).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+         .drop("tasks", "g", "ring", "block"))
+    return (q.groupBy("tile", "task").cogroup(t.groupBy("tile", "task"))
+            .applyInArrow(lambda queries, points: kernel(queries, points, shared.value), schema))
+
+
 def meet(visiting: DataFrame, placed: DataFrame, kernel: Callable, schema, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``kernel(queries, points)`` on Arrow tables for each cell that is visited;
     ``visiting`` is a table of the shared folder."""
@@ -221,17 +288,36 @@ def meet(visiting: DataFrame, placed: DataFrame, kernel: Callable, schema, query
     return q.groupBy(*KEY, "task").cogroup(t.groupBy(*KEY, "task")).applyInArrow(kernel, schema)
 
 
-def near_batches(queries: pa.Table, points: pa.Table, slack: float, size: int = 64):
-    """(rows of queries, rows of points) of batches of queries of like distance to
-    the pivot, and the points whose own distance leaves them within the radius; also
-    both sides' vectors."""
-    dq, r = queries["dq"].to_numpy(), queries["r"].to_numpy()
-    by_ring = np.argsort(points["dp"].to_numpy(), kind="stable")
-    dp = points["dp"].to_numpy()[by_ring]
-    order = np.argsort(dq, kind="stable")
-    for i in range(0, len(order), size):
-        part = order[i:i + size]
-        low = np.searchsorted(dp, (dq[part] - r[part]).min() - slack)
-        high = np.searchsorted(dp, (dq[part] + r[part]).max() + slack, "right")
-        if low < high:
-            yield part, by_ring[low:high]
+def near_batches(queries: pa.Table, points: pa.Table, qm: np.ndarray, pivots: np.ndarray, limit: np.ndarray,
+                 slack: float, pairs: int = BATCH_PAIRS):
+    """(rows of queries, rows of points): for each cell of a tile, batches of the queries
+    that visit it, of like distance to the pivot, and the points whose own distance leaves
+    them within the queries' ``limit``, which may shrink on the way; about ``pairs`` at
+    once."""
+    if not queries.num_rows or not points.num_rows:
+        return
+    nth, part, dp = (points[c].to_numpy() for c in ("nth", "part", "dp"))
+    bits = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in queries["cells"].to_pylist()]), axis=1)
+    order = np.lexsort((dp, nth))
+    for near in np.split(order, np.flatnonzero(np.diff(nth[order])) + 1):
+        some = np.flatnonzero(bits[:, nth[near[0]]])
+        dq = np.sqrt(((qm[some] - pivots[part[near[0]]]) ** 2).sum(axis=1))
+        by_ring, own = np.argsort(dq, kind="stable"), dp[near]
+        at = max(64, pairs // len(near))
+        for i in range(0, len(some), at):
+            rows = by_ring[i:i + at]
+            batch = some[rows]
+            low = np.searchsorted(own, (dq[rows] - limit[batch]).min() - slack)
+            high = np.searchsorted(own, (dq[rows] + limit[batch]).max() + slack, "right")
+            if low < high:
+                yield batch, near[low:high]
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray, limit: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs whose distance may be within the ``limit`` of the row of ``x``: one
+    product and one comparison a pair, so what lies farther costs little."""
+    d2 = x @ y.T
+    d2 *= -2.0
+    d2 += np.einsum("ij,ij->i", y, y)
+    within = d2 <= ((limit + slack) ** 2 - np.einsum("ij,ij->i", x, x) + slack)[:, None]
+    return np.divmod(np.flatnonzero(within), max(1, len(y)))
