@@ -32,8 +32,10 @@ from vellum.operators.knn import block_grid, knn_join
 from vellum.session import cut_lineage, drop_lineage_table
 
 
-STRIP = 512      # rows of a distance matrix held at once
-PAIRS = 65_536   # pairs measured directly at once
+STRIP_CELLS = 1 << 20        # numbers of a distance matrix held at once
+PAIRS = 65_536               # pairs measured directly at once
+FOREST_ROWS = 32_768         # rows of one side that a forest task holds
+FOREST_BYTES = 32 << 20      # vectors of the other side
 
 
 def core_distances(points: DataFrame, id_col: str, vec: str, min_samples: Sequence[int]) -> DataFrame:
@@ -85,26 +87,38 @@ def _forest_kernel(configs: Sequence[tuple[int, float, int]]):
             # the nodes' stars so far, one row per configuration: bounded by the cell
             roots = {cfg: np.arange(len(uniq)) for cfg, _, _ in configs}
             used = {cfg: np.zeros(len(uniq), bool) for cfg, _, _ in configs}
-            for at in range(0, len(qm), STRIP):
-                x = qm[at:at + STRIP]
+
+            def join(i, j):
+                """Stars with the edges between rows i and j."""
+                diff = qm[i] - tm[j]
+                d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                a, b = inv[i], inv[len(qid) + j]
+                for cfg, eps, ci in configs:
+                    ok = (a != b) & (np.maximum(np.maximum(qc[i, ci], tc[j, ci]), d) <= eps)
+                    used[cfg][a[ok]] = used[cfg][b[ok]] = True
+                    old = roots[cfg]
+                    ok &= old[a] != old[b]
+                    if ok.any():
+                        nodes = np.arange(len(uniq))
+                        roots[cfg] = _forest(len(uniq), np.concatenate([a[ok], nodes]), np.concatenate([b[ok], old]))
+
+            strip, waiting, held = max(1, STRIP_CELLS // len(tm)), [], 0
+            for at in range(0, len(qm), strip):
+                x = qm[at:at + strip]
                 xn = np.einsum("ij,ij->i", x, x)
-                d2 = xn[:, None] + tn[None, :] - 2.0 * (x @ tm.T)
-                ii, jj = np.nonzero(d2 <= radius * radius + 1e-9 * (1 + xn.max() + tn.max()))
+                d2 = x @ tm.T
+                d2 *= -2.0
+                d2 += xn[:, None]
+                d2 += tn
+                ii, jj = np.divmod(np.flatnonzero(d2 <= radius * radius + 1e-9 * (1 + xn.max() + tn.max())), len(tm))
                 for s in range(0, len(ii), PAIRS):
-                    i, j = ii[s:s + PAIRS], jj[s:s + PAIRS]
-                    diff = x[i] - tm[j]
-                    d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                    i = i + at
-                    other = qid[i] != tid[j]
-                    for cfg, eps, ci in configs:
-                        ok = other & (np.maximum(np.maximum(qc[i, ci], tc[j, ci]), d) <= eps)
-                        if ok.any():
-                            a, b = inv[i[ok]], inv[len(qid) + j[ok]]
-                            old = roots[cfg]
-                            used[cfg][a] = used[cfg][b] = True
-                            nodes = np.arange(len(uniq))
-                            roots[cfg] = _forest(len(uniq), np.concatenate([a, nodes]),
-                                                 np.concatenate([b, old]))
+                    waiting.append((ii[s:s + PAIRS] + at, jj[s:s + PAIRS]))
+                    held += len(waiting[-1][0])
+                    if held >= PAIRS:
+                        join(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                        waiting, held = [], 0
+            if waiting:
+                join(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
             for cfg, _, _ in configs:
                 some = np.flatnonzero(used[cfg])
                 if len(some):
@@ -155,7 +169,7 @@ def density_clusters(points: DataFrame, id_col: str, vec: str,
                      F.lit("").alias("g"))
     t = cores.select(F.col(id_col).alias("tid"), F.col("vec").alias("vec"), F.col("cores").alias("cores"),
                      F.lit("").alias("g"))
-    qx, tx = block_grid(q, t, grouped=False)
+    qx, tx = block_grid(q, t, grouped=False, query_block_rows=FOREST_ROWS, train_block_bytes=FOREST_BYTES)
     schema = T.StructType([T.StructField("cfg", T.IntegerType()),
                            T.StructField("node", cores.schema[id_col].dataType),
                            T.StructField("root", cores.schema[id_col].dataType)])
