@@ -51,3 +51,75 @@ def test_forest_kernel_holds_no_wide_strip():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6 and set(out["cfg"]) == {1}
+
+
+def _analysed(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_are_made_once(spark):
+    """No filter of the planner's that makes each list again; items as before."""
+    from vellum.operators.profile import list_item_counts
+    df = spark.createDataFrame([("b a  a",), ("",), (None,), ("a _",)], "text string")
+    out = list_item_counts(df.select(F.regexp_extract_all("text", F.lit("[a-z]+"), 0).alias("l")), "l")
+    assert [(r.value, r["count"]) for r in out.collect()] == [("a", 3), ("b", 1)]
+    assert _analysed(out).count("regexp_extract_all(") == 1
+
+
+def test_texts_are_cut_into_terms_once_and_scores_stay(spark, monkeypatch):
+    from vellum.operators import labels
+    rows = [("g", 1, "red red blue"), ("g", 2, "blue green"), ("g", 2, "green"), ("h", 3, "red"), (None, 4, "red"), ("g", None, "red"),
+            ("g", 5, " "), ("h", 6, None)]
+    df = spark.createDataFrame(rows, "g string, id int, t string")
+    plans = []
+    monkeypatch.setattr(labels, "cut_lineage", lambda d: (plans.append(_analysed(d)), cut_lineage(d))[1])
+    got = {(r.g, r.term): r.score for r in labels.tfidf_term_scores(df, "g", "id", "t", stop_words=()).collect()}
+    assert plans[0].count("regexp_extract_all(") == 1
+    n = 4  # texts of g
+    idf = {t: np.log((n + 1) / (d + 1)) + 1 for t, d in (("red", 2), ("blue", 2), ("green", 1))}
+    one, two = np.hypot(2 * idf["red"], idf["blue"]), np.hypot(idf["blue"], 2 * idf["green"])
+    want = {("g", "red"): 2 * idf["red"] / one, ("g", "blue"): idf["blue"] / one + idf["blue"] / two,
+            ("g", "green"): 2 * idf["green"] / two, ("h", "red"): 1.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_profile_makes_rows_once(spark):
+    from vellum.operators.profile import metadata_profile
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, "x", None), (2, "y", "E: a"), (3, None, "E: b")], "id int, c string, error string")
+    out = {(r.section, r.name): r.value for r in metadata_profile(df.mapInArrow(mark, df.schema), ["c"]).collect()}
+    assert out == {("present", "rows"): 3, ("present", "id"): 3, ("present", "c"): 2, ("present", "error"): 2, ("error", "E"): 2,
+                   ("distinct", "c"): 2, ("top c", "x"): 1, ("top c", "y"): 1}
+    assert seen.value == 3
+
+
+def test_routed_texts_in_small_slices(spark):
+    from vellum.operators.lang import language_routed
+    most = spark.sparkContext.accumulator(0)
+
+    def tag(code, texts):
+        most.add(int(len(texts) > 1000))
+        return code + ":" + texts
+
+    df = spark.range(3000).select("id", F.lit("text").alias("t"), F.lit("de").alias("lang")).coalesce(1)
+    df = df.unionByName(spark.createDataFrame([(-1, None, "fr"), (-2, "en", "en"), (-3, "no", None)], "id long, t string, lang string"))
+    got = {r.id: r.t_en for r in language_routed(df, "lang", ["t"], tag).collect()}
+    assert got[5] == "de:text" and got[-1] is None and got[-2] == "en" and got[-3] == "no" and len(got) == 3003
+    assert most.value == 0
+
+
+def test_topic_job_makes_cards_once(spark, monkeypatch):
+    from vellum.plans import topics
+    kept = []
+    monkeypatch.setattr(topics, "cut_lineage", lambda d: (kept.append(d.columns), cut_lineage(d))[1])
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist(), f"word{i % 3} text") for i in range(12)],
+                               "doc_id int, cluster_id int, embedding array<double>, full_text string")
+    r = topics.topic_hierarchy(df, auto_tune=False, manual_threshold=0.5)
+    assert r.cards.columns in kept and r.merged.columns in kept and r.cards.count() == 3

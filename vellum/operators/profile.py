@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.text import parse_list_literal, tolerant_timestamp, ustrip
+from vellum.session import cut_lineage
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -252,8 +253,10 @@ def coverage(df: DataFrame, col: str) -> DataFrame:
 # A13 -----------------------------------------------------------------------------
 def list_item_counts(df: DataFrame, col: str, n: int = 20) -> DataFrame:
     """Explode a list column and count its items (top-n), stripped, blanks dropped.
-    Items are counted as they stand; only different ones are stripped and added up."""
-    raw = (df.select(F.explode(F.col(col)).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    Items are counted as they stand; only different ones are stripped and added up.
+    (The outer form leaves out the planner's filter, which would make each list twice
+    more; the null items of empty lists go with the blanks.)"""
+    raw = (df.select(F.explode_outer(F.col(col)).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"))
            .select(ustrip(F.col("item").cast("string")).alias("item"), "c").filter(F.col("item") != ""))
     return value_counts(raw, "item", n, weight="c")
 
@@ -293,17 +296,21 @@ def overview(df: DataFrame) -> DataFrame:
 
 def metadata_profile(df: DataFrame, categories: Sequence[str], error: str = "error", top: int = 10) -> DataFrame:
     """(section, name, value): coverage of every column, error counts with the most
-    frequent errors, and each category's number of values and top values."""
-    present = df.agg(F.count(F.lit(1)).alias("__all"), *[F.count(c).alias(c) for c in df.columns])
+    frequent errors, and each category's number of values and top values.  Every section
+    reads a table of the shared folder with these columns alone, so rows are made once."""
+    kept = dict.fromkeys([*categories, error])
+    spot = [f"__p{i}" for i in range(len(df.columns))]
+    facts = cut_lineage(df.select(*[F.col(c).isNotNull().alias(p) for c, p in zip(df.columns, spot, strict=True)], *kept))
+    present = facts.agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(p).alias(c) for c, p in zip(df.columns, spot, strict=True)])
     cover = present.select(_stack([("rows", [F.col("__all")])] + [(c, [F.col(c)]) for c in df.columns],
                                   ["name", "value"]))
     out = _facts(cover, "present", F.col("name"), F.col("value"))
-    errors = df.filter(F.col(error).isNotNull()).select(F.substring_index(error, ":", 1).alias("kind"))
+    errors = facts.filter(F.col(error).isNotNull()).select(F.substring_index(error, ":", 1).alias("kind"))
     out = out.unionByName(_facts(value_counts(errors, "kind", top), "error", F.col("value"), F.col("count")))
     for c in categories:
-        n = df.agg(F.count_distinct(c).alias("n"))
+        n = facts.agg(F.count_distinct(c).alias("n"))
         out = out.unionByName(_facts(n, "distinct", F.lit(c), F.col("n")))
-        out = out.unionByName(_facts(value_counts(df, c, top), f"top {c}", F.col("value"), F.col("count")))
+        out = out.unionByName(_facts(value_counts(facts, c, top), f"top {c}", F.col("value"), F.col("count")))
     return out
 
 
