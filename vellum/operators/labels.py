@@ -44,20 +44,23 @@ def tfidf_term_scores(df: DataFrame, group: str, doc: str, text: str,
     """(group, term, score): summed L2-normalised TF-IDF per cluster."""
     sw = english_stop_words() if stop_words is None else stop_words
     docs = df.filter(~is_blank(text)).select(group, doc, text)
-    # explode first, then drop stop words with a hashed set test (InSet), not
-    # a per-token scan of the stop list inside a lambda
-    # a table: four branches read the counts, the texts are cut into terms once
-    tf = cut_lineage(docs.select(group, doc, F.explode(tokens(text)).alias("term"))
-                     .filter(~F.col("term").isin(list(sw)))
+    # texts move, not their terms, which are many times their bytes: terms are then
+    # counted where they are.  The outer explode leaves out the planner's filter, which
+    # would cut each text twice more.  Stop words are a hashed set test (InSet), not a
+    # per-token scan of the list inside a lambda.  A table: two branches read the counts
+    rows = docs.repartition(group, doc).select(group, doc, F.explode_outer(tokens(text)).alias("term"))
+    tf = cut_lineage(rows.filter(F.col("term").isNotNull() & ~F.col("term").isin(list(sw)))
                      .groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf")))
     vocab = tf.groupBy(group, "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     if max_features:
         vocab = most_frequent(vocab, group, max_features)
     n_docs = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    w = (tf.join(vocab, [group, "term"], "inner").join(n_docs, group, "inner")
-           .withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)))
-    norm = w.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norm, [group, doc], "inner")
+    idf = (vocab.join(n_docs, group, "inner")
+           .select(group, "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    w = (tf.filter(F.col(doc).isNotNull()).join(idf, [group, "term"], "inner")
+           .select(group, doc, "term", (F.col("tf") * F.col("idf")).alias("w")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, doc)))
+    return (w.withColumn("norm", norm)
              .groupBy(group, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score")))
 
 

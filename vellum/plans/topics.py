@@ -45,7 +45,7 @@ def topic_hierarchy(docs: DataFrame, *, cluster: str = "cluster_id", vec: str =
         th = float(H.choose_threshold(scores).first()["th"])
     assign = H.label_clusters(H.cut_tree(tree, items, [th])).select(
         F.col("item").alias(cluster), F.col("label").alias("main_topic"))
-    cards = cluster_cards(d, cluster, doc, text)
+    cards = cut_lineage(cluster_cards(d, cluster, doc, text))  # a row a cluster, read by every table below
     topics = H.topic_keywords(assign, cards.select(cluster, "name"), cluster)
     tagged = soft_tags(H.assign_main_topics(d, assign, cluster), cent, vec, cluster,
                        threshold=subtopic_similarity, doc=doc)
@@ -53,5 +53,5 @@ def topic_hierarchy(docs: DataFrame, *, cluster: str = "cluster_id", vec: str =
                             .groupBy(F.col("main_topic").alias("merged_cluster_id"))
                             .agg(F.array_sort(F.collect_list("name")).alias("subclusters")))
     merged = H.merged_topic_table(merged_members, cards)
-    merged = merged.withColumn("main_topic", keyword_label("keywords"))
+    merged = cut_lineage(merged.withColumn("main_topic", keyword_label("keywords")))
     return TopicResult(th, scores, assign, cards, topics, tagged, merged)
