@@ -14,7 +14,7 @@ fold.  Texts without any letter get NULL.  Ties go to the smaller code.
 
 G3: rows whose normalised language is supported and not English are passed
 through a user batch function per language; everything else passes through
-unchanged.  The work runs in ``mapInPandas`` on the rows' own partitions (no
+unchanged.  The work runs in ``mapInArrow``, a few rows at a time, on the rows' own partitions (no
 shuffle by language), grouping by language inside each Arrow batch, so a
 language holding a third of the rows is still spread over all tasks.
 """
@@ -34,6 +34,7 @@ from vellum.functions.text import lang_code_norm
 from vellum.session import cut_lineage
 
 GRAM = 3
+ROUTED_ROWS = 256         # rows whose texts are Python strings at once
 PROFILE_ROWS = 2_000_000  # (language, gram) rows of a profile that every task gets: some 32 MB
 
 
@@ -146,14 +147,23 @@ def language_routed(df: DataFrame, lang: str, columns: Sequence[str],
     schema = T.StructType(list(todo.schema.fields) + [T.StructField(f"{c}_en", T.StringType())
                                                        for c in columns])
 
+    names = todo.columns
+    new = [f"{c}_en" for c in columns]
+
     def run(batches):
         for b in batches:
-            for c in columns:
-                out = pd.Series([None] * len(b), index=b.index, dtype=object)
-                for code, idx in b.groupby("_norm").groups.items():
-                    out.loc[idx] = fn(code, b.loc[idx, c]).to_numpy()
-                b[f"{c}_en"] = out
-            yield b
-
-    done = todo.mapInPandas(run, schema)
+            for at in range(0, b.num_rows, ROUTED_ROWS):
+                part = b.slice(at, ROUTED_ROWS)
+                # only what the function takes becomes Python strings, a slice at a time
+                codes = part.column(names.index("_norm")).to_pandas()
+                out = []
+                for c in columns:
+                    texts = part.column(names.index(c)).to_pandas()
+                    done = pd.Series([None] * len(texts), dtype=object)
+                    for code, idx in codes.groupby(codes).groups.items():
+                        done.loc[idx] = fn(code, texts.loc[idx]).to_numpy()
+                    out.append(pa.array(done, pa.string(), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*names, *new])
+
+    done = todo.mapInArrow(run, schema)
     return keep.unionByName(done).drop("_norm")
