@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellum.operators import density, knn, pivots
@@ -39,6 +40,45 @@ def test_scattered_vectors_through_many_tiles(spark):
         assert got[i] == np.argsort(d, kind="stable")[:4].tolist()
 
 
+def test_long_vectors_make_small_tiles():
+    """Tiles of rows alone would hold 65,536 x 4,096 doubles, 2 GB."""
+    cells = pivots.Cells(np.zeros((2, 4096)), group=np.array([""] * 40, object), part=np.arange(40) % 2, ring=np.zeros(40, int),
+                         block=np.arange(40) // 2, rows=np.full(40, 1024))
+    cells.make_tiles(65_536)
+    assert (np.bincount(cells.tile, weights=cells.rows) * 4096 * 8).max() <= 128 << 20
+    assert len(set(zip(cells.tile.tolist(), cells.nth.tolist(), strict=True))) == 40
+
+
+def test_ties_of_long_vectors_are_measured_in_small_batches():
+    """38,400 pairs as near as the third: three tables of 2,048 doubles a pair are 1.9 GB."""
+    q, t = np.ones((64, 2048)), np.zeros((600, 2048))
+    tracemalloc.start()
+    parts = list(knn.nearest_rows(np.arange(64), q, np.arange(600)[::-1], t, np.arange(600), 3, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and np.concatenate([p[1] for p in parts]).tolist() == [0, 1, 2] * 64
+
+
+def test_doubles_in_one_piece_are_not_copied():
+    lists = pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float64()))
+    x = pivots.matrix(pa.chunked_array([lists]))
+    assert x.tolist() == [[1, 2], [3, 4]] and np.shares_memory(x, lists.flatten().to_numpy())
+    assert pivots.matrix(pa.chunked_array([lists, lists.cast(pa.list_(pa.float32())).cast(lists.type)])).tolist() == [[1, 2], [3, 4]] * 2
+
+
+def test_small_tiles_find_the_same_rows(spark, monkeypatch):
+    """Tiles and tasks of few bytes: every query still meets every cell that it needs."""
+    monkeypatch.setattr(pivots, "TILE_BYTES", 24 * 8 * 20)
+    monkeypatch.setattr(pivots, "QUERY_BYTES", 24 * 8 * 30)
+    x, df = _scattered(spark)
+    nb = knn.knn_join(df, df, 4, qid="id", tid="id", qvec="vec", tvec="vec", label="label", exclude_self=True, shared_train_bytes=0)
+    got = {r.id: [n.tid for n in r.neighbors] for r in nb.collect()}
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert got[i] == np.argsort(d, kind="stable")[:4].tolist()
+
+
 def test_forest_kernel_holds_no_wide_strip():
     """512 rows beside 40,000: the strip of distances stays a few megabytes."""
     rng = np.random.default_rng(1)

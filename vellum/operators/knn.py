@@ -36,7 +36,7 @@ TRAIN_BLOCK_BYTES = 64 << 20   # training vectors held by one task
 QUERY_BLOCK_ROWS = 2048        # queries scored by one task
 MAX_GROUP_STATS_BROADCAST = 100_000
 SHARED_TRAIN_BYTES = 16 << 20  # training tables up to this are broadcast after a count
-EXACT_ROWS = 65_536            # pairs measured directly at once
+EXACT_BYTES = 32 << 20         # vectors of the pairs measured directly at once
 WAITING_ROWS = 1 << 18         # candidates that wait to be ranked
 
 
@@ -46,7 +46,7 @@ def nearest_rows(qid, qm, tid, tm, lab, k: int, exclude_self: bool):
     by_id = np.argsort(tid, kind="stable")  # places in order of id, for ties
     tm, tid, lab = tm[by_id], tid[by_id], lab[by_id]
     tn = np.einsum("ij,ij->i", tm, tm)
-    m = min(k, len(tid))
+    m, at_once = min(k, len(tid)), pivots.fitting(EXACT_BYTES, tm)
     for s in range(0, len(qm), 512):
         qc = qm[s:s + 512]
         qi = qid[s:s + 512]
@@ -58,8 +58,8 @@ def nearest_rows(qid, qm, tid, tm, lab, k: int, exclude_self: bool):
         kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
         slack = 1e-9 * (1.0 + np.einsum("ij,ij->i", qc, qc) + tn.max())
         rows, cand = np.nonzero(d2 <= (kth + slack)[:, None])
-        for a in range(0, len(rows), EXACT_ROWS):
-            r, c = rows[a:a + EXACT_ROWS], cand[a:a + EXACT_ROWS]
+        for a in range(0, len(rows), at_once):
+            r, c = rows[a:a + at_once], cand[a:a + at_once]
             diff = qc[r] - tm[c]
             d2[r, c] = np.einsum("ij,ij->i", diff, diff)
         if exclude_self:
@@ -183,8 +183,9 @@ def _neighbour_lists(cand: DataFrame, k: int) -> DataFrame:
 def _within(qid, qm, tid, tm, some, near, limit, slack, exclude_self):
     """Parts of (query row, point row, dist) of the pairs within the queries' limits."""
     i, j = pivots.close_pairs(qm[some], tm[near], limit[some], slack)
-    for a in range(0, len(i), EXACT_ROWS):
-        q, t = some[i[a:a + EXACT_ROWS]], near[j[a:a + EXACT_ROWS]]
+    at_once = pivots.fitting(EXACT_BYTES, tm)
+    for a in range(0, len(i), at_once):
+        q, t = some[i[a:a + at_once]], near[j[a:a + at_once]]
         if exclude_self:
             other = np.asarray(qid[q] != tid[t], bool)
             q, t = q[other], t[other]

@@ -46,6 +46,8 @@ TILE_CELLS = 16         # full cells whose points make a tile
 MAX_TILE_CELLS = 1024   # cells of a tile: each is a bit of a row
 QUERY_ROWS = 4096       # queries that meet a cell in one task
 TILE_QUERIES = 32_768   # queries that meet a tile in one task, at most
+TILE_BYTES = 128 << 20  # points of a tile, at most, unless it is one cell: long vectors make smaller tiles
+QUERY_BYTES = 64 << 20  # queries that meet a tile in one task, at most
 TILE_TASKS = 64         # tasks that a round is cut into, if they have `QUERY_ROWS` queries
 BATCH_PAIRS = 1 << 18   # pairs measured at once
 AT_ONCE = 1 << 21       # bounds that a task holds at once
@@ -56,12 +58,12 @@ SLACK = 1e-7
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of equal length as a table of doubles."""
+    """Rows of equal length as a table of doubles; read only, as doubles in one piece are not copied."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+        column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()  # which copies one, too
     if isinstance(column, pa.ChunkedArray):  # several chunks, or none
         column = pa.concat_arrays(column.chunks)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -71,6 +73,11 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def fitting(most: int, vectors: np.ndarray) -> int:
+    """Rows as long as these that fit into ``most`` bytes; one at least."""
+    return max(1, most // (8 * max(1, vectors.shape[1])))
+
+
 def nearby(x: np.ndarray) -> np.ndarray:
     """Rows in an order that keeps near ones together: halves by two far rows, again and again."""
     out, todo = [np.zeros(0, np.int64)], [np.arange(len(x))]
@@ -108,7 +115,9 @@ class Cells:
         self._between = self._by_group = None
 
     def make_tiles(self, tile_rows: int) -> None:
-        """Cells in order of group and of near pivots, cut into tiles of about ``tile_rows``."""
+        """Cells in order of group and of near pivots, cut into tiles of about ``tile_rows``
+        or, of long vectors, `TILE_BYTES`."""
+        tile_rows = min(tile_rows, fitting(TILE_BYTES, self.pivots))
         rank = np.empty(len(self.pivots), np.int64)
         rank[nearby(self.pivots)] = np.arange(len(rank))
         group = np.unique(self.group.astype(str), return_inverse=True)[1] if len(self.group) else self.part
@@ -173,7 +182,7 @@ def place(points: DataFrame, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_P
 
     placed = cut_lineage(points.mapInArrow(assign, schema)) if n else points.withColumns(
         {"part": F.lit(0), "dp": F.lit(0.0)})
-    size = max(cell_rows, 2 * n // MAX_CELLS)
+    size = max(min(cell_rows, fitting(TILE_BYTES, pivots)), 2 * n // MAX_CELLS)
     steps = [i / RINGS for i in range(1, RINGS)]
     parts = placed.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("dp", steps, 1000).alias("cuts"))
     # of a large part every m-th cut; a ring that is still too large is cut by hash
@@ -265,7 +274,7 @@ def meet_tiles(visiting: DataFrame, placed: DataFrame, cells: Cells, kernel: Cal
     `near_batches`; ``visiting`` is a table of the shared folder."""
     spark = visiting.sparkSession
     shared = spark.sparkContext.broadcast(cells.pivots)
-    query_rows = query_rows or min(TILE_QUERIES, max(QUERY_ROWS, visiting.count() // TILE_TASKS))
+    query_rows = query_rows or min(TILE_QUERIES, fitting(QUERY_BYTES, cells.pivots), max(QUERY_ROWS, visiting.count() // TILE_TASKS))
     per = visiting.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("tasks"))
     at = pa.table({"g": pa.array(cells.group.tolist(), pa.string()), **{c: pa.array(getattr(cells, c), pa.int32()) for c in
                                                                         (*KEY[1:], "tile", "nth")}})
