@@ -140,12 +140,10 @@ def _search(asking: DataFrame, now: DataFrame, cells: pivots.Cells, schema: T.St
             column = lambda t, c: t[c].to_numpy()
             qid, qcore, qcomp, limit = (column(queries, c) for c in ("id", "core", "comp", "r"))
             tid, tcore, tcomp = (column(points, c) for c in ("id", "core", "comp"))
-            qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"])
+            qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"], floats=True)
             group, limit = np.unique(qcomp, return_inverse=True)[1], limit.copy()
             least = np.full(len(group), np.inf)  # of each component, by its number
-            for some, near in pivots.near_batches(queries, points, qm, vectors, limit, slack):
-                q, t = pivots.close_pairs(qm[some], tm[near], limit[some], slack)
-                q, t = some[q], near[t]
+            for _, _, (q, t) in pivots.near_batches(queries, points, qm, tm, vectors, limit, slack):
                 other = np.asarray(qcomp[q] != tcomp[t], bool)
                 q, t = q[other], t[other]
                 for i in range(0, len(q), 65_536):

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellum.functions.text import confidence
 from vellum.operators import pivots
-from vellum.session import cut_lineage
+from vellum.session import cut_lineage, drop_lineage_table
 
 TRAIN_BLOCK_BYTES = 64 << 20   # training vectors held by one task
 QUERY_BLOCK_ROWS = 2048        # queries scored by one task
@@ -163,9 +163,10 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, qid: str, tid: str
     n_train, dim = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if n_train * ((dim or 0) * 8 + 64) <= shared_train_bytes:
         cand = q.mapInPandas(_against_shared(spark, t, _kernel_factory(k, exclude_self)), schema)
+        found = _neighbour_lists(cand, k)
     else:
-        cand = pruned_candidates(q, t, k, schema, exclude_self, cell_rows)[0]
-    return _neighbour_lists(cand, k).withColumnRenamed("qid", qid)
+        found = pruned_lists(q, t, k, schema, exclude_self, cell_rows)[0]
+    return found.withColumnRenamed("qid", qid)
 
 
 def nearest_k(cand: DataFrame, k: int) -> DataFrame:
@@ -180,12 +181,12 @@ def _neighbour_lists(cand: DataFrame, k: int) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("dist", "tid", "label"))).alias("neighbors")))
 
 
-def _within(qid, qm, tid, tm, some, near, limit, slack, exclude_self):
+def _within(qid, qm, tid, tm, pairs, limit, slack, exclude_self):
     """Parts of (query row, point row, dist) of the pairs within the queries' limits."""
-    i, j = pivots.close_pairs(qm[some], tm[near], limit[some], slack)
+    i, j = pairs
     at_once = pivots.fitting(EXACT_BYTES, tm)
     for a in range(0, len(i), at_once):
-        q, t = some[i[a:a + at_once]], near[j[a:a + at_once]]
+        q, t = i[a:a + at_once], j[a:a + at_once]
         if exclude_self:
             other = np.asarray(qid[q] != tid[t], bool)
             q, t = q[other], t[other]
@@ -209,58 +210,77 @@ def _shortened(found, parts, by_id, limit, k: int):
 
 def pruned_candidates(q: DataFrame, t: DataFrame, k: int, schema: T.StructType, exclude_self: bool,
                       cell_rows: int = pivots.CELL_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(the k nearest rows of each query, the pairs measured in each round), by the
-    cells of `vellum.operators.pivots`."""
+    """(the k nearest rows of each query, the pairs measured in each round), by `pruned_lists`."""
+    lists, measured = pruned_lists(q, t, k, schema, exclude_self, cell_rows)
+    return lists.select("qid", F.explode("neighbors").alias("n")).select("qid", "n.tid", "n.dist", "n.label"), measured
+
+
+def pruned_lists(q: DataFrame, t: DataFrame, k: int, schema: T.StructType, exclude_self: bool,
+                 cell_rows: int = pivots.CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((qid, neighbors), the pairs measured in each round), by the cells of
+    `vellum.operators.pivots`.  A query has one row for a tile, with its k nearest there."""
     need = k + int(exclude_self)
     # of equal vectors only so many smallest ids can be neighbours
     copies = Window.partitionBy("g", "vec").orderBy("tid")
     t = (t.filter("vec IS NOT NULL AND g IS NOT NULL").withColumn("_n", F.row_number().over(copies))
          .filter(F.col("_n") <= need).drop("_n"))
-    placed, cells = pivots.place(t.withColumnRenamed("tid", "id"), cell_rows)
-    q = q.filter("vec IS NOT NULL AND g IS NOT NULL").select(F.col("qid").alias("id"), "g", F.col("vec").cast("array<double>").alias("vec"))
-    out = T.StructType([*schema.fields, T.StructField("measured", T.LongType())])
-    names, slack = out.names, cells.slack
-    types = [f.type for f in to_arrow_schema(out)]
+    placed, cells = pivots.place(cut_lineage(t.withColumnRenamed("tid", "id")), cell_rows)
+    q = q.filter("vec IS NOT NULL AND g IS NOT NULL").select(F.col("qid").alias("id"), "g", pivots.numbers(q).alias("vec"))
+    one = T.StructType([schema["dist"], schema["tid"], schema["label"]])
+    out = T.StructType([schema["qid"], T.StructField("found", T.ArrayType(one)), T.StructField("measured", T.LongType())])
+    arrow, slack = to_arrow_schema(out), cells.slack
+    names, (dist_type, tid_type, label_type) = one.names, (f.type for f in to_arrow_schema(one))
 
     def kernel(queries: pa.Table, points: pa.Table, vectors) -> pa.Table:
-        found, waiting, measured = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], [], 0
+        found, waiting, held, measured = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], [], 0, 0
         if queries.num_rows and points.num_rows:
             qid, tid = queries["id"].to_numpy(), points["id"].to_numpy()
-            qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"])
+            qm, tm = pivots.matrix(queries["vec"]), pivots.matrix(points["vec"], floats=True)
             limit = queries["r"].to_numpy().copy()
             by_id = np.empty(len(tid), np.int64)  # places in order of id, for ties
             by_id[np.argsort(tid, kind="stable")] = np.arange(len(tid))
-            for some, near in pivots.near_batches(queries, points, qm, vectors, limit, slack):
+            for some, near, close in pivots.near_batches(queries, points, qm, tm, vectors, limit, slack):
                 measured += len(some) * len(near)
-                if np.isinf(limit[some]).all():
-                    for rows, _, dist, at in nearest_rows(qid[some], qm[some], tid[near], tm[near], near, k, exclude_self):
+                before = len(waiting)
+                if close is None:
+                    own = tm[near].astype(np.float64, copy=False)
+                    for rows, _, dist, at in nearest_rows(qid[some], qm[some], tid[near], own, near, k, exclude_self):
                         waiting.append((some[rows], at, dist))
                 else:
-                    waiting += _within(qid, qm, tid, tm, some, near, limit, slack, exclude_self)
-                if sum(len(p[0]) for p in waiting) >= WAITING_ROWS:
-                    found, waiting = _shortened(found, waiting, by_id, limit, k), []
+                    waiting += _within(qid, qm, tid, tm, close, limit, slack, exclude_self)
+                held += sum(len(p[0]) for p in waiting[before:])
+                if held >= WAITING_ROWS:
+                    found, waiting, held = _shortened(found, waiting, by_id, limit, k), [], 0
             found = _shortened(found, waiting, by_id, limit, k)
         q_at, t_at, dist = found
-        table = pa.table([queries["id"].take(pa.array(q_at)), points["id"].take(pa.array(t_at)), pa.array(dist, pa.float64()),
-                          points["label"].take(pa.array(t_at)), pa.nulls(len(q_at), pa.int64())], names=names)
-        count = pa.table([*(pa.nulls(1, x) for x in types[:4]), pa.array([measured], pa.int64())], names=names)
-        return pa.concat_tables([table.cast(count.schema), count])
+        rows, first = np.unique(q_at, return_index=True)
+        ends = pa.array(np.append(first, len(q_at)), pa.int32())
+        taken = lambda c, kind: points[c].take(pa.array(t_at)).combine_chunks().cast(kind)
+        near = pa.StructArray.from_arrays([pa.array(dist, dist_type), taken("id", tid_type),
+                                           taken("label", label_type)], names)
+        table = pa.Table.from_arrays([queries["id"].take(pa.array(rows)), pa.ListArray.from_arrays(ends, near),
+                                      pa.nulls(len(rows), pa.int64())], names=arrow.names)
+        count = pa.Table.from_arrays([pa.nulls(1, arrow.types[0]), pa.nulls(1, arrow.types[1]), pa.array([measured], pa.int64())], schema=arrow)
+        return pa.concat_tables([table.cast(arrow), count])
 
     best, measured = None, []
     for nth, (first, last) in enumerate(((None, None), *pivots.ROUNDS)):
         if best is None:
             asking = q.withColumn("r", F.lit(float("inf")))
         else:
-            radius = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(float("inf")).alias("r"))
-            asking = (q.join(radius.withColumnRenamed("qid", "id"), "id", "left")
+            radius = best.select(F.col("qid").alias("id"), F.try_element_at("neighbors", F.lit(k))["dist"].alias("r"))
+            asking = (q.join(radius, "id", "left")
                       .withColumn("r", F.coalesce("r", F.lit(float("inf")))))
         visiting = cut_lineage(pivots.visits(asking, cells, need, first, last))
         if nth and visiting.isEmpty():
             continue
-        found = cut_lineage(pivots.meet_tiles(visiting, placed, cells, kernel, out))
-        measured.append(found.filter("measured IS NOT NULL").agg(F.sum("measured").alias("pairs")).withColumn("round", F.lit(nth)))
-        cand = found.filter("qid IS NOT NULL AND measured IS NULL").select(*schema.names)
-        best = cut_lineage(nearest_k(cand if best is None else best.unionByName(cand), k))
+        met = cut_lineage(pivots.meet_tiles(visiting, placed, cells, kernel, out))
+        measured.append(met.filter("measured IS NOT NULL").agg(F.sum("measured").alias("pairs")).withColumn("round", F.lit(nth)))
+        lists = met.filter("qid IS NOT NULL AND measured IS NULL").select("qid", F.col("found").alias("neighbors"))
+        lists = lists if best is None else best.unionByName(lists)
+        best = cut_lineage(lists.groupBy("qid").agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("neighbors"))), 1, k).alias("neighbors")))
+        drop_lineage_table(visiting)
     return best, functools.reduce(DataFrame.unionByName, measured)
 
 
@@ -275,10 +295,15 @@ def vote(neighbors: str = "neighbors"):
 def knn_classify(queries: DataFrame, train: DataFrame, k: int = 3, *, qid: str, tid: str,
                  qvec: str, tvec: str, label: str, exclude_self: bool = False,
                  qgroup: str | None = None, tgroup: str | None = None,
-                 pred: str = "pred", conf: str = "confidence") -> DataFrame:
-    """K1: majority vote of the k nearest (Euclidean) and 1/(1+d₁) confidence."""
-    nb = knn_join(queries, train, k, qid=qid, tid=tid, qvec=qvec, tvec=tvec, label=label,
-                  exclude_self=exclude_self, qgroup=qgroup, tgroup=tgroup)
+                 pred: str = "pred", conf: str = "confidence", lists: DataFrame | None = None) -> DataFrame:
+    """K1: majority vote of the k nearest (Euclidean) and 1/(1+d₁) confidence.  ``lists`` are
+    neighbours that `knn_join` found for the same arguments and a ``k`` as large at least."""
+    nb = lists
+    if nb is None:
+        nb = knn_join(queries, train, k, qid=qid, tid=tid, qvec=qvec, tvec=tvec, label=label,
+                      exclude_self=exclude_self, qgroup=qgroup, tgroup=tgroup)
+    else:
+        nb = nb.withColumn("neighbors", F.slice("neighbors", 1, k))
     return nb.select(qid, vote("neighbors").alias(pred),
                      confidence(F.col("neighbors")[0]["dist"]).alias(conf))
 

@@ -16,6 +16,9 @@ bound and in rounds: first the cells that hold enough points, then a few more, t
 all that the radius found so far still leaves.  Within a cell the ring does the same
 for single points.
 
+Where a radius is known, a product in single precision with a bound of its error tells which
+pairs are worth measuring; distances themselves are always taken from differences of doubles.
+
 Cells whose pivots lie near each other form a tile of about ``TILE_CELLS`` full cells.
 A query is sent once to a tile, with one bit for each of its cells: where vectors have
 so many dimensions that a radius reaches most cells, a query still moves once for tens
@@ -42,7 +45,7 @@ MAX_PIVOTS = 2048
 MAX_CELLS = 200_000     # cells, about: their numbers travel to every task
 CELL_ROWS = 4096        # points of a cell, about
 RINGS = 64              # rings of a part
-TILE_CELLS = 16         # full cells whose points make a tile
+TILE_CELLS = 64         # full cells whose points make a tile
 MAX_TILE_CELLS = 1024   # cells of a tile: each is a bit of a row
 QUERY_ROWS = 4096       # queries that meet a cell in one task
 TILE_QUERIES = 32_768   # queries that meet a tile in one task, at most
@@ -55,15 +58,19 @@ KEY = ["g", "part", "ring", "block"]
 #: Cells of the rounds after the first, in order of their bounds.
 ROUNDS = ((0, 8), (8, None))
 SLACK = 1e-7
+MANY_CLOSE = 1 / 64     # share of a batch's pairs from which single precision is too coarse
 
 
-def matrix(column) -> np.ndarray:
-    """Rows of equal length as a table of doubles; read only, as doubles in one piece are not copied."""
+def matrix(column, floats: bool = False) -> np.ndarray:
+    """Rows of equal length as a table of doubles, or of ``floats`` if they are; read only, as
+    numbers in one piece are not copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()  # which copies one, too
     if isinstance(column, pa.ChunkedArray):  # several chunks, or none
         column = pa.concat_arrays(column.chunks)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if not floats or flat.dtype != np.float32:
+        flat = flat.astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -154,6 +161,12 @@ class Cells:
         return np.maximum(np.maximum(d - self.high[cells], self.low[cells] - d), np.maximum(plane, 0.0))
 
 
+def numbers(rows: DataFrame, vec: str = "vec"):
+    """The vectors as doubles, or as floats if they are that: half the bytes to move."""
+    kind = rows.schema[vec].dataType
+    return F.col(vec) if kind.elementType == T.FloatType() else F.col(vec).cast("array<double>")
+
+
 def with_columns(batch: pa.RecordBatch, extra: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], names=[*batch.schema.names, *extra])
 
@@ -163,7 +176,7 @@ def place(points: DataFrame, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_P
     """Points (id, g, vec, ...) with the key of their cell and ``dp``, their distance to
     its pivot, as a table of the shared folder; and the cells.  ``extra`` are further
     aggregates of a cell; pivots are ``roots`` times the square root of the points."""
-    points = points.withColumn("vec", F.col("vec").cast("array<double>"))
+    points = points.withColumn("vec", numbers(points))
     n, groups = points.agg(F.count(F.lit(1)), F.approx_count_distinct("g")).first()
     wanted = max(1, min(max_pivots, roots * math.isqrt(n), MAX_CELLS // (2 * max(1, groups))))
     sample = (points.select("id", "vec").orderBy(F.xxhash64("vec"), "id").limit(4 * wanted)
@@ -297,29 +310,98 @@ def meet(visiting: DataFrame, placed: DataFrame, kernel: Callable, schema, query
     return q.groupBy(*KEY, "task").cogroup(t.groupBy(*KEY, "task")).applyInArrow(kernel, schema)
 
 
-def near_batches(queries: pa.Table, points: pa.Table, qm: np.ndarray, pivots: np.ndarray, limit: np.ndarray,
+class Rough:
+    """Which pairs of rows of two tables may lie within a distance of each other, by products
+    in single precision (double, if the numbers do not fit into that) of the rows less the
+    middle of the points; none that does is left out."""
+
+    def __init__(self, qm: np.ndarray, tm: np.ndarray, order: np.ndarray):
+        self.qm, self.tm, self.order = qm, tm, order
+        self.room = np.zeros(0)  # of the products, and of what is within: fresh pages cost more than the product
+        with np.errstate(all="ignore"):
+            middle = tm.mean(axis=0, dtype=np.float64)
+            if not np.isfinite(middle).all():
+                middle = np.zeros(tm.shape[1])
+            for self.kind in (np.float32, np.float64):
+                self.x, self.xn = self._side(qm, None, middle)
+                self.y, yn = self._side(tm, order, middle)
+                self.far = math.sqrt(yn.max(initial=0.0))
+                most = max(self.xn.max(initial=0.0), self.far ** 2)
+                if 1e-25 < most < 1e25:
+                    break
+            self.y[:, -1] = -0.5 * yn
+        self.x[:, -1] = 1.0
+
+    def _side(self, rows, order, middle):
+        """Rows and a column to fill, and the squares of their lengths as rounded."""
+        n = len(rows) if order is None else len(order)
+        out, squares = np.empty((n, len(middle) + 1), self.kind), np.empty(n)
+        for i in range(0, n, 8192):
+            s = slice(i, i + 8192)
+            out[s, :-1] = rows[s if order is None else order[s]] - middle
+            held = out[s, :-1].astype(np.float64, copy=False)
+            squares[s] = np.einsum("ij,ij->i", held, held)
+        return out, squares
+
+    def pairs(self, rows: np.ndarray, low: int, high: int, limit: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of queries, rows of points) of the pairs of ``rows`` and the points from place
+        ``low`` to ``high`` whose distance may be within the ``limit`` of the query."""
+        unit, xn = float(np.finfo(self.kind).eps), self.xn[rows]
+        reach = np.sqrt(xn) + self.far
+        with np.errstate(all="ignore"):
+            # rounded rows, then the product's sums: each at most this far off
+            wide = limit + slack + unit * reach
+            least = 0.5 * (xn - wide * wide) - (self.x.shape[1] + 4) * unit * reach * reach
+            least = np.nextafter(least.astype(self.kind), self.kind(-np.inf))
+        shape = (len(rows), high - low)
+        cells = shape[0] * shape[1]
+        if len(self.room) < cells:
+            self.room, self.within = np.empty(cells, self.kind), np.empty(cells, bool)
+        product, within = self.room[:cells].reshape(shape), self.within[:cells]
+        np.matmul(self.x[rows], self.y[low:high].T, out=product)
+        np.greater_equal(product, least[:, None], out=within.reshape(shape))
+        found = np.flatnonzero(within)
+        if self.kind == np.float32 and len(found) > MANY_CLOSE * cells:
+            i, j = close_pairs(self.qm[rows], self.tm[self.order[low:high]].astype(np.float64, copy=False), limit, slack)
+        else:
+            i, j = np.divmod(found, max(1, high - low))
+        return rows[i], self.order[low + j]
+
+
+def near_batches(queries: pa.Table, points: pa.Table, qm: np.ndarray, tm: np.ndarray, pivots: np.ndarray, limit: np.ndarray,
                  slack: float, pairs: int = BATCH_PAIRS):
-    """(rows of queries, rows of points): for each cell of a tile, batches of the queries
-    that visit it, of like distance to the pivot, and the points whose own distance leaves
-    them within the queries' ``limit``, which may shrink on the way; about ``pairs`` at
-    once."""
+    """(rows of queries, rows of points, close pairs): for each cell of a tile, batches of the
+    queries that visit it, of like distance to the pivot, and the points whose own distance
+    leaves them within the queries' ``limit``, which may shrink on the way; about ``pairs``
+    at once.  ``close pairs`` are the rows of those that may be within the limit, None if no
+    query has a limit yet."""
     if not queries.num_rows or not points.num_rows:
         return
     nth, part, dp = (points[c].to_numpy() for c in ("nth", "part", "dp"))
     bits = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in queries["cells"].to_pylist()]), axis=1)
     order = np.lexsort((dp, nth))
-    for near in np.split(order, np.flatnonzero(np.diff(nth[order])) + 1):
-        some = np.flatnonzero(bits[:, nth[near[0]]])
-        dq = np.sqrt(((qm[some] - pivots[part[near[0]]]) ** 2).sum(axis=1))
-        by_ring, own = np.argsort(dq, kind="stable"), dp[near]
-        at = max(64, pairs // len(near))
+    qn, rough = np.einsum("ij,ij->i", qm, qm), None
+    ends = np.flatnonzero(np.diff(nth[order])) + 1
+    for first, last in zip([0, *ends.tolist()], [*ends.tolist(), len(order)], strict=True):
+        some, pivot = np.flatnonzero(bits[:, nth[order[first]]]), pivots[part[order[first]]]
+        if not len(some):
+            continue
+        x = qm if len(some) == len(qm) else qm[some]
+        dq = np.sqrt(np.maximum(qn[some] + pivot @ pivot - 2.0 * (x @ pivot), 0.0))
+        by_ring, own = np.argsort(dq, kind="stable"), dp[order[first:last]]
+        at = max(64, pairs // (last - first))
         for i in range(0, len(some), at):
             rows = by_ring[i:i + at]
             batch = some[rows]
-            low = np.searchsorted(own, (dq[rows] - limit[batch]).min() - slack)
-            high = np.searchsorted(own, (dq[rows] + limit[batch]).max() + slack, "right")
-            if low < high:
-                yield batch, near[low:high]
+            low = first + np.searchsorted(own, (dq[rows] - limit[batch]).min() - slack)
+            high = first + np.searchsorted(own, (dq[rows] + limit[batch]).max() + slack, "right")
+            if low >= high:
+                continue
+            if np.isinf(limit[batch]).all():
+                yield batch, order[low:high], None
+            else:
+                rough = rough or Rough(qm, tm, order)
+                yield batch, order[low:high], rough.pairs(batch, low, high, limit[batch], slack)
 
 
 def close_pairs(x: np.ndarray, y: np.ndarray, limit: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
