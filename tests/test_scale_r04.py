@@ -1,4 +1,4 @@
-"""Searches that measure less: one for several k, single precision first."""
+"""Searches that measure less: one for several k, single precision first, lists before cells."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators import knn, pivots
+from vellum.operators import density, knn, pivots
 from vellum.plans import catalog
 
 
@@ -62,3 +62,36 @@ def test_floats_stay_floats_and_a_tile_sends_one_row(spark):
         d = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(axis=1))
         d[i] = np.inf
         assert got[i] == np.argsort(d, kind="stable")[:4].tolist()
+
+
+def _plain_cut(x, eps, size, samples):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, samples - 1]
+    a, b = np.nonzero((np.maximum(np.maximum(core[:, None], core[None]), d) <= eps) & ~np.eye(len(x), dtype=bool))
+    root = density._forest(len(x), a, b)
+    n = np.bincount(root, minlength=len(x))[root]
+    return np.where(n >= max(2, size), root, -1)
+
+
+def test_lists_settle_most_points_and_the_rest_search(spark, monkeypatch):
+    """A small clump's lists hold only itself; its pairs with other clumps have to be searched."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(0, 12, (150, 2)), [5.0, 30.0] + 0.05 * rng.normal(size=(30, 2)),
+                        [5.9, 30.0] + 0.05 * rng.normal(size=(20, 2)), [40.0, 40.0] + 0.05 * rng.normal(size=(4, 2))])
+    configs = [(1.0, 3, 3), (1.0, 30, 3), (0.5, 3, 5), (1.0, 3, 5)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    asked, visits = [], pivots.visits
+    monkeypatch.setattr(pivots, "visits", lambda q, *a: asked.append(q.count()) or visits(q, *a))
+    got = density.density_clusters(df, "id", "v", configs).collect()
+    for n, config in enumerate(configs):
+        mine = {r.id: r.cluster for r in got if r.cfg == n}
+        assert [mine[i] for i in range(len(x))] == _plain_cut(x, *config).tolist(), config
+    assert len(asked) == 1 and 0 < asked[0] <= 60 + 30
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, int(a), int(b)) for c in (0, 1) for a, b in rng.integers(0, 80, (70 if c else 40, 2))]
+    edges = spark.createDataFrame(rows, "cfg int, node long, root long")
+    one, rounds, mixed = ({(r.cfg, r.node): r.comp for r in density.connected_components(edges, n).collect()} for n in (1000, 0, 50))
+    assert one == rounds == mixed and len(one) == len({(c, v) for c, *ab in rows for v in ab})
