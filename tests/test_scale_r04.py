@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.operators import density, knn, pivots
+from vellum.operators import density, density_tree, knn, pivots
 from vellum.plans import catalog
 
 
@@ -95,3 +95,35 @@ def test_components_in_one_task_and_in_rounds(spark):
     edges = spark.createDataFrame(rows, "cfg int, node long, root long")
     one, rounds, mixed = ({(r.cfg, r.node): r.comp for r in density.connected_components(edges, n).collect()} for n in (1000, 0, 50))
     assert one == rounds == mixed and len(one) == len({(c, v) for c, *ab in rows for v in ab})
+
+
+def test_sure_edges_are_the_trees():
+    """With whole lists all edges of the tree; none where something lighter may be missing."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(60, 2)), 1)  # ties
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    a, b = np.triu_indices(60, 1)
+    order = np.lexsort((b, a, d[a, b]))
+    a, b = a[order], b[order]
+    w = d[a, b]
+    comp, taken = density_tree._sure(np.full(60, np.inf), a, b, w)
+    up, want = np.arange(60), []
+    for i, j, v in zip(a, b, w, strict=True):
+        if up[i] != up[j]:
+            up[up == up[i]] = up[j]
+            want.append(v)
+    assert len(taken) == 59 and (comp == 0).all() and np.sort(w[taken]).tolist() == want
+    least = np.array([np.sort(r)[1] for r in d])
+    assert not len(density_tree._sure(np.nextafter(least, -1.0), a, b, w)[1])
+
+
+def test_tree_after_and_without_the_listed_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(40, 2)), 9 + rng.normal(size=(30, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    used, rounds = [], density_tree._listed_rounds
+    monkeypatch.setattr(density_tree, "_listed_rounds", lambda *a: used.append(1) or rounds(*a))
+    first = sorted(r.w for r in density_tree.spanning_tree(df, "id", "v", 3).collect())
+    monkeypatch.setattr(density_tree, "LISTED_EDGES", 0)
+    second = sorted(r.w for r in density_tree.spanning_tree(df, "id", "v", 3).collect())
+    assert used == [1] and len(first) == 69 and first == pytest.approx(second)

@@ -4,7 +4,9 @@ The mutual reachability of two points is the largest of their core distances and
 their own distance.  Its minimum spanning tree holds every level of the density
 clustering, so one tree serves all cluster sizes and selections.
 
-`spanning_tree` runs Boruvka rounds.  A component's cheapest edge so far comes from
+`spanning_tree` runs Boruvka rounds.  The first ones need no search: a component whose
+cheapest listed edge is no heavier than anything that its points' neighbour lists leave out
+picks that; up to `LISTED_EDGES` edges, one task goes on until there is none.  A component's cheapest edge so far comes from
 its points' neighbour lists and from the pivots of `vellum.operators.pivots`; points
 that could still have a cheaper one, as their lists end nearer than that, visit the
 cells within that radius, but none whose points are all of their own component.  The
@@ -36,15 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators import pivots
-from vellum.operators.density import connected_components
+from vellum.operators.density import _forest, connected_components
 from vellum.operators.knn import knn_join
 from vellum.session import cut_lineage, drop_lineage_table
 
 NEIGHBOURS = 8          # least length of the neighbour lists
 DIGITS = 9              # weights are compared after rounding, so float noise cannot flip ties
 HELD_EDGES = 1 << 18    # edges that a search keeps before it drops all but the cheapest
-LOCAL_EDGES = 65_536    # edges of a subtree that one task solves
-TREE_ROWS = 200_000     # clusters of a tree whose selection the driver makes; more go round by round
+LISTED_EDGES = 1 << 23  # edges of the neighbour lists that one task takes
+LOCAL_EDGES = 1 << 20   # edges of a subtree that one task solves
+TREE_ROWS = 1 << 20     # clusters of trees whose selection a task makes for each; more go round by round
 LEAST_WEIGHT = 1e-6     # weights under it count as it where their reciprocal is taken
 EDGE = ["w", "lo", "hi"]
 
@@ -70,6 +73,57 @@ def _listed(points: DataFrame, min_samples: int) -> tuple[DataFrame, DataFrame]:
     return rows, cut_lineage(edges)
 
 
+def _sure(bound: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component of each point, picked edges): Boruvka rounds on edges in order of weight
+    and ends, of components whose cheapest edge weighs no more than any that is missing."""
+    comp, picked, live = np.arange(len(bound)), [], np.arange(len(w))
+    while True:
+        live = live[comp[a[live]] != comp[b[live]]]
+        least, first = np.full(len(bound), np.inf), np.full(len(bound), len(w))
+        np.minimum.at(least, comp, bound)
+        for ends in (a, b):  # of equal places the last one stays, which is the cheapest edge
+            near = np.full(len(bound), len(w))
+            near[comp[ends[live[::-1]]]] = live[::-1]
+            np.minimum(first, near, out=first)
+        some = np.flatnonzero(first < len(w))
+        taken = np.unique(first[some[w[first[some]] <= least[some]]])
+        if not len(taken):
+            return comp, np.concatenate(picked) if picked else taken
+        picked.append(taken)
+        roots, ends = np.unique(comp[np.concatenate([a[taken], b[taken]])], return_inverse=True)
+        now = np.arange(len(bound))
+        now[roots] = roots[_forest(len(roots), ends[:len(taken)], ends[len(taken):])]
+        comp = now[comp]
+
+
+def _listed_rounds(rows: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, comp), (lo, hi, w)): components and tree edges of the rounds without a search."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    id_type = rows.schema["id"].dataType
+    out = T.StructType([*(T.StructField(c, id_type) for c in ("id", "comp", "lo", "hi")), T.StructField("w", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def solve(points, edges):
+        ids, bound = points["id"].to_numpy(), points["bound"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, bound = ids[order], bound[order]
+        a, b, w = np.searchsorted(ids, edges["lo"].to_numpy()), np.searchsorted(ids, edges["hi"].to_numpy()), edges["w"].to_numpy()
+        order = np.lexsort((b, a, w))
+        a, b, w = a[order], b[order], w[order]
+        comp, taken = _sure(bound, a, b, w)
+        none = lambda n, at: pa.nulls(n, arrow.types[at])
+        named = lambda at: pa.array(ids[at], arrow.types[0])
+        n, m = len(ids), len(taken)
+        return pa.concat_tables([
+            pa.Table.from_arrays([named(np.arange(n)), named(comp), none(n, 2), none(n, 3), none(n, 4)], schema=arrow),
+            pa.Table.from_arrays([none(m, 0), none(m, 1), named(a[taken]), named(b[taken]), pa.array(w[taken])], schema=arrow)])
+
+    one = F.lit(0).alias("all")
+    found = cut_lineage(rows.select(one, "id", "bound").groupBy("all").cogroup(listed.select(one, *EDGE).groupBy("all"))
+                        .applyInArrow(lambda points, edges: solve(points, edges), out))
+    return found.filter("id IS NOT NULL").select("id", "comp"), found.filter("id IS NULL").select(*EDGE)
+
+
 def whole(id_col: str, vec: str):
     """True for a row with an id and a vector of numbers."""
     v = F.col(f"`{vec}`")
@@ -94,8 +148,8 @@ def _edge_table(comp, w, a, b, other) -> pd.DataFrame:
                          "hi": np.where(first, b, a), "other": other})
 
 
-def _to_pivots(now: DataFrame, cells: pivots.Cells, schema: T.StructType) -> DataFrame:
-    """For each component, in each task, its cheapest edge to a pivot of another."""
+def _to_pivots(mine: DataFrame, now: DataFrame, cells: pivots.Cells, schema: T.StructType) -> DataFrame:
+    """For each component of ``mine``, in each task, its cheapest edge to a pivot of another."""
     at = {r["id"]: r for r in now.join(F.broadcast(now.sparkSession.createDataFrame(
         [(i,) for i in cells.ids], T.StructType([now.schema["id"]]))), "id").select("id", "core", "comp").collect()}
     ids = np.array(cells.ids, object if now.schema["id"].dataType == T.StringType() else None)
@@ -121,7 +175,7 @@ def _to_pivots(now: DataFrame, cells: pivots.Cells, schema: T.StructType) -> Dat
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
-    return now.select("id", "vec", "core", "comp").mapInArrow(run, schema)
+    return mine.select("id", "vec", "core", "comp").mapInArrow(run, schema)
 
 
 def _search(asking: DataFrame, now: DataFrame, cells: pivots.Cells, schema: T.StructType) -> DataFrame:
@@ -189,13 +243,20 @@ def spanning_tree(points: DataFrame, id_col: str, vec: str, min_samples: int,
                   cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
     """(lo, hi, w): the minimum spanning tree of mutual reachability over the points
     that have a vector, ids being unique."""
-    points = points.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("vec")).filter(whole("id", "vec"))
+    points = points.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec}`").alias("vec")).filter(whole("id", "vec"))
+    points = points.withColumn("vec", pivots.numbers(points))
     rows, listed = _listed(points, min_samples)
     placed, cells = pivots.place(rows.withColumn("g", F.lit("")), cell_rows, extra={"core": F.min("core")})
     id_type = placed.schema["id"].dataType
     schema = _edge_schema(id_type)
     names = [f.name for f in schema]
-    comp, left, tree = cut_lineage(placed.select("id", F.col("id").alias("comp"))), placed.count(), []
+    left, tree = placed.count(), []
+    if 0 < listed.count() <= LISTED_EDGES:
+        comp, sure = _listed_rounds(rows, listed)
+        tree.append(sure)
+        left -= sure.count()
+    else:
+        comp = cut_lineage(placed.select("id", F.col("id").alias("comp")))
     while left > 1:
         now = cut_lineage(placed.join(comp, "id"))
         ends = [comp.select(F.col("id").alias(e), F.col("comp").alias(f"c_{e}")) for e in ("lo", "hi")]
@@ -204,13 +265,15 @@ def spanning_tree(points: DataFrame, id_col: str, vec: str, min_samples: int,
         by_list = (listed.select(*EDGE, F.explode(F.array(F.struct(F.col("c_lo").alias("comp"), F.col("c_hi").alias("other")),
                                                           F.struct(F.col("c_hi").alias("comp"), F.col("c_lo").alias("other")))).alias("x"))
                    .select("x.comp", *EDGE, "x.other"))
-        known = by_list.select(*names).unionByName(_to_pivots(now, cells, schema).select(*names))
-        known = cut_lineage(known.groupBy("comp").agg(cheap).select("comp", "e.*"))
         sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.agg(F.max_by("comp", F.struct("n", "comp"))).first()[0]
-        picking = known.filter(F.col("comp") != F.lit(largest))
-        if picking.isEmpty():  # only the largest knows an edge
-            picking = known
+        for mine in (now.filter(F.col("comp") != F.lit(largest)), now):
+            known = by_list.select(*names).unionByName(_to_pivots(mine, now, cells, schema).select(*names))
+            known = cut_lineage(known.groupBy("comp").agg(cheap).select("comp", "e.*"))
+            picking = known.filter(F.col("comp") != F.lit(largest))
+            if not picking.isEmpty():
+                break
+            picking = known  # only the largest knows an edge
         # components of a cell's points: the component, or null if there are several
         pure = now.groupBy(*pivots.KEY).agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("only")).orderBy(*pivots.KEY)
         cells.extra["only"] = np.array([r["only"] for r in pure.select("only").collect()], object)
@@ -516,10 +579,9 @@ def select(clusters: DataFrame, exits: DataFrame, method: str = "eom", epsilon:
         raise ValueError("method must be leaf or eom")
     t = cut_lineage(stabilities(clusters, exits))
     if t.count() <= tree_rows:
-        found = [_choose(part, method, epsilon).assign(m=m) for m, part in t.toPandas().groupby("m")]
         schema = T.StructType([t.schema["m"], T.StructField("key", T.StringType()), T.StructField("chosen", T.StringType())])
-        rows = [(int(m), k, c) for p in found for m, k, c in zip(p["m"], p["key"], p["chosen"], strict=True)]
-        chosen = t.sparkSession.createDataFrame(rows, schema)
+        chosen = cut_lineage(t.groupBy("m").applyInPandas(
+            lambda part: _choose(part, method, epsilon).assign(m=part["m"].iloc[0])[schema.names], schema))
     else:
         chosen = _choose_in_rounds(t, method, epsilon)
     named = chosen.join(t.select("m", F.col("key").alias("chosen"), "least"), ["m", "chosen"]).select("m", "key", "least")
